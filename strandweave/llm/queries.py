@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, pii
+from . import chat, imatch, media, mixing, pieces, pii, sstable
 from .common import documents
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_digests(documents(spark, sf_dir))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir), PIECE_MODEL)
 
@@ -27,14 +36,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(documents(spark, sf_dir))
 
 
+def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(documents(spark, sf_dir), WORD_MODEL, END_ID))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_chat_format": op3_chat_format,
+    "op4_media_columns": op4_media_columns,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
+    "op8_sstable": op8_sstable,
     "op9_mixing": op9_mixing,
 }
 
