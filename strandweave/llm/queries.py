@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, media, mixing, pieces, pii, sstable
+from . import chat, imatch, media, mixing, pieces, pii, quality, sstable, toxicity
 from .common import documents
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -15,6 +15,14 @@ WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_digests(documents(spark, sf_dir))
 
@@ -44,7 +52,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat_format": op3_chat_format,
     "op4_media_columns": op4_media_columns,
@@ -52,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_sstable": op8_sstable,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
