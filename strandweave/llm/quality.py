@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,17 @@ THRESHOLD = 0.3
 
 
 class TextFeatures:
-    """Slots and counts of a text: each word (stripped, lower case), the punctuation around it, and whether it is in capitals."""
+    """Slots and counts of a text: each word (stripped, lower case), the punctuation around it, whether it is in capitals, and how often a word follows itself."""
 
     EDGES = ".,;:!?\"'()[]{}<>|*&$#%-_/\\~^=+`@"
 
     def __init__(self):
         self.cache = BoundedCache()
+        self.repeats = [(level, self._slot(f"repeats {level}")) for level in (0.1, 0.3, 0.5)]
+
+    @staticmethod
+    def _slot(name: str) -> int:
+        return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) % SLOTS
 
     def _slots(self, word: str) -> tuple[int, ...]:
         core = word.strip(self.EDGES)
@@ -50,11 +56,16 @@ class TextFeatures:
             names.append("capitals")
         if core.isdigit():
             names.append("digits")
-        return tuple(xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names)
+        return tuple(map(self._slot, names))
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         cache, newer, totals = self.cache, self.cache.newer, {}
-        for word, n in Counter(text.split()).items():
+        words = text.split()
+        if again := sum(map(eq, words, words[1:])):
+            for level, slot in self.repeats:
+                if again >= level * len(words):
+                    totals[slot] = again
+        for word, n in Counter(words).items():
             if (slots := newer.get(word)) is None and (slots := cache.get(word)) is None:
                 slots = self._slots(word)
                 cache.keep(word, slots)

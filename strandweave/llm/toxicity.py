@@ -39,6 +39,7 @@ SAMPLE_A_CLASS = 4_000
 #: Words and stems that the classifier weighs, and the least number of toxic sample texts that a stem voter needs.
 FEATURES, LEAST_TEXTS = 1024, 3
 ROUNDS = 6
+LABEL_ACCURACY = 0.999
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>|*&$#%-_/\\"
@@ -269,9 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> ToxicityMo
 
     rows = sample.orderBy("doc_id").mapInPandas(featurise, "label int, mask long, present array<int>").toPandas()  # bounded by SAMPLE_A_CLASS and FEATURES
     if len(rows):
-        posterior = label_model.posterior(unpack(rows["mask"].to_numpy(np.int64), voters.size))
-        # The sample's labels are part of what the label model knows, so its posterior for these rows leans on them.
-        target_p = 0.5 * posterior + 0.5 * rows["label"].to_numpy(np.float64)
+        # The sample's labels are one more voter, right this often.
+        label_vote = math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * rows["label"].to_numpy(np.float64) - 1)
+        logits = label_model.logits(unpack(rows["mask"].to_numpy(np.int64), voters.size)) + label_vote
+        target_p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
         n1 = max(1, int((rows["label"] == 1).sum()))
         n0 = max(1, int((rows["label"] == 0).sum()))
         weight = np.where(rows["label"] == 1, prior / n1, (1 - prior) / n0)
