@@ -187,3 +187,26 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return docs.select("doc_id", F.pandas_udf(run, DIGEST)(whole_text()).alias("d")).select("doc_id", "d.*")
+
+
+ENCODED = "struct<ids:array<int>,n_tokens:long,decoded_sha256:string>"
+
+
+def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
+    """The documents without their texts, with ``ids``, ``n_tokens`` and the digest of the decoded text; cases as in piece_digests."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = encoder(model_file)
+        for texts in batches:
+            new: list[tuple[str, bytes]] = []
+            rows = []
+            for text in texts:
+                packed = np.frombuffer(b"".join(enc.entries(text, new)), np.uint32)
+                back = enc.library.decode(packed.tolist()) if len(packed) else ""
+                rows.append((packed.astype(np.int32), len(packed), hashlib.sha256(back.encode()).hexdigest()))
+            enc.verify(new)
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    made = docs.withColumn("_encoded", F.pandas_udf(run, ENCODED)(whole_text()))
+    return made.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")], "_encoded.*")

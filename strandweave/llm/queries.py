@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, media, mixing, pieces, pii, quality, sstable, toxicity
+from . import chat, imatch, jaccard, media, mixing, pieces, pii, quality, sstable, toxicity
 from .common import documents
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +36,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir), PIECE_MODEL)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_chat_format": op3_chat_format,
     "op4_media_columns": op4_media_columns,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
     "op8_sstable": op8_sstable,
