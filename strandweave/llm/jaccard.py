@@ -273,8 +273,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each class of near-duplicates, with its columns: the one with the least identifier, once."""
     kept = near_duplicates(docs, **options).where("keep").select("uid").distinct()
-    rows = docs.withColumn("_uid", identifier(docs)).join(kept.withColumnRenamed("uid", "_uid"), "_uid", "left_semi")
-    ids = docs.select(identifier(docs).alias("u"))
+    rows = docs.select(F.struct("*").alias("row"), identifier(docs).alias("uid")).join(kept, "uid", "left_semi")
+    ids = docs.select(identifier(docs).alias("uid"))
     if ids.count() != ids.distinct().count():
-        rows = rows.dropDuplicates(["_uid"])  # repeated rows only
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates(["uid"])  # repeated rows only
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

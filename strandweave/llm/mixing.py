@@ -76,7 +76,8 @@ def mix(
     The count is the inverse of the Poisson distribution at a number hashed from seed
     and doc_id, so a rerun or a lost executor gives the same rows, and rows that share
     a doc_id share the count. A null source is a source of its own, a null doc_id
-    hashes as "null", an empty table stays empty. Documents are never shuffled by
+    hashes as "null", an empty table stays empty; columns of docs named mix_copy or
+    mix_key give way. Documents are never shuffled by
     source: the rates are a table of one row a source, broadcast up to
     ``MAX_BROADCAST_SOURCES`` rows, beyond which an adaptive join splits hot sources.
     """
@@ -84,17 +85,18 @@ def mix(
     n_sources = docs.agg(F.count_distinct(F.coalesce(F.col("source"), F.lit("null")))).first()[0]
     if n_sources <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    u = uniform(f"{seed}", F.col("doc_id"))
-    count = F.size(F.filter("mix_cdf", lambda c: c < u))
+    # The row travels as one struct, so its column names can't clash with those added here.
+    rows = docs.select(F.struct("*").alias("mix_row"), F.col("source").alias("mix_of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mix_id"))
+    u = uniform(f"{seed}", F.col("mix_id"))
     copies = (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_count", count)
+        rows.join(rates, F.col("mix_of").eqNullSafe(F.col("mix_source")))
+        .select("mix_row", "mix_id", F.size(F.filter("mix_cdf", lambda c: c < u)).alias("mix_count"))
         .where("mix_count > 0")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
     )
-    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
-    out = copies.withColumn("mix_key", order).select(*docs.columns, "mix_copy", "mix_key")
-    return shuffled(out, "mix_key")
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "mix_id", F.col("mix_copy").cast("string")))
+    out = shuffled(copies.select("mix_row", "mix_copy", order.alias("mix_key")), "mix_key")
+    return out.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns if c not in ("mix_copy", "mix_key")], "mix_copy", "mix_key")
 
 
 def shuffled(df: DataFrame, key: str) -> DataFrame:

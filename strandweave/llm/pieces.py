@@ -208,5 +208,6 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = docs.withColumn("_encoded", F.pandas_udf(run, ENCODED)(whole_text()))
-    return made.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")], "_encoded.*")
+    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
+    made = docs.select(F.struct(*rest).alias("row"), F.pandas_udf(run, ENCODED)(whole_text()).alias("encoded"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in rest], "encoded.*")

@@ -154,12 +154,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """Replace each span by its kind in angle brackets; texts without spans (null ones too) stay as they are. n_chars follows."""
-    out = docs.withColumn("_pii", F.pandas_udf(_scan, SCAN)(whole_text()))
-    text = F.coalesce(F.col("_pii.masked"), F.col("text"))
-    changed = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_pii.masked").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.pandas_udf(_scan, SCAN)(whole_text()).alias("pii"))
+    masked_text = F.col("pii.masked")
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out["text"] = F.coalesce(masked_text, out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(masked_text.isNotNull(), F.char_length(masked_text).cast(dict(docs.dtypes)["n_chars"])).otherwise(out["n_chars"])
+    return rows.select(*[c.alias(name) for name, c in out.items()])
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:

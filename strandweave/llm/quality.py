@@ -218,4 +218,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier predicts to be good, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    kept = score(rows, fit(docs, labels)).where(F.col("quality_score") >= THRESHOLD)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
