@@ -91,3 +91,19 @@ def hashed_bases(key: Column, seed: str, length: int) -> Column:
 def clean_motif_name(name: Column) -> Column:
     """Cluster prefix, database suffix and trailing number taken off."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^HCLUST-\d+_", ""), r"\.UNK\.0\.A", ""), r"\d+$", "")
+
+
+def flags_of(text: Column) -> Column:
+    """A string of 1, 0 and x as integers, x being 0."""
+    return F.transform(F.split(text, ""), lambda c: F.when(c == "1", 1).otherwise(0))
+
+
+def presence_text(names: Column, flags: Column) -> Column:
+    """``A+,B-`` from names and flags."""
+    return F.array_join(F.zip_with(names, flags, lambda n, f: F.concat(n, F.when(f == 1, F.lit("+")).otherwise(F.lit("-")))), ",")
+
+
+def conditional_text(names: Column, flags: Column, changed: Column) -> Column:
+    """``f(seq | do(A+), B-)``: names with their state, those in ``changed`` (flags) marked as intervened."""
+    marks = F.zip_with(F.zip_with(names, flags, lambda n, f: F.concat(n, F.when(f == 1, F.lit("+")).otherwise(F.lit("-")))), changed, lambda t, c: F.when(c == 1, F.concat(F.lit("do("), t, F.lit(")"))).otherwise(t))
+    return F.concat(F.lit("f(seq | "), F.array_join(marks, ", "), F.lit(")"))

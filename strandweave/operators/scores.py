@@ -89,3 +89,19 @@ def hash_rank(keys: list[str], *parts: Column | str) -> Column:
     """Random but repeatable order in each group: md5 of the parts joined by colons."""
     text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(text)))
+
+
+def poisson_limits(scores: DataFrame, keys: list[str], value: str, share: float, most: int = 200) -> DataFrame:
+    """(keys, limit): the least count whose Poisson probability of at most that many, at the group's mean, reaches 1 - share.
+
+    ``most`` bounds the counts looked at and should be several times the largest mean.
+    """
+    means = scores.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    start = F.struct(F.lit(0).alias("k"), F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("sum"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * F.col("_m") / k
+        done = acc["sum"] >= 1 - share
+        return F.struct(F.when(done, acc["k"]).otherwise(k).alias("k"), F.when(done, acc["p"]).otherwise(p).alias("p"), F.when(done, acc["sum"]).otherwise(acc["sum"] + p).alias("sum"))
+
+    return means.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["k"]).alias("limit"))

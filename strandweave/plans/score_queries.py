@@ -270,3 +270,17 @@ def percentile_filter(spark, d):
     t = cube(spark, d).groupBy("vec_id").agg(F.sum(F.col("value").cast("double")).alias("s"))
     limit = t.agg(F.percentile("s", 0.9).alias("limit"))
     return t.crossJoin(F.broadcast(limit)).where("s > limit").select("vec_id")
+
+
+@query("""SELECT user_id, min(k)::INTEGER AS "limit" FROM (SELECT user_id, k, sum(exp(-m + k * ln(m) - lgamma(k + 1.0))) OVER (PARTITION BY user_id ORDER BY k) AS c FROM (SELECT user_id, avg(floor(value / 10)) AS m FROM events GROUP BY user_id), range(200) t(k)) WHERE c >= 0.95 GROUP BY user_id""")
+def poisson_threshold(spark, d):
+    """Poisson limit of each group's counts."""
+    e = table(spark, d, "events").select("user_id", F.floor(F.col("value") / 10).alias("v"))
+    return sc.poisson_limits(e, ["user_id"], "v", 0.05)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, example_type FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'positives' WHEN quality = 1 THEN 'training_negatives' ELSE 'genomewide_negatives' END AS example_type FROM labels) WHERE example_type <> 'genomewide_negatives'".replace("row_number() OVER (ORDER BY doc_id) AS n, ", ""))
+def example_type_filter(spark, d):
+    """rows of wanted example types."""
+    kind = F.when(F.col("toxic") == 1, "positives").when(F.col("quality") == 1, "training_negatives").otherwise("genomewide_negatives")
+    return table(spark, d, "labels").select("doc_id", kind.alias("example_type")).where("example_type <> 'genomewide_negatives'")

@@ -168,3 +168,20 @@ def clean_names(spark, d):
     name = F.concat(F.lit("HCLUST-12_"), F.col("p_brand"), F.lit(".UNK.0.A"))
     kept = F.regexp_replace(F.regexp_replace(name, r"^HCLUST-\d+_", ""), r"\.UNK\.0\.A", "")
     return table(spark, d, "part").select("p_brand", kept.alias("kept"), fx.clean_motif_name(name).alias("name")).distinct()
+
+
+@query("SELECT p_partkey, concat(p_brand, CASE WHEN p_size % 2 = 1 THEN '+' ELSE '-' END, ',', p_type, CASE WHEN p_size % 3 = 1 THEN '+' ELSE '-' END) AS present, concat('f(seq | do(', p_brand, CASE WHEN p_size % 2 = 1 THEN '+' ELSE '-' END, '), ', p_type, CASE WHEN p_size % 3 = 1 THEN '+' ELSE '-' END, ')') AS given FROM part")
+def presence_strings(spark, d):
+    """Calculation strings parsed and written as states."""
+    p = table(spark, d, "part")
+    text = F.concat(F.when(F.col("p_size") % 2 == 1, F.lit("1")).otherwise(F.lit("x")), F.when(F.col("p_size") % 3 == 1, F.lit("1")).otherwise(F.lit("0")))
+    names, flags = F.array("p_brand", "p_type"), fx.flags_of(text)
+    return p.select("p_partkey", fx.presence_text(names, flags).alias("present"), fx.conditional_text(names, flags, F.array(F.lit(1), F.lit(0))).alias("given"))
+
+
+@query("SELECT doc_id, substr(seq, (greatest(0, least(floor((f + l - 160) / 2), length(seq) - 160)) + 1)::BIGINT, 160) AS fragment FROM (SELECT doc_id, seq, doc_id % 500 AS f, doc_id % 500 + doc_id % 37 AS l FROM seqs WHERE length(seq) >= 160)")
+def motif_fragments(spark, d):
+    """Fragments around motif edges, kept inside the sequence."""
+    s = seqs(spark, d).where("length(seq) >= 160")
+    first = F.col("doc_id") % 500
+    return s.select("doc_id", fx.fragment_around(F.col("seq"), first, first + F.col("doc_id") % 37, 160).alias("fragment"))

@@ -102,11 +102,6 @@ def kernel_smoothed(df: DataFrame, keys: list[str], position: str, value: str, w
     return spread.groupBy(*keys, F.col("_to").alias(position)).agg((F.sum("_v") / F.sum("_w")).alias(value))
 
 
-def presence_text(names: list[str], flags: str) -> str:
-    """``A+,B-`` for names and a string of 1 and 0."""
-    return ",".join(f"{n}{'+' if f == '1' else '-'}" for n, f in zip(names, flags, strict=True))
-
-
 def consensus_library(runs: DataFrame, key: str, run: str, per_group: int, group: str, seed: str) -> DataFrame:
     """Keys that occur in every run, a hashed sample of ``per_group`` of each group."""
     from ..operators.graphs import in_every_run
