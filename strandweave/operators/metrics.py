@@ -2,37 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import with_ranges
+
 
 def curve(df: DataFrame, task: str, label: str, score: str) -> DataFrame:
-    """One row a task and distinct score, from the greatest down: true and false positives at that threshold, precision, recall, false positive rate.
+    """One row a task and distinct score, from the greatest down: true and false positives at that threshold, precision, recall, false positive rate, and the last three at the point before (``_before``).
 
-    Rows are counted by distinct score first, so the ordered pass runs over those.
+    Rows are counted by distinct score, scores are cut into ranges, and what precedes a
+    range is a sum over few rows, so no task's scores have to fit into one partition.
     """
     y = F.col(label).cast("long")
-    points = df.groupBy(task, score).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_n"))
-    down = Window.partitionBy(task).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    points = with_ranges(df.groupBy(task, score).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_n")), [task], score)
+    above = Window.partitionBy(task).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(task)
-    tp, fp = F.sum("_p").over(down), F.sum("_n").over(down)
-    return points.select(
-        task, score, tp.alias("tp"), fp.alias("fp"),
-        F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, F.sum("_p").over(whole)).alias("recall"), F.try_divide(fp, F.sum("_n").over(whole)).alias("fpr"),
+    ranges = points.groupBy(task, "_range").agg(F.sum("_p").alias("_rp"), F.sum("_n").alias("_rn")).select(
+        task, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_rp", "_rn")], F.sum("_rp").over(whole).alias("_all_p"), F.sum("_rn").over(whole).alias("_all_n")
+    )
+    down = Window.partitionBy(task, "_range").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.join(ranges, [task, "_range"]).withColumn("tp", F.col("_rp_above") + F.sum("_p").over(down)).withColumn("fp", F.col("_rn_above") + F.sum("_n").over(down))
+    tp, fp = F.col("tp"), F.col("fp")
+    tp0, fp0 = tp - F.col("_p"), fp - F.col("_n")
+    return counted.select(
+        task, score, "tp", "fp",
+        F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, F.col("_all_p")).alias("recall"), F.try_divide(fp, F.col("_all_n")).alias("fpr"),
+        F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0)).alias("precision_before"), F.try_divide(tp0, F.col("_all_p")).alias("recall_before"), F.try_divide(fp0, F.col("_all_n")).alias("fpr_before"),
     )
 
 
-def area(points: DataFrame, task: str, score: str, x: str, y: str, first_y: Column, name: str) -> DataFrame:
-    """Trapezoid area under a curve that starts at x = 0 with ``first_y``."""
-    order = Window.partitionBy(task).orderBy(F.col(score).desc())
-    step = (F.col(x) - F.coalesce(F.lag(x).over(order), F.lit(0.0))) * (F.col(y) + F.coalesce(F.lag(y).over(order), first_y)) / 2
-    return points.withColumn("_s", step).groupBy(task).agg(F.sum("_s").alias(name))
+def area(points: DataFrame, task: str, x: str, y: str, name: str) -> DataFrame:
+    """Trapezoid area under a curve: each point with the one before it."""
+    step = (F.col(x) - F.col(f"{x}_before")) * (F.col(y) + F.col(f"{y}_before")) / 2
+    return points.groupBy(task).agg(F.sum(step).alias(name))
 
 
 def ranking_metrics(df: DataFrame, task: str, label: str, score: str, floors: tuple[float, ...] = (0.9,)) -> DataFrame:
     """auroc, auprc (trapezoid) and recall at the smallest threshold with each precision floor."""
     points = curve(df, task, label, score)
-    out = area(points, task, score, "fpr", "recall", F.lit(0.0), "auroc").join(area(points, task, score, "recall", "precision", F.lit(1.0), "auprc"), task)
+    out = area(points, task, "fpr", "recall", "auroc").join(area(points, task, "recall", "precision", "auprc"), task)
     for floor in floors:
         best = points.groupBy(task).agg(F.coalesce(F.min_by("recall", F.when(F.col("precision") >= floor, F.col(score))), F.lit(0.0)).alias(f"recall_at_{round(floor * 100)}"))
         out = out.join(best, task)
@@ -55,5 +64,4 @@ def regression_metrics(df: DataFrame, task: str, truth: str, predicted: str) ->
 def bucketed_auc(df: DataFrame, task: str, label: str, score: str, buckets: int = 100) -> DataFrame:
     """AUROC from counts in equal buckets of a score in [0, 1]: what a running metric keeps."""
     b = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)) / buckets
-    points = curve(df.withColumn("_b", b), task, label, "_b")
-    return area(points, task, "_b", "fpr", "recall", F.lit(0.0), "auroc")
+    return area(curve(df.withColumn("_b", b), task, label, "_b"), task, "fpr", "recall", "auroc")

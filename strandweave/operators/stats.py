@@ -11,15 +11,40 @@ from pyspark.sql import functions as F
 from .scores import hash_rank
 
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """Rank from 1 with equal values sharing the mean of their ranks."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+#: Into how many ranges of values a group is cut for ranking, so that one large group spreads over many tasks.
+RANGES = 32
+
+
+def with_ranges(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """Add ``_range``: which of the group's value ranges (cut at approximate quantiles) a row lies in. Equal values share a range; rows with a null key are left out."""
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares).alias("_cuts"))
+    return df.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def with_ranks(df: DataFrame, keys: list[str], value: str, tie: list[str] | None = None, average: str | None = None, ordinal: str | None = None) -> DataFrame:
+    """Add ranks from 1 within each group: ``average`` (equal values share their mean rank) and ``ordinal`` (ties by ``tie``).
+
+    A group is ranked range by range; the ranks before a range are a sum over at most
+    RANGES rows, so no group has to fit into one task.
+    """
+    rows = with_ranges(df, keys, value)
+    sizes = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = rows.join(offsets, [*keys, "_range"])
+    inside = Window.partitionBy(*keys, "_range")
+    if average:
+        same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_range", value))
+        out = out.withColumn(average, F.col("_before") + F.rank().over(inside.orderBy(value)) + (same - 1) / 2)
+    if ordinal:
+        out = out.withColumn(ordinal, F.col("_before") + F.row_number().over(inside.orderBy(value, *(tie or []))))
+    return out.drop("_range", "_before")
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) of each group."""
-    ranked = df.withColumn("_rx", average_rank(keys, x)).withColumn("_ry", average_rank(keys, y))
+    ranked = with_ranks(with_ranks(df, keys, x, average="_rx"), keys, y, average="_ry")
     return ranked.groupBy(*keys).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
 
@@ -52,10 +77,10 @@ def quantile_normalised(signals: DataFrame, item: str, task: str, value: str, ou
 
     Equal values take the mean of their ranks' targets. Tasks must have equally many rows.
     """
-    ranked = signals.withColumn("_r", F.row_number().over(Window.partitionBy(task).orderBy(value, item)))
+    ranked = with_ranks(signals, [task], value, [item], ordinal="_r")
     target = ranked.groupBy("_r").agg(F.avg(value).alias("_t"))
-    joined = ranked.join(target, "_r")
-    return joined.withColumn(out, F.avg("_t").over(Window.partitionBy(task, value))).drop("_r", "_t")
+    means = ranked.join(target, "_r").groupBy(task, value).agg(F.avg("_t").alias(out))
+    return signals.join(means, [task, value])
 
 
 def quantile_bins(df: DataFrame, value: str, n: int) -> DataFrame:
@@ -163,7 +188,7 @@ def add_hypergeometric(df: DataFrame, hits: str, population: str, successes: str
 def signed_rank(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
     """Wilcoxon signed rank: sum of positive ranks of |diff| (zeros left out) and its normal z."""
     used = df.where(F.col(diff) != 0).withColumn("_a", F.abs(F.col(diff)))
-    ranked = used.withColumn("_r", average_rank(keys, "_a"))
+    ranked = with_ranks(used, keys, "_a", average="_r")
     n = F.count(F.lit(1))
     w = F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0))
     return ranked.groupBy(*keys).agg(n.alias("n"), w.alias("w_plus"), F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
@@ -171,7 +196,7 @@ def signed_rank(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
 
 def rank_sum(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
     """Mann-Whitney U of the positives and its normal z (no tie correction)."""
-    ranked = df.withColumn("_r", average_rank(keys, value)).withColumn("_p", positive.cast("long"))
+    ranked = with_ranks(df.withColumn("_p", positive.cast("long")), keys, value, average="_r")
     n1, n0 = F.sum("_p"), F.sum(1 - F.col("_p"))
     u = F.sum(F.col("_r") * F.col("_p")) - n1 * (n1 + 1) / 2
     return ranked.groupBy(*keys).agg(n1.alias("n1"), n0.alias("n0"), u.alias("u"), F.try_divide(u - n1 * n0 / 2, F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12)).alias("z"))
