@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import BoundedCache, fresh_path, shuffle_partitions, stored, whole_text
+from .common import fresh_path, shuffle_partitions, stored, whole_text
 
 MAGIC = b"SWSSTAB1"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -155,11 +155,14 @@ class WordTokens:
     """Token ids of texts by the tokenizers library, word by word with a bounded cache.
 
     The model's normaliser and splitter never join across a space, tab or line end, so
-    the ids of a text are the ids of its words one after the other.
+    the ids of a text are the ids of its words one after the other. Nor do they join a
+    letter and a following mark of MARKS, so "word," shares the entry of "word"; plain
+    ASCII words share that of their lower case.
     """
 
-    SEPARATORS = str.maketrans("\n\t\r", "   ")
-    MAX_CACHED = 64
+    MARKS = ",.!?;:"
+    #: Words kept from batch to batch, twice over; longer ones than MAX_CACHED are forgotten after their batch.
+    LIMIT, MAX_CACHED = 400_000, 64
 
     def __init__(self, model_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,25 +170,67 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(model_file)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache = BoundedCache()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """The word as entries whose ids, one after the other, are its ids."""
+        core = word.rstrip(self.MARKS)
+        if not core or not core[-1].lower().isalpha():  # a letter whose lower case adds a mark joins what follows
+            return (word,)
+        plain = core.lower() if core.isascii() and core.isalpha() else core
+        return (plain, word[len(core) :]) if len(core) < len(word) else (plain,)
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of these words into the newer cache."""
+        newer, older = self.newer, self.older
+        split = {}
+        for w in words:
+            if (v := older.get(w)) is not None:
+                newer[w] = v
+            else:
+                split[w] = self._parts(w)
+        new = []
+        for part in {p for parts in split.values() for p in parts}.difference(newer):
+            if (v := older.get(part)) is not None:
+                newer[part] = v
+            else:
+                new.append(part)
+        # Words of letters only are one piece of the splitter each: encoded in one call and cut where a word ends.
+        letters = [p for p in new if p.isalpha() and p.lower().isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.dtype)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        if len(stops) == len(letters):
+            raw, begin = ids.tobytes(), 0
+            for part, stop in zip(letters, stops.tolist(), strict=True):
+                newer[part] = raw[begin:stop]
+                begin = stop
+            new = [p for p in new if p not in newer]
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            newer[part] = self.pack(e.ids)
+        for w, parts in split.items():
+            newer[w] = b"".join([newer[p] for p in parts])
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        words = [t.translate(self.SEPARATORS).split(" ") for t in texts]
-        cache, known = self.cache, {}
-        for row in words:
-            for w in row:
-                if w not in known:
-                    known[w] = cache.get(w)
-        new = [w for w, v in known.items() if v is None]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = self.pack(e.ids)
-            if len(w) <= self.MAX_CACHED:
-                cache.keep(w, known[w])
-        return [b"".join([known[w] for w in row]) for row in words]
+        if len(self.newer) >= self.LIMIT:
+            self.older, self.newer = self.newer, {}
+        rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        unknown = set().union(*rows).difference(self.newer)
+        self._learn(unknown)
+        out = [b"".join(map(self.newer.__getitem__, row)) for row in rows]
+        for w in unknown:
+            if len(w) > self.MAX_CACHED:
+                for key in {w, *self._parts(w)}:
+                    self.newer.pop(key, None)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
