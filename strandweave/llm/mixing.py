@@ -103,7 +103,7 @@ def shuffled(df: DataFrame, key: str) -> DataFrame:
     """Order by an md5 ``key``: its values are even, so fixed cuts of the first 8 digits serve as range bounds and no sampling pass is needed."""
     n = shuffle_partitions(df.sparkSession)
     place = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") * n / float(2**32)).cast("int")
-    return df.withColumn("mix_part", place).repartition(n, "mix_part").sortWithinPartitions("mix_part", key).drop("mix_part")
+    return df.withColumn("mix_part", place).repartitionById(n, F.col("mix_part")).sortWithinPartitions(key).drop("mix_part")
 
 
 ORACLE_SQL = """
