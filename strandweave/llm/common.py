@@ -57,7 +57,7 @@ def fold(doc_id: str, parts: int) -> Column:
 class BoundedCache:
     """Two dicts of at most ``limit`` entries each; when the newer is full, the older goes. Memory stays bounded, results don't change."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.newer, self.older = limit, {}, {}
 
     def get(self, key):

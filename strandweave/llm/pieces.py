@@ -27,6 +27,8 @@ SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Segments above this many characters aren't kept in the cache.
 MAX_CACHED = 64
+#: How many segments new to the cache are noted before they are held against the library.
+VERIFIED_AT_ONCE = 20_000
 #: The place of pairs that are no piece.
 NEVER = 1 << 30
 
@@ -48,7 +50,7 @@ class MergeEncoder:
         if lib.normalize("  A Ａ\n\t") != f"{SPACE * 3}A{SPACE}Ａ\n\t":
             raise ValueError("only models without normalisation and with a space put before texts are handled")
         self.decimals = [str(i) for i in range(n)]
-        self.cache = BoundedCache()
+        self.cache = BoundedCache(200_000)
 
     def merge(self, segment: str) -> list[str]:
         """The pieces (or single characters) that the agenda leaves."""
@@ -114,6 +116,12 @@ class MergeEncoder:
             out.append(entry)
         return out
 
+    def verify_some(self, new: list[tuple[str, bytes]], least: int = 0) -> None:
+        """Verify and forget the noted segments once there are more than ``least``, so a batch never holds many."""
+        if len(new) > least:
+            self.verify(new)
+            new.clear()
+
     def encode(self, text: str, new: list | None = None) -> list[int]:
         return unpacked(self.entries(text, new))
 
@@ -140,8 +148,11 @@ def piece_ids(text: Column | str, model_file: str) -> Column:
         enc = encoder(model_file)
         for texts in batches:
             new: list[tuple[str, bytes]] = []
-            rows = [enc.encode(t, new) for t in texts]
-            enc.verify(new)
+            rows = []
+            for text in texts:
+                rows.append(enc.encode(text, new))
+                enc.verify_some(new, VERIFIED_AT_ONCE)
+            enc.verify_some(new)
             yield pd.Series(rows)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -181,8 +192,9 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
                 ids = enc.encode(text, new)
                 listed = ",".join(map(decimal, ids))
                 back = enc.library.decode(ids) if ids else ""
+                enc.verify_some(new, VERIFIED_AT_ONCE)
                 rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            enc.verify(new)
+            enc.verify_some(new)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -203,8 +215,9 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
             for text in texts:
                 packed = np.frombuffer(b"".join(enc.entries(text, new)), np.uint32)
                 back = enc.library.decode(packed.tolist()) if len(packed) else ""
+                enc.verify_some(new, VERIFIED_AT_ONCE)
                 rows.append((packed.astype(np.int32), len(packed), hashlib.sha256(back.encode()).hexdigest()))
-            enc.verify(new)
+            enc.verify_some(new)
             yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -173,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityM
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [features.of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"label": pdf["label"], "slots": [s for s, _ in made], "counts": [c for _, c in made]})
+            yield pd.DataFrame({"label": pdf["label"], "slots": [s.astype(np.int32) for s, _ in made], "counts": [c for _, c in made]})
 
-    picked = sample.mapInPandas(featurise, "label int, slots array<long>, counts array<float>").toPandas()  # bounded by SAMPLE_A_CLASS and SLOTS
+    picked = sample.mapInPandas(featurise, "label int, slots array<int>, counts array<float>").toPandas()  # bounded by SAMPLE_A_CLASS and SLOTS
     shares = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).agg(F.avg(F.col(target).cast("double"))).first()[0]
     )
