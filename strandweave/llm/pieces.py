@@ -50,7 +50,7 @@ class MergeEncoder:
         if lib.normalize("  A Ａ\n\t") != f"{SPACE * 3}A{SPACE}Ａ\n\t":
             raise ValueError("only models without normalisation and with a space put before texts are handled")
         self.decimals = [str(i) for i in range(n)]
-        self.cache = BoundedCache(200_000)
+        self.cache = BoundedCache(150_000)
 
     def merge(self, segment: str) -> list[str]:
         """The pieces (or single characters) that the agenda leaves."""
@@ -141,6 +141,12 @@ def encoder(model_file: str) -> MergeEncoder:
     return MergeEncoder(model_file)
 
 
+def slices(texts: pd.Series, rows: int = 256) -> Iterator[pd.Series]:
+    """A batch in parts: what is made of a part goes back to Spark before the next is begun."""
+    for a in range(0, len(texts), rows):
+        yield texts.iloc[a : a + rows]
+
+
 def piece_ids(text: Column | str, model_file: str) -> Column:
     """array<int> of the ids of each text (null: empty)."""
 
@@ -148,12 +154,13 @@ def piece_ids(text: Column | str, model_file: str) -> Column:
         enc = encoder(model_file)
         for texts in batches:
             new: list[tuple[str, bytes]] = []
-            rows = []
-            for text in texts:
-                rows.append(enc.encode(text, new))
-                enc.verify_some(new, VERIFIED_AT_ONCE)
-            enc.verify_some(new)
-            yield pd.Series(rows)
+            for part in slices(texts):
+                rows = []
+                for text in part:
+                    rows.append(enc.encode(text, new))
+                    enc.verify_some(new, VERIFIED_AT_ONCE)
+                enc.verify_some(new)
+                yield pd.Series(rows)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<int>")(whole_text(text))
@@ -187,15 +194,16 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
         decimal = enc.decimals.__getitem__
         for texts in batches:
             new: list[tuple[str, bytes]] = []
-            rows = []
-            for text in texts:
-                ids = enc.encode(text, new)
-                listed = ",".join(map(decimal, ids))
-                back = enc.library.decode(ids) if ids else ""
-                enc.verify_some(new, VERIFIED_AT_ONCE)
-                rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            enc.verify_some(new)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(texts):
+                rows = []
+                for text in part:
+                    ids = enc.encode(text, new)
+                    listed = ",".join(map(decimal, ids))
+                    back = enc.library.decode(ids) if ids else ""
+                    enc.verify_some(new, VERIFIED_AT_ONCE)
+                    rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+                enc.verify_some(new)
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return docs.select("doc_id", F.pandas_udf(run, DIGEST)(whole_text()).alias("d")).select("doc_id", "d.*")
@@ -211,14 +219,15 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
         enc = encoder(model_file)
         for texts in batches:
             new: list[tuple[str, bytes]] = []
-            rows = []
-            for text in texts:
-                packed = np.frombuffer(b"".join(enc.entries(text, new)), np.uint32)
-                back = enc.library.decode(packed.tolist()) if len(packed) else ""
-                enc.verify_some(new, VERIFIED_AT_ONCE)
-                rows.append((packed.astype(np.int32), len(packed), hashlib.sha256(back.encode()).hexdigest()))
-            enc.verify_some(new)
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
+            for part in slices(texts):
+                rows = []
+                for text in part:
+                    packed = np.frombuffer(b"".join(enc.entries(text, new)), np.uint32)
+                    back = enc.library.decode(packed.tolist()) if len(packed) else ""
+                    enc.verify_some(new, VERIFIED_AT_ONCE)
+                    rows.append((packed.astype(np.int32), len(packed), hashlib.sha256(back.encode()).hexdigest()))
+                enc.verify_some(new)
+                yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
