@@ -163,11 +163,12 @@ def best_hits(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, "pwm_idx").agg(best.alias("_b"), F.count(F.lit(1)).alias("n_hits"), F.sum("score").alias("total")).select(key, "pwm_idx", F.col("_b.score").alias("score"), (-F.col("_b.minus")).alias("pos"), "n_hits", "total")
 
 
-def null_positions(seqs: DataFrame, hits: DataFrame, key: str, length: int, n: int, seed: str) -> DataFrame:
-    """``n`` hashed positions of each sequence at which no motif hits."""
+def null_positions(seqs: DataFrame, hits: DataFrame, key: str, seq: str, n: int, seed: str) -> DataFrame:
+    """``n`` hashed positions of each sequence, over its own length, at which no motif hits."""
     from .scores import hash_rank
 
-    free = seqs.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("pos")).join(hits.select(key, "pos").distinct(), [key, "pos"], "left_anti")
+    last = F.length(seq).cast("long") - 1
+    free = seqs.where(last >= 0).select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pos")).join(hits.select(key, "pos").distinct(), [key, "pos"], "left_anti")
     return free.withColumn("_r", hash_rank([key], key, "pos", F.lit(seed))).where(F.col("_r") <= n).drop("_r")
 
 

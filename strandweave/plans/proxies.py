@@ -49,8 +49,8 @@ SIZES = f"SELECT concat('chr', i) AS chrom, {SIZE}::BIGINT AS size FROM range(3)
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, seq): up to 1000 bases, the window that a sequence row has by definition."""
-    return _sql(spark, d, SEQ.format(flags=""), "documents").select("doc_id", F.substring("whole", 1, 1000).alias("seq"))
+    """(doc_id, seq): the whole text as bases."""
+    return _sql(spark, d, SEQ.format(flags=""), "documents").select("doc_id", F.col("whole").alias("seq"))
 
 
 def cube(spark: SparkSession, d: str) -> DataFrame:
