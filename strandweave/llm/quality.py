@@ -4,7 +4,8 @@ Words and their punctuation and case patterns are hashed to ``SLOTS`` slots, wei
 by tf-idf (document frequencies over all documents) and projected to ``RANK``
 dimensions by a singular value decomposition of a bounded labelled sample. The
 sample's vectors are broadcast; every document is compared with all of them in
-blocks, and the nearest vote with the square of their cosine.
+blocks, and the nearest vote with the square of their cosine, weighed by how much
+rarer their class is in the sample than among all labels.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, fold, whole_text
-from .labelled import labelled_sample, texts_of
+from .labelled import labelled_sample, texts_of, usable_labels
 
 SLOTS = 1 << 16
 RANK = 48
@@ -139,6 +140,16 @@ class QualityModel:
     labels: np.ndarray
     prior: float
 
+    def __post_init__(self):
+        self.weigh()
+
+    def weigh(self) -> None:
+        """Weights that put the references' votes back to the class shares of all labels; their mean is one, and all are one where the sample has these shares."""
+        good = self.labels > 0
+        n1, n0 = int(good.sum()), int((~good).sum())
+        both = n1 > 0 and n0 > 0
+        self.vote_weights = np.where(good, self.prior / max(n1, 1), (1 - self.prior) / max(n0, 1)) * (n1 + n0) if both else np.ones(len(self.labels))
+
     def weighted(self, slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (1 + np.log(counts)) * self.idf[slots]
         norm = float(np.sqrt((values**2).sum()))
@@ -157,7 +168,7 @@ class QualityModel:
         cosines = vectors @ self.references.T
         k = min(NEIGHBOURS, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** 2
+        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** 2 * self.vote_weights[near]
         # The prior has the weight of a neighbour at cosine 0.1: it decides where nothing is near.
         return ((weights * self.labels[near]).sum(axis=1) + 0.01 * self.prior) / (weights.sum(axis=1) + 0.01)
 
@@ -176,9 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityM
             yield pd.DataFrame({"label": pdf["label"], "slots": [s.astype(np.int32) for s, _ in made], "counts": [c for _, c in made]})
 
     picked = sample.mapInPandas(featurise, "label int, slots array<int>, counts array<float>").toPandas()  # bounded by SAMPLE_A_CLASS and SLOTS
-    shares = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).agg(F.avg(F.col(target).cast("double"))).first()[0]
-    )
+    shares = usable_labels(labels, target, FOLDS, HELD_OUT).agg(F.avg(F.col("label").cast("double"))).first()[0]
     model = QualityModel(idf, np.zeros((SLOTS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5 if shares is None else float(shares))
     rows = [(np.asarray(s, np.int64), np.asarray(c, np.float32)) for s, c in zip(picked["slots"], picked["counts"], strict=True)]
     keep = [i for i, (s, _) in enumerate(rows) if len(s)]
@@ -186,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityM
         model.axes = semantic_axes([model.weighted(*rows[i]) for i in keep], RANK)
         model.references = np.array([model.vector(*rows[i]) for i in keep], np.float32)
         model.labels = picked["label"].to_numpy()[keep].astype(np.float64)
+        model.weigh()
     return model
 
 
