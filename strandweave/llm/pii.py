@@ -37,6 +37,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 WORD = re.compile(r"[a-z-]+")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -72,6 +82,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed IBANs: of each proposal its country's length where that ends a group, else all of it. What a proposal took beyond that is looked at again."""
+    m = IBAN.search(text)
+    while m:
+        ends, places = [m.end()], [i for i in range(m.start(), m.end()) if text[i] != " "]
+        n = IBAN_LENGTHS.get(m[0][:2], 0)
+        if 0 < n < len(places) and text[places[n - 1] + 1] == " ":
+            ends.insert(0, places[n - 1] + 1)
+        for end in ends:
+            if 15 <= len(code := text[m.start() : end].replace(" ", "")) <= 34 and mod97(code):
+                yield m.start(), end
+                break
+        else:
+            end = m.start() + 4
+        m = IBAN.search(text, end)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All confirmed spans of the base kinds and proposals of the added kinds that their checksum confirms."""
     found = [("email", *x) for x in emails(text)] if "@" in text else []
@@ -83,9 +110,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15]
-    for m in IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            found.append(("iban", *m.span()))
+    found += [("iban", *x) for x in ibans(text)]
     found += [("ssn", *m.span()) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     return found
 
