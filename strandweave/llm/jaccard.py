@@ -127,10 +127,10 @@ def signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
 
 
 def exact_classes(sigs: DataFrame) -> DataFrame:
-    """One row a shingle set: its least identifier, that text's hash, the number of rows and the nodes."""
+    """One row a shingle set: ``rep``, its least (uid, text_hash), the number of rows and the nodes. An identifier alone doesn't tell texts apart."""
     return sigs.groupBy("set_key").agg(
-        F.min(F.struct("uid", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes")
-    ).select("set_key", F.col("first.uid").alias("rep"), F.col("first.text_hash").alias("text_hash"), "copies", "nodes")
+        F.min(F.struct("uid", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes")
+    )
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
 
 def _links(pdf: pd.DataFrame, shingles: Shingles, threshold: Fraction) -> pd.DataFrame | None:
     """Verify one unit: all pairs within a block, or between two blocks."""
-    pdf = pdf.drop_duplicates("rep")
+    pdf = pdf.drop_duplicates(["uid", "text_hash"]).sort_values(["uid", "text_hash"])
     if len(pdf) < 2:
         return None
     sets = [shingles.of(t) for t in pdf["text"]]
@@ -173,9 +173,9 @@ def _links(pdf: pd.DataFrame, shingles: Shingles, threshold: Fraction) -> pd.Dat
     some = linked.any(axis=1)
     if not some.any():
         return None
-    reps, copies = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-    roots = _least_reachable(linked, reps)
-    return pd.DataFrame({"rep": reps, "root": roots, "links": linked @ copies, "texts": linked.sum(axis=1)})[some]
+    uids, hashes, copies = (pdf[c].to_numpy(np.int64) for c in ("uid", "text_hash", "copies"))
+    roots = _least_reachable(linked, np.arange(len(pdf)))  # rows are in order
+    return pd.DataFrame({"uid": uids, "text_hash": hashes, "root_uid": uids[roots], "root_hash": hashes[roots], "links": linked @ copies, "texts": linked.sum(axis=1)})[some]
 
 
 def _least_reachable(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -204,7 +204,8 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int,
         groups.join(sizes, "component")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-        .join(classes.select(F.col("rep").alias("node"), "text_hash", "copies"), "node")
+        .join(classes.select(F.col("rep").alias("node"), "copies"), "node")
+        .select("node.uid", "node.text_hash", F.col("component.uid").alias("group_uid"), F.col("component.text_hash").alias("group_hash"), "blocks", "block", "copies")
     )
     units = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -212,15 +213,15 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int,
     )
     rows = (
         _with_ids(docs)
-        .join(members.withColumnRenamed("node", "uid"), ["uid", "text_hash"])
-        .select(F.col("uid").alias("rep"), "component", "block", "copies", "text", F.explode(units).alias("unit"))
-        .select("component", "unit.i", "unit.j", "block", "rep", "copies", "text")
+        .join(members, ["uid", "text_hash"])
+        .select("uid", "text_hash", "group_uid", "group_hash", "block", "copies", "text", F.explode(units).alias("unit"))
+        .select("group_uid", "group_hash", "unit.i", "unit.j", "block", "uid", "text_hash", "copies", "text")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, held, key = Shingles(words), [], None
         for pdf in batches:
-            for k, part in pdf.groupby(["component", "i", "j"], sort=False):
+            for k, part in pdf.groupby(["group_uid", "group_hash", "i", "j"], sort=False):
                 if k != key:
                     if held and (out := _links(pd.concat(held), shingles, threshold)) is not None:
                         yield out
@@ -230,22 +231,14 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int,
             yield out
 
     n = shuffle_partitions(docs.sparkSession)
-    spread = rows.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return spread.mapInPandas(run, "rep long, root long, links long, texts long")
-
+    spread = rows.repartition(n, "group_uid", "group_hash", "i", "j").sortWithinPartitions("group_uid", "group_hash", "i", "j")
+    found = spread.mapInPandas(run, "uid long, text_hash long, root_uid long, root_hash long, links long, texts long")
+    root = F.struct(F.col("root_uid").alias("uid"), F.col("root_hash").alias("text_hash"))
+    return found.select(F.struct("uid", "text_hash").alias("rep"), root.alias("root"), "links", "texts")
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row a document: doc_id, uid, class_id, exact_id, n_links, n_linked_texts, keep.
 
-    Two documents are linked if the Jaccard index of their word shingles is at least the
-    threshold. ``class_id`` is the least identifier reachable through links, ``exact_id``
-    the least one with the same shingle set, ``n_links`` the number of other rows linked
-    (copies included), ``n_linked_texts`` that of other shingle sets, ``keep`` true for
-    the row that stands for its class. Texts without words (null ones too) form one
-    exact class; a null doc_id gets a number from 2^62 on, as ``uid`` shows. Repeated rows
-    are copies and each gets a row. An empty table stays empty; other columns are
-    dropped.
-    """
+def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall: float) -> DataFrame:
+    """The columns of near_duplicates and text_hash, which tells rows that share an identifier apart."""
     depth = matched_depth(float(threshold), target_recall)
     sigs = stored(signatures(docs, words, depth), "signatures")
     classes = stored(exact_classes(sigs), "classes")
@@ -259,22 +252,41 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
         .join(linked, "rep", "left")
         .select(
             "set_key",
-            F.col("rep").alias("exact_id"),
-            F.coalesce("component", "rep").alias("class_id"),
+            F.col("rep.uid").alias("exact_id"),
+            F.coalesce("component", "rep").alias("head"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         )
     )
-    return sigs.select("uid", "set_key").join(table, "set_key").select(
-        F.when(F.col("uid") < NULL_IDS, F.col("uid")).alias("doc_id"), "uid", "class_id", "exact_id", "n_links", "n_linked_texts", (F.col("uid") == F.col("class_id")).alias("keep")
+    return sigs.select("uid", "text_hash", "set_key").join(table, "set_key").select(
+        F.when(F.col("uid") < NULL_IDS, F.col("uid")).alias("doc_id"), "uid", "text_hash", F.col("head.uid").alias("class_id"), "exact_id", "n_links", "n_linked_texts",
+        ((F.col("uid") == F.col("head.uid")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("keep"),
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class of near-duplicates, with its columns: the one with the least identifier, once."""
-    kept = near_duplicates(docs, **options).where("keep").select("uid").distinct()
-    rows = docs.select(F.struct("*").alias("row"), identifier(docs).alias("uid")).join(kept, "uid", "left_semi")
-    ids = docs.select(identifier(docs).alias("uid"))
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """One row a document: doc_id, uid, class_id, exact_id, n_links, n_linked_texts, keep.
+
+    Two documents are linked if the Jaccard index of their word shingles is at least the
+    threshold. ``class_id`` is the least identifier reachable through links, ``exact_id``
+    the least one with the same shingle set, ``n_links`` the number of other rows linked
+    (copies included), ``n_linked_texts`` that of other shingle sets, ``keep`` true for
+    the row that stands for its class. Texts without words (null ones too) form one
+    exact class; a null doc_id gets a number from 2^62 on, as ``uid`` shows. Repeated rows
+    are copies and each gets a row; rows that share a doc_id but not a text are told apart
+    by their texts, so several of them can lead classes. An empty table stays empty; other columns are
+    dropped.
+    """
+    return _decisions(docs, words, threshold, target_recall).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """One document of each class of near-duplicates, with its columns: the one with the least identifier (and text hash), once."""
+    key = ["uid", "text_hash"]
+    kept = _decisions(docs, words, threshold, target_recall).where("keep").select(*key).distinct()
+    keys = [identifier(docs).alias("uid"), F.xxhash64(whole_text()).alias("text_hash")]
+    rows = docs.select(F.struct("*").alias("row"), *keys).join(kept, key, "left_semi")
+    ids = docs.select(*keys)
     if ids.count() != ids.distinct().count():
-        rows = rows.dropDuplicates(["uid"])  # repeated rows only
+        rows = rows.dropDuplicates(key)  # repeated rows only
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
