@@ -1,10 +1,10 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Texts with equal sets of word shingles form one exact class and are represented by
-one text. Each representative gets ``TREES`` MinHash strings; all strings of a tree
-are a trie. Two texts are candidates if they share a trie node at the matched depth
-in some tree: the depth is shortened from ``MAX_DEPTH`` until the recall predicted at
-the threshold reaches the target. Candidates that hang together form groups; a group
+one text. Each representative gets ``TREES`` MinHash strings. Two texts are candidates
+if their strings share a prefix of the matched depth in some tree. The depth is fixed
+before any data is seen, the longest up to ``MAX_DEPTH`` whose recall predicted at the
+threshold reaches the target, so this is banding with one band a tree. Candidates that hang together form groups; a group
 is cut into blocks, and each pair of blocks is verified exactly in one place, which
 yields counts and a spanning forest, never the pairs themselves.
 """
@@ -38,6 +38,8 @@ def matched_depth(threshold: float, target: float = TARGET_RECALL, trees: int =
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
+    if 1 - (1 - threshold**depth) ** trees < target:
+        raise ValueError(f"{trees} trees can't reach a recall of {target} at a threshold of {threshold}")
     return depth
 
 
