@@ -1,12 +1,18 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Texts with equal sets of word shingles form one exact class and are represented by
-one text. Each representative gets ``TREES`` MinHash strings. Two texts are candidates
-if their strings share a prefix of the matched depth in some tree. The depth is fixed
-before any data is seen, the longest up to ``MAX_DEPTH`` whose recall predicted at the
-threshold reaches the target, so this is banding with one band a tree. Candidates that hang together form groups; a group
-is cut into blocks, and each pair of blocks is verified exactly in one place, which
-yields counts and a spanning forest, never the pairs themselves.
+one text. Each representative gets ``TREES`` labels of ``DEEPEST`` MinHash values, which
+are its paths in as many prefix tries. The matched prefix starts at the whole label and
+is shortened value by value until the recall of a pair at the threshold, predicted and
+measured on a bounded sample of the corpus's own shingle sets, reaches the target. The
+recall that counts is that of a pair at the threshold, so all texts stop at one depth.
+
+Texts below one trie node are candidates. Candidates that hang together are laid out in
+the sorted order of the first trie's whole labels, so that long common prefixes lie side
+by side, and cut into blocks of equal size. A text is compared with its own block and
+with the blocks that one of its trie nodes reaches, so a long chain of texts costs what
+its links cost. Each pair of blocks is verified exactly in one place, which yields counts
+and a spanning forest, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, shuffle_partitions, stored, whole_text
@@ -25,22 +31,37 @@ from .components import components
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
-TREES, MAX_DEPTH = 48, 12
+TREES, DEEPEST = 48, 10
+#: Bytes of a MinHash value in a label. Cut values only add candidates.
+VALUE = 2
 TARGET_RECALL = 0.9998
 #: Texts in a block; a unit of verification holds two blocks at most.
 BLOCK = 384
+#: The recall is measured on at most so many shingle sets, of so many shingles at least and at most, each beside so many sets at the threshold.
+SAMPLE, SAMPLE_SHINGLES, PARTNERS = 256, (90, 4096), 8
+#: A node that several blocks share is looked up under so many keys, so a hot one spreads.
+SALTS = 16
 #: Null identifiers get numbers from here on, fixed by their texts.
 NULL_IDS = 1 << 62
 
 
-def matched_depth(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = MAX_DEPTH) -> int:
-    """The longest prefix at which two texts as alike as the threshold share a node in some tree with the target chance."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    if 1 - (1 - threshold**depth) ** trees < target:
-        raise ValueError(f"{trees} trees can't reach a recall of {target} at a threshold of {threshold}")
-    return depth
+def predicted_recall(agreement: float, trees: int = TREES) -> float:
+    """The chance that two texts meet in some tree if one tree's prefixes agree with this chance."""
+    return 1 - (1 - agreement) ** trees
+
+
+def matched_depth(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = DEEPEST, agreement: list[float] | None = None) -> int:
+    """Shorten the prefix from ``deepest`` values until the target recall is reached.
+
+    ``agreement`` has for each depth from 1 on the measured share of trees in which two
+    texts at the threshold agree; without it, and where it is the better of the two,
+    the recall is that of the threshold alone.
+    """
+    for depth in range(deepest, 0, -1):
+        chance = threshold**depth if agreement is None else min(threshold**depth, agreement[depth - 1])
+        if predicted_recall(chance, trees) >= target:
+            return depth
+    raise ValueError(f"{trees} trees can't reach a recall of {target} at a threshold of {threshold}")
 
 
 class Shingles:
@@ -76,27 +97,30 @@ class Shingles:
 
 
 class Forest:
-    """The trie nodes of a shingle set: one 64-bit number for each tree, made from the tree's first ``depth`` MinHash values."""
+    """The labels of a shingle set: for each tree ``deepest`` MinHash values, cut to ``VALUE`` big-endian bytes each."""
 
-    def __init__(self, depth: int, trees: int = TREES):
+    def __init__(self, deepest: int = DEEPEST, trees: int = TREES):
         rng = np.random.default_rng(11)
-        self.depth, self.trees = depth, trees
-        self.xors = rng.integers(0, 1 << 32, (trees * depth, 1), np.uint32)
-        self.factors = rng.integers(0, 1 << 31, (trees * depth, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-        self.mixers = rng.integers(0, 1 << 63, (trees, depth), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.seeds = rng.integers(0, 1 << 63, trees, np.uint64)
+        self.deepest, self.trees = deepest, trees
+        self.xors = rng.integers(0, 1 << 32, (trees * deepest, 1), np.uint32)
+        self.factors = rng.integers(0, 1 << 31, (trees * deepest, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def nodes(self, shingles: np.ndarray) -> np.ndarray:
+    def values(self, shingles: np.ndarray) -> np.ndarray:
+        """trees x deepest numbers."""
         short = (shingles >> np.uint64(32)).astype(np.uint32)
-        least = np.full(self.trees * self.depth, 0xFFFFFFFF, np.uint32)
+        least = np.full(self.trees * self.deepest, 0xFFFFFFFF, np.uint32)
         for a in range(0, len(short), 512):
             part = (short[None, a : a + 512] ^ self.xors) * self.factors
             np.minimum(least, part.min(axis=1), out=least)
+        # The least of many numbers begins with zeros: it is mixed before it is cut.
         with np.errstate(over="ignore"):
-            out = (least.reshape(self.trees, self.depth).astype(np.uint64) * self.mixers).sum(axis=1) + self.seeds
-            out ^= out >> np.uint64(31)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out.view(np.int64)
+            least *= np.uint32(0x9E3779B1)
+            least ^= least >> np.uint32(15)
+            least *= np.uint32(0x85EBCA77)
+        return (least >> np.uint32(16)).astype(">u2").reshape(self.trees, self.deepest)
+
+    def labels(self, shingles: np.ndarray) -> bytes:
+        return self.values(shingles).tobytes()
 
 
 def identifier(docs: DataFrame) -> Column:
@@ -107,44 +131,91 @@ def _with_ids(docs: DataFrame) -> DataFrame:
     return docs.select(identifier(docs).alias("uid"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
 
 
-def signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
-    """(uid, text_hash, n_shingles, set_key, nodes) of each row; set_key is a 128-bit hash of the shingle set."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(uid, text_hash, n_shingles, set_key, labels) of each row; set_key is a 128-bit hash of the shingle set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, forest = Shingles(words), Forest(depth)
-        last_key, last_nodes = None, None
+        shingles, forest = Shingles(words), Forest()
+        last_key, last_labels = None, None
         for pdf in batches:
-            n, keys, nodes = [], [], []
+            n, keys, labels = [], [], []
             for text in pdf["text"]:
                 found = shingles.of(text)
                 key = xxhash.xxh128_digest(found.tobytes())
                 if key != last_key:
-                    last_key, last_nodes = key, forest.nodes(found) if len(found) else np.zeros(0, np.int64)
+                    last_key, last_labels = key, forest.labels(found) if len(found) else b""
                 n.append(len(found))
                 keys.append(key)
-                nodes.append(last_nodes)
-            yield pd.DataFrame({"uid": pdf["uid"], "text_hash": pdf["text_hash"], "n_shingles": n, "set_key": keys, "nodes": nodes})
+                labels.append(last_labels)
+            yield pd.DataFrame({"uid": pdf["uid"], "text_hash": pdf["text_hash"], "n_shingles": n, "set_key": keys, "labels": labels})
 
-    return _with_ids(docs).mapInPandas(run, "uid long, text_hash long, n_shingles int, set_key binary, nodes array<long>")
+    return _with_ids(docs).mapInPandas(run, "uid long, text_hash long, n_shingles int, set_key binary, labels binary")
 
 
 def exact_classes(sigs: DataFrame) -> DataFrame:
-    """One row a shingle set: ``rep``, its least (uid, text_hash), the number of rows and the nodes. An identifier alone doesn't tell texts apart."""
+    """One row a shingle set: ``rep``, its least (uid, text_hash), the number of rows, of shingles and the labels. An identifier alone doesn't tell texts apart."""
     return sigs.groupBy("set_key").agg(
-        F.min(F.struct("uid", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes")
+        F.min(F.struct("uid", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")
     )
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, component) of the representatives that share a trie node with another."""
-    nodes = classes.select("rep", F.explode("nodes").alias("trie_node"))
-    heads = nodes.groupBy("trie_node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return components(nodes.join(heads, "trie_node").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")))
+def measured_agreement(docs: DataFrame, classes: DataFrame, words: int, threshold: Fraction) -> list[float] | None:
+    """For each depth the share of trees in which a sampled set and a set at the threshold agree; None if no text is long enough to sample."""
+    least, most = SAMPLE_SHINGLES
+    picked = classes.where(F.col("n_shingles").between(least, most)).orderBy("set_key").limit(SAMPLE).select("rep.*")
+    texts = _with_ids(docs).join(F.broadcast(picked), ["uid", "text_hash"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, forest = Shingles(words), Forest()
+        for pdf in batches:
+            agree = np.zeros(DEEPEST, np.int64)
+            for text in pdf["text"]:
+                mine = shingles.of(text)
+                keep = -(-2 * len(mine) * threshold.numerator // (threshold.numerator + threshold.denominator))
+                here, rng = forest.values(mine), np.random.default_rng(mine[:8])
+                for _ in range(PARTNERS):
+                    other = np.r_[rng.permutation(mine)[:keep], rng.integers(0, 1 << 63, len(mine) - keep, np.uint64) * np.uint64(2)]
+                    agree += np.logical_and.accumulate(here == forest.values(other), axis=1).sum(axis=0)
+            yield pd.DataFrame({"depth": np.arange(DEEPEST), "agree": agree, "n": len(pdf) * PARTNERS * TREES})
+
+    # DEEPEST rows.
+    sums = texts.mapInPandas(run, "depth int, agree long, n long").groupBy("depth").agg(F.sum("agree").alias("agree"), F.sum("n").alias("n")).collect()
+    shares = {r.depth: r.agree / r.n for r in sums if r.n}
+    return [shares[i] for i in range(DEEPEST)] if shares else None
+
+
+def matched_nodes(classes: DataFrame, depth: int) -> DataFrame:
+    """(rep, trie_node, first): each representative's nodes at this depth that it shares with another, and the least representative below each."""
+    prefix = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.xxhash64(t, F.substr("labels", t * (DEEPEST * VALUE) + 1, F.lit(depth * VALUE))),
+    )
+    nodes = classes.where("n_shingles > 0").select("rep", F.explode(prefix).alias("trie_node"))
+    below = Window.partitionBy("trie_node")
+    return nodes.select("rep", "trie_node", F.min("rep").over(below).alias("first"), F.count(F.lit(1)).over(below).alias("n")).where("n > 1").drop("n")
+
+
+def block_layout(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, component, copies, block): the members of all groups, sorted by group and the first trie's whole label, BLOCK by BLOCK."""
+    members = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "copies", F.substr("labels", F.lit(1), F.lit(DEEPEST * VALUE)).alias("label")), "rep")
+    order = ["component", "label", "rep"]
+    laid = members.repartitionByRange(shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
+    return laid.select("rep", "component", "copies", F.monotonically_increasing_id().alias("at")).withColumn("block", F.expr(f"at div {BLOCK}")).drop("at")
+
+
+def reached_blocks(nodes: DataFrame, layout: DataFrame) -> DataFrame:
+    """(rep, others): the blocks besides its own that a representative's trie nodes reach. Most nodes lie within a block and drop out."""
+    placed = nodes.select("rep", "trie_node").join(layout.select("rep", "block"), "rep")
+    several = placed.groupBy("trie_node").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 1)
+    salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    found = keyed.join(salted, ["trie_node", "salt"]).groupBy("rep", "block").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("others"))
+    return found.select("rep", F.array_remove("others", F.col("block")).alias("others"))
 
 
 def _links(pdf: pd.DataFrame, shingles: Shingles, threshold: Fraction) -> pd.DataFrame | None:
-    """Verify one unit: all pairs within a block, or between two blocks."""
-    pdf = pdf.drop_duplicates(["uid", "text_hash"]).sort_values(["uid", "text_hash"])
+    """Verify the texts of one group in one unit: all pairs within a block, or between two blocks."""
+    pdf = pdf.sort_values(["uid", "text_hash"])
     if len(pdf) < 2:
         return None
     sets = [shingles.of(t) for t in pdf["text"]]
@@ -161,15 +232,14 @@ def _links(pdf: pd.DataFrame, shingles: Shingles, threshold: Fraction) -> pd.Dat
         rows, columns = rows[order], columns[order]
         for a in range(0, int(columns[-1]) + 1, 4096):
             lo, hi = np.searchsorted(columns, [a, a + 4096])
-            part = np.zeros((len(sets), 4096), np.float32)
+            part = np.zeros((len(sets), min(4096, int(columns[-1]) + 1 - a)), np.float32)
             part[rows[lo:hi], columns[lo:hi] - a] = 1
             common += part @ part.T
     both = common.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - both
     linked = both * threshold.denominator >= union * threshold.numerator
     np.fill_diagonal(linked, False)
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    if i != j:
+    if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
         block = pdf["block"].to_numpy()
         linked &= block[:, None] != block[None, :]
     some = linked.any(axis=1)
@@ -198,54 +268,68 @@ def _least_reachable(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+KEY = ["uid", "text_hash"]
+
+
+def often_repeated(sigs: DataFrame) -> DataFrame | None:
+    """(uid, text_hash) of rows that are there so often that they would crowd a task: at most a thousand. None if there are none."""
+    limit = max(1000, sigs.count() // 1000)
+    hot = stored(sigs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*KEY), "often")
+    return F.broadcast(hot) if hot.head(1) else None
+
+
+def joined_once(rows: DataFrame, members: DataFrame, hot: DataFrame | None, value: str) -> DataFrame:
+    """The members (unique by KEY) with ``value`` of a row; rows equal in KEY are equal. Often repeated rows meet map side first, beside a broadcast of their members."""
+    cold_rows, cold = (rows, members) if hot is None else (rows.join(hot, KEY, "left_anti"), members.join(hot, KEY, "left_anti"))
+    rest = [c for c in members.columns if c not in KEY]
+    once = [*[F.first(c).alias(c) for c in rest], F.first(value).alias(value)]
+    out = cold_rows.join(cold, KEY).groupBy(*KEY).agg(*once)
+    if hot is None:
+        return out
+    return out.unionByName(rows.join(F.broadcast(members.join(hot, KEY)), KEY).groupBy(*KEY).agg(*once))
+
+
+def verified(docs: DataFrame, layout: DataFrame, reached: DataFrame, hot: DataFrame | None, words: int, threshold: Fraction) -> DataFrame:
     """(rep, root, links, texts): per unit, of each representative with a link the least one it is linked with, the number of rows and of texts."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = (
-        groups.join(sizes, "component")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-        .join(classes.select(F.col("rep").alias("node"), "copies"), "node")
-        .select("node.uid", "node.text_hash", F.col("component.uid").alias("group_uid"), F.col("component.text_hash").alias("group_hash"), "blocks", "block", "copies")
-    )
-    units = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(F.col("block"), k).cast("int").alias("i"), F.greatest(F.col("block"), k).cast("int").alias("j")),
-    )
-    rows = (
-        _with_ids(docs)
-        .join(members, ["uid", "text_hash"])
-        .select("uid", "text_hash", "group_uid", "group_hash", "block", "copies", "text", F.explode(units).alias("unit"))
-        .select("group_uid", "group_hash", "unit.i", "unit.j", "block", "uid", "text_hash", "copies", "text")
+    members = layout.join(reached, "rep", "left").select(
+        "rep.*", F.col("component.uid").alias("group_uid"), F.col("component.text_hash").alias("group_hash"), "block", "copies",
+        F.concat(F.array("block"), F.coalesce("others", F.array().cast("array<bigint>"))).alias("meets"),
+    )
+    texts = joined_once(_with_ids(docs), members, hot, "text")
+    rows = texts.select(*KEY, "group_uid", "group_hash", "block", "copies", "text", F.explode("meets").alias("meet")).select(
+        F.least("block", "meet").alias("i"), F.greatest("block", "meet").alias("j"), "group_uid", "group_hash", "block", *KEY, "copies", "text"
     )
 
+    unit = ["i", "j", "group_uid", "group_hash"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, held, key = Shingles(words), [], None
+        shingles, held, at = Shingles(words), [], None
         for pdf in batches:
-            for k, part in pdf.groupby(["group_uid", "group_hash", "i", "j"], sort=False):
-                if k != key:
+            for k, part in pdf.groupby(unit, sort=False):
+                if k != at:
                     if held and (out := _links(pd.concat(held), shingles, threshold)) is not None:
                         yield out
-                    held, key = [], k
+                    held, at = [], k
                 held.append(part)
         if held and (out := _links(pd.concat(held), shingles, threshold)) is not None:
             yield out
 
-    n = shuffle_partitions(docs.sparkSession)
-    spread = rows.repartition(n, "group_uid", "group_hash", "i", "j").sortWithinPartitions("group_uid", "group_hash", "i", "j")
+    spread = rows.repartition(shuffle_partitions(docs.sparkSession), *unit).sortWithinPartitions(*unit)
     found = spread.mapInPandas(run, "uid long, text_hash long, root_uid long, root_hash long, links long, texts long")
     root = F.struct(F.col("root_uid").alias("uid"), F.col("root_hash").alias("text_hash"))
     return found.select(F.struct("uid", "text_hash").alias("rep"), root.alias("root"), "links", "texts")
 
 
-def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall: float) -> DataFrame:
-    """The columns of near_duplicates and text_hash, which tells rows that share an identifier apart."""
-    depth = matched_depth(float(threshold), target_recall)
-    sigs = stored(signatures(docs, words, depth), "signatures")
+def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall: float) -> tuple[DataFrame, DataFrame | None]:
+    """The columns of near_duplicates and text_hash, which tells rows that share an identifier apart; and what often_repeated finds."""
+    sigs = stored(signatures(docs, words), "signatures")
+    hot = often_repeated(sigs)
     classes = stored(exact_classes(sigs), "classes")
-    groups = stored(candidate_groups(classes), "groups")
-    found = stored(verified(docs, classes, groups, words, threshold), "links")
+    depth = matched_depth(float(threshold), target_recall, agreement=measured_agreement(docs, classes, words, threshold))
+    nodes = stored(matched_nodes(classes, depth), "nodes")
+    groups = components(nodes.where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
+    layout = stored(block_layout(classes, groups), "layout")
+    found = stored(verified(docs, layout, reached_blocks(nodes, layout), hot, words, threshold), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     linked = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
     table = (
@@ -260,35 +344,39 @@ def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall:
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         )
     )
-    return sigs.select("uid", "text_hash", "set_key").join(table, "set_key").select(
-        F.when(F.col("uid") < NULL_IDS, F.col("uid")).alias("doc_id"), "uid", "text_hash", F.col("head.uid").alias("class_id"), "exact_id", "n_links", "n_linked_texts",
+    decided = sigs.select("uid", "text_hash", "set_key").join(table, "set_key").select(
+        F.when(F.col("uid") < NULL_IDS, F.col("uid")).alias("doc_id"), "uid", "text_hash", F.col("head.uid").alias("class_id"),
+        F.concat_ws(":", F.hex("head.uid"), F.hex("head.text_hash")).alias("class_key"), "exact_id", "n_links", "n_linked_texts",
         ((F.col("uid") == F.col("head.uid")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("keep"),
     )
+    return decided, hot
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row a document: doc_id, uid, class_id, exact_id, n_links, n_linked_texts, keep.
+    """One row a document: doc_id, uid, class_id, class_key, exact_id, n_links, n_linked_texts, keep.
 
     Two documents are linked if the Jaccard index of their word shingles is at least the
-    threshold. ``class_id`` is the least identifier reachable through links, ``exact_id``
+    threshold. ``class_id`` is the least identifier reachable through links, ``class_key``
+    tells classes apart whose least documents share an identifier, ``exact_id`` is
     the least one with the same shingle set, ``n_links`` the number of other rows linked
     (copies included), ``n_linked_texts`` that of other shingle sets, ``keep`` true for
     the row that stands for its class. Texts without words (null ones too) form one
     exact class; a null doc_id gets a number from 2^62 on, as ``uid`` shows. Repeated rows
     are copies and each gets a row; rows that share a doc_id but not a text are told apart
-    by their texts, so several of them can lead classes. An empty table stays empty; other columns are
-    dropped.
+    by their texts, so several of them can lead classes. Texts of any length are read
+    whole; ties in the order of texts don't change results. An empty table stays empty;
+    other columns are dropped.
     """
-    return _decisions(docs, words, threshold, target_recall).drop("text_hash")
+    return _decisions(docs, words, threshold, target_recall)[0].drop("text_hash")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One document of each class of near-duplicates, with its columns: the one with the least identifier (and text hash), once."""
-    key = ["uid", "text_hash"]
-    kept = _decisions(docs, words, threshold, target_recall).where("keep").select(*key).distinct()
-    keys = [identifier(docs).alias("uid"), F.xxhash64(whole_text()).alias("text_hash")]
-    rows = docs.select(F.struct("*").alias("row"), *keys).join(kept, key, "left_semi")
-    ids = docs.select(*keys)
-    if ids.count() != ids.distinct().count():
-        rows = rows.dropDuplicates(key)  # repeated rows only
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """One document of each class of near-duplicates, with its columns: the one with the least identifier (and text hash), once. Cases as in near_duplicates."""
+    decided, hot = _decisions(docs, words, threshold, target_recall)
+    kept = stored(decided.where("keep").groupBy(*KEY).agg(F.count(F.lit(1)).alias("times")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), identifier(docs).alias("uid"), F.xxhash64(whole_text()).alias("text_hash"))
+    single, several = kept.where("times = 1").select(*KEY), kept.where("times > 1").select(*KEY)
+    out = rows.join(single, KEY, "left_semi").select("row")
+    if several.head(1):  # rows equal in both are copies of one text
+        out = out.unionByName(joined_once(rows, several, hot, "row").select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

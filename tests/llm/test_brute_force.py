@@ -60,11 +60,11 @@ def test_jaccard_join_loses_no_link(spark):
 
 def test_forest_recall_at_the_threshold():
     rng = np.random.default_rng(3)
-    forest = jaccard.Forest(jaccard.matched_depth(0.8))
+    forest, depth = jaccard.Forest(), jaccard.matched_depth(0.8)
     met = 0
     for _ in range(150):
         common, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (160, 20, 20))  # 160 of 200: exactly 0.8
-        met += bool((forest.nodes(np.unique(np.r_[common, a])) == forest.nodes(np.unique(np.r_[common, b]))).any())
+        met += bool((forest.values(np.unique(np.r_[common, a])) == forest.values(np.unique(np.r_[common, b])))[:, :depth].all(axis=1).any())
     assert met >= 149
 
 

@@ -1,4 +1,6 @@
-"""A recall that the trees can't reach is an error."""
+"""The matched prefix is shortened by prediction and measurement; a recall that the trees can't reach is an error."""
+
+import random
 
 import pytest
 
@@ -9,3 +11,38 @@ def test_depth_or_error():
     assert jaccard.matched_depth(0.8) == 8
     with pytest.raises(ValueError, match="recall"):
         jaccard.matched_depth(0.1)
+
+
+def test_measurement_shortens_the_prefix():
+    s = 0.8
+    as_predicted = [s**d for d in range(1, jaccard.DEEPEST + 1)]
+    assert jaccard.matched_depth(s, agreement=as_predicted) == 8
+    assert jaccard.matched_depth(s, agreement=[a * 0.8 for a in as_predicted]) == 7
+    assert jaccard.matched_depth(s, 0.95) == jaccard.DEEPEST
+
+
+def test_agreement_on_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    classes = jaccard.exact_classes(jaccard.signatures(docs, jaccard.WORDS))
+    found = jaccard.measured_agreement(docs, classes, jaccard.WORDS, jaccard.THRESHOLD)
+    assert len(found) == jaccard.DEEPEST and all(abs(found[d - 1] - 0.8**d) < 0.03 for d in range(1, jaccard.DEEPEST + 1))
+    short = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert jaccard.measured_agreement(short, jaccard.exact_classes(jaccard.signatures(short, 5)), 5, jaccard.THRESHOLD) is None
+
+
+def test_a_long_chain_costs_what_its_links_cost(spark):
+    """Texts that overlap with their neighbours only: one group, but each text is compared with few blocks."""
+    r = random.Random(2)
+    words = [f"w{r.randrange(10**7)}" for _ in range(100 + 6 * 3000)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 100])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = jaccard.stored(jaccard.exact_classes(jaccard.signatures(docs, 5)), "t")
+    nodes = jaccard.stored(jaccard.matched_nodes(classes, jaccard.matched_depth(0.8)), "t")
+    groups = jaccard.components(nodes.where("rep <> first").selectExpr("rep AS u", "first AS v"))
+    layout = jaccard.stored(jaccard.block_layout(classes, groups), "t")
+    assert layout.select("component").distinct().count() <= 3
+    met = [len(x.others) for x in jaccard.reached_blocks(nodes, layout).collect()]
+    assert layout.select("block").distinct().count() >= 8 and sum(met) <= 8 * len(rows)
+    got = {x.doc_id: x for x in jaccard.near_duplicates(docs).collect()}
+    # 90 of 102 shingles are shared with the next text, 84 of 108 with the one after it.
+    assert all(got[i].n_links == (1 if i in (0, 2999) else 2) and got[i].class_id == 0 for i in range(3000))

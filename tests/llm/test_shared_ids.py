@@ -24,3 +24,27 @@ def test_texts_under_one_id(spark):
     links = Counter(x.n_links for x in jaccard.near_duplicates(docs).collect())
     # hot[0] twice with one near text; nine pairs; two exact pairs; eighteen and ten alone.
     assert links == Counter({2: 3, 1: 18 + 4, 0: 18 + 10})
+
+
+def test_rows_repeated_very_often(spark, monkeypatch):
+    r = random.Random(4)
+    same, near = text_of(r), text_of(r)
+    rows = [(1, same)] * 1500 + [(1, same + " tail"), (2, near), (3, near + " tail"), (4, text_of(r))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.text for x in jaccard.one_of_each(docs).collect()) == sorted([same if jaccard_head(docs, 1) else same + " tail", near, rows[-1][1]])
+    links = Counter(x.n_links for x in jaccard.near_duplicates(docs).collect())
+    assert links == Counter({1500: 1501, 1: 2, 0: 1})
+
+
+def jaccard_head(docs, doc_id):
+    """Whether the repeated text, not the near one, leads the class: the order of equal identifiers is that of their text hashes."""
+    hashes = docs.where(f"doc_id = {doc_id}").selectExpr("text LIKE '% tail' AS near", "xxhash64(text) AS h").distinct().orderBy("h").first()
+    return not hashes.near
+
+
+def test_two_texts_in_two_classes_under_one_id(spark):
+    r = random.Random(9)
+    a, b = text_of(r), text_of(r)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    out = jaccard.near_duplicates(docs).collect()
+    assert len({x.class_key for x in out}) == 2 and sorted(x.text for x in jaccard.one_of_each(docs).collect()) == sorted([a, b])
