@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (as in
-    tests on one machine) a fresh temporary folder is taken and remembered.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and driver and
+    executors are one process (local mode) a fresh temporary folder is taken and
+    remembered; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row a key. Keys with more than a thousandth of all rows (a thousand keys at most) are broadcast, so none crowds a task."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    limit = max(1000, rows.count() // 1000)
+    hot = stored(counts.where(F.col("_n") > limit).select(key), "hot-keys")
+    if not hot.head(1):
+        return rows.join(keyed, key)
+    hot = F.broadcast(hot)
+    few = F.broadcast(keyed.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(keyed, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,7 +71,10 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 class BoundedCache:
-    """Two dicts of at most ``limit`` entries each; when the newer is full, the older goes. Memory stays bounded, results don't change."""
+    """Two dicts of at most ``limit`` entries each, with keys of at most LONGEST characters; when the newer is full, the older goes. Memory stays bounded, results don't change."""
+
+    #: Longer words aren't kept.
+    LONGEST = 64
 
     def __init__(self, limit: int = 100_000):
         self.limit, self.newer, self.older = limit, {}, {}
@@ -66,7 +85,9 @@ class BoundedCache:
             self.keep(key, value)
         return value
 
-    def keep(self, key, value) -> None:
+    def keep(self, key: str, value) -> None:
+        if len(key) > self.LONGEST:
+            return
         if len(self.newer) >= self.limit:
             self.older, self.newer = self.newer, {}
         self.newer[key] = value

@@ -2,8 +2,9 @@
 
 A text's bytes, padded with zeros to a positive multiple of 64, become the samples of
 an 8-bit grey PNG of 64 columns. Each writing task stores a payload once, whatever
-the number of copies it meets; rows carry digest, shard, offset and length. Of the
-copies that different tasks stored, the index keeps one.
+the number of copies it meets. Of the copies that different tasks stored, the index
+keeps one, and every row carries that one's digest, shard, offset and length. Metadata
+columns come from range reads of the headers alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import fresh_path, shuffle_partitions, stored, whole_text
+from .common import fresh_path, join_spread, shuffle_partitions, stored, whole_text
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
@@ -147,18 +148,17 @@ def header_columns(index: DataFrame) -> DataFrame:
 
 
 def _features(file, at: int, length: int) -> tuple:
-    width, height, bits = read_header(files.read_range(file, at, HEADER_BYTES))
     stored_form = files.read_range(file, at, length)
     payload = decode_png(stored_form)
     return (
-        width, height, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored_form),
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored_form),
         hashlib.sha256(stored_form).hexdigest(), feature_of(np.frombuffer(payload, np.uint8)),
     )
 
 
 def media_features(index: DataFrame) -> DataFrame:
-    """Header columns, and what the whole payload gives: digests of payload and stored form, feature."""
-    added = "width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Add what the whole payload gives: digests of payload and stored form, feature."""
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _read(index, added, _features)
 
 
@@ -175,16 +175,21 @@ def _read(index: DataFrame, added: str, read_one) -> DataFrame:
                 rows.append(read_one(file, int(x.at), int(x.length)))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    # Places, not media, are shuffled; the image bytes are read where they are wanted.
+    # Places, not media, are shuffled; the bytes are read where they are wanted.
     part = F.floor(F.col("at") / F.lit(16 << 20))
     spread = index.repartition(shuffle_partitions(index.sparkSession), "shard", part).sortWithinPartitions("shard", "at")
-    return spread.mapInPandas(read, f"digest string, shard string, at long, length long, {added}")
+    return spread.mapInPandas(read, f"{', '.join(f'{c} {t}' for c, t in index.dtypes)}, {added}")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store, index, read back and describe every document."""
+    """Store, index, fill the metadata from headers, read payloads back and describe every document.
+
+    Null texts count as empty (a payload of 64 zeros), repeated rows give repeated
+    results and equal texts one place, texts of any length are stored whole, an empty
+    table stays empty; other columns are dropped.
+    """
     rows = store_media(docs)
-    features = media_features(index_of(rows))
-    return rows.select("doc_id", "n_bytes", "digest").join(features, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits"
+    features = media_features(header_columns(index_of(rows)))
+    return join_spread(rows.select("doc_id", "n_bytes", "digest"), features, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", F.col("at").alias("offset"), "length"
     )

@@ -52,7 +52,7 @@ class TextFeatures:
         names = [f"w {core.lower()}"] if core else []
         edge = word.replace(core, " ", 1) if core else word
         if edge.strip():
-            names.append(f"p {edge[:12]}")
+            names.append(f"p {edge}")
         if len(core) > 1 and core.isupper():
             names.append("capitals")
         if core.isdigit():
@@ -132,6 +132,16 @@ def semantic_axes(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.nd
     return np.ascontiguousarray(axes[:rank].T, np.float32)
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest of each row in ascending order; of equal ones those that come first."""
+    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    found = np.take_along_axis(cosines, near, axis=1)
+    border = found.min(axis=1)[:, None]
+    for i in np.flatnonzero((cosines == border).sum(axis=1) > (found == border).sum(axis=1)):
+        near[i] = np.argsort(-cosines[i], kind="stable")[:k]
+    return np.sort(near, axis=1)
+
+
 @dataclass
 class QualityModel:
     idf: np.ndarray
@@ -157,7 +167,7 @@ class QualityModel:
 
     def vector(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
         slots, values = self.weighted(slots, counts)
-        out = values.astype(np.float32) @ self.axes[slots]
+        out = values.astype(np.float64) @ self.axes[slots]
         norm = float(np.sqrt((out**2).sum()))
         return out / norm if norm else out
 
@@ -165,12 +175,12 @@ class QualityModel:
         """Scores of a block of unit vectors: exact cosines with all references, the nearest vote with their squared cosine."""
         if not len(self.references):
             return np.full(len(vectors), self.prior)
-        cosines = vectors @ self.references.T
-        k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** 2 * self.vote_weights[near]
+        # Double precision and a rounding far above its error: a text's score doesn't depend on the block that it is in.
+        cosines = np.round(vectors @ self.references.T, 9)
+        near = nearest(cosines, min(NEIGHBOURS, cosines.shape[1]))
+        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** 2 * self.vote_weights[near]
         # The prior has the weight of a neighbour at cosine 0.1: it decides where nothing is near.
-        return ((weights * self.labels[near]).sum(axis=1) + 0.01 * self.prior) / (weights.sum(axis=1) + 0.01)
+        return np.round(((weights * self.labels[near]).sum(axis=1) + 0.01 * self.prior) / (weights.sum(axis=1) + 0.01), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityModel:
@@ -188,19 +198,24 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityM
 
     picked = sample.mapInPandas(featurise, "label int, slots array<int>, counts array<float>").toPandas()  # bounded by SAMPLE_A_CLASS and SLOTS
     shares = usable_labels(labels, target, FOLDS, HELD_OUT).agg(F.avg(F.col("label").cast("double"))).first()[0]
-    model = QualityModel(idf, np.zeros((SLOTS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5 if shares is None else float(shares))
+    model = QualityModel(idf, np.zeros((SLOTS, 1), np.float32), np.zeros((0, 1)), np.zeros(0), 0.5 if shares is None else float(shares))
     rows = [(np.asarray(s, np.int64), np.asarray(c, np.float32)) for s, c in zip(picked["slots"], picked["counts"], strict=True)]
     keep = [i for i, (s, _) in enumerate(rows) if len(s)]
     if keep:
         model.axes = semantic_axes([model.weighted(*rows[i]) for i in keep], RANK)
-        model.references = np.array([model.vector(*rows[i]) for i in keep], np.float32)
+        model.references = np.array([model.vector(*rows[i]) for i in keep])
         model.labels = picked["label"].to_numpy()[keep].astype(np.float64)
         model.weigh()
     return model
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Add ``quality_score`` (0 to 1) to each document, from its text alone. Null texts count as empty and get the prior; repeated rows get equal scores; an empty table stays empty."""
+    """Add ``quality_score`` (0 to 1) to each document, from its text alone.
+
+    Null texts count as empty and get the prior; equal texts get equal scores, as ties
+    among neighbours go to the least doc_id; texts of any length are read whole; an empty
+    table stays empty. Other columns stay, one named ``quality_score`` is replaced.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -208,7 +223,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         for texts in batches:
             out = []
             for a in range(0, len(texts), BLOCK):
-                block = np.array([fitted.vector(*features.of(t)) for t in texts.iloc[a : a + BLOCK]], np.float32)
+                block = np.array([fitted.vector(*features.of(t)) for t in texts.iloc[a : a + BLOCK]])
                 out.append(fitted.vote(block))
             yield pd.Series(np.clip(np.concatenate(out), 0, 1) if out else [], dtype=np.float64)
 
@@ -217,7 +232,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document."""
+    """doc_id, held_out, score, predicted of each document; other columns are dropped.
+
+    Null texts count as empty; a null doc_id has a null held_out; repeated rows get equal
+    results; without labels every score is one half. An empty table stays empty.
+    """
     return score(docs, fit(docs, labels)).select(
         "doc_id",
         (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
@@ -227,7 +246,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier predicts to be good, with their columns."""
+    """The documents that the classifier predicts to be good, with their columns, whatever their names. Null and empty texts are kept if the prior reaches THRESHOLD; cases as in ``quality_scores``."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     kept = score(rows, fit(docs, labels)).where(F.col("quality_score") >= THRESHOLD)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -19,6 +19,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ FOOTER = struct.Struct("<QQQQQQB8s")
 INDEX = struct.Struct("<8sQIQ")
 ENTRY = struct.Struct("<BBI")
 BLOCK_BYTES = 1 << 16
+#: A shard is closed at this many bytes or documents, so writers and filters stay bounded.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 4_000_000
 BLOOM_BITS_A_KEY, BLOOM_HASHES = 10, 7
 NULL_KEY = -(2**63)
 
@@ -64,7 +67,7 @@ class ShardWriter:
         self.file, self.uri = files.create(folder, name)
         self.width, self.offset, self.n_docs, self.n_tokens = width, 0, 0, 0
         self.index: list[bytes] = []
-        self.keys: list[int] = []
+        self.keys = array("Q")
         self.first = self.last = None
         self._new_block()
 
@@ -85,6 +88,9 @@ class ShardWriter:
         if self.block_bytes >= BLOCK_BYTES:
             self._flush()
 
+    def full(self) -> bool:
+        return self.offset >= SHARD_BYTES or self.n_docs >= SHARD_DOCS
+
     def _flush(self) -> None:
         if self.block:
             data = zlib.compress(b"".join(self.block), 1)
@@ -134,8 +140,11 @@ class ShardReader:
             at += size
 
     def may_hold(self, doc_id: int) -> bool:
-        bits = np.unpackbits(np.frombuffer(files.read_range(self.file, self.bloom_at, self.bloom_bytes), np.uint8))
-        return bool(bits[_bloom_places(np.array([doc_id + 2**63], np.uint64), len(bits)).astype(np.int64)].all())
+        """Whether the Bloom filter has the identifier: one byte is read for each hash."""
+        for place in _bloom_places(np.array([doc_id + 2**63], np.uint64), 8 * self.bloom_bytes)[0].tolist():
+            if not files.read_range(self.file, self.bloom_at + place // 8, 1)[0] >> (7 - place % 8) & 1:
+                return False
+        return True
 
     def lookup(self, doc_id: int) -> list[bytes]:
         """The values of an identifier: Bloom filter, binary search in the block index, then its blocks."""
@@ -151,6 +160,14 @@ class ShardReader:
         return out
 
 
+#: Texts on which a model's ids must be those of the words: white space of all kinds, marks, quotes, numbers, capitals, accents, letters whose lower case is longer, special strings.
+PROBES = (
+    "One two, three.Four!  Five?\tSix\nseven; EIGHT: it's don't we'll 'quoted' \"q\" a-b c_d e/f 1,234.5 50% x2y",
+    "naïve Ünï ß İstanbul ﬁne e\u0301a ½ 日本 語 русский,текст. \u00a0nbsp\u3000wide 😀!? a\u200db",
+    "<|endoftext|> <|startoftext|>x ,lead trail, ,, ... a,b;c:d!e?f.g",
+)
+
+
 class WordTokens:
     """Token ids of texts by the tokenizers library, word by word with a bounded cache.
 
@@ -176,6 +193,10 @@ class WordTokens:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        for probe in PROBES:
+            if self.batch([probe])[0] != self.pack(self.tokenizer.encode(probe, add_special_tokens=False).ids):
+                raise ValueError("only models are handled whose ids of a text are those of its words, one after the other")
+        self.newer = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -252,7 +273,7 @@ def token_batches(model_file: str, texts: list[str], chars: int = 500_000) -> It
         yield from tokens(model_file).batch(part)
 
 
-MANIFEST = "shard int, uri string, first_id long, last_id long, n_docs long, n_tokens long"
+MANIFEST = "shard long, uri string, first_id long, last_id long, n_docs long, n_tokens long"
 
 
 def write_shards(docs: DataFrame, model_file: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -261,23 +282,30 @@ def write_shards(docs: DataFrame, model_file: str, end_id: int, folder: str | No
     The manifest has one row a shard, in ascending order of ids, with the number of
     tokens in all shards before it (``shard_start``). Null texts count as empty (the end
     id alone). A null doc_id is kept as the least 64-bit number. Repeated ids stay, in
-    an order fixed by their texts. An empty table gives an empty manifest.
+    an order fixed by their texts. Texts of any length are encoded whole. An empty table
+    gives an empty manifest; other columns are dropped.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "sstable")
 
+    def finished(writer: ShardWriter, number: int) -> pd.DataFrame:
+        writer.close()
+        row = (number, writer.uri, writer.first, writer.last, writer.n_docs, writer.n_tokens)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in MANIFEST.split(", ")])
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer = None
+        writer, number = None, TaskContext.get().partitionId() << 24
         for pdf in batches:
             width = np.dtype(tokens(model_file).dtype).itemsize
             end = tokens(model_file).pack([end_id])
             for doc_id, value in zip(pdf["doc_id"], token_batches(model_file, pdf["text"].tolist()), strict=True):
-                writer = writer or ShardWriter(folder, f"shard-{TaskContext.get().partitionId():05d}", width)
+                if writer and writer.full():
+                    yield finished(writer, number)
+                    writer, number = None, number + 1
+                writer = writer or ShardWriter(folder, f"shard-{number:012d}", width)
                 writer.add(int(doc_id), value + end)
         if writer:
-            writer.close()
-            row = (TaskContext.get().partitionId(), writer.uri, writer.first, writer.last, writer.n_docs, writer.n_tokens)
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in MANIFEST.split(", ")])
+            yield finished(writer, number)
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).cast("long").alias("doc_id"), whole_text().alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -301,7 +329,42 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         ids = np.frombuffer(value, dtype)
                         rows.append((None if doc_id == NULL_KEY else doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))  # a null doesn't turn the others into doubles
 
     spread = manifest.select("shard", "uri", "shard_start").repartition(shuffle_partitions(manifest.sparkSession), "shard")
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids): the entries of the wanted doc_ids, found by the manifest's ranges, each shard's Bloom filter and a binary search of its block index.
+
+    Identifiers that aren't there give no row, those with several entries several; null
+    and repeated ones count once. The manifest (one row a shard) is held by each task.
+    """
+    shards = manifest.select("uri", "first_id", "last_id", "shard").orderBy("shard").toPandas()
+    uris, firsts, lasts = shards["uri"].tolist(), shards["first_id"].to_numpy(np.int64), shards["last_id"].to_numpy(np.int64)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["doc_id"].to_numpy(np.int64)
+            # An identifier with many entries may reach over several shards.
+            low, high = np.searchsorted(lasts, ids, side="left"), np.searchsorted(firsts, ids, side="right")
+            counts = np.maximum(high - low, 0)
+            shard = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pd.DataFrame({"shard": shard, "doc_id": np.repeat(ids, counts)})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, reader = None, None
+        for pdf in batches:
+            rows = []
+            for shard, doc_id in zip(pdf["shard"], pdf["doc_id"], strict=True):
+                if shard != at:
+                    at, reader = shard, ShardReader(uris[shard])
+                dtype = np.uint16 if reader.width == 2 else np.uint32
+                rows += [(doc_id, np.frombuffer(v, dtype).astype(np.int32)) for v in reader.lookup(int(doc_id))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ids"])
+
+    keys = wanted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    spread = keys.mapInPandas(places, "shard long, doc_id long").repartition(shuffle_partitions(wanted.sparkSession), "shard").sortWithinPartitions("shard", "doc_id")
+    return spread.mapInPandas(read, "doc_id long, ids array<int>")

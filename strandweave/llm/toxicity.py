@@ -1,10 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters are words of a fixed lexicon, word stems that the labelled sample shows to be
-used in toxic texts, and patterns. A generative label model (expectation maximisation
-over the votes on all documents, labels of the sample held fixed) estimates how often
-each voter fires on either class and how voters go together within a class; its
-posterior labels train a linear classifier on the presence of words and stems.
+Voters are words of a fixed lexicon, word stems that the labelled sample shows in toxic
+texts or in other texts only, and patterns. Each votes for one class or abstains. A
+generative label model has a class for each document and, within a class, voters that
+depend on one another along a tree; prior, firing rates and tree are the maximum
+likelihood of the votes on all documents, found by expectation maximisation until the
+likelihood settles. No label enters it but through the choice of stems and the starting
+point. Its posterior labels, on a bounded sample of documents, train a linear classifier
+on the presence of words and stems.
 """
 
 from __future__ import annotations
@@ -27,19 +30,26 @@ LEXICON = (
     "idiot", "moron", "stupid", "trash", "pathetic", "worthless", "disgusting", "scum",
     "loser", "clown", "dumb", "filthy", "vermin", "garbage", "hate", "kill",
 )
-#: Patterns: shouting, runs of capitals, stretched letters.
-SHOUT = re.compile(r"!{2,}")
-CAPITALS = re.compile(r"\b[A-Z]{4,}\b")
-STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
-PATTERNS = 3
-STEM_VOTERS = 24
+#: Pattern voters for toxic texts: shouting, runs of capitals, stretched letters, letters hidden by stars.
+TOXIC_PATTERNS = (re.compile(r"!{2,}"), re.compile(r"\b[A-Z]{4,}\b"), re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"[^\W\d_]\*+[^\W\d_]"))
+#: Pattern voters for other texts: licences and rights, addresses of pages, quantities.
+CLEAN_PATTERNS = (re.compile(r"\b(?:[Ll]icense|[Cc]opyright|[Rr]ights reserved)"), re.compile(r"https?://"), re.compile(r"\b[0-9]+(?:[.,][0-9]+)? ?(?:%|kg|km|cm|EUR|USD)"))
+#: Stem voters for toxic and for other texts. All voters of a text are bits of one 64-bit number.
+STEM_VOTERS, CLEAN_STEM_VOTERS = 26, 10
+VOTERS = len(LEXICON) + STEM_VOTERS + len(TOXIC_PATTERNS) + CLEAN_STEM_VOTERS + len(CLEAN_PATTERNS)
+#: The first voters speak for toxic texts, the others against.
+TOXIC_VOTERS = len(LEXICON) + STEM_VOTERS + len(TOXIC_PATTERNS)
 STEM_LENGTHS = (3, 4, 5, 6)
-#: The classifier is fitted on at most so many labelled rows of each class.
+#: Stems are chosen from at most so many labelled rows of each class.
 SAMPLE_A_CLASS = 4_000
+#: The classifier is fitted on posterior labels of at most so many documents on either side of one half, none of the held-out fold.
+POSTERIORS_A_SIDE = 4_000
 #: Words and stems that the classifier weighs, and the least number of toxic sample texts that a stem voter needs.
 FEATURES, LEAST_TEXTS = 1024, 3
-ROUNDS = 6
-LABEL_ACCURACY = 0.999
+#: Expectation maximisation ends when a round adds less than SETTLED to the mean log likelihood, the search for the tree when it doesn't change.
+MOST_ROUNDS, SETTLED, MOST_TREES = 100, 1e-6, 4
+#: Pseudo-count of each firing rate, and the likelihood ratio (chi squared, one degree a class, p = 0.001) that a dependence needs.
+PSEUDO, LEAST_RATIO = 2.0, 13.8
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>|*&$#%-_/\\"
@@ -54,15 +64,15 @@ def names_of(word: str) -> list[str]:
 @dataclass
 class Voters:
     stems: list[str] = field(default_factory=list)
-
-    @property
-    def size(self) -> int:
-        return len(LEXICON) + STEM_VOTERS + PATTERNS
+    clean_stems: list[str] = field(default_factory=list)
 
     def prepare(self) -> None:
         self.bits = {f"={w}": 1 << i for i, w in enumerate(LEXICON)}
-        for i, stem in enumerate(self.stems):
-            self.bits[stem] = self.bits.get(stem, 0) | 1 << (len(LEXICON) + i)
+        for first, names in ((len(LEXICON), self.stems), (TOXIC_VOTERS, self.clean_stems)):
+            for i, stem in enumerate(names):
+                self.bits[stem] = self.bits.get(stem, 0) | 1 << (first + i)
+        toxic_at, clean_at = len(LEXICON) + STEM_VOTERS, TOXIC_VOTERS + CLEAN_STEM_VOTERS
+        self.patterns = [(p, 1 << (toxic_at + i)) for i, p in enumerate(TOXIC_PATTERNS)] + [(p, 1 << (clean_at + i)) for i, p in enumerate(CLEAN_PATTERNS)]
         self.cache = BoundedCache()
 
     def mask(self, text: str) -> int:
@@ -76,13 +86,9 @@ class Voters:
                 cache.keep(word, bits)
                 newer = cache.newer
             out |= bits
-        at = len(LEXICON) + STEM_VOTERS
-        if SHOUT.search(text):
-            out |= 1 << at
-        if CAPITALS.search(text):
-            out |= 1 << at + 1
-        if STRETCHED.search(text):
-            out |= 1 << at + 2
+        for pattern, bit in self.patterns:
+            if pattern.search(text):
+                out |= bit
         return out
 
 
@@ -121,69 +127,152 @@ def stem_voters(names: pd.DataFrame) -> list[str]:
     return [name for _, name in sorted(picked, key=lambda x: (-x[0], x[1]))[:STEM_VOTERS]]
 
 
+def clean_stem_voters(names: pd.DataFrame) -> list[str]:
+    """Words and stems that no toxic sample text has, most usual first, without those that a shorter one covers."""
+    good = names[(names["toxic"] == 0) & (names["other"] >= 8)]
+    picked: list[str] = []
+    for name, _ in sorted(zip(good["name"], good["other"], strict=True), key=lambda x: (-x[1], x[0])):
+        core = name.lstrip("=")
+        if not any(core.startswith(p.lstrip("=")) or p.lstrip("=").startswith(core) for p in picked):
+            picked.append(name)
+    return picked[:CLEAN_STEM_VOTERS]
+
+
 @dataclass
 class LabelModel:
-    """Prior, firing rates by class and a discount for voters that go together."""
+    """Prior of the toxic class, and within each class the chance that a voter fires, given whether its parent in the tree does."""
 
     prior: float
-    rates: np.ndarray  # 2 x voters
-    discount: np.ndarray  # voters
-
-    def logits(self, bits: np.ndarray) -> np.ndarray:
-        on = np.log(self.rates[1]) - np.log(self.rates[0])
-        off = np.log1p(-self.rates[1]) - np.log1p(-self.rates[0])
-        return math.log(self.prior / (1 - self.prior)) + bits @ (on * self.discount) + (1 - bits) @ (off * self.discount)
+    parents: np.ndarray  # voters; -1: none
+    rates: np.ndarray  # class x parent fires x voters
+
+    def log_joint(self, bits: np.ndarray) -> np.ndarray:
+        """rows x 2: log of the class's prior and its chance of these votes."""
+        given = np.where(self.parents >= 0, bits[:, self.parents], 0).astype(bool)
+        out = np.empty((len(bits), 2))
+        for y, prior in ((0, 1 - self.prior), (1, self.prior)):
+            p = np.where(given, self.rates[y, 1], self.rates[y, 0])
+            out[:, y] = math.log(prior) + np.where(bits > 0, np.log(p), np.log1p(-p)).sum(axis=1)
+        return out
 
     def posterior(self, bits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(bits), -30, 30)))
+        joint = self.log_joint(bits)
+        return 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -30, 30)))
 
 
-def unpack(masks: np.ndarray, size: int) -> np.ndarray:
+def unpack(masks: np.ndarray, size: int = VOTERS) -> np.ndarray:
     return ((masks[:, None] >> np.arange(size, dtype=np.int64)) & 1).astype(np.float64)
 
 
-def fit_label_model(votes: DataFrame, size: int, prior: float) -> LabelModel:
-    """Expectation maximisation over ``votes`` (mask, label or null, n). Each round is one aggregation of fixed size."""
-    rates = np.vstack([np.full(size, 0.01), np.full(size, 0.2)])
-    rates[1, -PATTERNS:] = rates[0, -PATTERNS:] = 0.1
-    model = LabelModel(prior, rates, np.ones(size))
-    for _ in range(ROUNDS):
-        now = model
-
-        def moments(batches: Iterator[pd.DataFrame], now: LabelModel = now) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                bits = unpack(pdf["mask"].to_numpy(np.int64), size)
-                known = pdf["label"].to_numpy(np.float64, na_value=np.nan)
-                q = np.where(np.isnan(known), now.posterior(bits), known)
-                n = pdf["n"].to_numpy(np.float64)
-                full = np.hstack([bits, np.ones((len(bits), 1))])
-                for y, weight in ((0, n * (1 - q)), (1, n * q)):
-                    sums = full.T @ (full * weight[:, None])
-                    yield pd.DataFrame({"y": y, "place": np.arange(sums.size), "value": sums.ravel()})
-
-        found = votes.mapInPandas(moments, "y int, place int, value double").groupBy("y", "place").agg(F.sum("value").alias("value"))
-        sums = np.zeros((2, size + 1, size + 1))
-        for r in found.collect():  # 2 x (voters + 1)^2 rows
-            sums[r.y].flat[r.place] = r.value
-        total = sums[:, -1, -1]
-        rates = np.clip((sums[:, -1, :-1] + np.array([[0.02], [0.2]])) / (total[:, None] + 2), 1e-6, 1 - 1e-6)
-        model = LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 2), 1e-4, 1 - 1e-4)), rates, _discount(sums, total))
+def expected_moments(votes: DataFrame, now: LabelModel) -> tuple[np.ndarray, float]:
+    """For each class the expected sums of products of votes (and of one, in the last row and column), and the log likelihood: one aggregation of fixed size."""
+    size = len(now.parents)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, likelihood = np.zeros((2, size + 1, size + 1)), 0.0
+        for pdf in batches:
+            bits, n = unpack(pdf["mask"].to_numpy(np.int64), size), pdf["n"].to_numpy(np.float64)
+            joint = now.log_joint(bits)
+            likelihood += float(n @ np.logaddexp(joint[:, 0], joint[:, 1]))
+            q = now.posterior(bits)
+            full = np.hstack([bits, np.ones((len(bits), 1))])
+            for y, weight in ((0, n * (1 - q)), (1, n * q)):
+                sums[y] += full.T @ (full * weight[:, None])
+        flat = np.r_[sums.ravel(), likelihood]
+        yield pd.DataFrame({"place": np.arange(flat.size), "value": flat})
+
+    found = votes.mapInPandas(moments, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    flat = np.zeros(2 * (size + 1) ** 2 + 1)
+    for r in found.collect():  # 2 x (voters + 1)^2 + 1 rows
+        flat[r.place] = r.value
+    return flat[:-1].reshape(2, size + 1, size + 1), float(flat[-1])
+
+
+def maximised(sums: np.ndarray, parents: np.ndarray, toxic_voters: int = TOXIC_VOTERS) -> LabelModel:
+    """The model of greatest likelihood for these moments (with pseudo-counts), under the rule that no voter fires more often on the class it speaks against."""
+    size = len(parents)
+    total, alone = sums[:, -1, -1], sums[:, -1, :-1]
+    parent = np.maximum(parents, 0)
+    overall = (alone + PSEUDO * alone.sum(axis=0) / max(total.sum(), 1e-9)) / (total[:, None] + PSEUDO)
+    rates = np.empty((2, 2, size))
+    for y in (0, 1):
+        both, of_parent = sums[y, parent, np.arange(size)], alone[y, parent]
+        rates[y, 1] = (both + PSEUDO * overall[y]) / (of_parent + PSEUDO)
+        rates[y, 0] = (alone[y] - both + PSEUDO * overall[y]) / (total[y] - of_parent + PSEUDO)
+        rates[y][:, parents < 0] = overall[y, parents < 0]
+    against = np.where(np.arange(size) < toxic_voters, overall[1] < overall[0], overall[0] < overall[1])
+    rates[:, :, against] = (alone.sum(axis=0) / max(total.sum(), 1e-9))[against]
+    return LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 2), 1e-4, 1 - 1e-4)), parents, np.clip(rates, 1e-6, 1 - 1e-6))
+
+
+def dependence_tree(sums: np.ndarray) -> np.ndarray:
+    """Parents of the forest of greatest conditional information between voters, among pairs that depend on each other beyond chance."""
+    size = sums.shape[1] - 1
+    gain = np.zeros((size, size))
+    for y in (0, 1):
+        total = max(sums[y, -1, -1], 1e-9)
+        a, b = sums[y, -1, :-1][:, None], sums[y, -1, :-1][None, :]
+        both = sums[y, :-1, :-1]
+        for seen, expected in ((both, a * b), (a - both, a * (total - b)), (b - both, (total - a) * b), (total - a - b + both, (total - a) * (total - b))):
+            ok = (seen > 1e-9) & (expected > 1e-9)
+            gain += np.where(ok, seen * np.log(np.where(ok, seen * total / np.where(ok, expected, 1), 1)), 0)
+    parents, root = np.full(size, -1), list(range(size))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    neighbours: list[list[int]] = [[] for _ in range(size)]
+    pairs = sorted(((-gain[i, j], i, j) for i in range(size) for j in range(i + 1, size) if 2 * gain[i, j] > LEAST_RATIO))
+    for _, i, j in pairs:
+        if (a := find(i)) != (b := find(j)):
+            root[max(a, b)] = min(a, b)
+            neighbours[i].append(j)
+            neighbours[j].append(i)
+    seen: set[int] = set()
+    for start in range(size):
+        todo = [(start, -1)] if start not in seen else []
+        while todo:
+            i, parent = todo.pop()
+            seen.add(i)
+            parents[i] = parent
+            todo += [(j, i) for j in neighbours[i] if j != parent]
+    return parents
+
+
+def fit_label_model(votes: DataFrame, start: LabelModel) -> LabelModel:
+    """Maximum likelihood of ``votes`` (mask, n) from a starting point: expectation maximisation until it settles, for voters that are independent first, then along the tree that the moments ask for."""
+    model, likelihood = start, -math.inf
+    n = max(1, votes.agg(F.sum("n")).first()[0] or 0)
+    trees = 0
+    for _ in range(MOST_ROUNDS):
+        sums, now = expected_moments(votes, model)
+        settled = now - likelihood < SETTLED * n
+        likelihood = now
+        if settled:
+            parents = dependence_tree(sums)
+            if trees == MOST_TREES or (parents == model.parents).all():
+                break
+            trees, likelihood = trees + 1, -math.inf
+            model = maximised(sums, parents)
+        else:
+            model = maximised(sums, model.parents)
     return model
 
 
-def _discount(sums: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """One over one plus what each voter's positive correlations within the classes add up to: voters that echo each other share their say."""
-    excess = np.zeros(sums.shape[1] - 1)
-    for y in (0, 1):
-        if total[y] < 2:
-            continue
-        mean = sums[y, -1, :-1] / total[y]
-        cov = sums[y, :-1, :-1] / total[y] - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        r = cov / np.outer(sd, sd)
-        np.fill_diagonal(r, 0)
-        excess += total[y] / total.sum() * np.where(r > 0.1, r, 0).sum(axis=1)
-    return 1 / (1 + excess)
+def starting_point(votes: DataFrame, prior: float) -> LabelModel:
+    """Independent voters with the rates of the labelled sample's votes (mask, label, n); usual rates where it is empty."""
+    sums = np.zeros((2, VOTERS + 1, VOTERS + 1))
+    sums[0, -1, -1], sums[1, -1, -1] = 1 - prior, prior
+    sums[0, -1, :-1], sums[1, -1, :-1] = 0.01 * (1 - prior), 0.1 * prior
+    sums[0, -1, TOXIC_VOTERS:-1], sums[1, -1, TOXIC_VOTERS:-1] = 0.1 * (1 - prior), 0.01 * prior
+    for r in votes.groupBy("label").agg(*[F.sum(F.col("n") * F.shiftright("mask", i).bitwiseAND(F.lit(1))).alias(f"v{i}") for i in range(VOTERS)], F.sum("n").alias("n")).collect():
+        sums[r.label, -1, :-1] += [float(r[f"v{i}"]) for i in range(VOTERS)]
+        sums[r.label, -1, -1] += float(r.n)
+    model = maximised(sums, np.full(VOTERS, -1))
+    model.prior = prior
+    return model
 
 
 @dataclass
@@ -233,14 +322,9 @@ def fit_linear(present: list[np.ndarray], target: np.ndarray, weight: np.ndarray
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> ToxicityModel:
-    """Voters from the labelled sample, label model from the votes on all documents, classifier from posterior labels."""
-    spark = docs.sparkSession
-    sample_ids = labelled_sample(labels, target, FOLDS, HELD_OUT, SAMPLE_A_CLASS)
-    sample = stored(texts_of(docs, sample_ids), "toxicity-sample")
-    names = sample_names(sample)
-    voters = Voters(stem_voters(names))
-    held = spark.sparkContext.broadcast(voters)
+def vote_masks(docs: DataFrame, voters: Voters) -> DataFrame:
+    """(text_hash, mask, usable) of each document; usable is false in the held-out fold and without an identifier."""
+    held = docs.sparkSession.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         mine = held.value
@@ -249,41 +333,79 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> ToxicityMo
             yield pd.Series([mine.mask(t) for t in texts], dtype=np.int64)
 
     vote.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    mask = F.pandas_udf(vote, "long")
-    every = docs.select(mask(whole_text()).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n")).select("mask", F.lit(None).cast("int").alias("label"), "n")
-    known = sample.select(mask("text").alias("mask"), "label").groupBy("mask", "label").agg(F.count(F.lit(1)).alias("n"))
-    votes = stored(every.unionByName(known), "toxicity-votes")
+    usable = F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
+    return docs.select(F.xxhash64(whole_text()).alias("text_hash"), F.pandas_udf(vote, "long")(whole_text()).alias("mask"), usable.alias("usable"))
+
+
+def posterior_sample(masks: DataFrame, label_model: LabelModel) -> DataFrame:
+    """(text_hash, posterior, weight): at most POSTERIORS_A_SIDE texts on either side of one half, the first by hash, weighed back to the sides' shares."""
+
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in batches:
+            yield pd.Series(label_model.posterior(unpack(found.to_numpy(np.int64))), dtype=np.float64)
+
+    judge.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    rows = masks.where("usable").groupBy("text_hash", "mask").agg(F.count(F.lit(1)).alias("copies")).withColumn("posterior", F.pandas_udf(judge, "double")("mask"))
+    rows = stored(rows.select("text_hash", "copies", "posterior", (F.col("posterior") >= 0.5).alias("side")), "posteriors")
+    sizes = {r.side: r.n for r in rows.groupBy("side").agg(F.sum("copies").alias("n")).collect()}
+    picked = [rows.where(F.col("side") == side).orderBy(F.xxhash64("text_hash"), "text_hash").limit(POSTERIORS_A_SIDE) for side in (False, True)]
+    sample = stored(picked[0].unionByName(picked[1]), "posterior-sample")
+    taken = {r.side: r.n for r in sample.groupBy("side").agg(F.sum("copies").alias("n")).collect()}
+    back = F.when(F.col("side"), sizes.get(True, 0) / max(1, taken.get(True, 0))).otherwise(sizes.get(False, 0) / max(1, taken.get(False, 0)))
+    return sample.select("text_hash", "posterior", (F.col("copies") * back).alias("weight"))
+
+
+def labelled_by_votes(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[pd.DataFrame, Voters, DataFrame, LabelModel]:
+    """Names of features, the voters, the votes on each document and the label model of the votes on all of them."""
+    sample_ids = labelled_sample(labels, target, FOLDS, HELD_OUT, SAMPLE_A_CLASS)
+    sample = stored(texts_of(docs, sample_ids), "toxicity-sample")
+    names = sample_names(sample)
+    voters = Voters(stem_voters(names), clean_stem_voters(names))
+    masks = stored(vote_masks(docs, voters), "toxicity-masks")
+    votes = stored(masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n")), "toxicity-votes")
     share = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).agg(F.avg(F.col(target).cast("double"))).first()[0]
     prior = min(max(0.1 if share is None else float(share), 1e-3), 1 - 1e-3)
-    label_model = fit_label_model(votes, voters.size, prior)
+    known = vote_masks(sample.select("doc_id", "text"), voters).select("text_hash", "mask").join(sample.select(F.xxhash64("text").alias("text_hash"), "label"), "text_hash")
+    start = starting_point(known.groupBy("mask", "label").agg(F.count(F.lit(1)).alias("n")), prior)
+    return names, voters, masks, fit_label_model(votes, start)
+
 
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> ToxicityModel:
+    """Voters from the labelled sample, label model from the votes on all documents, classifier from posterior labels."""
+    names, voters, masks, label_model = labelled_by_votes(docs, labels, target)
+    return fit_classifier(docs, names, voters, posterior_sample(masks, label_model), label_model.prior)
+
+
+def fit_classifier(docs: DataFrame, names: pd.DataFrame, voters: Voters, sample: DataFrame, prior: float) -> ToxicityModel:
+    """A linear classifier on the sample's posterior labels (text_hash, posterior, weight); with nothing to learn from, the prior."""
     strongest = names.head(FEATURES)["name"].tolist()
     model = ToxicityModel(dict.fromkeys(dict.fromkeys([*[f"={w}" for w in LEXICON], *voters.stems, *strongest]), 0.0), math.log(prior / (1 - prior)))
-    held_model = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, by = held.value, held_model.value
-        mine.prepare()
+        by = held.value
         by.prepare()
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "mask": [mine.mask(t) for t in pdf["text"]], "present": [sorted(by.present(t)) for t in pdf["text"]]})
+            yield pd.DataFrame({"text_hash": pdf["text_hash"], "posterior": pdf["posterior"], "weight": pdf["weight"], "present": [sorted(by.present(t)) for t in pdf["text"]]})
 
-    rows = sample.orderBy("doc_id").mapInPandas(featurise, "label int, mask long, present array<int>").toPandas()  # bounded by SAMPLE_A_CLASS and FEATURES
+    # At most twice POSTERIORS_A_SIDE rows: broadcast to the texts, and their features collected. Copies of a text are one row with their weight.
+    texts = docs.select(F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text")).join(F.broadcast(sample), "text_hash")
+    found = texts.mapInPandas(featurise, "text_hash long, posterior double, weight double, present array<int>")
+    once = found.groupBy("text_hash").agg(F.first("posterior").alias("posterior"), F.first("weight").alias("weight"), F.first("present").alias("present"))
+    rows = once.toPandas().sort_values("text_hash")
     if len(rows):
-        # The sample's labels are one more voter, right this often.
-        label_vote = math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * rows["label"].to_numpy(np.float64) - 1)
-        logits = label_model.logits(unpack(rows["mask"].to_numpy(np.int64), voters.size)) + label_vote
-        target_p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-        n1 = max(1, int((rows["label"] == 1).sum()))
-        n0 = max(1, int((rows["label"] == 0).sum()))
-        weight = np.where(rows["label"] == 1, prior / n1, (1 - prior) / n0)
-        w, b = fit_linear([np.asarray(p, np.int64) for p in rows["present"]], target_p, weight, len(model.weights))
+        present = [np.asarray(p, np.int64) for p in rows["present"]]
+        w, b = fit_linear(present, rows["posterior"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64), len(model.weights))
         model = ToxicityModel(dict(zip(model.weights, w.tolist(), strict=True)), b)
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Add ``toxicity`` (0 to 1) to each document, from its text alone. Null texts count as empty; repeated rows get equal scores; an empty table stays empty."""
+    """Add ``toxicity`` (0 to 1) to each document, from its text alone.
+
+    Null texts count as empty; equal texts get equal scores; texts of any length are read
+    whole; an empty table stays empty. Other columns stay, one named ``toxicity`` is replaced.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -297,7 +419,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document."""
+    """doc_id, held_out, score, predicted of each document; other columns are dropped.
+
+    Null texts count as empty; a null doc_id has a null held_out; repeated rows get equal
+    results; without labels the lexicon and the patterns alone vote. An empty table stays empty.
+    """
     return score(docs, fit(docs, labels)).select(
         "doc_id",
         (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),

@@ -276,4 +276,4 @@ def test_quality_held_out(spark):
 def test_toxicity_held_out(spark):
     labels = pd.read_parquet(f"{MID}/labels.parquet")
     caught, wrong = held_out_quality(queries.op1_toxicity(spark, MID).toPandas(), labels, "toxic")
-    assert caught >= 0.5 and wrong <= 0.03
+    assert caught >= 0.57 and wrong <= 0.02
