@@ -42,9 +42,8 @@ def count_of(seq: Column, piece: str) -> Column:
 
 
 def blocks(seq: Column, size: int) -> Column:
-    """Consecutive pieces of ``size`` bases."""
-    starts = F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / size))
-    return F.transform(starts, lambda i: F.substring(seq, (i * size + 1).cast("int"), F.lit(size)))
+    """Consecutive pieces of ``size`` bases, in one pass over the sequence."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
 def block_shuffle(seq: Column, key: Column, seed: str, size: int = 2) -> Column:
@@ -54,8 +53,8 @@ def block_shuffle(seq: Column, key: Column, seed: str, size: int = 2) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All windows of k bases; empty if the sequence is shorter."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i.cast("int"), F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All windows of k bases, in one pass over the sequence; empty if it is shorter."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def fragment_around(seq: Column, first: Column, last: Column, length: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,11 @@ def nodes(presence: DataFrame, example: str, item: str) -> DataFrame:
 
 
 def pairs(presence: DataFrame, example: str, item: str) -> DataFrame:
-    """(example, i, j) with i < j: two items in one example. Examples hold few items (baskets, motif hits)."""
+    """(example, i, j) with i < j: two items in one example.
+
+    An example of n items has n (n - 1) / 2 pairs, which is what is asked for; the
+    items are a vocabulary of some hundreds, so that is bounded for any example.
+    """
     p = presence.select(example, item).distinct()
     return p.withColumnRenamed(item, "i").join(p.withColumnRenamed(item, "j"), example).where("i < j")
 
@@ -44,6 +50,40 @@ def chains(edge_examples: DataFrame, example: str, min_support: int) -> DataFram
     return found.groupBy("a", "b", "c").agg(F.count_distinct(example).alias("support")).where(F.col("support") >= min_support)
 
 
+def patterns(edge_examples: DataFrame, example: str, min_support: int) -> DataFrame:
+    """Connected patterns of up to three items: (kind, a, b, c, support), kind being node, edge, chain (a - b - c, a < c) or triangle.
+
+    ``edge_examples`` (example, i, j) with i < j. An example supports a pattern if it has
+    all its edges; patterns need more than ``min_support``. A chain whose ends are
+    joined by an edge of the graph counts beside its triangle only if it has other examples.
+    """
+    e = edge_examples.select(example, "i", "j").distinct()
+    edges = e.groupBy("i", "j").agg(F.count(F.lit(1)).alias("support"))
+    ends = e.select(example, F.col("i").alias("a")).unionByName(e.select(example, F.col("j").alias("a"))).distinct()
+    none = F.lit(None).cast(dict(e.dtypes)["i"])
+    of_node = ends.groupBy("a").agg(F.count(F.lit(1)).alias("support")).select(F.lit("node").alias("kind"), "a", none.alias("b"), none.alias("c"), "support")
+    of_edge = edges.select(F.lit("edge").alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"), none.alias("c"), "support")
+    # No pattern has more support than its edges.
+    strong = e.join(edges.where(F.col("support") > min_support).select("i", "j"), ["i", "j"])
+    triangles = (
+        strong.select(example, F.col("i").alias("a"), F.col("j").alias("b"))
+        .join(strong.select(example, F.col("i").alias("b"), F.col("j").alias("c")), [example, "b"])
+        .join(strong.select(example, F.col("i").alias("a"), F.col("j").alias("c")), [example, "a", "c"])
+        .groupBy("a", "b", "c")
+        .agg(F.count(F.lit(1)).alias("support"))
+    )
+    both = strong.select(example, F.col("i").alias("a"), F.col("j").alias("b")).unionByName(strong.select(example, F.col("j").alias("a"), F.col("i").alias("b")))
+    of_chain = both.join(both.withColumnRenamed("a", "c"), [example, "b"]).where("a < c").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("support"))
+    closed = edges.select(F.col("i").alias("a"), F.col("j").alias("c"), F.lit(True).alias("_closed"))
+    low, high = F.least("a", "b"), F.greatest("b", "c")
+    middle = F.when(F.col("b") < F.col("a"), F.col("a")).when(F.col("b") > F.col("c"), F.col("c")).otherwise(F.col("b"))
+    full = triangles.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("c").alias("_z"), F.col("support").alias("_full"))
+    chained = of_chain.join(closed, ["a", "c"], "left").join(full, (low == F.col("_x")) & (middle == F.col("_y")) & (high == F.col("_z")), "left")
+    other = F.col("_closed").isNull() | (F.coalesce("_full", F.lit(0)) != F.col("support"))
+    kinds = [of_node, of_edge, chained.where(other).select(F.lit("chain").alias("kind"), "a", "b", "c", "support"), triangles.select(F.lit("triangle").alias("kind"), "a", "b", "c", "support")]
+    return reduce(DataFrame.unionByName, kinds).where(F.col("support") > min_support)
+
+
 def merge_graphs(graphs: list[DataFrame], keys: list[str], count: str, mean: str) -> DataFrame:
     """Union of node or edge tables: counts added, means weighed by them."""
     whole = graphs[0]

@@ -120,12 +120,18 @@ def merge(a: DataFrame, gap: int = 0, stretch: int = STRETCH, by: tuple[str, ...
 
 
 def complement(a: DataFrame, sizes: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """The gaps between intervals, from 0 to each chromosome's size; chromosomes without intervals are one gap."""
+    """The gaps between intervals, from 0 to each chromosome's size; chromosomes without intervals are one gap.
+
+    Handled in stretches like ``merge``: a stretch knows of those before it where the last interval stops.
+    """
     merged = merge(a, stretch=stretch).select("chrom", "start", "stop")
     edges = sizes.select("chrom", F.col("size").alias("start"), F.col("size").alias("stop"))
-    order = Window.partitionBy("chrom").orderBy("start", "stop")
-    gaps = merged.join(sizes.select("chrom"), "chrom", "left_semi").unionByName(edges)
-    return gaps.select("chrom", F.coalesce(F.lag("stop").over(order), F.lit(0).cast("long")).alias("from"), F.col("start").alias("to")).where("to > from").toDF("chrom", "start", "stop")
+    rows = merged.join(F.broadcast(sizes.select("chrom")), "chrom", "left_semi").unionByName(edges).withColumn("_part", F.floor(F.col("start") / stretch))  # one row a chromosome
+    earlier = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("chrom", "_part").agg(F.max("stop").alias("_stop")).withColumn("_carry", F.max("_stop").over(earlier)).drop("_stop")
+    inside = Window.partitionBy("chrom", "_part").orderBy("start", "stop")
+    gaps = rows.join(carried, ["chrom", "_part"]).select("chrom", F.coalesce(F.lag("stop").over(inside), "_carry", F.lit(0).cast("long")).alias("from"), F.col("start").alias("to"))
+    return gaps.where("to > from").toDF("chrom", "start", "stop")
 
 
 def liftover(a: DataFrame, chain: DataFrame) -> DataFrame:
@@ -154,17 +160,30 @@ def signal_around(points: DataFrame, track: DataFrame, before: int, after: int,
     return pairs.groupBy(F.col("a_name").alias("name"), place.alias("place")).agg(F.sum(f"b_{value}").alias("sum"), F.count(F.lit(1)).alias("n"))
 
 
-def random_intervals(sizes: DataFrame, n: int, width: int, seed: str, exclude: DataFrame | None = None, oversample: float = 2.0) -> DataFrame:
-    """``n`` intervals placed by hash along the joined chromosomes, none touching ``exclude``: draws that cross an end or hit it are rejected."""
+def random_intervals(sizes: DataFrame, n: int, width: int, seed: str, exclude: DataFrame | None = None, oversample: float = 2.0, most_rounds: int = 12) -> DataFrame:
+    """``n`` intervals placed by hash along the joined chromosomes, none touching ``exclude``: draws that cross an end or hit it are rejected.
+
+    Where too few of ``n * oversample`` draws are left, twice as many are made, and so
+    on; the first draws stay the same. After ``most_rounds`` it is an error.
+    """
+    for _ in range(most_rounds):
+        out = _placed_at_random(sizes, int(n * oversample), width, seed, exclude).orderBy("id").limit(n)
+        if out.count() == n:
+            return out
+        oversample *= 2
+    raise ValueError(f"{n} intervals of {width} bases don't fit")
+
+
+def _placed_at_random(sizes: DataFrame, n_draws: int, width: int, seed: str, exclude: DataFrame | None) -> DataFrame:
     ends = sizes.withColumn("end", F.sum("size").over(Window.orderBy("chrom"))).withColumn("begin", F.col("end") - F.col("size"))  # one row a chromosome
     total = sizes.agg(F.sum("size").alias("total"))
-    draws = sizes.sparkSession.range(int(n * oversample)).crossJoin(F.broadcast(total))
+    draws = sizes.sparkSession.range(n_draws).crossJoin(F.broadcast(total))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(seed))), 1, 14), 16, 10).cast("long"), F.col("total"))
     placed = draws.withColumn("at", at).join(F.broadcast(ends), (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
     out = placed.select("id", "chrom", (F.col("at") - F.col("begin")).alias("start"), (F.col("at") - F.col("begin") + width).alias("stop"), "size").where("stop <= size").drop("size")
     if exclude is not None:
         out = without_overlap(out, exclude)
-    return out.orderBy("id").limit(n)
+    return out
 
 
 def combined_negatives(positives: DataFrame, sizes: DataFrame, superset: DataFrame, n: int, seed: str, width: int = 200) -> DataFrame:
@@ -202,6 +221,14 @@ def parse_metadata(text: Column, key: str) -> Column:
     )
 
 
+def centres_from_headers(lines: DataFrame, line: str, width: int) -> DataFrame:
+    """(chrom, start, stop): windows of ``width`` around the middle of the place that a FASTA header names (``...chrom:start-stop``); none before the chromosome's start."""
+    place = [F.regexp_extract(line, r"([^:\s>]+):(\d+)-(\d+)", i) for i in (1, 2, 3)]
+    middle = F.floor((place[1].cast("long") + place[2].cast("long")) / 2)
+    rows = lines.where(F.col(line).startswith(">")).select(place[0].alias("chrom"), (middle - width // 2).alias("start"), (middle + width // 2).alias("stop"))
+    return rows.where("start >= 0")
+
+
 def fold_of_chromosomes(counts: list[tuple[str, int]], folds: int) -> dict[str, int]:
     """Chromosomes to folds: the largest seed one fold each, the others go to the least loaded. The list has one entry a chromosome."""
     order = sorted(counts, key=lambda x: (-x[1], x[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import with_ranges
+from .ranges import with_ranges
 
 
 def curve(df: DataFrame, task: str, label: str, score: str) -> DataFrame:
@@ -48,6 +48,13 @@ def ranking_metrics(df: DataFrame, task: str, label: str, score: str, floors: tu
     return out
 
 
+def recall_fdr_thresholds(df: DataFrame, task: str, label: str, score: str, recall: float, fdr: float) -> DataFrame:
+    """(task, at_recall, at_fdr): the greatest threshold whose recall reaches ``recall``, and the least whose precision reaches 1 - ``fdr`` (the greatest score where none does)."""
+    points = curve(df, task, label, score)
+    at_fdr = F.coalesce(F.min(F.when(F.col("precision") >= 1 - fdr, F.col(score))), F.max(score))
+    return points.groupBy(task).agg(F.max(F.when(F.col("recall") >= recall, F.col(score))).alias("at_recall"), at_fdr.alias("at_fdr"))
+
+
 def classification_counts(df: DataFrame, task: str, label: str, score: str, at: float) -> DataFrame:
     """n, positives, accuracy and mean squared error of each task, and of all (task null)."""
     y, right = F.col(label).cast("double"), (F.col(score) >= at).cast("int") == F.col(label)

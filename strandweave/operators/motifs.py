@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +42,16 @@ class Pwm:
         p = self.probabilities()
         return 2 + (p * np.log2(np.maximum(p, 1e-12))).sum(axis=1)
 
+    def gaussian(self) -> Pwm:
+        """Mean 0 and deviation 1 over all weights."""
+        a = self.array()
+        return self.with_array((a - a.mean()) / a.std()) if a.std() else self.with_array(a - a.mean())
+
+    def sampled(self, seed: str) -> str:
+        """A sequence drawn from the probabilities, the same for a seed."""
+        draws = [int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 16**13 for i in range(self.width)]
+        return "".join("ACGT"[min(3, int(np.searchsorted(np.cumsum(p), u, side="right")))] for p, u in zip(self.probabilities(), draws, strict=True))
+
     def consensus(self) -> str:
         return "".join("ACGT"[i] for i in self.array().argmax(axis=1))
 
@@ -99,53 +110,78 @@ def pwm_table(spark: SparkSession, pwms: list[Pwm]) -> DataFrame:
     return spark.createDataFrame(rows, "pwm_idx int, name string, place int, base string, weight double")
 
 
-def kernel(pwms: list[Pwm]) -> np.ndarray:
-    """(motifs, widest, 4): matrices centred in a common width."""
+def prepared(pwms: list[Pwm], unit: bool = True, length_factor: bool = True, both_strands: bool = False) -> np.ndarray:
+    """(motifs, widest, 4): matrices centred in a common width, the form that scans take.
+
+    ``unit`` scales each to length one, ``length_factor`` by its share of the common
+    width; ``both_strands`` appends the reverse complements after all forward motifs.
+    """
     widest = max(p.width for p in pwms)
-    out = np.zeros((len(pwms), widest, 4), np.float32)
+    out = np.zeros((len(pwms), widest, 4))
     for i, p in enumerate(pwms):
         left = (widest - p.width) // 2
         out[i, left : left + p.width] = p.array()
-    return out
+        size = float(np.sqrt((out[i] ** 2).sum()))
+        if unit and size:
+            out[i] /= size
+        if length_factor:
+            out[i] *= p.width / widest
+    return np.concatenate([out, out[:, ::-1, ::-1]]) if both_strands else out
+
+
+def kernel(pwms: list[Pwm]) -> np.ndarray:
+    """Matrices as they are, centred in a common width."""
+    return prepared(pwms, unit=False, length_factor=False)
 
 
 def _one_hot(seq: str) -> np.ndarray:
     codes = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
-    return np.stack([codes == ord(b) for b in "ACGT"], axis=1).astype(np.float32)
+    return np.stack([codes == ord(b) for b in "ACGT"], axis=1).astype(np.float64)
 
 
-def _scores(seq: str, k: np.ndarray) -> np.ndarray:
+def _scores(seq: str, k: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """(offsets, motifs) of all full windows."""
     x, widest = _one_hot(seq), k.shape[1]
+    if weights is not None:
+        x *= weights[: len(x), None]
     if len(x) < widest:
-        return np.zeros((0, len(k)), np.float32)
+        return np.zeros((0, len(k)))
     windows = np.lib.stride_tricks.sliding_window_view(x, widest, axis=0)  # offsets, 4, widest
     return windows.transpose(0, 2, 1).reshape(len(windows), -1) @ k.reshape(len(k), -1).T
 
 
-def scan(seqs: DataFrame, key: str, seq: str, pwms: list[Pwm], above: float = 0.0, two_tailed: bool = False) -> DataFrame:
+def scan(
+    seqs: DataFrame, key: str | list[str], seq: str, pwms: list[Pwm] | np.ndarray, above: float = 0.0, two_tailed: bool = False, weights: str | None = None
+) -> DataFrame:
     """(key, pwm_idx, pos, score) of all windows beyond ``above``: sparse, as most windows are no hit.
 
-    Batches of sequences pass through one matrix product each; the kernel is a
-    constant of the plan. ``two_tailed`` keeps scores below -above as well.
+    Each sequence passes through one matrix product; the kernel is a constant of the
+    plan: motifs as they are, or what ``prepared`` makes of them. ``two_tailed`` keeps
+    scores below -above as well. ``weights`` names an array with a factor for each
+    position (importances). Null sequences have no windows.
     """
-    k = kernel(pwms)
+    k = pwms if isinstance(pwms, np.ndarray) else kernel(pwms)
+    keys = [key] if isinstance(key, str) else key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                keys, motifs, places, values = [], [], [], []
-                for name, text in zip(pdf[key].iloc[a : a + 256], pdf[seq].iloc[a : a + 256], strict=True):
-                    s = _scores(text or "", k)
+            for a in range(0, len(pdf), 64):
+                part = pdf.iloc[a : a + 64]
+                motifs, places, values, counts = [], [], [], []
+                factors = part[weights] if weights else [None] * len(part)
+                for text, w in zip(part[seq], factors, strict=True):
+                    s = _scores(text or "", k, w)
                     at, m = np.nonzero((s > above) | ((s < -above) if two_tailed else False))
-                    keys += [name] * len(at)
                     places.append(at)
                     motifs.append(m)
                     values.append(s[at, m])
-                yield pd.DataFrame({key: keys, "pwm_idx": np.concatenate(motifs), "pos": np.concatenate(places), "score": np.concatenate(values).astype(np.float64)})
+                    counts.append(len(at))
+                out = part[keys].iloc[np.repeat(np.arange(len(part)), counts)].reset_index(drop=True)
+                yield out.assign(pwm_idx=np.concatenate(motifs), pos=np.concatenate(places), score=np.concatenate(values))
 
-    kind = dict(seqs.dtypes)[key]
-    return seqs.select(key, seq).mapInPandas(run, f"{key} {kind}, pwm_idx int, pos long, score double")
+    kinds = dict(seqs.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "pwm_idx int, pos long, score double"])
+    return seqs.select(*keys, seq, *([weights] if weights else [])).mapInPandas(run, schema)
 
 
 def scan_by_join(seqs: DataFrame, key: str, seq: str, pwms: list[Pwm], above: float = 0.0) -> DataFrame:
@@ -164,14 +200,35 @@ def best_hits(hits: DataFrame, key: str) -> DataFrame:
 
 
 def null_positions(seqs: DataFrame, hits: DataFrame, key: str, seq: str, n: int, seed: str) -> DataFrame:
-    """``n`` hashed positions of each sequence, over its own length, at which no motif hits."""
+    """``n`` hashed positions of each sequence, over its own length, at which no motif hits.
+
+    A sequence whose positions all have hits gives those whose hits' sizes sum to the
+    least instead (``hits``: key, pos, score). Shorter sequences give fewer positions.
+    """
     from .scores import hash_rank
 
     last = F.length(seq).cast("long") - 1
-    free = seqs.where(last >= 0).select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pos")).join(hits.select(key, "pos").distinct(), [key, "pos"], "left_anti")
+    cost = hits.groupBy(key, "pos").agg(F.sum(F.abs("score")).alias("_cost"))
+    every = seqs.where(last >= 0).select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pos")).join(cost, [key, "pos"], "left")
+    every = every.withColumn("_cost", F.coalesce("_cost", F.lit(0.0)))
+    least = every.groupBy(key).agg(F.min("_cost").alias("_least"))
+    free = every.join(least, key).where("_cost = _least").select(key, "pos")
     return free.withColumn("_r", hash_rank([key], key, "pos", F.lit(seed))).where(F.col("_r") <= n).drop("_r")
 
 
+def with_null_mutants(mutants: DataFrame, nulls: DataFrame, key: str, aux: str) -> DataFrame:
+    """Null positions (key, pos) appended to the motif mutants (key, aux, pos) as further mutants of their example, numbered on; ``is_null`` tells them apart."""
+    last = mutants.groupBy(key).agg(F.max(aux).alias("_last"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("pos"))  # null_positions gives at most n a sequence
+    numbered = nulls.join(last, key).select(key, (F.col("_last") + order).cast(dict(mutants.dtypes)[aux]).alias(aux), "pos")
+    return mutants.select(key, aux, "pos", F.lit(False).alias("is_null")).unionByName(numbered.withColumn("is_null", F.lit(True)))
+
+
+def agreeing_hits(raw: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
+    """Raw hits at whose place the importance-weighted scan hits as well, with the weighted score beside: (key, pwm_idx, pos, score, weighted)."""
+    return raw.join(weighted.where("score > 0").withColumnRenamed("score", "weighted"), [key, "pwm_idx", "pos"])
+
+
 def beyond_nulls(rows: DataFrame, keys: list[str], value: str, is_null: Column, z: float = 1.645) -> DataFrame:
     """Rows with a flag: does the value leave mean +- z * population deviation of its group's null rows?"""
     limits = rows.where(is_null).groupBy(*keys).agg(F.avg(value).alias("_m"), (z * F.stddev_pop(value)).alias("_d"))

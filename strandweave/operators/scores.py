@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import kth_greatest, null_safe_join
+
 
 def top_k_with_ties(df: DataFrame, keys: list[str], value: Column, k: int) -> DataFrame:
     """Rows whose absolute value is among the k greatest of their group; ties at the border stay."""
@@ -12,16 +14,21 @@ def top_k_with_ties(df: DataFrame, keys: list[str], value: Column, k: int) -> Da
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def null_thresholds(nulls: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The k-th greatest absolute value of each group's null scores, k = floor(share * n), at least 1."""
-    order = Window.partitionBy(*keys).orderBy(F.col("_a").desc())
-    ranked = nulls.select(*keys, F.abs(F.col(value)).alias("_a")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("_r", F.row_number().over(order))
-    return ranked.where(F.col("_r") == F.greatest(F.floor(F.col("_n") * share), F.lit(1))).select(*keys, F.col("_a").alias("threshold"))
+def null_thresholds(nulls: DataFrame, keys: list[str], value: str, share: float, cells: DataFrame | None = None) -> DataFrame:
+    """The k-th greatest absolute value of each group's null scores, k = floor(share * n), at least 1.
+
+    n is the number of rows, or for sparse scores that of all cells, zeros included:
+    ``cells`` (keys, cells). Where k exceeds the rows present the threshold is 0.
+    """
+    sizes = nulls.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells")) if cells is None else cells
+    k = sizes.select(*keys, F.greatest(F.floor(F.col("cells") * share), F.lit(1)).alias("k"))
+    return kth_greatest(nulls.select(*keys, F.abs(F.col(value)).cast("double").alias("_a")), keys, "_a", k, "threshold")
 
 
 def above_null(scores: DataFrame, thresholds: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Scores strictly beyond their group's threshold on either side."""
-    return scores.join(thresholds, keys).where((F.col(value) > F.col("threshold")) | (F.col(value) < -F.col("threshold"))).drop("threshold")
+    """Scores strictly beyond their group's threshold on either side; a group without nulls has the threshold 0."""
+    limit = F.coalesce("threshold", F.lit(0.0))
+    return null_safe_join(scores, thresholds, keys, "left").where((F.col(value) > limit) | (F.col(value) < -limit)).drop("threshold")
 
 
 def above_gaussian(scores: DataFrame, keys: list[str], value: str, sds: float = 3.0) -> DataFrame:
@@ -91,17 +98,19 @@ def hash_rank(keys: list[str], *parts: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(text)))
 
 
-def poisson_limits(scores: DataFrame, keys: list[str], value: str, share: float, most: int = 200) -> DataFrame:
-    """(keys, limit): the least count whose Poisson probability of at most that many, at the group's mean, reaches 1 - share.
+def poisson_limits(scores: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, limit): the least count, 1 at least, whose Poisson probability of at most that many, at the group's mean, reaches 1 - share.
 
-    ``most`` bounds the counts looked at and should be several times the largest mean.
+    Terms are summed in log space up to mean + 12 deviations + 20, beyond which nothing
+    that a double can tell is left.
     """
-    means = scores.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    start = F.struct(F.lit(0).alias("k"), F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("sum"))
+    means = scores.groupBy(*keys).agg(F.avg(value).cast("double").alias("_m")).withColumn("_top", F.ceil(F.col("_m") + 12 * F.sqrt("_m") + 20).cast("int"))
+    start = F.struct(F.lit(0).alias("k"), (-F.col("_m")).alias("log_p"), F.exp(-F.col("_m")).alias("sum"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("_m") / k
-        done = acc["sum"] >= 1 - share
-        return F.struct(F.when(done, acc["k"]).otherwise(k).alias("k"), F.when(done, acc["p"]).otherwise(p).alias("p"), F.when(done, acc["sum"]).otherwise(acc["sum"] + p).alias("sum"))
+        log_p = acc["log_p"] + F.ln(F.col("_m") / k)
+        done = (acc["sum"] >= 1 - share) & (acc["k"] > 0)
+        return F.struct(F.when(done, acc["k"]).otherwise(k).alias("k"), log_p.alias("log_p"), F.when(done, acc["sum"]).otherwise(acc["sum"] + F.exp(log_p)).alias("sum"))
 
-    return means.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["k"]).alias("limit"))
+    found = F.aggregate(F.sequence(F.lit(1), F.col("_top")), start, step, lambda acc: acc["k"])
+    return means.select(*keys, F.when(F.col("_m") > 0, found).otherwise(1).alias("limit"))

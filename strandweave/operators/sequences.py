@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as fx
+from .ranges import with_ranks
 
 
 def chunked(seqs: DataFrame, name: str, seq: str, size: int) -> DataFrame:
@@ -60,9 +61,8 @@ def epistasis(combos: DataFrame, example: str, combo: str, value: str) -> DataFr
 
 
 def barcoded(seqs: DataFrame, barcodes: DataFrame, key: str, per_sequence: int) -> DataFrame:
-    """Give each sequence its next ``per_sequence`` barcodes (barcode, rank: numbered from 0 without gaps)."""
-    order = Window.orderBy(key)  # a library has as many rows as an order to a vendor
-    rows = seqs.withColumn("_n", F.row_number().over(order) - 1).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(per_sequence - 1))))
+    """Give each sequence its next ``per_sequence`` barcodes (barcode, rank: numbered from 0 without gaps). Sequences are numbered in the order of a numeric key, range by range."""
+    rows = with_ranks(seqs, [], key, ordinal="_n").withColumn("_n", F.col("_n") - 1).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(per_sequence - 1))))
     return rows.withColumn("rank", (F.col("_n") * per_sequence + F.col("copy")).cast("long")).join(barcodes, "rank").drop("_n")
 
 

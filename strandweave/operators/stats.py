@@ -8,40 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import null_safe_join, percentiles, with_ranges, with_ranks  # noqa: F401
 from .scores import hash_rank
 
 
-#: Into how many ranges of values a group is cut for ranking, so that one large group spreads over many tasks.
-RANGES = 32
-
-
-def with_ranges(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: which of the group's value ranges (cut at approximate quantiles) a row lies in. Equal values share a range; rows with a null key are left out."""
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares).alias("_cuts"))
-    return df.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-
-
-def with_ranks(df: DataFrame, keys: list[str], value: str, tie: list[str] | None = None, average: str | None = None, ordinal: str | None = None) -> DataFrame:
-    """Add ranks from 1 within each group: ``average`` (equal values share their mean rank) and ``ordinal`` (ties by ``tie``).
-
-    A group is ranked range by range; the ranks before a range are a sum over at most
-    RANGES rows, so no group has to fit into one task.
-    """
-    rows = with_ranges(df, keys, value)
-    sizes = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = rows.join(offsets, [*keys, "_range"])
-    inside = Window.partitionBy(*keys, "_range")
-    if average:
-        same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_range", value))
-        out = out.withColumn(average, F.col("_before") + F.rank().over(inside.orderBy(value)) + (same - 1) / 2)
-    if ordinal:
-        out = out.withColumn(ordinal, F.col("_before") + F.row_number().over(inside.orderBy(value, *(tie or []))))
-    return out.drop("_range", "_before")
-
-
 def correlations(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) of each group."""
     ranked = with_ranks(with_ranks(df, keys, x, average="_rx"), keys, y, average="_ry")
@@ -55,21 +25,62 @@ def pair_correlations(df: DataFrame, example: str, item: str, value: str) -> Dat
     return a.join(b, example).where("i < j").groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def interpolated(values: DataFrame, curve: DataFrame, keys: list[str], x: str, curve_x: str, curve_y: str, out: str) -> DataFrame:
+def strong_pairs(pairs: DataFrame, least_r: float, least_t: float) -> DataFrame:
+    """Pairs (r, n) whose correlation and its t statistic reach the thresholds in size."""
+    t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).otherwise(F.signum("r") * float("inf"))
+    return pairs.where((F.abs("r") >= least_r) & (F.abs(t) >= least_t))
+
+
+def interpolated(values: DataFrame, curve: DataFrame, keys: list[str], x: str, curve_x: str, curve_y: str, out: str, curve_y_left: str | None = None) -> DataFrame:
     """Piecewise linear value of ``curve`` (keys, x, y) at each row's x, flat beyond its ends.
 
-    The neighbours come from one ordered pass over both tables: the last curve point
-    at or before x and the first one at or after it.
+    The neighbours come from one pass over both tables in either direction: the last
+    curve point at or before x and the first one at or after it. Both frames grow by a
+    row at a time, so time grows with the rows. A curve that jumps has one row for its
+    x, with the y to the right of it in ``curve_y`` and to the left in ``curve_y_left``.
     """
-    point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
+    point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"), F.col(curve_y_left or curve_y).cast("double").alias("left"))
     c = curve.select(*keys, F.col(curve_x).cast("double").alias("_x"), point.alias("_point"))
     rows = values.select("*", F.col(x).cast("double").alias("_x")).unionByName(c, allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy("_x").rangeBetween(0, Window.unboundedFollowing)
-    near = rows.withColumn("_lo", F.last("_point", ignorenulls=True).over(before)).withColumn("_hi", F.first("_point", ignorenulls=True).over(after)).where(F.col("_point").isNull())
-    lo, hi = F.coalesce("_lo", "_hi"), F.coalesce("_hi", "_lo")
+    after = Window.partitionBy(*keys).orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_lo", F.last("_point", ignorenulls=True).over(before)).withColumn("_hi", F.last("_point", ignorenulls=True).over(after)).where(F.col("_point").isNull())
+    lo, hi = F.col("_lo"), F.col("_hi")
     share = F.coalesce(F.try_divide(F.col("_x") - lo["x"], hi["x"] - lo["x"]), F.lit(0.0))
-    return near.withColumn(out, lo["y"] + share * (hi["y"] - lo["y"])).select(*values.columns, out)
+    value = F.when(lo.isNull(), hi["left"]).when(hi.isNull(), lo["y"]).otherwise(lo["y"] + share * (hi["left"] - lo["y"]))
+    return near.withColumn(out, value).select(*values.columns, out)
+
+
+def rank_curve(xs: DataFrame, ys: DataFrame, keys: list[str], x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(keys, x, y, left): the curve through (r-th least x, r-th least y) of each group, one row for each x.
+
+    ``ys`` is ranked within ``by`` (by default the same keys); of the ranks that share
+    an x, y is the last and left the first one's.
+    """
+    over = keys if by is None else by
+    ranked = with_ranks(xs.select(*keys, F.col(x).cast("double").alias("x")), keys, "x", ordinal="_r")
+    other = with_ranks(ys.select(*over, F.col(y).cast("double").alias("y")), over, "y", ordinal="_r")
+    return null_safe_join(ranked, other, [*over, "_r"]).groupBy(*keys, "x").agg(F.max("y").alias("y"), F.min("y").alias("left"))
+
+
+def normalised_to_reference(signals: DataFrame, reference: DataFrame, task: str, value: str, out: str) -> DataFrame:
+    """Signals of each task mapped to the distribution that the reference rows of all tasks have in common, as log2, with what isn't above 1 set to 0.
+
+    The common distribution is, rank by rank, the mean over tasks; tasks must have
+    equally many reference rows. Values between reference values are interpolated.
+    """
+    ranked = with_ranks(reference.select(task, F.col(value).cast("double").alias("x")), [task], "x", ordinal="_r")
+    means = ranked.groupBy("_r").agg(F.avg("x").alias("_t"))
+    curve = ranked.join(means, "_r").groupBy(task, "x").agg(F.max("_t").alias("y"), F.min("_t").alias("left"))
+    mapped = interpolated(signals, curve.withColumnsRenamed({"x": "_cx", "y": "_cy", "left": "_cl"}), [task], value, "_cx", "_cy", out, "_cl")
+    return mapped.withColumn(out, F.when(F.col(out) > 1, F.log2(out)).otherwise(0.0))
+
+
+def logits_to_labels(logits: DataFrame, sample_logits: DataFrame, sample_labels: DataFrame, model: str, task: str, value: str, label: str, key: str) -> DataFrame:
+    """(key, task, value): logits mapped by rank to the labels of a sample, for each model and task, then averaged over models. The order within a model and task stays."""
+    curve = rank_curve(sample_logits, sample_labels, [model, task], value, label, by=[task])
+    mapped = interpolated(logits, curve.withColumnsRenamed({"x": "_cx", "y": "_cy", "left": "_cl"}), [model, task], value, "_cx", "_cy", "_mapped", "_cl")
+    return mapped.groupBy(key, task).agg(F.avg("_mapped").alias(value))
 
 
 def quantile_normalised(signals: DataFrame, item: str, task: str, value: str, out: str) -> DataFrame:
@@ -85,7 +96,7 @@ def quantile_normalised(signals: DataFrame, item: str, task: str, value: str, ou
 
 def quantile_bins(df: DataFrame, value: str, n: int) -> DataFrame:
     """One row with the ``n`` + 1 edges of equally filled bins, interpolated at i * count / n."""
-    return df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("edges"))
+    return percentiles(df, [], value, [i / n for i in range(n + 1)], "edges")
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -98,13 +109,57 @@ def bin_of(value: Column, edges: Column) -> Column:
 def matched_sample(foreground: DataFrame, background: DataFrame, key: str, bins: list[str], seeds: int, per: float = 1.0) -> DataFrame:
     """(seed, key, bins): for each seed as many background rows of each bin as the foreground has (times ``per``), picked by hash.
 
-    Bins that the background can't fill give all they have.
+    Bins that the background can't fill give all they have. Rows with null bins match nothing.
+
+    Before rows are ranked, those far beyond the wanted rank by their hash are left out;
+    that a bin then has too few is less likely than 1 in 10^20.
     """
     wanted = foreground.groupBy(*bins).agg(F.ceil(F.count(F.lit(1)) * per).alias("_wanted"))
-    rows = background.select(key, *bins).join(wanted, bins).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    sizes = background.groupBy(*bins).agg(F.count(F.lit(1)).alias("_size"))
+    share = (F.col("_wanted") + 12 * F.sqrt("_wanted") + 100) / F.col("_size")
+    rows = background.select(key, *bins).join(wanted.join(sizes, bins).withColumn("_share", share), bins).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("seed").cast("string"))), 1, 13), 16, 10).cast("double") / float(2**52)
+    rows = rows.where(place <= F.col("_share"))
     return rows.withColumn("_r", hash_rank(["seed", *bins], key, "seed")).where(F.col("_r") <= F.col("_wanted")).select("seed", key, *bins)
 
 
+def matched_with_replacement(foreground: DataFrame, background: DataFrame, key: str, bins: list[str], seeds: int) -> DataFrame:
+    """(seed, bins, draw, key): for each seed and foreground row of a cell one background row of that cell, drawn by hash; cells without background give none. ``key`` is a number."""
+    numbered = with_ranks(background.select(key, *bins), bins, key, ordinal="_r").withColumn("_r", F.col("_r").cast("long"))
+    sizes = background.groupBy(*bins).agg(F.count(F.lit(1)).alias("_size"))
+    wanted = foreground.groupBy(*bins).agg(F.count(F.lit(1)).alias("_wanted")).join(sizes, bins)
+    draws = wanted.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_wanted"))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(b).cast("string") for b in bins], F.col("seed").cast("string"), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("long")
+    picked = draws.withColumn("_r", F.pmod(number, F.col("_size")) + 1)
+    return picked.join(numbered, [*bins, "_r"]).select("seed", *bins, "draw", key)
+
+
+def empirical_p(observed: DataFrame, nulls: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, p): the share of null values that are at least the observed one."""
+    met = null_safe_join(nulls.select(*keys, F.col(value).alias("_null")), observed, keys)
+    return met.groupBy(*keys, value).agg(F.avg((F.col("_null") >= F.col(value)).cast("double")).alias("p"))
+
+
+def median_of_medians(rows: DataFrame, keys: list[str], sample: str, value: str) -> DataFrame:
+    """(keys, median): the median over samples of each sample's median."""
+    each = percentiles(rows, [*keys, sample], value, [0.5], "_m").withColumn("_m", F.get("_m", 0))
+    return percentiles(each, keys, "_m", [0.5], "median").withColumn("median", F.get("median", 0))
+
+
+def permutation_p(rows: DataFrame, key: str, values: str, n: int, permutations: int) -> DataFrame:
+    """(place, mean, p): for each of ``n`` places of an array the mean, and how often it isn't above the mean of values taken from a random place of each row.
+
+    Rows are multiplied by the permutations and summed on the map side; only
+    ``permutations`` means and ``n`` means are shuffled.
+    """
+    draws = rows.select(key, values, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_b"))
+    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_b").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+    nulls = draws.groupBy("_b").agg(F.avg(F.get(values, place)).alias("_null"))
+    means = rows.select(F.posexplode(values).alias("place", "_v")).groupBy("place").agg(F.avg("_v").alias("mean"))
+    met = means.crossJoin(F.broadcast(nulls))  # n x permutations rows
+    return met.groupBy("place", "mean").agg(F.avg((F.col("mean") - F.col("_null") <= 0).cast("double")).alias("p"))
+
+
 def bootstrap_difference(foreground: DataFrame, sampled: DataFrame, item: str, value: str) -> DataFrame:
     """Per item: foreground mean, mean of the samples' means, and p = share of samples with foreground - sample <= 0. ``sampled`` has a seed column."""
     fg = foreground.groupBy(item).agg(F.avg(value).alias("fg"))
@@ -113,13 +168,13 @@ def bootstrap_difference(foreground: DataFrame, sampled: DataFrame, item: str, v
     return joined.groupBy(item).agg(F.first("fg").alias("fg"), F.avg("bg").alias("bg"), F.avg((F.col("fg") - F.col("bg") <= 0).cast("double")).alias("p"))
 
 
-def sign_flip(df: DataFrame, item: str, key: str, value: str, permutations: int) -> DataFrame:
-    """Per item the observed sum and the two-tailed share of hashed sign flips at least as far out."""
+def sign_flip(df: DataFrame, items: list[str], key: str, value: str, permutations: int) -> DataFrame:
+    """Per group of ``items`` the observed sum and the two-tailed share of hashed sign flips at least as far out."""
     flips = df.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     sign = F.when(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("seed").cast("string"))), 1, 1) < "8", 1).otherwise(-1)
-    sums = flips.groupBy(item, "seed").agg(F.sum(sign * F.col(value)).alias("_s"))
-    observed = df.groupBy(item).agg(F.sum(value).alias("observed"))
-    return sums.join(observed, item).groupBy(item).agg(F.first("observed").alias("observed"), F.avg((F.abs("_s") >= F.abs("observed")).cast("double")).alias("p"))
+    sums = flips.groupBy(*items, "seed").agg(F.sum(sign * F.col(value)).alias("_s"))
+    observed = df.groupBy(*items).agg(F.sum(value).alias("observed"))
+    return null_safe_join(sums, observed, items).groupBy(*items).agg(F.first("observed").alias("observed"), F.avg((F.abs("_s") >= F.abs("observed")).cast("double")).alias("p"))
 
 
 def fdr_threshold(p_values: DataFrame, p: str, fdr: float, bins: int = 50) -> float:
@@ -204,6 +259,6 @@ def rank_sum(df: DataFrame, keys: list[str], value: str, positive: Column) -> Da
 
 def trimmed_deviation(df: DataFrame, keys: list[str], value: str, share: float = 0.75) -> DataFrame:
     """Population deviation of the values whose size is at most the ``share`` percentile of sizes and not 0."""
-    limits = df.groupBy(*keys).agg(F.percentile(F.abs(value), share).alias("_limit"))
-    kept = df.join(limits, keys).where((F.abs(value) <= F.col("_limit")) & (F.col(value) != 0))
+    limits = percentiles(df, keys, F.abs(value), [share], "_limit").withColumn("_limit", F.get("_limit", 0))
+    kept = null_safe_join(df, limits, keys).where((F.abs(value) <= F.col("_limit")) & (F.col(value) != 0))
     return kept.groupBy(*keys).agg(F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).alias("n"))

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import blocks
 from ..operators.intervals import tile
 from ..operators.motifs import Pwm, from_probabilities
 
@@ -48,11 +47,33 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, size: int = 10_000) -> DataFrame:
-    """(chrom, chunk, seq): sequences cut to chunks; a record of the file is one value on the way."""
-    records = spark.read.text(path, lineSep="\n>").where(F.length(F.trim("value")) > 0)
-    head, body = F.substring_index("value", "\n", 1), F.expr("substring(value, instr(value, '\n') + 1)")
-    named = records.select(F.regexp_replace(F.split(head, r"\s")[0], "^>", "").alias("chrom"), F.upper(F.regexp_replace(body, r"\s", "")).alias("whole"))
-    return named.select("chrom", F.posexplode(blocks(F.col("whole"), size)).alias("chunk", "seq"))
+    """(chrom, chunk, seq): sequences cut to chunks of ``size`` bases, upper case.
+
+    Lines are read as rows in the order of their file blocks; what a block has to know
+    of those before it (the record that reaches into it and how far that has come) is
+    one row a block. No value is longer than a line or a chunk.
+    """
+    line, head = F.trim("value"), F.regexp_extract(F.trim("value"), r"^>(\S*)", 1)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"),
+        F.when(line.startswith(">"), head).alias("_h"), F.when(line.startswith(">"), F.lit("")).otherwise(F.upper(line)).alias("_s"),
+    )
+    inside = Window.partitionBy("_f", "_b").orderBy("_i")
+    rows = lines.withColumn("_k", F.count("_h").over(inside)).withColumn("_name", F.last("_h", ignorenulls=True).over(inside))
+    rows = rows.withColumn("_at", F.coalesce(F.sum(F.length("_s")).over(Window.partitionBy("_f", "_b", "_k").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = rows.groupBy("_f", "_b").agg(F.max("_k").alias("_n"), F.sum(F.length("_s")).alias("_all"), F.max_by("_name", "_i").alias("_last"), F.max_by(F.col("_at") + F.length("_s"), "_i").alias("_open"))
+    earlier = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks_before = whole.withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    began = F.when(F.col("_n") > 0, F.col("_before") + F.col("_all") - F.col("_open"))
+    carried = blocks_before.withColumn("_began", F.last(began, ignorenulls=True).over(earlier)).withColumn("_from", F.last(F.when(F.col("_n") > 0, F.col("_last")), ignorenulls=True).over(earlier))
+    placed = rows.join(carried.select("_f", "_b", "_from", (F.col("_before") - F.col("_began")).alias("_carry")), ["_f", "_b"]).where(F.length("_s") > 0)
+    chrom = F.when(F.col("_k") > 0, F.col("_name")).otherwise(F.col("_from"))
+    at = F.col("_at") + F.when(F.col("_k") > 0, 0).otherwise(F.coalesce("_carry", F.lit(0)))
+    pieces = placed.select(chrom.alias("chrom"), at.alias("_at"), "_s").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.length("_s") - 1) / size))))
+    begin = F.greatest(F.col("chunk") * size - F.col("_at"), F.lit(0))
+    part = F.substring("_s", (begin + 1).cast("int"), ((F.col("chunk") + 1) * size - F.col("_at") - begin).cast("int"))
+    cut = pieces.select("chrom", "chunk", F.struct((F.col("_at") + begin).alias("at"), part.alias("s")).alias("p"))
+    return cut.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list("p")).alias("_p")).select("chrom", F.col("chunk").cast("int").alias("chunk"), F.array_join(F.col("_p.s"), "").alias("seq"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +83,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").cast(kinds.get(t, "string")).alias(c.replace(".", "_")) for c, t in raw.dtypes])
 
 
+def read_folder(spark: SparkSession, data_format: str, folder: str, pattern: str = "*", skip: str | None = "manifold", schema: str | None = None, **options) -> DataFrame:
+    """All files below a folder whose name fits ``pattern``, but for those whose name holds ``skip``. A CSV-like format needs a schema."""
+    reader = spark.read.format(data_format).options(pathGlobFilter=pattern, recursiveFileLookup="true", **options)
+    out = (reader.schema(schema) if schema else reader).load(folder)
+    return out if skip is None else out.where(~F.col("_metadata.file_name").contains(skip))
+
+
+def read_summary_statistics(spark: SparkSession, path: str, columns: list[str], statistic: str = "Z") -> DataFrame:
+    """Chosen columns of a TSV with header, without rows that lack the statistic."""
+    return read_table(spark, path).select(*columns, F.col(statistic).cast("double").alias(statistic)).dropna(subset=[statistic])
+
+
 def read_pwms(lines: list[str], probabilities: bool = False) -> list[Pwm]:
     """Motifs from ``>name`` lines and rows of four numbers."""
     out: list[tuple[str, list[list[float]]]] = []
