@@ -139,10 +139,10 @@ def signal_mean(spark, d):
     return iv.mean_signal(iv_b(spark, d), track(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT p.id AS name, floor((tr.start - (p.start - 500)) / 100)::BIGINT AS place, sum(value)::BIGINT AS sum, count(*) AS n FROM (SELECT * FROM b WHERE id % 10 = 0) p JOIN tr ON p.chrom = tr.chrom AND tr.start >= p.start - 500 AND tr.start < p.start + 500 GROUP BY ALL")
+@query("SELECT p.id AS name, floor((tr.start - (p.start - 500)) / 100)::BIGINT AS place, sum(value)::BIGINT AS sum, count(*) AS n FROM b p JOIN tr ON p.chrom = tr.chrom AND tr.start >= p.start - 500 AND tr.start < p.start + 500 GROUP BY ALL")
 def signal_matrix(spark, d):
     """Track values in steps around reference points (every tenth interval is a point of the set)."""
-    points = iv_b(spark, d).where("id % 10 = 0").select("chrom", F.col("start").alias("center"), F.col("id").alias("name"))
+    points = iv_b(spark, d).select("chrom", F.col("start").alias("center"), F.col("id").alias("name"))
     return iv.signal_around(points, track(spark, d), 500, 500, 100)
 
 

@@ -18,14 +18,14 @@ def _linear():
 
 
 def model_scores(spark, d):
-    """L6, M10, 2.17: scores of a pluggable model."""
+    """L6, 2.17: scores of a pluggable model."""
     out = mo.score(table(spark, d, "embeddings"), _linear, ["embedding"], "logits")
     return out.select("vec_id", F.round(F.get("logits", 0), 4).alias("logit"))
 
 
 def ensemble_mean(spark, d):
     """Mean of three models with its interval."""
-    c = cube(spark, d).where("dim <= 4").select("vec_id", "dim", F.col("value").cast("double").alias("value"))
+    c = cube(spark, d).select("vec_id", "dim", F.col("value").cast("double").alias("value"))
     runs = [c.withColumn("value", F.col("value") * k) for k in (1, 2, 3)]
     out = mo.ensemble(runs, ["vec_id", "dim"], "value")
     return out.select("vec_id", "dim", *[F.round(x, 5).alias(x) for x in ("value", "low", "high")])
@@ -40,4 +40,4 @@ def forest_baseline(spark, d):
 
 QUERIES |= {f.__name__: f for f in (model_scores, ensemble_mean, forest_baseline)}
 ORACLES["model_scores"] = f"SELECT vec_id, round(sum(value::DOUBLE * dim / 100), 4) AS logit FROM ({CUBE}) GROUP BY vec_id"
-ORACLES["ensemble_mean"] = f"SELECT vec_id, dim, round(avg(v * k), 5) AS value, round(avg(v * k) - 2.576 * stddev_pop(v * k) / sqrt(3), 5) AS low, round(avg(v * k) + 2.576 * stddev_pop(v * k) / sqrt(3), 5) AS high FROM (SELECT vec_id, dim, value::DOUBLE AS v FROM ({CUBE}) WHERE dim <= 4), (VALUES (1), (2), (3)) t(k) GROUP BY ALL"
+ORACLES["ensemble_mean"] = f"SELECT vec_id, dim, round(avg(v * k), 5) AS value, round(avg(v * k) - 2.576 * stddev_pop(v * k) / sqrt(3), 5) AS low, round(avg(v * k) + 2.576 * stddev_pop(v * k) / sqrt(3), 5) AS high FROM (SELECT vec_id, dim, value::DOUBLE AS v FROM ({CUBE})), (VALUES (1), (2), (3)) t(k) GROUP BY ALL"

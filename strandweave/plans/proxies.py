@@ -14,7 +14,7 @@ TRACK = "SELECT concat('chr', l_suppkey % 3) AS chrom, l_partkey*500 + l_linenum
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SEQ = f"SELECT doc_id, regexp_replace(translate(lower(text), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N'{{flags}}) AS whole FROM documents"
-SEQ_SQL = "SELECT doc_id, substr(whole, 1, 1000) AS seq FROM (" + SEQ.format(flags=", 'g'") + ")"
+SEQ_SQL = "SELECT doc_id, whole AS seq FROM (" + SEQ.format(flags=", 'g'") + ")"
 CUBE = "SELECT vec_id, label, i AS dim, embedding[i] AS value FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embeddings)"
 HIT = 0.15
 CLF = "SELECT d.doc_id, l.quality, l.toxic, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as ar
 from ..functions.selectors import parse_selection
 from ..operators import scores as sc
+from ..operators.ranges import percentiles
 from . import proxies as px
 from .proxies import CUBE, HITS, SERIES, cube, hits, series, table
 
@@ -194,19 +195,19 @@ def fold_strands(spark, d):
     return hits(spark, d).groupBy((F.col("dim") % 32).alias("pwm"), "vec_id").agg(F.round(F.sum(F.col("value").cast("double")), 5).alias("total"), F.bool_or(F.col("value") > F.lit(0.3).cast("float")).alias("strong"))
 
 
-@query("SELECT vec_id FROM (SELECT vec_id, avg(CASE WHEN (label % 2 > 0) = (value >= 0) THEN 1.0 ELSE 0.0 END) AS s FROM cube WHERE dim <= 10 GROUP BY vec_id) WHERE s >= 0.6")
+@query("SELECT vec_id FROM (SELECT vec_id, avg(CASE WHEN (label % 2 > 0) = (value >= 0) THEN 1.0 ELSE 0.0 END) AS s FROM cube GROUP BY vec_id) WHERE s >= 0.52")
 def accuracy_filter(spark, d):
     """rows whose tasks are mostly predicted right."""
     t = table(spark, d, E)
-    labels = F.array_repeat((F.col("label") % 2), 10)
-    right = ar.share_correct(labels, F.slice("embedding", 1, 10), 0.0)
-    return t.where(right >= 0.6).select("vec_id")
+    labels = F.array_repeat((F.col("label") % 2), 64)
+    right = ar.share_correct(labels, F.col("embedding"), 0.0)
+    return t.where(right >= 0.52).select("vec_id")
 
 
-@query("SELECT vec_id, dim, round(1 / (1 + exp(-value::DOUBLE)), 6) AS p, round(CASE WHEN value * 10 > 1 THEN log2(value::DOUBLE * 10) ELSE 0 END, 5) AS lg, round(greatest(value::DOUBLE, 0), 6) AS relu FROM cube WHERE dim <= 8 AND abs(value::DOUBLE * 10 - 1) > 1e-4")
+@query("SELECT vec_id, dim, round(1 / (1 + exp(-value::DOUBLE)), 6) AS p, round(CASE WHEN value::DOUBLE * 10 > 1 THEN log2(value::DOUBLE * 10) ELSE 0 END, 5) AS lg, round(greatest(value::DOUBLE, 0), 6) AS relu FROM cube")
 def scalar_maths(spark, d):
-    """Sigmoid, floored log2, relu."""
-    c = cube(spark, d).withColumn("v", F.col("value").cast("double")).where((F.col("dim") <= 8) & (F.abs(F.col("v") * 10 - 1) > 1e-4))
+    """Sigmoid, floored log2, relu."""
+    c = cube(spark, d).withColumn("v", F.col("value").cast("double"))
     return c.select("vec_id", "dim", F.round(ar.sigmoid(F.col("v")), 6).alias("p"), F.round(ar.log2_floor(F.col("v") * 10), 5).alias("lg"), F.round(F.greatest("v", F.lit(0.0)), 6).alias("relu"))
 
 
@@ -247,12 +248,13 @@ def solo_filter(spark, d):
 def median_by_group(spark, d):
     """Median and count of groups that are large enough."""
     t = hits(spark, d).groupBy("vec_id", "label").agg(F.sum(F.col("value").cast("double")).alias("total"))
-    return t.groupBy("label").agg(F.round(F.median("total"), 6).alias("median"), F.count(F.lit(1)).alias("n")).where("n > 5")
+    medians = percentiles(t, ["label"], "total", [0.5], "median")
+    return t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 5").join(medians, "label").select("label", F.round(F.get("median", 0), 6).alias("median"), "n")
 
 
 @query("SELECT vec_id, total FROM (SELECT vec_id, round(sum(value::DOUBLE), 6) AS total FROM cube GROUP BY vec_id) ORDER BY abs(total) DESC, vec_id LIMIT 20")
 def top_absolute(spark, d):
-    """The twenty greatest by absolute value."""
+    """The twenty greatest by absolute value."""
     t = cube(spark, d).groupBy("vec_id").agg(F.round(F.sum(F.col("value").cast("double")), 6).alias("total"))
     return t.orderBy(F.abs("total").desc(), "vec_id").limit(20)
 
@@ -268,8 +270,8 @@ def seeded_sample(spark, d):
 def percentile_filter(spark, d):
     """Rows above the ninth decile."""
     t = cube(spark, d).groupBy("vec_id").agg(F.sum(F.col("value").cast("double")).alias("s"))
-    limit = t.agg(F.percentile("s", 0.9).alias("limit"))
-    return t.crossJoin(F.broadcast(limit)).where("s > limit").select("vec_id")
+    limit = percentiles(t, [], "s", [0.9], "limit")  # one row
+    return t.crossJoin(F.broadcast(limit)).where(F.col("s") > F.get("limit", 0)).select("vec_id")
 
 
 @query("""SELECT user_id, min(k)::INTEGER AS "limit" FROM (SELECT user_id, k, sum(exp(-m + k * ln(m) - lgamma(k + 1.0))) OVER (PARTITION BY user_id ORDER BY k) AS c FROM (SELECT user_id, avg(floor(value / 10)) AS m FROM events GROUP BY user_id), range(200) t(k)) WHERE c >= 0.95 GROUP BY user_id""")

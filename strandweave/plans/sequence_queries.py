@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as fx
 from ..operators import motifs as mo
 from ..operators import sequences as sq
+from ..operators.ranges import with_ranks
 from .proxies import SEQ_SQL, seqs, table
 
 QUERIES, ORACLES = {}, {}
@@ -52,13 +53,13 @@ def block_shuffles(spark, d):
 
 @query("SELECT doc_id, k AS combo, concat(substr(seq, 1, 2), CASE WHEN k % 2 = 1 THEN 'T' ELSE substr(seq, 3, 1) END, substr(seq, 4, 4), CASE WHEN (k >> 1) % 2 = 1 THEN 'T' ELSE substr(seq, 8, 1) END, substr(seq, 9)) AS seq FROM seqs, range(4) r(k) WHERE length(seq) > 10")
 def combinatorial_mutants(spark, d):
-    """All mutants of two positions."""
+    """All mutants of two positions."""
     return sq.combinations(seqs(spark, d).where("length(seq) > 10"), [2, 7], "T", "seq").select("doc_id", F.col("combo").cast("long").alias("combo"), "seq")
 
 
 @query(f"SELECT doc_id, pwm AS pwm_idx, score, pos, n_hits, total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pwm ORDER BY score DESC, pos) AS r, count(*) OVER (PARTITION BY doc_id, pwm) AS n_hits, sum(score) OVER (PARTITION BY doc_id, pwm) AS total FROM ({SCAN}) WHERE score > 4) WHERE r = 1")
 def motif_scan(spark, d):
-    """Best hit, hits and sum of each sequence and motif."""
+    """Best hit, hits and sum of each sequence and motif."""
     hits = mo.scan(seqs(spark, d), "doc_id", "seq", PWMS, above=4.0)
     return mo.best_hits(hits, "doc_id")
 
@@ -80,10 +81,10 @@ def motif_scan_two_tailed(spark, d):
     return hits.groupBy("pwm_idx", (F.col("score") > 0).alias("positive")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY md5(concat(doc_id, ':', pos, ':null'))) AS r FROM (SELECT doc_id, unnest(range(100)) AS pos FROM seqs) f
+@query(f"""SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY md5(concat(doc_id, ':', pos, ':null'))) AS r FROM (SELECT doc_id, unnest(range(length(seq))) AS pos FROM seqs) f
   WHERE NOT EXISTS (SELECT 1 FROM ({SCAN}) h WHERE h.score > 4 AND h.doc_id = f.doc_id AND h.pos = f.pos)) WHERE r <= 5""")
 def null_positions(spark, d):
-    """M7, M8: five hashed positions without a motif."""
+    """M7: five hashed positions without a motif."""
     s = seqs(spark, d)
     return mo.null_positions(s, mo.scan(s, "doc_id", "seq", PWMS, above=4.0), "doc_id", "seq", 5, "null")
 
@@ -135,14 +136,16 @@ def compatible_fragments(spark, d):
 
 
 CODES = "SELECT i, translate(substr(md5(concat(i, ':bc:0')), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS barcode FROM range(400) t(i)"
+MANY_CODES = CODES.replace("range(400)", "range(3 * (SELECT count(*) FROM seqs))")
 
 
-@query(f"SELECT doc_id, rank, copy, barcode FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) * 2 + copy AS rank, copy FROM (SELECT doc_id FROM seqs ORDER BY doc_id LIMIT 100), (VALUES (0), (1)) v(copy)) s JOIN (SELECT row_number() OVER (ORDER BY i) - 1 AS rank, barcode FROM ({CODES}) WHERE NOT contains(barcode, 'AAAA')) b USING (rank)".replace("(row_number() OVER (ORDER BY doc_id) - 1) * 2 + copy", "(dense_rank() OVER (ORDER BY doc_id) - 1) * 2 + copy"))
+@query(f"SELECT doc_id, rank, copy, barcode FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) * 2 + copy AS rank, copy FROM (SELECT doc_id FROM seqs), (VALUES (0), (1)) v(copy)) s JOIN (SELECT row_number() OVER (ORDER BY i) - 1 AS rank, barcode FROM ({MANY_CODES}) WHERE NOT contains(barcode, 'AAAA')) b USING (rank)".replace("(row_number() OVER (ORDER BY doc_id) - 1) * 2 + copy", "(dense_rank() OVER (ORDER BY doc_id) - 1) * 2 + copy"))
 def barcoding(spark, d):
-    """Each of a hundred sequences gets the next two compatible barcodes."""
-    codes = spark.range(400).select("id", fx.hashed_bases(F.col("id"), "bc", 8).alias("barcode")).where(~F.contains(F.col("barcode"), F.lit("AAAA")))
-    ranked = codes.select("barcode", F.expr("cast(row_number() OVER (ORDER BY id) - 1 AS bigint)").alias("rank"))
-    picked = seqs(spark, d).select("doc_id").orderBy("doc_id").limit(100)
+    """Each sequence gets the next two compatible barcodes."""
+    picked = seqs(spark, d).select("doc_id")
+    # Three candidates for two codes: about one in a hundred has the forbidden run.
+    codes = spark.range(3 * picked.count()).select("id", fx.hashed_bases(F.col("id"), "bc", 8).alias("barcode")).where(~F.contains(F.col("barcode"), F.lit("AAAA")))
+    ranked = with_ranks(codes, [], "id", ordinal="rank").select("barcode", (F.col("rank") - 1).cast("long").alias("rank"))
     return sq.barcoded(picked, ranked, "doc_id", 2).select("doc_id", "rank", "copy", "barcode")
 
 
@@ -155,10 +158,10 @@ def close_barcodes(spark, d):
 
 
 @query("""SELECT doc_id, f.m AS first, g.m AS second, gap, o AS orientation, concat(substr(seq, 1, 20), CASE WHEN o[1] = '+' THEN f.m ELSE translate(reverse(f.m), 'ACGT', 'TGCA') END, substr(seq, 27, gap), CASE WHEN o[2] = '+' THEN g.m ELSE translate(reverse(g.m), 'ACGT', 'TGCA') END, substr(seq, 33 + gap)) AS seq
-  FROM (SELECT * FROM seqs WHERE doc_id % 50 = 0 AND length(seq) > 100), (VALUES ('ACGTAA'), ('GGGTCC')) f(m), (VALUES ('ACGTAA'), ('GGGTCC')) g(m), (VALUES (5), (10)) s(gap), (VALUES ('++'), ('+-'), ('-+'), ('--')) v(o) WHERE f.m <> g.m""")
+  FROM (SELECT * FROM seqs WHERE length(seq) > 100), (VALUES ('ACGTAA'), ('GGGTCC')) f(m), (VALUES ('ACGTAA'), ('GGGTCC')) g(m), (VALUES (5), (10)) s(gap), (VALUES ('++'), ('+-'), ('-+'), ('--')) v(o) WHERE f.m <> g.m""")
 def grammar_simulation(spark, d):
-    """Every order, orientation and spacing of two motifs in a set of backgrounds."""
-    backgrounds = seqs(spark, d).where("doc_id % 50 = 0 AND length(seq) > 100")
+    """Every order, orientation and spacing of two motifs in every background that has room."""
+    backgrounds = seqs(spark, d).where("length(seq) > 100")
     return sq.simulate_grammars(backgrounds, ["ACGTAA", "GGGTCC"], [5, 10], "seq", 20)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import stacks
 from .proxies import CUBE, HITS, IV_A, IV_B, SEQ_SQL, SERIES, SIZES, TRACK, hits, iv_a, iv_b, seqs, series, sizes, table, track
-from .sequence_queries import PWMS
+from .sequence_queries import CELLS, PWMS
 
 QUERIES, ORACLES = {}, {}
 
@@ -79,16 +79,31 @@ def best_run(spark, d):
     return stacks.best_run(real, "l_suppkey", "l_returnflag", "v", null)
 
 
+def _scan(rows: str, keys: str) -> str:
+    """SQL of all window scores of ``rows`` (keys, seq)."""
+    return f"""SELECT {keys}, pwm, pos, sum(w)::DOUBLE AS score FROM (SELECT s.*, c.pwm, s.i - c.place AS pos, c.w FROM (SELECT {keys}, length(seq) AS n, unnest(range(0, length(seq))) AS i, unnest(string_split(seq, '')) AS base FROM ({rows})) s
+  JOIN (VALUES {CELLS}) c(pwm, place, base, w) ON s.base = c.base) WHERE pos >= 0 AND pos <= n - 4 GROUP BY {keys}, pwm, pos"""
+
+
+SHUFFLED = "SELECT doc_id, k, (SELECT string_agg(substr(seq, i * 2 + 1, 2), '' ORDER BY md5(concat(doc_id, ':', k, ':shuffle:', i)), i) FROM range(0, CAST(floor((length(seq) - 1) / 2) AS BIGINT) + 1) t(i)) AS seq FROM seqs, range(1, 4) r(k)"
+
+
+@query(f"""SELECT h.doc_id, h.pwm AS pwm_idx, h.pos, h.score FROM ({_scan("SELECT doc_id, seq FROM seqs", "doc_id")}) h LEFT JOIN (SELECT x.doc_id, x.pwm, x.score AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pwm ORDER BY score DESC) AS r FROM ({_scan(SHUFFLED, "doc_id, k")}) WHERE score > 0) x
+  JOIN seqs ON x.doc_id = seqs.doc_id WHERE r = greatest(floor(greatest(length(seq) - 3, 0) * 3 * 0.02), 1)) l ON h.doc_id = l.doc_id AND h.pwm = l.pwm WHERE h.score > 0 AND h.score > coalesce(l.t, 0)""")
 def shuffled_null_scores(spark, d):
-    """Hits beyond each example's shuffled null."""
+    """Hits beyond each example's shuffled null."""
     return stacks.motif_scores(seqs(spark, d), "doc_id", "seq", PWMS, 3, 0.02)
 
 
+WILD = "SELECT doc_id, -1 AS mutated, seq FROM seqs"
+BEST = f"SELECT doc_id, pwm AS mutated, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pwm ORDER BY score DESC, pos) AS r FROM ({_scan('SELECT doc_id, seq FROM seqs', 'doc_id')}) WHERE score > 4) WHERE r = 1"
+BLANKED = f"SELECT doc_id, mutated, concat(substr(seq, 1, pos), 'NNNN', substr(seq, pos + 5)) AS seq FROM ({BEST}) JOIN seqs USING (doc_id)"
+
+
+@query(f"""SELECT b.doc_id, b.mutated, w.pwm AS pwm_idx, coalesce(m.total, 0) - w.total AS delta FROM ({BEST}) b JOIN (SELECT doc_id, pwm, sum(score) AS total FROM ({_scan(WILD, "doc_id, mutated")}) WHERE score > 0 GROUP BY ALL) w USING (doc_id)
+  LEFT JOIN (SELECT doc_id, mutated, pwm, sum(score) AS total FROM ({_scan(BLANKED, "doc_id, mutated")}) WHERE score > 0 GROUP BY ALL) m ON m.doc_id = b.doc_id AND m.mutated = b.mutated AND m.pwm = w.pwm""")
 def mutation_effects(spark, d):
-    """Effect of blanking each motif's best site."""
+    """Effect of blanking each motif's best site."""
     s = seqs(spark, d)
     found = stacks.mo.scan(s, "doc_id", "seq", PWMS, 4.0)
     return stacks.mutation_effects(s, "doc_id", "seq", found, PWMS)
-
-
-QUERIES |= {f.__name__: f for f in (shuffled_null_scores, mutation_effects)}

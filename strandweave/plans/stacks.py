@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as fx
 from ..operators import intervals as iv
+from ..operators import metrics as me
 from ..operators import motifs as mo
 from ..operators import scores as sc
 from ..operators import sequences as sq
@@ -37,14 +40,13 @@ def normalised_signals(examples: DataFrame, names: list[str]) -> DataFrame:
     return st.quantile_normalised(long, "example_metadata", "task", "value", "norm")
 
 
-def motif_scores(seqs: DataFrame, key: str, seq: str, pwms: list[mo.Pwm], nulls: int, share: float) -> DataFrame:
-    """Hits above each example's own shuffled null: scan the sequence and its shuffles, take the k-th null score as threshold, keep what is beyond."""
-    every = sq.shuffles(seqs, key, seq, nulls)
-    named = every.withColumn("_name", F.concat_ws(":", F.col(key).cast("string"), F.col("aux_idx").cast("string")))
-    hits = mo.scan(named, "_name", seq, pwms, 0.0)
-    parts = F.split("_name", ":")
-    hits = hits.select(parts[0].cast("long").alias(key), parts[1].cast("int").alias("aux_idx"), "pwm_idx", "pos", "score")
-    limits = sc.null_thresholds(hits.where("aux_idx > 0"), [key, "pwm_idx"], "score", share)
+def motif_scores(seqs: DataFrame, key: str, seq: str, pwms: list[mo.Pwm] | np.ndarray, nulls: int, share: float) -> DataFrame:
+    """Hits above each example's own shuffled null: scan the sequence and its shuffles, take the k-th null score over all cells as threshold, keep what is beyond."""
+    widest, n_pwms = (max(p.width for p in pwms), len(pwms)) if isinstance(pwms, list) else (pwms.shape[1], len(pwms))
+    hits = mo.scan(sq.shuffles(seqs, key, seq, nulls), [key, "aux_idx"], seq, pwms, 0.0)
+    windows = F.greatest(F.length(seq) - widest + 1, F.lit(0)) * nulls
+    cells = seqs.select(key, F.explode(F.sequence(F.lit(0), F.lit(n_pwms - 1))).alias("pwm_idx"), windows.alias("cells"))
+    limits = sc.null_thresholds(hits.where("aux_idx > 0"), [key, "pwm_idx"], "score", share, cells)
     return sc.above_null(hits.where("aux_idx = 0"), limits, [key, "pwm_idx"], "score").drop("aux_idx")
 
 
@@ -54,10 +56,7 @@ def mutation_effects(seqs: DataFrame, key: str, seq: str, hits: DataFrame, pwms:
     width = max(p.width for p in pwms)
     mutants = seqs.join(best, key).select(key, "mutated", fx.splice(F.col(seq), F.lit(base * width), F.col("pos").cast("int")).alias(seq))
     every = mutants.unionByName(seqs.select(key, F.lit(-1).alias("mutated"), seq))
-    named = every.withColumn("_name", F.concat_ws(":", F.col(key).cast("string"), F.col("mutated").cast("string")))
-    sums = mo.scan(named, "_name", seq, pwms, 0.0).groupBy("_name", "pwm_idx").agg(F.sum("score").alias("total"))
-    parts = F.split("_name", ":")
-    sums = sums.select(parts[0].cast("long").alias(key), parts[1].cast("int").alias("mutated"), "pwm_idx", "total")
+    sums = mo.scan(every, [key, "mutated"], seq, pwms, 0.0).groupBy(key, "mutated", "pwm_idx").agg(F.sum("score").alias("total"))
     wild = sums.where("mutated = -1").select(key, "pwm_idx", F.col("total").alias("_wild"))
     pairs = best.select(key, "mutated").join(wild, key).join(sums, [key, "mutated", "pwm_idx"], "left")
     return pairs.select(key, "mutated", "pwm_idx", (F.coalesce("total", F.lit(0.0)) - F.col("_wild")).alias("delta"))
@@ -74,7 +73,9 @@ def spacing_profile(hits: DataFrame, example: str, motif: str, position: str, an
 def multiplicity(hits: DataFrame, example: str, motif: str, wanted: int, signal: DataFrame, value: str, least: int) -> DataFrame:
     """Median signal by the number of hits of a motif, for numbers that enough examples have."""
     n = hits.where(F.col(motif) == wanted).groupBy(example).agg(F.count(F.lit(1)).alias("hits"))
-    return n.join(signal, example).groupBy("hits").agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    rows = n.join(signal, example)
+    medians = st.percentiles(rows, ["hits"], value, [0.5], "median").withColumn("median", F.get("median", 0))
+    return rows.groupBy("hits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).join(medians, "hits").select("hits", "median", "n")
 
 
 def density_simulation(backgrounds: DataFrame, key: str, seq: str, motif: str, most: int, spacing: int, at: int) -> DataFrame:
@@ -116,3 +117,83 @@ def best_run(results: DataFrame, group: str, run: str, value: str, null: DataFra
     rows = results.join(limits, group, "left").withColumn("net", F.col(value) - F.coalesce("_null", F.lit(0.0)))
     order = Window.partitionBy(group).orderBy(F.abs("net").desc(), run)
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(group, run, "net")
+
+
+def importance_stack(scores: DataFrame, nulls: DataFrame, logits: DataFrame, keys: list[str], length: int, n_nulls: int, share: float, clip: tuple[int, int], position: str = "pos", value: str = "value") -> DataFrame:
+    """Importances beyond the null threshold of their group (over all cells of its nulls), denoised, scaled to the logit and clipped; positions then count from the clip's start."""
+    cells = scores.select(*keys).distinct().withColumn("cells", F.lit(length * n_nulls))
+    kept = sc.above_null(scores, sc.null_thresholds(nulls, keys, value, share, cells), keys, value)
+    scaled = sc.normalise_to_logits(sc.denoise(kept, keys, position, value, length), logits, keys, value)
+    return scaled.where(F.col(position).between(clip[0], clip[1] - 1)).withColumn(position, F.col(position) - clip[0])
+
+
+def judged_by_annotation(scored: DataFrame, annotation: DataFrame, score: str, task: str) -> DataFrame:
+    """(task, auroc, auprc, recall_at_90) of a score, the label being whether the annotation overlaps the interval."""
+    noted = iv.count_overlaps(scored, annotation, "_n").select(F.lit(task).alias("task"), (F.col("_n") > 0).cast("int").alias("label"), score)
+    return me.ranking_metrics(noted, "task", "label", score)
+
+
+def track_profiles(points: DataFrame, track: DataFrame, before: int, after: int, step: int) -> DataFrame:
+    """(positive, place, n, mean, sem) of a track around points (chrom, center, name, positive); places without signal count as 0."""
+    found = iv.signal_around(points.drop("positive"), track, before, after, step)
+    sites = points.groupBy("positive").agg(F.count(F.lit(1)).alias("n"))
+    sums = found.join(points.select("name", "positive"), "name").groupBy("positive", "place").agg(F.sum("sum").cast("double").alias("_s"), F.sum(F.col("sum").cast("double") * F.col("sum")).alias("_q"))
+    every = sites.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((before + after) // step - 1).cast("long"))))
+    rows = every.join(sums, ["positive", "place"], "left").fillna(0.0, ["_s", "_q"])
+    mean = F.col("_s") / F.col("n")
+    variance = F.greatest(F.try_divide(F.col("_q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0))
+    return rows.select("positive", "place", "n", mean.alias("mean"), F.sqrt(variance / F.col("n")).alias("sem"))
+
+
+def linked_genes(regions: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(chrom, start, stop, gene): genes whose link overlaps the region with a score of at least ``least``."""
+    pairs = iv.overlap_join(regions, links.where(F.col("score") >= least))
+    return pairs.select(F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start"), F.col("a_stop").alias("stop"), F.col("b_gene").alias("gene")).distinct()
+
+
+def near_a_centre(rows: DataFrame, centres: DataFrame, example: str, tasks: int, least: float) -> DataFrame:
+    """Examples whose product with some cluster's centre is above ``least`` in every task. ``rows``: example, task, dim, v; ``centres``: cluster, dim, m."""
+    like = rows.join(centres, "dim").groupBy(example, "cluster", "task").agg(F.sum(F.col("v") * F.col("m")).alias("_s")).where(F.col("_s") > least)
+    return like.groupBy(example, "cluster").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == tasks).select(example).distinct()
+
+
+def library_controls(fragments: DataFrame, key: str, seq: str, motif: str, at: int, variant_at: int) -> DataFrame:
+    """(key, kind, seq): of each fragment a block shuffle, a copy with a motif written in, and a copy with another base at one place."""
+    s = F.col(seq)
+    kinds = [
+        sq.shuffles(fragments, key, seq, 1).where("aux_idx = 1").select(key, F.lit("shuffle").alias("kind"), seq),
+        fragments.select(key, F.lit("embedded").alias("kind"), fx.splice(s, F.lit(motif), F.lit(at)).alias(seq)),
+        fragments.select(key, F.lit("variant").alias("kind"), fx.splice(s, F.translate(F.substring(s, variant_at + 1, 1), "ACGT", "CATG"), F.lit(variant_at)).alias(seq)),
+    ]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def first_filler(rows: DataFrame, key: str, seq: str, length: int, forbidden: list[str], tries: int) -> DataFrame:
+    """(key, filler): the least number below ``tries`` whose hashed bases, behind the sequence, make no forbidden site; null if none does."""
+
+    def fits(k: Column) -> Column:
+        bases = F.translate(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit("fill"), k.cast("string"))), 1, length), "0123456789abcdef", "ACGTACGTACGTACGT")
+        whole = F.concat(F.col(seq), bases)
+        return reduce(lambda ok, site: ok & ~F.contains(whole, F.lit(site)), forbidden, F.lit(True))
+
+    return rows.select(key, F.array_min(F.filter(F.sequence(F.lit(0), F.lit(tries - 1)), fits)).alias("filler"))
+
+
+def compiled(runs: dict[str, DataFrame], keep: Column) -> DataFrame:
+    """Summaries of several runs in one table, with the run's name, without what isn't wanted."""
+    return reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(name)) for name, r in runs.items()]).where(keep)
+
+
+def infer(df: DataFrame, transform, path: str, positives: Column | None = None, chroms: list[str] | None = None, overwrite: bool = False) -> bool:
+    """Apply a stack to the positives of the given chromosomes and write it; nothing is done where a finished table is there already. True if it was written."""
+    spark = df.sparkSession
+    if not overwrite:
+        try:
+            spark.read.parquet(path)
+            return False
+        except AnalysisException:
+            pass
+    rows = df if positives is None else df.where(positives)
+    rows = rows if chroms is None else rows.where(F.col("chrom").isin(chroms))
+    transform(rows).write.mode("overwrite").parquet(path)
+    return True

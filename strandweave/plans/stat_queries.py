@@ -73,10 +73,10 @@ def correlations(spark, d):
     return st.correlations(li, ["task"], "l_quantity", "l_discount").select("task", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query("SELECT a.dim AS i, b.dim AS j, round(corr(a.value::DOUBLE, b.value::DOUBLE), 5) AS r FROM cube a JOIN cube b ON a.vec_id = b.vec_id AND a.dim < b.dim WHERE a.dim <= 12 AND b.dim <= 12 GROUP BY ALL")
+@query("SELECT a.dim AS i, b.dim AS j, round(corr(a.value::DOUBLE, b.value::DOUBLE), 5) AS r FROM cube a JOIN cube b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY ALL")
 def correlation_matrix(spark, d):
-    """Correlations of all pairs of twelve motifs."""
-    return st.pair_correlations(cube(spark, d).where("dim <= 12"), "vec_id", "dim", "value").select("i", "j", F.round("r", 5).alias("r"))
+    """Correlations of all pairs of motifs."""
+    return st.pair_correlations(cube(spark, d), "vec_id", "dim", "value").select("i", "j", F.round("r", 5).alias("r"))
 
 
 @query("""SELECT event_id, round(CASE WHEN hi IS NULL THEN ylo WHEN lo IS NULL THEN yhi WHEN hi = lo THEN ylo ELSE ylo + (value - lo) / (hi - lo) * (yhi - ylo) END, 5) AS mapped FROM (
@@ -90,10 +90,10 @@ def interpolation(spark, d):
     return st.interpolated(e, curve, ["shard"], "value", "x", "y", "mapped").select("event_id", F.round("mapped", 5).alias("mapped"))
 
 
-@query("SELECT vec_id, dim, round(avg(t) OVER (PARTITION BY dim, value), 6) AS norm FROM (SELECT c.vec_id, c.dim, c.value, t.t FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY value, vec_id) AS r FROM cube WHERE dim <= 8) c JOIN (SELECT r, avg(value::DOUBLE) AS t FROM (SELECT value, row_number() OVER (PARTITION BY dim ORDER BY value, vec_id) AS r FROM cube WHERE dim <= 8) GROUP BY r) t USING (r))")
+@query("SELECT vec_id, dim, round(avg(t) OVER (PARTITION BY dim, value), 6) AS norm FROM (SELECT c.vec_id, c.dim, c.value, t.t FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY value, vec_id) AS r FROM cube) c JOIN (SELECT r, avg(value::DOUBLE) AS t FROM (SELECT value, row_number() OVER (PARTITION BY dim ORDER BY value, vec_id) AS r FROM cube) GROUP BY r) t USING (r))")
 def quantile_normalisation(spark, d):
-    """Tasks brought to one distribution by rank."""
-    c = cube(spark, d).where("dim <= 8").select("vec_id", "dim", F.col("value").cast("double").alias("value"))
+    """Tasks brought to one distribution by rank."""
+    c = cube(spark, d).select("vec_id", "dim", F.col("value").cast("double").alias("value"))
     return st.quantile_normalised(c, "vec_id", "dim", "value", "norm").select("vec_id", "dim", F.round("norm", 6).alias("norm"))
 
 
@@ -118,7 +118,7 @@ SAMPLED = f"SELECT seed, doc_id, bin, quality FROM (SELECT b.*, s.seed, w.wanted
 
 @query(f"SELECT seed, doc_id, bin FROM ({SAMPLED})")
 def matched_background(spark, d):
-    """Background rows matched by bin, twenty samples."""
+    """Background rows matched by bin, twenty samples."""
     b = _binned(spark, d)
     s = st.matched_sample(b.where("toxic = 1"), b.where("toxic = 0"), "doc_id", ["bin"], 20)
     return s.select(F.col("seed").cast("long").alias("seed"), "doc_id", F.col("bin").cast("long").alias("bin"))
@@ -126,18 +126,19 @@ def matched_background(spark, d):
 
 @query(f"SELECT 'quality' AS item, round((SELECT avg(quality) FROM clf WHERE toxic = 1), 6) AS fg, round(avg(m), 6) AS bg, round(avg(CASE WHEN (SELECT avg(quality) FROM clf WHERE toxic = 1) - m <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p FROM (SELECT seed, avg(quality) AS m FROM ({SAMPLED}) GROUP BY seed)")
 def bootstrap_test(spark, d):
-    """Foreground mean against matched samples, empirical p."""
+    """Foreground mean against matched samples, empirical p."""
     b = _binned(spark, d).withColumn("item", F.lit("quality"))
     s = st.matched_sample(b.where("toxic = 1"), b.where("toxic = 0"), "doc_id", ["bin"], 20).join(b.select("doc_id", "item", "quality"), "doc_id")
     out = st.bootstrap_difference(b.where("toxic = 1"), s, "item", "quality")
     return out.select("item", *[F.round(c, 6).alias(c) for c in ("fg", "bg", "p")])
 
 
-@query("SELECT label, round(o, 5) AS observed, round(avg(CASE WHEN abs(s) >= abs(o) THEN 1.0 ELSE 0.0 END), 6) AS p FROM (SELECT label, seed, sum(CASE WHEN substr(md5(concat(vec_id, ':', seed)), 1, 1) < '8' THEN v ELSE -v END) AS s FROM (SELECT vec_id, label, floor(value * 10000)::BIGINT AS v FROM cube WHERE dim = 1), range(50) t(seed) GROUP BY label, seed) JOIN (SELECT label, sum(floor(value * 10000)::BIGINT) AS o FROM cube WHERE dim = 1 GROUP BY label) USING (label) GROUP BY label, o".replace("round(o, 5)", "o::BIGINT"))
+@query("""SELECT label, dim, o::BIGINT AS observed, round(avg(CASE WHEN abs(s) >= abs(o) THEN 1.0 ELSE 0.0 END), 6) AS p FROM (SELECT label, dim, seed, sum(CASE WHEN substr(md5(concat(vec_id, ':', seed)), 1, 1) < '8' THEN v ELSE -v END) AS s FROM (SELECT vec_id, label, dim, floor(value::DOUBLE * 10000)::BIGINT AS v FROM cube), range(50) t(seed) GROUP BY label, dim, seed)
+  JOIN (SELECT label, dim, sum(floor(value::DOUBLE * 10000)::BIGINT) AS o FROM cube GROUP BY label, dim) USING (label, dim) GROUP BY label, dim, o""")
 def sign_flip_test(spark, d):
-    """Sign-flip permutations."""
-    c = cube(spark, d).where("dim = 1").select("vec_id", "label", F.floor(F.col("value") * 10000).alias("v"))
-    return st.sign_flip(c, "label", "vec_id", "v", 50).select("label", "observed", F.round("p", 6).alias("p"))
+    """Sign-flip permutations of every group and motif."""
+    c = cube(spark, d).select("vec_id", "label", "dim", F.floor(F.col("value").cast("double") * 10000).alias("v"))
+    return st.sign_flip(c, ["label", "dim"], "vec_id", "v", 50).select("label", "dim", "observed", F.round("p", 6).alias("p"))
 
 
 @query(f"SELECT task, n, round(w, 3) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 5) AS z FROM (SELECT task, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w FROM (SELECT task, diff, {AVG_RANK.format(k='task', v='a')} AS r FROM (SELECT event_type AS task, floor(value)::BIGINT - 30 AS diff, abs(floor(value)::BIGINT - 30) AS a FROM events) WHERE diff <> 0) GROUP BY task)")
@@ -164,12 +165,12 @@ def trimmed_deviation(spark, d):
 LF = "(SELECT n, sum(CASE WHEN n > 0 THEN ln(n) ELSE 0 END) OVER (ORDER BY n) AS lf FROM range(0, 2001) t(n))"
 
 
-@query(f"""WITH lf AS {LF}, t AS (SELECT label, (SELECT count(*) FROM embeddings) AS pop, count(*) AS draws, sum(CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END) AS hits, (SELECT count(*) FROM embeddings WHERE embedding[1] > 0) AS succ FROM embeddings GROUP BY label)
-  SELECT label, hits::BIGINT AS hits, round(sum(exp(a.lf - b.lf - c.lf + e.lf - f.lf - g.lf - h.lf + i.lf + j.lf)), 6) AS p FROM (SELECT t.*, unnest(range(hits::BIGINT, least(succ, draws) + 1)) AS k FROM t) x
-  JOIN lf a ON a.n = succ JOIN lf b ON b.n = k JOIN lf c ON c.n = succ - k JOIN lf e ON e.n = pop - succ JOIN lf f ON f.n = draws - k JOIN lf g ON g.n = pop - succ - draws + k JOIN lf h ON h.n = pop JOIN lf i ON i.n = draws JOIN lf j ON j.n = pop - draws GROUP BY label, hits""".replace("WITH lf AS", ", lf AS", 1))
+@query(f"""WITH lf AS {LF}, t AS (SELECT label, dim, max(pop) AS pop, count(*) AS draws, sum(hit) AS hits, max(succ) AS succ FROM (SELECT label, dim, (value > 0)::INTEGER AS hit, count(*) OVER (PARTITION BY dim) AS pop, sum((value > 0)::INTEGER) OVER (PARTITION BY dim) AS succ FROM cube) GROUP BY label, dim)
+  SELECT label, dim, hits::BIGINT AS hits, round(sum(exp(a.lf - b.lf - c.lf + e.lf - f.lf - g.lf - h.lf + i.lf + j.lf)), 6) AS p FROM (SELECT t.*, unnest(range(hits::BIGINT, least(succ, draws)::BIGINT + 1)) AS k FROM t) x
+  JOIN lf a ON a.n = succ JOIN lf b ON b.n = k JOIN lf c ON c.n = succ - k JOIN lf e ON e.n = pop - succ JOIN lf f ON f.n = draws - k JOIN lf g ON g.n = pop - succ - draws + k JOIN lf h ON h.n = pop JOIN lf i ON i.n = draws JOIN lf j ON j.n = pop - draws GROUP BY label, dim, hits""".replace("WITH lf AS", ", lf AS", 1))
 def hypergeometric_test(spark, d):
-    """Enrichment of a motif in each group."""
-    e = table(spark, d, "embeddings").select("label", (F.get("embedding", 0) > 0).cast("long").alias("hit"))
-    whole = e.agg(F.count(F.lit(1)).alias("population"), F.sum("hit").alias("successes"))
-    groups = e.groupBy("label").agg(F.count(F.lit(1)).alias("draws"), F.sum("hit").alias("hits")).crossJoin(F.broadcast(whole))
-    return st.add_hypergeometric(groups, "hits", "population", "successes", "draws").select("label", "hits", F.round("p", 6).alias("p"))
+    """Enrichment of every motif in each group."""
+    e = cube(spark, d).select("label", "dim", (F.col("value") > 0).cast("long").alias("hit"))
+    groups = e.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("draws"), F.sum("hit").alias("hits"))
+    whole = groups.groupBy("dim").agg(F.sum("draws").alias("population"), F.sum("hits").alias("successes"))
+    return st.add_hypergeometric(groups.join(whole, "dim"), "hits", "population", "successes", "draws").select("label", "dim", "hits", F.round("p", 6).alias("p"))

@@ -123,7 +123,7 @@ def outer_join_pivot(spark, d):
 
 @query("SELECT region.r_name, sum(l_extendedprice * 100)::BIGINT AS cents FROM (SELECT l_orderkey, round(l_extendedprice)::BIGINT AS l_extendedprice FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def star_join(spark, d):
-    """Equi joins along keys."""
+    """Equi joins along keys."""
     li = table(spark, d, "lineitem").select("l_orderkey", F.round("l_extendedprice").cast("long").alias("v"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
