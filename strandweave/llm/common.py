@@ -32,18 +32,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What ``stored`` has written in this process, in order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with a table that has one row a key. Keys with more than a thousandth of all rows (a thousand keys at most) are broadcast, so none crowds a task."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    limit = max(1000, rows.count() // 1000)
+def stored_so_far() -> int:
+    return len(_written)
+
+
+def drop_stored(spark: SparkSession, since: int, keep_last: bool = True) -> None:
+    """Remove the tables that ``stored`` has written since it had written so many, but for the last one: what a finished step needed."""
+    gone = _written[since : len(_written) - keep_last]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[since:] = _written[len(_written) - keep_last :]
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row a key. Keys with more than a thousandth of all rows (a thousand keys at most) are broadcast, so none crowds a task.
+
+    ``counts`` (key, _n) and ``n_rows`` are the rows of each key and of all, where they are known.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    limit = max(1000, (rows.count() if n_rows is None else n_rows) // 1000)
     hot = stored(counts.where(F.col("_n") > limit).select(key), "hot-keys")
     if not hot.head(1):
         return rows.join(keyed, key)

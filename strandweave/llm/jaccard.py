@@ -23,10 +23,10 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, shuffle_partitions, stored, whole_text
+from .common import BoundedCache, join_spread, shuffle_partitions, stored, whole_text
 from .components import components
 
 WORDS = 5
@@ -191,8 +191,8 @@ def matched_nodes(classes: DataFrame, depth: int) -> DataFrame:
         lambda t: F.xxhash64(t, F.substr("labels", t * (DEEPEST * VALUE) + 1, F.lit(depth * VALUE))),
     )
     nodes = classes.where("n_shingles > 0").select("rep", F.explode(prefix).alias("trie_node"))
-    below = Window.partitionBy("trie_node")
-    return nodes.select("rep", "trie_node", F.min("rep").over(below).alias("first"), F.count(F.lit(1)).over(below).alias("n")).where("n > 1").drop("n")
+    shared = stored(nodes.groupBy("trie_node").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared-nodes")
+    return join_spread(nodes, shared.drop("_n"), "trie_node", shared, TREES * classes.count()).select("rep", "trie_node", "first")
 
 
 def block_layout(classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -344,7 +344,8 @@ def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall:
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         )
     )
-    decided = sigs.select("uid", "text_hash", "set_key").join(table, "set_key").select(
+    copies = classes.select("set_key", F.col("copies").alias("_n"))
+    decided = join_spread(sigs.select("uid", "text_hash", "set_key"), table, "set_key", copies, sigs.count()).select(
         F.when(F.col("uid") < NULL_IDS, F.col("uid")).alias("doc_id"), "uid", "text_hash", F.col("head.uid").alias("class_id"),
         F.concat_ws(":", F.hex("head.uid"), F.hex("head.text_hash")).alias("class_key"), "exact_id", "n_links", "n_linked_texts",
         ((F.col("uid") == F.col("head.uid")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("keep"),

@@ -213,7 +213,12 @@ ENCODED = "struct<ids:array<int>,n_tokens:long,decoded_sha256:string>"
 
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
-    """The documents without their texts, with ``ids``, ``n_tokens`` and the digest of the decoded text; cases as in piece_digests."""
+    """The documents without their texts, with ``ids``, ``n_tokens`` and the digest of the decoded text.
+
+    Null texts count as empty and have an empty array. Repeated rows give repeated
+    results, an empty table stays empty, texts of any length are encoded whole. Other
+    columns stay; those named like an added one give way.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(model_file)

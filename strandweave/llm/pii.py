@@ -172,13 +172,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Add ``pii``: kinds, starts, ends (code points, end exclusive), scores, spans as text.
 
     Null texts count as empty and have no spans. Repeated rows give repeated results.
-    An empty table stays empty. A column of docs named ``pii`` is replaced.
+    Spans of equal start are ordered by kind. Texts of any length are read whole, in
+    linear time. An empty table stays empty. A column of docs named ``pii`` is replaced.
     """
     return docs.withColumn("pii", F.pandas_udf(_scan, SCAN)(whole_text())).withColumn("pii", F.col("pii").dropFields("masked"))
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """Replace each span by its kind in angle brackets; texts without spans (null ones too) stay as they are. n_chars follows."""
+    """Replace each span by its kind in angle brackets, overlapping ones by the first's; n_chars follows.
+
+    Texts without spans (null and empty ones too) stay as they are. Repeated rows give
+    repeated results, an empty table stays empty, all other columns stay, whatever their names.
+    """
     rows = docs.select(F.struct("*").alias("row"), F.pandas_udf(_scan, SCAN)(whole_text()).alias("pii"))
     masked_text = F.col("pii.masked")
     out = {c: F.col("row").getField(c) for c in docs.columns}
@@ -189,5 +194,5 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the base spans of each document, and all spans."""
+    """Counts and digests of the base spans of each document, and all spans; cases as in ``find_pii``, other columns are dropped, a null doc_id stays null."""
     return docs.select("doc_id", F.pandas_udf(_digest, DIGEST)(whole_text()).alias("d")).select("doc_id", "d.*")

@@ -44,3 +44,15 @@ def test_run_equals_stages(spark, steps):
     a = pd.Series([r.decoded_sha256 for r in corpus_pipeline.run(spark, DATA).collect()]).sort_values().tolist()
     b = pd.Series([r.decoded_sha256 for r in steps[-1].collect()]).sort_values().tolist()
     assert a == b
+
+
+def test_run_leaves_one_table_a_stage(spark, monkeypatch, tmp_path):
+    """What a finished stage needed is removed; the tables of the last stage's input stay, as its rows are read from them."""
+    from strandweave.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    other = common.stored(spark.range(5), "other")
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.count() > 0 and other.count() == 5
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert left == ["other", "stage-3"]
