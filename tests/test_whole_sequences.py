@@ -1,37 +1,10 @@
-"""Queries on sequences read each document to its end: they give what their SQL gives once its cut to 1000 characters is lifted."""
+"""Queries on sequences read each document to its end, in Spark and in SQL; test_queries.py compares the two."""
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
-from strandweave import queries
 from strandweave.plans import proxies
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = (
-    "encode_decode", "kmer_table", "block_shuffles", "combinatorial_mutants", "motif_scan", "motif_scan_by_join", "motif_scan_two_tailed", "null_positions",
-    "epistasis", "mutant_deltas", "significance_against_nulls", "fasta_lookup", "compatible_fragments", "motif_fragments", "density_simulation",
-    "shuffled_null_scores", "mutation_effects", "variant_alleles", "variant_effects",
-)
-LIFTED = [("substr(whole, 1, 1000) AS seq", "whole AS seq"), ("unnest(range(100)) AS pos FROM seqs", "unnest(range(length(seq))) AS pos FROM seqs")]
-
-
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
-    return con
-
-
-def rows(df):
-    def plain(v):
-        if v is None or (isinstance(v, float) and v != v):
-            return None
-        return v if isinstance(v, str) else round(float(v), 5) + 0.0
-
-    return sorted(repr([plain(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
 def test_sequences_are_whole(spark):
@@ -39,9 +12,5 @@ def test_sequences_are_whole(spark):
     assert got == spark.read.parquet(f"{DATA}/documents.parquet").agg(F.sum(F.length("text")).alias("n")).first().n
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in queries.ORACLES])
-def test_query_equals_sql_over_whole_texts(spark, duck, name):
-    sql = queries.ORACLES[name]
-    for cut, whole in LIFTED:
-        sql = sql.replace(cut, whole)
-    assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
+def test_sql_has_no_cut():
+    assert "1000" not in proxies.SEQ_SQL
