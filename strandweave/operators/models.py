@@ -29,6 +29,14 @@ def stack(df: DataFrame, steps: list[tuple[Callable[..., DataFrame], dict]]) ->
     return reduce(lambda now, step: now.transform(step[0], **step[1]), steps, df)
 
 
+def extract(df: DataFrame, extractor: Callable[[DataFrame], DataFrame], premodel: Callable[[DataFrame], DataFrame] | None = None, postprocess: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None, aggregate: dict[str, str] | None = None) -> DataFrame:
+    """An extractor between its hooks: what prepares its input, what cleans its output, and by ``keys`` what ``aggregate`` (column: function) makes of that."""
+    out = df if premodel is None else df.transform(premodel)
+    out = out.transform(extractor)
+    out = out if postprocess is None else out.transform(postprocess)
+    return out if not aggregate else out.groupBy(*(keys or [])).agg(*[F.expr(f"{how}({column})").alias(column) for column, how in aggregate.items()])
+
+
 def score(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]], columns: list[str], out: str) -> DataFrame:
     """Add an array<double> that a model gives for batches; ``make_model`` runs once a task."""
 

@@ -498,3 +498,38 @@ def significance_groups(spark, d):
 def strong_correlations(spark, d):
     """Pairs of motifs whose correlation passes thresholds of size and significance."""
     return st.strong_pairs(st.pair_correlations(cube(spark, d), "vec_id", "dim", "value"), 0.08, 1.5).select("i", "j", F.round("r", 5).alias("r"))
+
+
+TIERS = "SELECT event_type, event_id, CASE WHEN value >= 60 THEN 0 WHEN value >= 30 THEN 1 WHEN value >= 5 THEN 2 END AS tier FROM events WHERE value >= 5"
+
+
+@query(f"""SELECT event_type, event_id, tier FROM (SELECT t.*, row_number() OVER (PARTITION BY event_type ORDER BY md5(concat(event_id, ':lib'))) AS r FROM ({TIERS}) t JOIN (SELECT event_type, CASE WHEN count(*) FILTER (tier <= 0) >= 60 THEN 0 WHEN count(*) FILTER (tier <= 1) >= 60 THEN 1 ELSE 2 END AS most FROM ({TIERS}) GROUP BY event_type) m USING (event_type) WHERE tier <= most) WHERE r <= 60""")
+def loosened_sample(spark, d):
+    """Sixty rows of each group above the strictest threshold that enough rows pass."""
+    return stacks.loosened_sample(table(spark, d, "events"), "event_type", "event_id", "value", [60.0, 30.0, 5.0], 60, "lib")
+
+
+@query("""SELECT p_brand, l_returnflag, n::DOUBLE AS n, round((n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0), 5) AS z FROM (SELECT b.p_brand, f.l_returnflag, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) b CROSS JOIN (VALUES ('A'), ('N'), ('R'), ('X')) f(l_returnflag)
+  LEFT JOIN (SELECT p_brand, l_returnflag, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) c ON b.p_brand = c.p_brand AND f.l_returnflag = c.l_returnflag) WINDOW w AS (PARTITION BY p_brand)""")
+def summary_matrix(spark, d):
+    """A matrix of counts with its rows' z-scores."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    counts = li.groupBy("p_brand", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return stacks.summary_matrix(counts, "p_brand", "l_returnflag", ["A", "N", "R", "X"], "n").withColumn("z", F.round("z", 5))
+
+
+@query("SELECT name, round(coalesce(avg(v) FILTER (t = 0), 0), 4) AS early, round(coalesce(avg(v) FILTER (t = 1), 0), 4) AS late FROM (SELECT p_type AS name, p_size % 2 AS t, p_retailprice AS v FROM part) WHERE NOT contains(name, 'TIN') GROUP BY name")
+def motif_summary(spark, d):
+    """Values of two time points side by side by cleaned name, repeated names averaged, unwanted ones left out."""
+    p = table(spark, d, "part").select(F.concat(F.lit("HCLUST-3_"), "p_type", F.lit(".UNK.0.A")).alias("motif"), "p_size", F.col("p_retailprice").alias("v"))
+    out = stacks.motif_summary({"early": p.where("p_size % 2 = 0"), "late": p.where("p_size % 2 = 1")}, fx.clean_motif_name(F.col("motif")), "v", ["TIN"])
+    return out.select("name", F.round("early", 4).alias("early"), F.round("late", 4).alias("late"))
+
+
+@query(f"""SELECT doc_id, start, substr(seq, start + 1, 160) AS fragment, CASE WHEN 150 + doc_id % 300 >= start AND 150 + doc_id % 300 < start + 160 THEN 1 ELSE 0 END AS n_variants FROM (SELECT doc_id, seq, greatest(0, least(floor((f + l - 160) / 2), length(seq) - 160))::BIGINT AS start FROM seqs
+  JOIN (SELECT doc_id, min(pos) AS f, max(pos) + 4 AS l FROM ({SITES}) GROUP BY doc_id HAVING count(DISTINCT pwm) = 2) e USING (doc_id) WHERE length(seq) >= 160)""")
+def selected_singles(spark, d):
+    """Sequences with every motif, trimmed around them, with the variants inside."""
+    s, sites = _sites(spark, d)
+    variants = s.select("doc_id", (150 + F.col("doc_id") % 300).alias("pos"))
+    return stacks.selected_singles(s, sites, variants, "doc_id", "seq", "pwm", 4, 160)

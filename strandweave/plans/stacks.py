@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as ar
 from ..functions import sequences as fx
 from ..operators import intervals as iv
 from ..operators import metrics as me
@@ -197,3 +198,40 @@ def infer(df: DataFrame, transform, path: str, positives: Column | None = None,
     rows = rows if chroms is None else rows.where(F.col("chrom").isin(chroms))
     transform(rows).write.mode("overwrite").parquet(path)
     return True
+
+
+def loosened_sample(rows: DataFrame, group: str, key: str, value: str, thresholds: list[float], n: int, seed: str) -> DataFrame:
+    """(group, key, tier): ``n`` rows of each group by hash, from those above the strictest of the falling thresholds that enough rows pass, or above the last."""
+    tier = F.array_min(F.array_compact(F.array(*[F.when(F.col(value) >= t, F.lit(i)) for i, t in enumerate(thresholds)])))
+    passed = rows.select(group, key, tier.alias("tier")).where("tier IS NOT NULL")
+    sizes = passed.groupBy(group).agg(*[F.sum((F.col("tier") <= i).cast("long")).alias(f"_{i}") for i in range(len(thresholds))])
+    chosen = F.coalesce(*[F.when(F.col(f"_{i}") >= n, F.lit(i)) for i in range(len(thresholds))], F.lit(len(thresholds) - 1))
+    kept = passed.join(F.broadcast(sizes.select(group, chosen.alias("_most"))), group).where(F.col("tier") <= F.col("_most"))  # one row a group
+    return kept.withColumn("_r", sc.hash_rank([group], key, F.lit(seed))).where(F.col("_r") <= n).select(group, key, "tier")
+
+
+def summary_matrix(counts: DataFrame, row: str, column: str, columns: list, value: str) -> DataFrame:
+    """(row, column, value, z): the matrix of all rows by the given columns with gaps as 0, and each row's z-scores over them (null without deviation)."""
+    wide = counts.groupBy(row).pivot(column, columns).agg(F.sum(value)).fillna(0)
+    cells = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    both = F.arrays_zip(F.array(*[F.lit(c) for c in columns]).alias("c"), cells.alias("v"), ar.z_scores(cells).alias("z"))
+    return wide.select(row, F.explode(both).alias("x")).select(row, F.col("x.c").alias(column), F.col("x.v").alias(value), F.col("x.z").alias("z"))
+
+
+def motif_summary(tables: dict[str, DataFrame], name: Column, value: str, unwanted: list[str]) -> DataFrame:
+    """(name, one column a table): tables of (motif, value) side by side by cleaned name, repeated names averaged, gaps 0, names holding an unwanted word left out."""
+    long = reduce(DataFrame.unionByName, [t.select(name.alias("name"), value, F.lit(k).alias("_t")) for k, t in tables.items()])
+    listed = F.exists(F.array(*[F.lit(u) for u in unwanted]), lambda u: F.contains(F.col("name"), u))
+    return long.where(~listed).groupBy("name").pivot("_t", list(tables)).agg(F.avg(value)).fillna(0.0)
+
+
+def selected_singles(seqs: DataFrame, hits: DataFrame, variants: DataFrame, key: str, seq: str, motif: str, width: int, length: int) -> DataFrame:
+    """(key, start, fragment, n_variants): sequences with every motif of ``hits``, trimmed to ``length`` bases around their motifs' outer edges, with the variants (key, pos) inside. Sequences shorter than that are left out."""
+    from ..operators.graphs import in_every_run
+
+    every = in_every_run(hits, key, motif)
+    edges = hits.join(every, key).groupBy(key).agg(F.min("pos").alias("_first"), (F.max("pos") + width).alias("_last"))
+    start = F.greatest(F.lit(0), F.least(F.floor((F.col("_first") + F.col("_last") - length) / 2), F.length(seq) - length))
+    cut = seqs.join(edges, key).where(F.length(seq) >= length).select(key, start.alias("start"), fx.fragment_around(F.col(seq), F.col("_first"), F.col("_last"), length).alias("fragment"))
+    inside = cut.select(key, "start").join(variants.select(key, "pos"), key).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + length))
+    return cut.join(inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_variants")), key, "left").fillna(0, ["n_variants"])

@@ -215,6 +215,12 @@ def test_models_tiles_and_registry(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "inf")).count() == 6
 
 
+def test_extractor_hooks(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", -5.0)], "k string, v double")
+    out = models.extract(rows, lambda d: d.withColumn("v", F.col("v") * 2), lambda d: d.where("v > 0"), lambda d: d.withColumn("w", F.col("v") + 1), ["k"], {"v": "sum", "w": "max"})
+    assert got(out, "k", "v", "w") == [("a", 8.0, 7.0)] and models.extract(rows, lambda d: d).count() == 3
+
+
 def test_inference_is_not_repeated(spark, tmp_path):
     rows = spark.createDataFrame([(1, "c", 1), (2, "d", 1), (3, "c", 0)], "id int, chrom string, y int")
     path = str(tmp_path / "out")
