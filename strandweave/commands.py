@@ -78,14 +78,14 @@ def simulategrammars(spark: SparkSession, given: argparse.Namespace) -> DataFram
 
 @command("analyzevariants", option("--vcf", required=True), option("--fasta", required=True), option("--motifs", required=True), option("--length", type=int, default=200), option("--sds", type=float, default=2.0))
 def analyzevariants(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
-    """(id, chrom, pos, pwm_idx, ref, alt, diff): variants whose alleles change a motif's best score by more than some deviations."""
+    """(id, chrom, site, pwm_idx, ref, alt, diff): variants whose alleles change a motif's best score by more than some deviations."""
     size = 10_000
     fasta = readers.read(spark, "fasta", given.fasta, size=size)
-    rows = variants.windows(readers.read(spark, "vcf", given.vcf), given.length, 0, 1).where("start >= 0").select("chrom", "start", "stop", "id", "pos", "ref", "alt", "offset")
+    rows = variants.windows(readers.read(spark, "vcf", given.vcf), given.length, 0, 1).where("start >= 0").select("chrom", "start", "stop", "id", F.col("pos").alias("site"), "ref", "alt", "offset")
     both = variants.alleles(sequences.lookup(rows, fasta, size), "sequence", "offset")
-    hits = motifs.scan(both, ["id", "chrom", "pos", "allele"], "sequence", motifs.prepared(_motifs(given.motifs), both_strands=True), 0.0)
-    best = hits.groupBy("id", "chrom", "pos", "pwm_idx", "allele").agg(F.max("score").alias("score"))
-    return variants.significant(variants.paired(best, ["id", "chrom", "pos", "pwm_idx"], "allele", "score").fillna(0.0, ["ref", "alt"]).withColumn("diff", F.col("alt") - F.col("ref")), "diff", given.sds)
+    hits = motifs.scan(both, ["id", "chrom", "site", "allele"], "sequence", motifs.prepared(_motifs(given.motifs), both_strands=True), 0.0)
+    best = hits.groupBy("id", "chrom", "site", "pwm_idx", "allele").agg(F.max("score").alias("score"))
+    return variants.significant(variants.paired(best, ["id", "chrom", "site", "pwm_idx"], "allele", "score").fillna(0.0, ["ref", "alt"]).withColumn("diff", F.col("alt") - F.col("ref")), "diff", given.sds)
 
 
 @command("evaluate", option("--predictions", required=True), option("--task", default="task"), option("--label", default="label"), option("--score", default="score"))

@@ -162,6 +162,8 @@ def scan(
     """
     k = pwms if isinstance(pwms, np.ndarray) else kernel(pwms)
     keys = [key] if isinstance(key, str) else key
+    if clash := {"pwm_idx", "pos", "score"} & set(keys):
+        raise ValueError(f"key columns need other names than {sorted(clash)}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
