@@ -2,18 +2,20 @@
 
 Voters are words of a fixed lexicon, word stems that the labelled sample shows in toxic
 texts or in other texts only, and patterns. Each votes for one class or abstains. A
-generative label model has a class for each document and, within a class, voters that
-depend on one another along a tree; prior, firing rates and tree are the maximum
-likelihood of the votes on all documents, found by expectation maximisation until the
-likelihood settles. No label enters it but through the choice of stems and the starting
-point. Its posterior labels, on a bounded sample of documents, train a linear classifier
-on the presence of words and stems.
+generative label model has a kind for each document, one of several toxic kinds (groups
+of voters that go together, as those of one language do) or none, and within a kind
+voters that depend on one another along a tree; shares, firing rates and tree are the
+maximum likelihood of the votes on all documents, found by expectation maximisation
+until the likelihood settles. No label enters it but through the choice of stems, the
+starting point and the share of toxic texts. Its posterior labels, on a bounded sample of documents, train a linear
+classifier on the presence of words and stems.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,22 +36,34 @@ LEXICON = (
 TOXIC_PATTERNS = (re.compile(r"!{2,}"), re.compile(r"\b[A-Z]{4,}\b"), re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"[^\W\d_]\*+[^\W\d_]"))
 #: Pattern voters for other texts: licences and rights, addresses of pages, quantities.
 CLEAN_PATTERNS = (re.compile(r"\b(?:[Ll]icense|[Cc]opyright|[Rr]ights reserved)"), re.compile(r"https?://"), re.compile(r"\b[0-9]+(?:[.,][0-9]+)? ?(?:%|kg|km|cm|EUR|USD)"))
+#: What a word has of each pattern above that reaches over a space.
+HINTS = (r"[Ll]icense|[Cc]opyright|[Rr]ights", r"[0-9]")
+#: What every word has that one of the patterns or hints matches.
+NOTABLE = re.compile(r"!!|[A-Z]{4}|\*|[0-9]|http|icense|opyright|ights|([^\W\d_])\1{3}")
 #: Stem voters for toxic and for other texts. All voters of a text are bits of one 64-bit number.
 STEM_VOTERS, CLEAN_STEM_VOTERS = 26, 10
+#: Of the former so many may be stems that a text shows in at least REPEATED words.
+REPEATED_STEM_VOTERS, REPEATED = 12, 3
 VOTERS = len(LEXICON) + STEM_VOTERS + len(TOXIC_PATTERNS) + CLEAN_STEM_VOTERS + len(CLEAN_PATTERNS)
 #: The first voters speak for toxic texts, the others against.
 TOXIC_VOTERS = len(LEXICON) + STEM_VOTERS + len(TOXIC_PATTERNS)
-STEM_LENGTHS = (3, 4, 5, 6)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 #: Stems are chosen from at most so many labelled rows of each class.
 SAMPLE_A_CLASS = 4_000
 #: The classifier is fitted on posterior labels of at most so many documents on either side of one half, none of the held-out fold.
 POSTERIORS_A_SIDE = 4_000
 #: Words and stems that the classifier weighs, and the least number of toxic sample texts that a stem voter needs.
-FEATURES, LEAST_TEXTS = 1024, 3
+FEATURES, LEAST_TEXTS = 1024, 5
+#: How many standard errors its log odds must be above 0: in a small sample many stems are in toxic texts only by chance.
+LEAST_Z = 3.2
 #: Expectation maximisation ends when a round adds less than SETTLED to the mean log likelihood, the search for the tree when it doesn't change.
 MOST_ROUNDS, SETTLED, MOST_TREES = 100, 1e-6, 4
-#: Pseudo-count of each firing rate, and the likelihood ratio (chi squared, one degree a class, p = 0.001) that a dependence needs.
-PSEUDO, LEAST_RATIO = 2.0, 13.8
+#: Pseudo-count of each firing rate.
+PSEUDO = 2.0
+#: How much of a toxic kind's firing rates stays as it started: a small kind would wander off to whatever texts are many.
+ANCHOR = 0.5
+#: Two voters go together if they fire on so many toxic sample texts at once, and so many times as often as by chance; how many groups make kinds.
+LEAST_TOGETHER, LIFT, MOST_KINDS = 3, 1.5, 8
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>|*&$#%-_/\\"
@@ -61,6 +75,12 @@ def names_of(word: str) -> list[str]:
     return [f"={core}", *(core[:n] for n in STEM_LENGTHS if len(core) > n)] if core else []
 
 
+def names_in(text: str) -> set[str]:
+    """The features of a text: those of its words, and "+" before a stem that at least REPEATED different words have."""
+    counts = Counter(name for word in set(text.split()) for name in names_of(word))
+    return {*counts, *(f"+{name}" for name, n in counts.items() if n >= REPEATED and name[0] != "=")}
+
+
 @dataclass
 class Voters:
     stems: list[str] = field(default_factory=list)
@@ -71,25 +91,46 @@ class Voters:
         for first, names in ((len(LEXICON), self.stems), (TOXIC_VOTERS, self.clean_stems)):
             for i, stem in enumerate(names):
                 self.bits[stem] = self.bits.get(stem, 0) | 1 << (first + i)
+        # A word of a repeated stem has the stem's vote 64 bits higher, where it is counted.
+        self.bits |= {name[1:]: self.bits.get(name[1:], 0) | bit << 64 for name, bit in list(self.bits.items()) if name[0] == "+"}
         toxic_at, clean_at = len(LEXICON) + STEM_VOTERS, TOXIC_VOTERS + CLEAN_STEM_VOTERS
-        self.patterns = [(p, 1 << (toxic_at + i)) for i, p in enumerate(TOXIC_PATTERNS)] + [(p, 1 << (clean_at + i)) for i, p in enumerate(CLEAN_PATTERNS)]
+        patterns = [(p, 1 << (toxic_at + i)) for i, p in enumerate(TOXIC_PATTERNS)] + [(p, 1 << (clean_at + i)) for i, p in enumerate(CLEAN_PATTERNS)]
+        # A pattern without white space is a pattern of words, whose votes are kept; the others wait until a word shows that they may match.
+        self.of_words = [(p, bit) for p, bit in patterns if " " not in p.pattern]
+        self.of_texts = [(p, bit, 1 << (VOTERS + i)) for i, (p, bit) in enumerate((p, bit) for p, bit in patterns if " " in p.pattern)]
+        self.hints = [(re.compile(h), hint) for h, (_, _, hint) in zip(HINTS, self.of_texts, strict=True)]
         self.cache = BoundedCache()
 
+    def of_word(self, word: str) -> int:
+        bits = 0
+        for name in names_of(word):
+            bits |= self.bits.get(name, 0)
+        if NOTABLE.search(word):
+            for pattern, bit in self.of_words + self.hints:
+                if pattern.search(word):
+                    bits |= bit
+        return bits
+
     def mask(self, text: str) -> int:
         """The votes on a text as bits."""
         cache, newer, out = self.cache, self.cache.newer, 0
+        repeated: list[int] = []
         for word in set(text.split()):
             if (bits := newer.get(word)) is None and (bits := cache.get(word)) is None:
-                bits = 0
-                for name in names_of(word):
-                    bits |= self.bits.get(name, 0)
+                bits = self.of_word(word)
                 cache.keep(word, bits)
                 newer = cache.newer
             out |= bits
-        for pattern, bit in self.patterns:
-            if pattern.search(text):
+            if bits >> 64:
+                repeated.append(bits >> 64)
+        if len(repeated) >= REPEATED:
+            for i in range(len(LEXICON), len(LEXICON) + STEM_VOTERS):
+                if sum(bits >> i & 1 for bits in repeated) >= REPEATED:
+                    out |= 1 << i
+        for pattern, bit, hint in self.of_texts:
+            if out & hint and pattern.search(text):
                 out |= bit
-        return out
+        return out & ((1 << VOTERS) - 1)
 
 
 def sample_names(sample: DataFrame) -> pd.DataFrame:
@@ -97,7 +138,7 @@ def sample_names(sample: DataFrame) -> pd.DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(name, y) for text, y in zip(pdf["text"], pdf["label"], strict=True) for name in {n for w in set(text.split()) for n in names_of(w)}]
+            rows = [(name, y) for text, y in zip(pdf["text"], pdf["label"], strict=True) for name in names_in(text)]
             yield pd.DataFrame(rows, columns=["name", "label"])
 
     counts = (
@@ -116,20 +157,26 @@ def sample_names(sample: DataFrame) -> pd.DataFrame:
 
 
 def stem_voters(names: pd.DataFrame) -> list[str]:
-    """Stems and words used in toxic texts almost only, shortest first, without those that a shorter one covers."""
-    good = names[(names["toxic"] >= LEAST_TEXTS) & (names["other"] <= 0.05 * names["toxic"]) & ~names["name"].isin([f"={w}" for w in LEXICON])]
+    """Repeated stems, then words and stems, used in toxic texts almost only: of each the shortest, without those that a shorter one covers, most usual first."""
+    repeated = names["name"].str.startswith("+")
+    found = _covering(names[repeated])[:REPEATED_STEM_VOTERS]
+    return found + _covering(names[~repeated])[: STEM_VOTERS - len(found)]
+
+
+def _covering(names: pd.DataFrame) -> list[str]:
+    good = names[(names["toxic"] >= LEAST_TEXTS) & (names["z"] >= LEAST_Z) & (names["other"] <= 0.05 * names["toxic"]) & ~names["name"].isin([f"={w}" for w in LEXICON])]
     picked: list[tuple[int, str]] = []
-    order = sorted(zip(good["name"], good["toxic"], strict=True), key=lambda x: (len(x[0].lstrip("=")), x[0]))
+    order = sorted(zip(good["name"], good["toxic"], strict=True), key=lambda x: (len(x[0].lstrip("=+")), x[0]))
     for name, toxic in order:
-        core = name.lstrip("=")
-        if not any(core.startswith(p) for _, p in picked if not p.startswith("=")) and core not in LEXICON and not any(w.startswith(core) for w in LEXICON):
+        core = name.lstrip("=+")
+        if not any(core.startswith(p.lstrip("+")) for _, p in picked if not p.startswith("=")) and core not in LEXICON and not any(w.startswith(core) for w in LEXICON):
             picked.append((int(toxic), name))
-    return [name for _, name in sorted(picked, key=lambda x: (-x[0], x[1]))[:STEM_VOTERS]]
+    return [name for _, name in sorted(picked, key=lambda x: (-x[0], x[1]))]
 
 
 def clean_stem_voters(names: pd.DataFrame) -> list[str]:
     """Words and stems that no toxic sample text has, most usual first, without those that a shorter one covers."""
-    good = names[(names["toxic"] == 0) & (names["other"] >= 8)]
+    good = names[(names["toxic"] == 0) & (names["other"] >= 8) & ~names["name"].str.startswith("+")]
     picked: list[str] = []
     for name, _ in sorted(zip(good["name"], good["other"], strict=True), key=lambda x: (-x[1], x[0])):
         core = name.lstrip("=")
@@ -140,24 +187,30 @@ def clean_stem_voters(names: pd.DataFrame) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """Prior of the toxic class, and within each class the chance that a voter fires, given whether its parent in the tree does."""
+    """Shares of the kinds (the first isn't toxic, all others are), and within each kind the chance that a voter fires, given whether its parent in the tree does."""
 
-    prior: float
+    shares: np.ndarray  # kinds
     parents: np.ndarray  # voters; -1: none
-    rates: np.ndarray  # class x parent fires x voters
+    rates: np.ndarray  # kinds x parent fires x voters
+
+    @property
+    def prior(self) -> float:
+        return float(1 - self.shares[0])
 
     def log_joint(self, bits: np.ndarray) -> np.ndarray:
-        """rows x 2: log of the class's prior and its chance of these votes."""
+        """rows x kinds: log of the kind's share and its chance of these votes."""
         given = np.where(self.parents >= 0, bits[:, self.parents], 0).astype(bool)
-        out = np.empty((len(bits), 2))
-        for y, prior in ((0, 1 - self.prior), (1, self.prior)):
-            p = np.where(given, self.rates[y, 1], self.rates[y, 0])
-            out[:, y] = math.log(prior) + np.where(bits > 0, np.log(p), np.log1p(-p)).sum(axis=1)
+        out = np.empty((len(bits), len(self.shares)))
+        for z, share in enumerate(self.shares):
+            p = np.where(given, self.rates[z, 1], self.rates[z, 0])
+            out[:, z] = math.log(share) + np.where(bits > 0, np.log(p), np.log1p(-p)).sum(axis=1)
         return out
 
     def posterior(self, bits: np.ndarray) -> np.ndarray:
+        """The chance of any toxic kind."""
         joint = self.log_joint(bits)
-        return 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -30, 30)))
+        toxic = np.logaddexp.reduce(joint[:, 1:], axis=1)
+        return 1 / (1 + np.exp(np.clip(joint[:, 0] - toxic, -30, 30)))
 
 
 def unpack(masks: np.ndarray, size: int = VOTERS) -> np.ndarray:
@@ -165,84 +218,110 @@ def unpack(masks: np.ndarray, size: int = VOTERS) -> np.ndarray:
 
 
 def expected_moments(votes: DataFrame, now: LabelModel) -> tuple[np.ndarray, float]:
-    """For each class the expected sums of products of votes (and of one, in the last row and column), and the log likelihood: one aggregation of fixed size."""
-    size = len(now.parents)
+    """For each kind the expected sums of products of votes (and of one, in the last row and column), and the log likelihood: one aggregation of fixed size."""
+    size, kinds = len(now.parents), len(now.shares)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, likelihood = np.zeros((2, size + 1, size + 1)), 0.0
+        sums, likelihood = np.zeros((kinds, size + 1, size + 1)), 0.0
         for pdf in batches:
             bits, n = unpack(pdf["mask"].to_numpy(np.int64), size), pdf["n"].to_numpy(np.float64)
             joint = now.log_joint(bits)
-            likelihood += float(n @ np.logaddexp(joint[:, 0], joint[:, 1]))
-            q = now.posterior(bits)
+            whole = np.logaddexp.reduce(joint, axis=1)
+            likelihood += float(n @ whole)
+            q = np.exp(joint - whole[:, None])
             full = np.hstack([bits, np.ones((len(bits), 1))])
-            for y, weight in ((0, n * (1 - q)), (1, n * q)):
-                sums[y] += full.T @ (full * weight[:, None])
+            for z in range(kinds):
+                sums[z] += full.T @ (full * (n * q[:, z])[:, None])
         flat = np.r_[sums.ravel(), likelihood]
         yield pd.DataFrame({"place": np.arange(flat.size), "value": flat})
 
     found = votes.mapInPandas(moments, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-    flat = np.zeros(2 * (size + 1) ** 2 + 1)
-    for r in found.collect():  # 2 x (voters + 1)^2 + 1 rows
+    flat = np.zeros(kinds * (size + 1) ** 2 + 1)
+    for r in found.collect():  # kinds x (voters + 1)^2 + 1 rows
         flat[r.place] = r.value
-    return flat[:-1].reshape(2, size + 1, size + 1), float(flat[-1])
+    return flat[:-1].reshape(kinds, size + 1, size + 1), float(flat[-1])
 
 
-def maximised(sums: np.ndarray, parents: np.ndarray, toxic_voters: int = TOXIC_VOTERS) -> LabelModel:
-    """The model of greatest likelihood for these moments (with pseudo-counts), under the rule that no voter fires more often on the class it speaks against."""
-    size = len(parents)
+def maximised(sums: np.ndarray, parents: np.ndarray, toxic_voters: int = TOXIC_VOTERS, prior: float | None = None) -> LabelModel:
+    """The model of greatest likelihood for these moments (with pseudo-counts) and, where it is given, this share of toxic texts, under the rule that no voter fires more often on the side it speaks against: those against in no toxic kind, those for not in all toxic kinds together."""
+    kinds, size = len(sums), len(parents)
     total, alone = sums[:, -1, -1], sums[:, -1, :-1]
-    parent = np.maximum(parents, 0)
-    overall = (alone + PSEUDO * alone.sum(axis=0) / max(total.sum(), 1e-9)) / (total[:, None] + PSEUDO)
-    rates = np.empty((2, 2, size))
-    for y in (0, 1):
-        both, of_parent = sums[y, parent, np.arange(size)], alone[y, parent]
-        rates[y, 1] = (both + PSEUDO * overall[y]) / (of_parent + PSEUDO)
-        rates[y, 0] = (alone[y] - both + PSEUDO * overall[y]) / (total[y] - of_parent + PSEUDO)
-        rates[y][:, parents < 0] = overall[y, parents < 0]
-    against = np.where(np.arange(size) < toxic_voters, overall[1] < overall[0], overall[0] < overall[1])
-    rates[:, :, against] = (alone.sum(axis=0) / max(total.sum(), 1e-9))[against]
-    return LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 2), 1e-4, 1 - 1e-4)), parents, np.clip(rates, 1e-6, 1 - 1e-6))
+    parent, pooled = np.maximum(parents, 0), alone.sum(axis=0) / max(total.sum(), 1e-9)
+    overall = (alone + PSEUDO * pooled) / (total[:, None] + PSEUDO)
+    rates = np.empty((kinds, 2, size))
+    for z in range(kinds):
+        both, of_parent = sums[z, parent, np.arange(size)], alone[z, parent]
+        rates[z, 1] = (both + PSEUDO * overall[z]) / (of_parent + PSEUDO)
+        rates[z, 0] = (alone[z] - both + PSEUDO * overall[z]) / (total[z] - of_parent + PSEUDO)
+        rates[z][:, parents < 0] = overall[z, parents < 0]
+    toxic = (alone[1:].sum(axis=0) + PSEUDO * pooled) / (total[1:].sum() + PSEUDO)
+    speaks_for = np.arange(size) < toxic_voters
+    rates[:, :, speaks_for & (toxic < overall[0])] = pooled[speaks_for & (toxic < overall[0])]
+    for z in range(1, kinds):
+        wrong = ~speaks_for & (overall[z] > overall[0])
+        rates[z][:, wrong] = overall[0, wrong]
+    shares = np.maximum((total + 1 / kinds) / (total.sum() + 1), 1e-5)
+    shares /= shares.sum()
+    if prior is not None:
+        shares = np.r_[1 - prior, prior * shares[1:] / shares[1:].sum()]
+    return LabelModel(shares, parents, np.clip(rates, 1e-6, 1 - 1e-6))
 
 
 def dependence_tree(sums: np.ndarray) -> np.ndarray:
-    """Parents of the forest of greatest conditional information between voters, among pairs that depend on each other beyond chance."""
-    size = sums.shape[1] - 1
+    """Parents of the forest of greatest conditional information between voters, among pairs that depend on each other beyond chance (likelihood ratio at p = 0.001, one degree of freedom a kind)."""
+    kinds, size = len(sums), sums.shape[1] - 1
+    spread = 2 / (9 * kinds)
+    least_ratio = kinds * (1 - spread + 3.09 * math.sqrt(spread)) ** 3
     gain = np.zeros((size, size))
-    for y in (0, 1):
-        total = max(sums[y, -1, -1], 1e-9)
-        a, b = sums[y, -1, :-1][:, None], sums[y, -1, :-1][None, :]
-        both = sums[y, :-1, :-1]
+    for z in range(kinds):
+        total = max(sums[z, -1, -1], 1e-9)
+        a, b = sums[z, -1, :-1][:, None], sums[z, -1, :-1][None, :]
+        both = sums[z, :-1, :-1]
         for seen, expected in ((both, a * b), (a - both, a * (total - b)), (b - both, (total - a) * b), (total - a - b + both, (total - a) * (total - b))):
             ok = (seen > 1e-9) & (expected > 1e-9)
             gain += np.where(ok, seen * np.log(np.where(ok, seen * total / np.where(ok, expected, 1), 1)), 0)
-    parents, root = np.full(size, -1), list(range(size))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
     neighbours: list[list[int]] = [[] for _ in range(size)]
-    pairs = sorted(((-gain[i, j], i, j) for i in range(size) for j in range(i + 1, size) if 2 * gain[i, j] > LEAST_RATIO))
+    groups = Groups(size)
+    pairs = sorted(((-gain[i, j], i, j) for i in range(size) for j in range(i + 1, size) if 2 * gain[i, j] > least_ratio))
     for _, i, j in pairs:
-        if (a := find(i)) != (b := find(j)):
-            root[max(a, b)] = min(a, b)
+        if groups.join(i, j):
             neighbours[i].append(j)
             neighbours[j].append(i)
-    seen: set[int] = set()
+    parents, seen_voters = np.full(size, -1), set()
     for start in range(size):
-        todo = [(start, -1)] if start not in seen else []
+        todo = [(start, -1)] if start not in seen_voters else []
         while todo:
             i, parent = todo.pop()
-            seen.add(i)
+            seen_voters.add(i)
             parents[i] = parent
             todo += [(j, i) for j in neighbours[i] if j != parent]
     return parents
 
 
+class Groups:
+    """Disjoint sets of a few numbers."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            i = self.root[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
 def fit_label_model(votes: DataFrame, start: LabelModel) -> LabelModel:
-    """Maximum likelihood of ``votes`` (mask, n) from a starting point: expectation maximisation until it settles, for voters that are independent first, then along the tree that the moments ask for."""
+    """Maximum likelihood of ``votes`` (mask, n) from a starting point, whose share of toxic texts it keeps: expectation maximisation until it settles, for voters that are independent first, then along the tree that the moments ask for.
+
+    Most texts have no votes, so the votes alone don't tell how many texts are toxic: a
+    toxic kind would come to stand for texts without votes.
+    """
     model, likelihood = start, -math.inf
     n = max(1, votes.agg(F.sum("n")).first()[0] or 0)
     trees = 0
@@ -255,23 +334,47 @@ def fit_label_model(votes: DataFrame, start: LabelModel) -> LabelModel:
             if trees == MOST_TREES or (parents == model.parents).all():
                 break
             trees, likelihood = trees + 1, -math.inf
-            model = maximised(sums, parents)
+            model = maximised(sums, parents, prior=start.prior)
         else:
-            model = maximised(sums, model.parents)
+            model = maximised(sums, model.parents, prior=start.prior)
+        model.rates[1:] = (1 - ANCHOR) * model.rates[1:] + ANCHOR * start.rates[1:]
     return model
 
 
+def voter_groups(bits: np.ndarray, n: np.ndarray) -> list[list[int]]:
+    """Word and stem voters that go together on toxic sample texts (rows of votes, n times each), the groups with most texts first."""
+    words = len(LEXICON) + STEM_VOTERS
+    bits = bits[:, :words]
+    together = bits.T @ (bits * n[:, None])
+    alone, groups = np.diag(together), Groups(words)
+    linked = (together >= LEAST_TOGETHER) & (together * n.sum() > LIFT * np.outer(alone, alone))
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        groups.join(int(i), int(j))
+    members: dict[int, list[int]] = {}
+    for i in range(words):
+        members.setdefault(groups.find(i), []).append(i)
+    texts = {g: float(n[bits[:, m].any(axis=1)].sum()) for g, m in members.items()}
+    return [members[g] for g in sorted(members, key=lambda g: (-texts[g], g)) if texts[g] >= LEAST_TOGETHER][:MOST_KINDS]
+
+
 def starting_point(votes: DataFrame, prior: float) -> LabelModel:
-    """Independent voters with the rates of the labelled sample's votes (mask, label, n); usual rates where it is empty."""
-    sums = np.zeros((2, VOTERS + 1, VOTERS + 1))
-    sums[0, -1, -1], sums[1, -1, -1] = 1 - prior, prior
-    sums[0, -1, :-1], sums[1, -1, :-1] = 0.01 * (1 - prior), 0.1 * prior
-    sums[0, -1, TOXIC_VOTERS:-1], sums[1, -1, TOXIC_VOTERS:-1] = 0.1 * (1 - prior), 0.01 * prior
-    for r in votes.groupBy("label").agg(*[F.sum(F.col("n") * F.shiftright("mask", i).bitwiseAND(F.lit(1))).alias(f"v{i}") for i in range(VOTERS)], F.sum("n").alias("n")).collect():
-        sums[r.label, -1, :-1] += [float(r[f"v{i}"]) for i in range(VOTERS)]
-        sums[r.label, -1, -1] += float(r.n)
+    """Independent voters with the rates of the labelled sample's votes (mask, label, n). Toxic texts start in the kind of the group that most of their votes are of, those without any in all kinds alike. Usual rates where the sample is empty."""
+    rows = votes.toPandas()  # at most two classes of SAMPLE_A_CLASS texts
+    bits, n, toxic = unpack(rows["mask"].to_numpy(np.int64)), rows["n"].to_numpy(np.float64), rows["label"].to_numpy() == 1
+    groups = voter_groups(bits[toxic], n[toxic]) or [[]]
+    kinds = 1 + len(groups)
+    votes_of = np.array([bits[:, g].sum(axis=1) for g in groups]).T
+    best = (votes_of == votes_of.max(axis=1, keepdims=True)).astype(np.float64)
+    q = np.hstack([np.where(toxic, 0.0, 1.0)[:, None], np.where(toxic[:, None], best / best.sum(axis=1, keepdims=True), 0.0)])
+    sums = np.zeros((kinds, VOTERS + 1, VOTERS + 1))
+    sums[:, -1, -1] = [1 - prior, *[prior / (kinds - 1)] * (kinds - 1)]
+    sums[0, -1, :-1] = np.where(np.arange(VOTERS) < TOXIC_VOTERS, 0.01, 0.1) * (1 - prior)
+    sums[1:, -1, :-1] = np.where(np.arange(VOTERS) < TOXIC_VOTERS, 0.1, 0.01) * prior / (kinds - 1)
+    sums[:, -1, :-1] += q.T @ (bits * n[:, None])
+    sums[:, -1, -1] += q.T @ n
     model = maximised(sums, np.full(VOTERS, -1))
-    model.prior = prior
+    of_toxic = sums[1:, -1, -1] / sums[1:, -1, -1].sum()
+    model.shares = np.r_[1 - prior, prior * of_toxic]
     return model
 
 
@@ -288,13 +391,18 @@ class ToxicityModel:
     def present(self, text: str) -> set[int]:
         """Places of the features that a text has."""
         cache, newer, out = self.cache, self.cache.newer, set()
+        repeated: dict[int, int] = {}
         for word in set(text.split()):
             if (found := newer.get(word)) is None and (found := cache.get(word)) is None:
-                found = tuple(self.places[n] for n in names_of(word) if n in self.places)
+                names = names_of(word)
+                found = tuple(self.places[n] for n in names if n in self.places), tuple(self.places[f"+{n}"] for n in names if f"+{n}" in self.places)
                 cache.keep(word, found)
                 newer = cache.newer
-            if found:
-                out.update(found)
+            if found[0]:
+                out.update(found[0])
+            for i in found[1]:
+                repeated[i] = repeated.get(i, 0) + 1
+        out.update([i for i, n in repeated.items() if n >= REPEATED])
         return out
 
     def score(self, text: str) -> float:
