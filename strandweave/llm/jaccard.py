@@ -1,18 +1,14 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts with equal sets of word shingles form one exact class and are represented by
-one text. Each representative gets ``TREES`` labels of ``DEEPEST`` MinHash values, which
-are its paths in as many prefix tries. The matched prefix starts at the whole label and
-is shortened value by value until the recall of a pair at the threshold, predicted and
-measured on a bounded sample of the corpus's own shingle sets, reaches the target. The
-recall that counts is that of a pair at the threshold, so all texts stop at one depth.
-
-Texts below one trie node are candidates. Candidates that hang together are laid out in
-the sorted order of the first trie's whole labels, so that long common prefixes lie side
-by side, and cut into blocks of equal size. A text is compared with its own block and
-with the blocks that one of its trie nodes reaches, so a long chain of texts costs what
-its links cost. Each pair of blocks is verified exactly in one place, which yields counts
-and a spanning forest, never the pairs themselves.
+Each distinct shingle set gets ``TREES`` labels of ``DEEPEST`` MinHash values, which are its
+paths in as many prefix tries. All paths are laid out in sorted order, tree by tree: labels
+with a long common prefix lie side by side, and a trie node at any depth is a stretch of
+that order. One walk along it finds how deep each path shares its prefix with a
+neighbour; paths that share none drop out. The matched prefix starts at the whole label
+and is shortened value by value until the recall reaches the target: that of a pair at
+the threshold, and that measured on pairs of the corpus, neighbours in the order, which are
+verified first. The recall that counts is that of a pair at the threshold, so all texts
+stop at one depth. What shares a node at that depth is verified exactly (see ``blocks``).
 """
 
 from __future__ import annotations
@@ -22,12 +18,11 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, join_spread, shuffle_partitions, stored, whole_text
-from .components import components
+from .blocks import KEY, Shingles, exact_classes, joined_once, keyed, linked_classes, often_repeated, shared_nodes, signed
+from .common import join_spread, shuffle_partitions, stored, whole_text
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -35,14 +30,8 @@ TREES, DEEPEST = 48, 10
 #: Bytes of a MinHash value in a label. Cut values only add candidates.
 VALUE = 2
 TARGET_RECALL = 0.9998
-#: Texts in a block; a unit of verification holds two blocks at most.
-BLOCK = 384
-#: The recall is measured on at most so many shingle sets, of so many shingles at least and at most, each beside so many sets at the threshold.
-SAMPLE, SAMPLE_SHINGLES, PARTNERS = 256, (90, 4096), 8
-#: A node that several blocks share is looked up under so many keys, so a hot one spreads.
-SALTS = 16
-#: Null identifiers get numbers from here on, fixed by their texts.
-NULL_IDS = 1 << 62
+#: The recall is measured on at most so many pairs of the corpus, found so many values above the depth that a pair at the threshold asks for.
+PAIRS, MARGIN = 512, 2
 
 
 def predicted_recall(agreement: float, trees: int = TREES) -> float:
@@ -50,52 +39,18 @@ def predicted_recall(agreement: float, trees: int = TREES) -> float:
     return 1 - (1 - agreement) ** trees
 
 
-def matched_depth(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = DEEPEST, agreement: list[float] | None = None) -> int:
+def matched_depth(threshold: float, target: float = TARGET_RECALL, trees: int = TREES, deepest: int = DEEPEST, measured: list[float] | None = None) -> int:
     """Shorten the prefix from ``deepest`` values until the target recall is reached.
 
-    ``agreement`` has for each depth from 1 on the measured share of trees in which two
-    texts at the threshold agree; without it, and where it is the better of the two,
-    the recall is that of the threshold alone.
+    ``measured`` has for each depth from 1 on the measured recall of pairs; without it that
+    of a pair at the threshold counts alone.
     """
     for depth in range(deepest, 0, -1):
-        chance = threshold**depth if agreement is None else min(threshold**depth, agreement[depth - 1])
-        if predicted_recall(chance, trees) >= target:
+        if predicted_recall(threshold**depth, trees) >= target and (measured is None or measured[depth - 1] >= target):
             return depth
     raise ValueError(f"{trees} trees can't reach a recall of {target} at a threshold of {threshold}")
 
 
-class Shingles:
-    """Sorted distinct 64-bit hashes of a text's word windows (white space cut, lower case). A text of fewer words is one window."""
-
-    def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, BoundedCache()
-        self.factors = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(words)], np.uint64)
-
-    def _hash(self, word: str) -> int:
-        h = self.cache.get(word)
-        if h is None:
-            h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-            self.cache.keep(word, h)
-        return h
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < self.words:
-            return np.array([xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))], np.uint64)
-        known = self.cache.newer.get
-        hashes = np.array([known(w) or self._hash(w) for w in words], np.uint64)
-        n = len(words) - self.words + 1
-        with np.errstate(over="ignore"):
-            out = hashes[:n] * self.factors[0]
-            for i in range(1, self.words):
-                out += hashes[i : i + n] * self.factors[i]
-            out ^= out >> np.uint64(32)
-            out *= np.uint64(0x9E3779B97F4A7C15)
-        return np.unique(out)
-
-
 class Forest:
     """The labels of a shingle set: for each tree ``deepest`` MinHash values, cut to ``VALUE`` big-endian bytes each."""
 
@@ -123,215 +78,98 @@ class Forest:
         return self.values(shingles).tobytes()
 
 
-def identifier(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(whole_text()), F.lit(1 << 61)))
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(KEY, n_shingles, set_key, signature) of each row: the signature is the labels of all trees."""
 
+    def make():
+        return Shingles(words), Forest().labels
 
-def _with_ids(docs: DataFrame) -> DataFrame:
-    return docs.select(identifier(docs).alias("uid"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
+    return signed(docs, make)
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(uid, text_hash, n_shingles, set_key, labels) of each row; set_key is a 128-bit hash of the shingle set."""
+def first_label() -> Column:
+    return F.substr("signature", F.lit(1), F.lit(DEEPEST * VALUE))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, forest = Shingles(words), Forest()
-        last_key, last_labels = None, None
+
+def trie_paths(classes: DataFrame, shortest: int) -> DataFrame:
+    """(tree, label, KEY, depth, next_...): the paths that share ``shortest`` values at least with a neighbour in the sorted order.
+
+    ``depth`` is the number of values shared with the nearer neighbour, the columns next_...
+    are KEY of the following path where that shares ``shortest`` values. The first and last path
+    of a range can't see one of their neighbours and stay. The order is one of (tree,
+    label, KEY), so a node with very many paths spreads over many ranges.
+    """
+    size = DEEPEST * VALUE
+    path = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substr("signature", t * size + 1, F.lit(size)).alias("label")))
+    paths = classes.where("n_shingles > 0").select("rep.*", F.explode(path).alias("path")).select("path.*", *KEY)
+    order = ["tree", "label", *KEY]
+    laid = paths.repartitionByRange(shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, before = None, DEEPEST
         for pdf in batches:
-            n, keys, labels = [], [], []
-            for text in pdf["text"]:
-                found = shingles.of(text)
-                key = xxhash.xxh128_digest(found.tobytes())
-                if key != last_key:
-                    last_key, last_labels = key, forest.labels(found) if len(found) else b""
-                n.append(len(found))
-                keys.append(key)
-                labels.append(last_labels)
-            yield pd.DataFrame({"uid": pdf["uid"], "text_hash": pdf["text_hash"], "n_shingles": n, "set_key": keys, "labels": labels})
-
-    return _with_ids(docs).mapInPandas(run, "uid long, text_hash long, n_shingles int, set_key binary, labels binary")
-
-
-def exact_classes(sigs: DataFrame) -> DataFrame:
-    """One row a shingle set: ``rep``, its least (uid, text_hash), the number of rows, of shingles and the labels. An identifier alone doesn't tell texts apart."""
-    return sigs.groupBy("set_key").agg(
-        F.min(F.struct("uid", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")
-    )
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = rows.tail(1)
+            labels = np.frombuffer(b"".join(rows["label"]), ">u2").reshape(len(rows), DEEPEST)
+            tree = rows["tree"].to_numpy()
+            equal = (labels[1:] == labels[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            shared = np.logical_and.accumulate(equal, axis=1).sum(axis=1)
+            yield kept(rows.iloc[:-1], np.r_[before, shared][:-1], shared, rows.iloc[1:])
+            before = shared[-1] if len(shared) else before
+        if held is not None:
+            yield kept(held, np.array([before]), np.array([DEEPEST]), None)
+
+    def kept(rows: pd.DataFrame, before: np.ndarray, after: np.ndarray, following: pd.DataFrame | None) -> pd.DataFrame:
+        out = rows.assign(depth=np.maximum(before, after).astype(np.int32))
+        for k in KEY:
+            out[f"next_{k}"] = None if following is None else pd.Series(following[k].to_numpy(), rows.index, object).where(after >= shortest)
+        return out[np.maximum(before, after) >= shortest]
+
+    return laid.mapInPandas(
+        walk, "tree int, label binary, no_id boolean, uid long, text_hash long, depth int, next_no_id boolean, next_uid long, next_text_hash long"
+    )
 
 
-def measured_agreement(docs: DataFrame, classes: DataFrame, words: int, threshold: Fraction) -> list[float] | None:
-    """For each depth the share of trees in which a sampled set and a set at the threshold agree; None if no text is long enough to sample."""
-    least, most = SAMPLE_SHINGLES
-    picked = classes.where(F.col("n_shingles").between(least, most)).orderBy("set_key").limit(SAMPLE).select("rep.*")
-    texts = _with_ids(docs).join(F.broadcast(picked), ["uid", "text_hash"])
+def measured_recall(docs: DataFrame, paths: DataFrame, words: int, threshold: Fraction) -> list[float] | None:
+    """For each depth the share of verified pairs of the corpus that meet there in some tree; None without pairs at or above the threshold.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The pairs are at most PAIRS, drawn by hash from all neighbours in the sorted order; their
+    texts are broadcast by key and verified two by two.
+    """
+    mine, other = F.struct(*KEY), F.struct(*[F.col(f"next_{k}").alias(k) for k in KEY])
+    near = paths.where("next_uid IS NOT NULL").select(F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b")).distinct()
+    picked = stored(near.orderBy(F.xxhash64("a", "b"), "a", "b").limit(PAIRS).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    sides = picked.select("pair", "a.*").unionByName(picked.select("pair", "b.*"))
+    texts = keyed(docs, whole_text().alias("text")).join(F.broadcast(sides.select(*KEY).distinct()), KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         shingles, forest = Shingles(words), Forest()
-        for pdf in batches:
-            agree = np.zeros(DEEPEST, np.int64)
-            for text in pdf["text"]:
-                mine = shingles.of(text)
-                keep = -(-2 * len(mine) * threshold.numerator // (threshold.numerator + threshold.denominator))
-                here, rng = forest.values(mine), np.random.default_rng(mine[:8])
-                for _ in range(PARTNERS):
-                    other = np.r_[rng.permutation(mine)[:keep], rng.integers(0, 1 << 63, len(mine) - keep, np.uint64) * np.uint64(2)]
-                    agree += np.logical_and.accumulate(here == forest.values(other), axis=1).sum(axis=0)
-            yield pd.DataFrame({"depth": np.arange(DEEPEST), "agree": agree, "n": len(pdf) * PARTNERS * TREES})
-
-    # DEEPEST rows.
-    sums = texts.mapInPandas(run, "depth int, agree long, n long").groupBy("depth").agg(F.sum("agree").alias("agree"), F.sum("n").alias("n")).collect()
-    shares = {r.depth: r.agree / r.n for r in sums if r.n}
-    return [shares[i] for i in range(DEEPEST)] if shares else None
-
-
-def matched_nodes(classes: DataFrame, depth: int) -> DataFrame:
-    """(rep, trie_node, first): each representative's nodes at this depth that it shares with another, and the least representative below each."""
-    prefix = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.xxhash64(t, F.substr("labels", t * (DEEPEST * VALUE) + 1, F.lit(depth * VALUE))),
-    )
-    nodes = classes.where("n_shingles > 0").select("rep", F.explode(prefix).alias("trie_node"))
-    shared = stored(nodes.groupBy("trie_node").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared-nodes")
-    return join_spread(nodes, shared.drop("_n"), "trie_node", shared, TREES * classes.count()).select("rep", "trie_node", "first")
-
-
-def block_layout(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rep, component, copies, block): the members of all groups, sorted by group and the first trie's whole label, BLOCK by BLOCK."""
-    members = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "copies", F.substr("labels", F.lit(1), F.lit(DEEPEST * VALUE)).alias("label")), "rep")
-    order = ["component", "label", "rep"]
-    laid = members.repartitionByRange(shuffle_partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
-    return laid.select("rep", "component", "copies", F.monotonically_increasing_id().alias("at")).withColumn("block", F.expr(f"at div {BLOCK}")).drop("at")
-
-
-def reached_blocks(nodes: DataFrame, layout: DataFrame) -> DataFrame:
-    """(rep, others): the blocks besides its own that a representative's trie nodes reach. Most nodes lie within a block and drop out."""
-    placed = nodes.select("rep", "trie_node").join(layout.select("rep", "block"), "rep")
-    several = placed.groupBy("trie_node").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 1)
-    salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    found = keyed.join(salted, ["trie_node", "salt"]).groupBy("rep", "block").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("others"))
-    return found.select("rep", F.array_remove("others", F.col("block")).alias("others"))
-
-
-def _links(pdf: pd.DataFrame, shingles: Shingles, threshold: Fraction) -> pd.DataFrame | None:
-    """Verify the texts of one group in one unit: all pairs within a block, or between two blocks."""
-    pdf = pdf.sort_values(["uid", "text_hash"])
-    if len(pdf) < 2:
-        return None
-    sets = [shingles.of(t) for t in pdf["text"]]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts[columns] > 1
-    rows, columns = rows[shared], columns[shared]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    if len(columns):
-        places = np.cumsum(counts > 1) - 1  # shingles of one text only are left out
-        columns = places[columns]
-        order = np.argsort(columns, kind="stable")
-        rows, columns = rows[order], columns[order]
-        for a in range(0, int(columns[-1]) + 1, 4096):
-            lo, hi = np.searchsorted(columns, [a, a + 4096])
-            part = np.zeros((len(sets), min(4096, int(columns[-1]) + 1 - a)), np.float32)
-            part[rows[lo:hi], columns[lo:hi] - a] = 1
-            common += part @ part.T
-    both = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = both * threshold.denominator >= union * threshold.numerator
-    np.fill_diagonal(linked, False)
-    if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-        block = pdf["block"].to_numpy()
-        linked &= block[:, None] != block[None, :]
-    some = linked.any(axis=1)
-    if not some.any():
-        return None
-    uids, hashes, copies = (pdf[c].to_numpy(np.int64) for c in ("uid", "text_hash", "copies"))
-    roots = _least_reachable(linked, np.arange(len(pdf)))  # rows are in order
-    return pd.DataFrame({"uid": uids, "text_hash": hashes, "root_uid": uids[roots], "root_hash": hashes[roots], "links": linked @ copies, "texts": linked.sum(axis=1)})[some]
-
-
-def _least_reachable(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """For each row the least name that it reaches through links."""
-    out, todo = names.copy(), np.argsort(names)
-    seen = np.zeros(len(names), bool)
-    for start in todo:
-        if seen[start]:
-            continue
-        front = np.zeros(len(names), bool)
-        front[start] = True
-        reached = front.copy()
-        while front.any():
-            front = linked[front].any(axis=0) & ~reached
-            reached |= front
-        seen |= reached
-        out[reached] = names[start]
-    return out
-
-
-KEY = ["uid", "text_hash"]
-
-
-def often_repeated(sigs: DataFrame) -> DataFrame | None:
-    """(uid, text_hash) of rows that are there so often that they would crowd a task: at most a thousand. None if there are none."""
-    limit = max(1000, sigs.count() // 1000)
-    hot = stored(sigs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*KEY), "often")
-    return F.broadcast(hot) if hot.head(1) else None
-
-
-def joined_once(rows: DataFrame, members: DataFrame, hot: DataFrame | None, value: str) -> DataFrame:
-    """The members (unique by KEY) with ``value`` of a row; rows equal in KEY are equal. Often repeated rows meet map side first, beside a broadcast of their members."""
-    cold_rows, cold = (rows, members) if hot is None else (rows.join(hot, KEY, "left_anti"), members.join(hot, KEY, "left_anti"))
-    rest = [c for c in members.columns if c not in KEY]
-    once = [*[F.first(c).alias(c) for c in rest], F.first(value).alias(value)]
-    out = cold_rows.join(cold, KEY).groupBy(*KEY).agg(*once)
-    if hot is None:
-        return out
-    return out.unionByName(rows.join(F.broadcast(members.join(hot, KEY)), KEY).groupBy(*KEY).agg(*once))
-
-
-def verified(docs: DataFrame, layout: DataFrame, reached: DataFrame, hot: DataFrame | None, words: int, threshold: Fraction) -> DataFrame:
-    """(rep, root, links, texts): per unit, of each representative with a link the least one it is linked with, the number of rows and of texts."""
-    members = layout.join(reached, "rep", "left").select(
-        "rep.*", F.col("component.uid").alias("group_uid"), F.col("component.text_hash").alias("group_hash"), "block", "copies",
-        F.concat(F.array("block"), F.coalesce("others", F.array().cast("array<bigint>"))).alias("meets"),
-    )
-    texts = joined_once(_with_ids(docs), members, hot, "text")
-    rows = texts.select(*KEY, "group_uid", "group_hash", "block", "copies", "text", F.explode("meets").alias("meet")).select(
-        F.least("block", "meet").alias("i"), F.greatest("block", "meet").alias("j"), "group_uid", "group_hash", "block", *KEY, "copies", "text"
-    )
+        a, b = (shingles.of(t) for t in pdf["text"])
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        linked = both * threshold.denominator >= (len(a) + len(b) - both) * threshold.numerator
+        deep = np.logical_and.accumulate(forest.values(a) == forest.values(b), axis=1).sum(axis=1).max()
+        return pd.DataFrame({"linked": [linked], "deep": [deep]})
 
-    unit = ["i", "j", "group_uid", "group_hash"]
+    found = texts.join(F.broadcast(sides), KEY).groupBy("pair").applyInPandas(verify, "linked boolean, deep int")
+    deep = [r.deep for r in found.where("linked").collect()]  # at most PAIRS numbers
+    return [sum(d >= depth for d in deep) / len(deep) for depth in range(1, DEEPEST + 1)] if deep else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, held, at = Shingles(words), [], None
-        for pdf in batches:
-            for k, part in pdf.groupby(unit, sort=False):
-                if k != at:
-                    if held and (out := _links(pd.concat(held), shingles, threshold)) is not None:
-                        yield out
-                    held, at = [], k
-                held.append(part)
-        if held and (out := _links(pd.concat(held), shingles, threshold)) is not None:
-            yield out
 
-    spread = rows.repartition(shuffle_partitions(docs.sparkSession), *unit).sortWithinPartitions(*unit)
-    found = spread.mapInPandas(run, "uid long, text_hash long, root_uid long, root_hash long, links long, texts long")
-    root = F.struct(F.col("root_uid").alias("uid"), F.col("root_hash").alias("text_hash"))
-    return found.select(F.struct("uid", "text_hash").alias("rep"), root.alias("root"), "links", "texts")
+def matched_nodes(classes: DataFrame, paths: DataFrame, depth: int) -> DataFrame:
+    """(rep, node, first): each representative's nodes at this depth that it shares with another, and the least representative below each."""
+    node = F.xxhash64("tree", F.substr("label", F.lit(1), F.lit(depth * VALUE)))
+    return shared_nodes(paths.where(F.col("depth") >= depth).select(F.struct(*KEY).alias("rep"), node.alias("node")), TREES * classes.count())
 
 
 def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall: float) -> tuple[DataFrame, DataFrame | None]:
-    """The columns of near_duplicates and text_hash, which tells rows that share an identifier apart; and what often_repeated finds."""
+    """The columns of near_duplicates and KEY, which tells rows that share an identifier apart; and what often_repeated finds."""
     sigs = stored(signatures(docs, words), "signatures")
     hot = often_repeated(sigs)
     classes = stored(exact_classes(sigs), "classes")
-    depth = matched_depth(float(threshold), target_recall, agreement=measured_agreement(docs, classes, words, threshold))
-    nodes = stored(matched_nodes(classes, depth), "nodes")
-    groups = components(nodes.where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
-    layout = stored(block_layout(classes, groups), "layout")
-    found = stored(verified(docs, layout, reached_blocks(nodes, layout), hot, words, threshold), "links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    linked = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+    paths = stored(trie_paths(classes, max(1, matched_depth(float(threshold), target_recall) - MARGIN)), "paths")
+    depth = matched_depth(float(threshold), target_recall, measured=measured_recall(docs, paths, words, threshold))
+    nodes = stored(matched_nodes(classes, paths, depth), "nodes")
+    counts, linked = linked_classes(docs, classes, nodes, first_label(), hot, lambda: Shingles(words), threshold)
     table = (
         classes.select("set_key", "rep", "copies")
         .join(counts, "rep", "left")
@@ -345,10 +183,10 @@ def _decisions(docs: DataFrame, words: int, threshold: Fraction, target_recall:
         )
     )
     copies = classes.select("set_key", F.col("copies").alias("_n"))
-    decided = join_spread(sigs.select("uid", "text_hash", "set_key"), table, "set_key", copies, sigs.count()).select(
-        F.when(F.col("uid") < NULL_IDS, F.col("uid")).alias("doc_id"), "uid", "text_hash", F.col("head.uid").alias("class_id"),
-        F.concat_ws(":", F.hex("head.uid"), F.hex("head.text_hash")).alias("class_key"), "exact_id", "n_links", "n_linked_texts",
-        ((F.col("uid") == F.col("head.uid")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("keep"),
+    decided = join_spread(sigs.select(*KEY, "set_key"), table, "set_key", copies, sigs.count()).select(
+        F.when(~F.col("no_id"), F.col("uid")).alias("doc_id"), *KEY, F.col("head.uid").alias("class_id"),
+        F.concat_ws(":", F.when(F.col("head.no_id"), F.lit("null")), F.hex("head.uid"), F.hex("head.text_hash")).alias("class_key"), "exact_id", "n_links", "n_linked_texts",
+        (F.struct(*KEY) == F.col("head")).alias("keep"),
     )
     return decided, hot
 
@@ -362,20 +200,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     the least one with the same shingle set, ``n_links`` the number of other rows linked
     (copies included), ``n_linked_texts`` that of other shingle sets, ``keep`` true for
     the row that stands for its class. Texts without words (null ones too) form one
-    exact class; a null doc_id gets a number from 2^62 on, as ``uid`` shows. Repeated rows
+    exact class; a row with a null doc_id is known by its text, with that text's hash as
+    ``uid``, and comes after all identifiers, of which any 64-bit number may be one. Repeated rows
     are copies and each gets a row; rows that share a doc_id but not a text are told apart
     by their texts, so several of them can lead classes. Texts of any length are read
     whole; ties in the order of texts don't change results. An empty table stays empty;
     other columns are dropped.
     """
-    return _decisions(docs, words, threshold, target_recall)[0].drop("text_hash")
+    return _decisions(docs, words, threshold, target_recall)[0].drop("no_id", "text_hash")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """One document of each class of near-duplicates, with its columns: the one with the least identifier (and text hash), once. Cases as in near_duplicates."""
     decided, hot = _decisions(docs, words, threshold, target_recall)
     kept = stored(decided.where("keep").groupBy(*KEY).agg(F.count(F.lit(1)).alias("times")), "kept")
-    rows = docs.select(F.struct("*").alias("row"), identifier(docs).alias("uid"), F.xxhash64(whole_text()).alias("text_hash"))
+    rows = keyed(docs, F.struct("*").alias("row"))
     single, several = kept.where("times = 1").select(*KEY), kept.where("times > 1").select(*KEY)
     out = rows.join(single, KEY, "left_semi").select("row")
     if several.head(1):  # rows equal in both are copies of one text

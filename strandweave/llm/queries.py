@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, importance, jaccard, media, mixing, pieces, pii, quality, sstable, toxicity
+from . import chat, imatch, importance, jaccard, media, minhash, mixing, pieces, pii, quality, sstable, toxicity
 from .common import documents
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,6 +64,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
@@ -76,10 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "op12_importance": op12_importance,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op12_importance": importance.ORACLE_SQL,
+    "op13_minhash": minhash.ORACLE_SQL,
 }

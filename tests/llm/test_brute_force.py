@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandweave.llm import chat, files, imatch, jaccard, media, pieces, pii, queries, sstable
+from strandweave.llm import blocks, chat, files, imatch, jaccard, media, pieces, pii, queries, sstable
 from strandweave.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -69,7 +69,7 @@ def test_forest_recall_at_the_threshold():
 
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
     r = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []

@@ -48,3 +48,17 @@ def test_two_texts_in_two_classes_under_one_id(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
     out = jaccard.near_duplicates(docs).collect()
     assert len({x.class_key for x in out}) == 2 and sorted(x.text for x in jaccard.one_of_each(docs).collect()) == sorted([a, b])
+
+
+def test_any_identifier_is_one(spark):
+    """Identifiers at the ends of 64 bits stay apart from rows without one."""
+    r = random.Random(3)
+    a, b, c = text_of(r), text_of(r), text_of(r)
+    ids = [(1 << 62) + 5, (1 << 63) - 1, -(1 << 63)]
+    rows = [*zip(ids, (a, b, c), strict=True), (None, a), (None, b + " tail"), (None, "alone " * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard.near_duplicates(docs).collect()
+    assert sorted(x.doc_id for x in out if x.doc_id is not None) == sorted(ids)
+    classes = {x.doc_id: x.class_id for x in out if x.doc_id is not None}
+    assert all(classes[i] == i for i in ids)
+    assert sum(x.keep for x in out) == 4 and sorted(x.text for x in jaccard.one_of_each(docs).collect()) == sorted([a, b, c, rows[-1][1]])
