@@ -92,6 +92,14 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
+#: CRC-32 in SQL: a table by the rule, a step for each byte. ``{text}`` is the text, the table's ``t`` must be in scope.
+SQL_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) x(i))"""
+SQL_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({text})) + 1), "
+    "lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+)
+
+
 class BoundedCache:
     """Two dicts of at most ``limit`` entries each, with keys of at most LONGEST characters; when the newer is full, the older goes. Memory stays bounded, results don't change."""
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, whole_text
+from .common import SQL_CRC, SQL_CRC_TABLE, shuffle_partitions, stored, whole_text
 
 MAX_N, BUCKETS = 1, 10_000
 MIN_WORDS, PERCENT, SEED = 20, 10, 2024
@@ -185,13 +185,6 @@ def importance_digests(docs: DataFrame, target: DataFrame) -> DataFrame:
     return drawn(importance_scores(docs, target).drop("row")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-#: CRC-32 in SQL: a table by the rule, a step for each byte. ``{text}`` is the text, ``crc_table.t`` must be in scope.
-SQL_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) x(i))"""
-SQL_CRC = (
-    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({text})) + 1), "
-    "lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
-)
-
 ORACLE_SQL = rf"""
 WITH {SQL_CRC_TABLE},
 lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),

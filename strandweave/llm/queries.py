@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, importance, jaccard, media, minhash, mixing, pieces, pii, quality, sstable, toxicity
+from . import chat, imatch, importance, jaccard, media, minhash, mixing, pieces, pii, quality, sstable, toxicity, trie
 from .common import documents
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sstable": op8_sstable,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_importance": op12_importance,
     "op13_minhash": op13_minhash,
 }
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op11_prefix_trie": trie.ORACLE_SQL,
     "op12_importance": importance.ORACLE_SQL,
     "op13_minhash": minhash.ORACLE_SQL,
 }

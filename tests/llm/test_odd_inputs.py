@@ -6,7 +6,7 @@ import zlib
 import public_tokenizers
 import pytest
 
-from strandweave.llm import chat, imatch, jaccard, media, mixing, pieces, pii, quality, sstable, toxicity
+from strandweave.llm import chat, imatch, importance, jaccard, media, minhash, mixing, pieces, pii, quality, sstable, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,8 @@ SAMPLE = {
     "pii": lambda d, y: pii.pii_digests(d),
     "sstable": lambda d, y: sstable.read_shards(sstable.write_shards(d, WORDS, 2)),
     "mixing": lambda d, y: mixing.mix(d),
+    "importance": lambda d, y: importance.importance_digests(d, d.limit(2)),
+    "minhash": lambda d, y: minhash.near_copies(d),
     "quality": lambda d, y: quality.quality_scores(d, y),
 }
 
