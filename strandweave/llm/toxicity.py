@@ -4,11 +4,12 @@ Voters are words of a fixed lexicon, word stems that the labelled sample shows i
 texts or in other texts only, and patterns. Each votes for one class or abstains. A
 generative label model has a kind for each document, one of several toxic kinds (groups
 of voters that go together, as those of one language do) or none, and within a kind
-voters that depend on one another along a tree; shares, firing rates and tree are the
-maximum likelihood of the votes on all documents, found by expectation maximisation
-until the likelihood settles. No label enters it but through the choice of stems, the
-starting point and the share of toxic texts. Its posterior labels, on a bounded sample of documents, train a linear
-classifier on the presence of words and stems.
+voters that depend on one another along a tree. Shares and firing rates maximise one
+objective by expectation maximisation: the log likelihood of the votes on all documents plus
+the log density of an anchor, pseudo-counts at the rates that the labelled sample shows, as
+many as each toxic kind is expected to have documents; it rises in every round until it settles. No label enters but
+through the choice of stems, the starting point, the anchor and the share of toxic texts. The model's posterior labels, on a
+bounded sample of documents, train a linear classifier on the presence of words and stems.
 """
 
 from __future__ import annotations
@@ -56,12 +57,14 @@ POSTERIORS_A_SIDE = 4_000
 FEATURES, LEAST_TEXTS = 1024, 5
 #: How many standard errors its log odds must be above 0: in a small sample many stems are in toxic texts only by chance.
 LEAST_Z = 3.2
-#: Expectation maximisation ends when a round adds less than SETTLED to the mean log likelihood, the search for the tree when it doesn't change.
+#: Expectation maximisation ends when a round adds less than SETTLED times the documents to the objective, the search for the tree when it doesn't change.
 MOST_ROUNDS, SETTLED, MOST_TREES = 100, 1e-6, 4
 #: Pseudo-count of each firing rate.
 PSEUDO = 2.0
-#: How much of a toxic kind's firing rates stays as it started: a small kind would wander off to whatever texts are many.
+#: Pseudo-texts of a toxic kind at the rates that it started with, as a share of the texts that it is expected to have: a small kind would wander off to whatever texts are many.
 ANCHOR = 0.5
+#: Distinct masks that are kept on the driver between rounds; more are summed by Spark in each round. The sums are the same.
+MASKS_AT_HAND = 50_000
 #: Two voters go together if they fire on so many toxic sample texts at once, and so many times as often as by chance; how many groups make kinds.
 LEAST_TOGETHER, LIFT, MOST_KINDS = 3, 1.5, 8
 FOLDS, HELD_OUT = 4, 2
@@ -217,22 +220,33 @@ def unpack(masks: np.ndarray, size: int = VOTERS) -> np.ndarray:
     return ((masks[:, None] >> np.arange(size, dtype=np.int64)) & 1).astype(np.float64)
 
 
-def expected_moments(votes: DataFrame, now: LabelModel) -> tuple[np.ndarray, float]:
+def _moments(pdf: pd.DataFrame, now: LabelModel) -> tuple[np.ndarray, float]:
+    size, kinds = len(now.parents), len(now.shares)
+    sums, likelihood = np.zeros((kinds, size + 1, size + 1)), 0.0
+    for a in range(0, len(pdf), 10_000):
+        part = pdf.iloc[a : a + 10_000]
+        bits, n = unpack(part["mask"].to_numpy(np.int64), size), part["n"].to_numpy(np.float64)
+        joint = now.log_joint(bits)
+        whole = np.logaddexp.reduce(joint, axis=1)
+        likelihood += float(n @ whole)
+        q = np.exp(joint - whole[:, None])
+        full = np.hstack([bits, np.ones((len(bits), 1))])
+        for z in range(kinds):
+            sums[z] += full.T @ (full * (n * q[:, z])[:, None])
+    return sums, likelihood
+
+
+def expected_moments(votes: DataFrame | pd.DataFrame, now: LabelModel) -> tuple[np.ndarray, float]:
     """For each kind the expected sums of products of votes (and of one, in the last row and column), and the log likelihood: one aggregation of fixed size."""
+    if isinstance(votes, pd.DataFrame):
+        return _moments(votes, now)
     size, kinds = len(now.parents), len(now.shares)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, likelihood = np.zeros((kinds, size + 1, size + 1)), 0.0
+        flat = np.zeros(kinds * (size + 1) ** 2 + 1)
         for pdf in batches:
-            bits, n = unpack(pdf["mask"].to_numpy(np.int64), size), pdf["n"].to_numpy(np.float64)
-            joint = now.log_joint(bits)
-            whole = np.logaddexp.reduce(joint, axis=1)
-            likelihood += float(n @ whole)
-            q = np.exp(joint - whole[:, None])
-            full = np.hstack([bits, np.ones((len(bits), 1))])
-            for z in range(kinds):
-                sums[z] += full.T @ (full * (n * q[:, z])[:, None])
-        flat = np.r_[sums.ravel(), likelihood]
+            sums, likelihood = _moments(pdf, now)
+            flat += np.r_[sums.ravel(), likelihood]
         yield pd.DataFrame({"place": np.arange(flat.size), "value": flat})
 
     found = votes.mapInPandas(moments, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
@@ -242,25 +256,54 @@ def expected_moments(votes: DataFrame, now: LabelModel) -> tuple[np.ndarray, flo
     return flat[:-1].reshape(kinds, size + 1, size + 1), float(flat[-1])
 
 
-def maximised(sums: np.ndarray, parents: np.ndarray, toxic_voters: int = TOXIC_VOTERS, prior: float | None = None) -> LabelModel:
-    """The model of greatest likelihood for these moments (with pseudo-counts) and, where it is given, this share of toxic texts, under the rule that no voter fires more often on the side it speaks against: those against in no toxic kind, those for not in all toxic kinds together."""
+@dataclass
+class Anchor:
+    """Pseudo-counts that stay the same through all rounds: PSEUDO texts for each rate and ``texts`` texts for each kind, of independent votes at ``rates``."""
+
+    texts: np.ndarray  # kinds
+    rates: np.ndarray  # kinds x voters
+
+    @classmethod
+    def at(cls, start: LabelModel, n: float) -> Anchor:
+        return cls(ANCHOR * n * np.r_[0.0, start.shares[1:]], start.rates[:, 0, :].copy())
+
+    def counts(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """kinds x parent fires x voters: pseudo-texts in which the voter fires, and all of them. Voters without a parent have theirs in the first place."""
+        given = np.where(parents >= 0, self.rates[:, parents], 0.0)
+        texts = self.texts[:, None, None] * np.stack([1 - given, given], axis=1)
+        texts = texts + np.where(parents >= 0, PSEUDO, np.array([PSEUDO, 0.0])[:, None])
+        return texts * self.rates[:, None, :], texts
+
+    def log_density(self, model: LabelModel) -> float:
+        """Of the model's rates and of the toxic kinds' shares, but for a constant."""
+        fires, texts = self.counts(model.parents)
+        return float((fires * np.log(model.rates) + (texts - fires) * np.log1p(-model.rates)).sum() + self.texts[1:] @ np.log(model.shares[1:]))
+
+
+def maximised(sums: np.ndarray, parents: np.ndarray, toxic_voters: int = TOXIC_VOTERS, prior: float | None = None, anchor: Anchor | None = None) -> LabelModel:
+    """The model of greatest objective for these moments and the anchor's pseudo-counts (without one, PSEUDO texts at the rates of all texts) and, where it is given, this share of toxic texts, under the rule that no voter fires more often on the side it speaks against: those against in no toxic kind, those for not in all toxic kinds together."""
     kinds, size = len(sums), len(parents)
     total, alone = sums[:, -1, -1], sums[:, -1, :-1]
     parent, pooled = np.maximum(parents, 0), alone.sum(axis=0) / max(total.sum(), 1e-9)
-    overall = (alone + PSEUDO * pooled) / (total[:, None] + PSEUDO)
+    if anchor is None:
+        anchor = Anchor(np.zeros(kinds), (alone + PSEUDO * pooled) / (total[:, None] + PSEUDO))
+    fires, texts = anchor.counts(parents)
     rates = np.empty((kinds, 2, size))
     for z in range(kinds):
-        both, of_parent = sums[z, parent, np.arange(size)], alone[z, parent]
-        rates[z, 1] = (both + PSEUDO * overall[z]) / (of_parent + PSEUDO)
-        rates[z, 0] = (alone[z] - both + PSEUDO * overall[z]) / (total[z] - of_parent + PSEUDO)
-        rates[z][:, parents < 0] = overall[z, parents < 0]
-    toxic = (alone[1:].sum(axis=0) + PSEUDO * pooled) / (total[1:].sum() + PSEUDO)
+        both, of_parent = np.where(parents >= 0, sums[z, parent, np.arange(size)], 0.0), np.where(parents >= 0, alone[z, parent], 0.0)
+        rates[z, 1] = (both + fires[z, 1]) / np.maximum(of_parent + texts[z, 1], 1e-9)
+        rates[z, 0] = (alone[z] - both + fires[z, 0]) / (total[z] - of_parent + texts[z, 0])
+        rates[z, 1, parents < 0] = rates[z, 0, parents < 0]
+    mass = anchor.texts + PSEUDO
+    overall = (alone + mass[:, None] * anchor.rates) / (total + mass)[:, None]
+    toxic = (alone[1:] + mass[1:, None] * anchor.rates[1:]).sum(axis=0) / (total + mass)[1:].sum()
     speaks_for = np.arange(size) < toxic_voters
     rates[:, :, speaks_for & (toxic < overall[0])] = pooled[speaks_for & (toxic < overall[0])]
     for z in range(1, kinds):
         wrong = ~speaks_for & (overall[z] > overall[0])
         rates[z][:, wrong] = overall[0, wrong]
-    shares = np.maximum((total + 1 / kinds) / (total.sum() + 1), 1e-5)
+    seen = total + anchor.texts
+    shares = np.maximum((seen + 1 / kinds) / (seen.sum() + 1), 1e-5)
     shares /= shares.sum()
     if prior is not None:
         shares = np.r_[1 - prior, prior * shares[1:] / shares[1:].sum()]
@@ -316,29 +359,38 @@ class Groups:
         return a != b
 
 
-def fit_label_model(votes: DataFrame, start: LabelModel) -> LabelModel:
-    """Maximum likelihood of ``votes`` (mask, n) from a starting point, whose share of toxic texts it keeps: expectation maximisation until it settles, for voters that are independent first, then along the tree that the moments ask for.
+def fit_label_model(votes: DataFrame, start: LabelModel, heard: list[float] | None = None) -> LabelModel:
+    """The greatest objective for ``votes`` (mask, n) from a starting point, whose share of toxic texts it keeps: for voters that are independent first, then along the tree that the moments ask for.
+
+    The objective is the log likelihood of all votes plus the anchor's log density. A step is
+    taken only if it raises the objective: the rule on signs, which isn't part of it, could lower it.
+    ``heard`` gets the objective of each step taken, and None where a new tree begins.
 
     Most texts have no votes, so the votes alone don't tell how many texts are toxic: a
     toxic kind would come to stand for texts without votes.
     """
-    model, likelihood = start, -math.inf
-    n = max(1, votes.agg(F.sum("n")).first()[0] or 0)
-    trees = 0
+    sizes = votes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("masks")).first()
+    n = max(1, sizes.n or 0)
+    rows = votes.toPandas() if sizes.masks <= MASKS_AT_HAND else votes
+    anchor, heard = Anchor.at(start, n), [] if heard is None else heard
+    model, best, value, trees = start, None, -math.inf, 0
     for _ in range(MOST_ROUNDS):
-        sums, now = expected_moments(votes, model)
-        settled = now - likelihood < SETTLED * n
-        likelihood = now
+        sums, likelihood = expected_moments(rows, model)
+        now = likelihood + anchor.log_density(model)
+        settled = abs(now - value) < SETTLED * n or now < value
+        if now >= value:
+            best, value = (model, sums), now
+            heard.append(now)
         if settled:
-            parents = dependence_tree(sums)
-            if trees == MOST_TREES or (parents == model.parents).all():
+            parents = dependence_tree(best[1])
+            if trees == MOST_TREES or (parents == best[0].parents).all():
                 break
-            trees, likelihood = trees + 1, -math.inf
-            model = maximised(sums, parents, prior=start.prior)
+            trees, value = trees + 1, -math.inf
+            heard.append(None)
+            model = maximised(best[1], parents, prior=start.prior, anchor=anchor)
         else:
-            model = maximised(sums, model.parents, prior=start.prior)
-        model.rates[1:] = (1 - ANCHOR) * model.rates[1:] + ANCHOR * start.rates[1:]
-    return model
+            model = maximised(sums, model.parents, prior=start.prior, anchor=anchor)
+    return best[0]
 
 
 def voter_groups(bits: np.ndarray, n: np.ndarray) -> list[list[int]]:
@@ -430,8 +482,8 @@ def fit_linear(present: list[np.ndarray], target: np.ndarray, weight: np.ndarray
     return w, float(b)
 
 
-def vote_masks(docs: DataFrame, voters: Voters) -> DataFrame:
-    """(text_hash, mask, usable) of each document; usable is false in the held-out fold and without an identifier."""
+def vote_masks(docs: DataFrame, voters: Voters, *also: str) -> DataFrame:
+    """(text_hash, mask, usable) of each document, and the columns named; usable is false in the held-out fold and without an identifier. Null texts count as empty."""
     held = docs.sparkSession.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -442,7 +494,7 @@ def vote_masks(docs: DataFrame, voters: Voters) -> DataFrame:
 
     vote.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     usable = F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
-    return docs.select(F.xxhash64(whole_text()).alias("text_hash"), F.pandas_udf(vote, "long")(whole_text()).alias("mask"), usable.alias("usable"))
+    return docs.select(F.xxhash64(whole_text()).alias("text_hash"), F.pandas_udf(vote, "long")(whole_text()).alias("mask"), usable.alias("usable"), *also)
 
 
 def posterior_sample(masks: DataFrame, label_model: LabelModel) -> DataFrame:
@@ -463,6 +515,11 @@ def posterior_sample(masks: DataFrame, label_model: LabelModel) -> DataFrame:
     return sample.select("text_hash", "posterior", (F.col("copies") * back).alias("weight"))
 
 
+def sample_votes(sample: DataFrame, voters: Voters) -> DataFrame:
+    """(mask, label, n): the votes on the labelled sample (doc_id, label, text), in which each labelled row counts once, however many rows share its text."""
+    return vote_masks(sample, voters, "label").groupBy("mask", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def labelled_by_votes(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[pd.DataFrame, Voters, DataFrame, LabelModel]:
     """Names of features, the voters, the votes on each document and the label model of the votes on all of them."""
     sample_ids = labelled_sample(labels, target, FOLDS, HELD_OUT, SAMPLE_A_CLASS)
@@ -473,8 +530,7 @@ def labelled_by_votes(docs: DataFrame, labels: DataFrame, target: str = "toxic")
     votes = stored(masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n")), "toxicity-votes")
     share = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).agg(F.avg(F.col(target).cast("double"))).first()[0]
     prior = min(max(0.1 if share is None else float(share), 1e-3), 1 - 1e-3)
-    known = vote_masks(sample.select("doc_id", "text"), voters).select("text_hash", "mask").join(sample.select(F.xxhash64("text").alias("text_hash"), "label"), "text_hash")
-    start = starting_point(known.groupBy("mask", "label").agg(F.count(F.lit(1)).alias("n")), prior)
+    start = starting_point(sample_votes(sample, voters), prior)
     return names, voters, masks, fit_label_model(votes, start)
 
 
