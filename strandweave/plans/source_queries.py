@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intervals as iv
 from ..sources import readers, writers
+from ..sources.bigwig import around_centre
 from ..sources.shared import fresh_path
 from .proxies import IV_B, SEQ_SQL, TRACK, iv_b, seqs, table, track
 from .table_queries import VCF, vcf
@@ -49,6 +51,35 @@ def track_files(spark, d):
     return readers.read(spark, "bedgraph", f"{path}/task=t0").withColumn("value", F.round("value", 4))
 
 
+def _track_files(spark, d):
+    """Averaged windows of the track as a folder of bigWig files: its path."""
+    path = fresh_path(spark, "bigwig")
+    t = track(spark, d)
+    sizes = t.groupBy("chrom").agg((F.max("stop") + 10).alias("size"))
+    writers.write_track_bigwigs(t.withColumn("task", F.lit("t0")), path, "value", 10, "task", sizes)
+    return f"{path}/task=t0"
+
+
+AVERAGED = "SELECT chrom, p AS start, p + 10 AS stop, avg(value)::FLOAT::DOUBLE AS value FROM (SELECT chrom, value, unnest(range(start, stop, 10)) AS p FROM tr) GROUP BY ALL HAVING avg(value) <> 0"
+
+
+@query(AVERAGED)
+def bigwig_files(spark, d):
+    """Averaged windows written as bigWig files (R-tree of compressed sections) and read back, leaf by leaf."""
+    return readers.read(spark, "bigwig", _track_files(spark, d))
+
+
+@query(f"""SELECT w.id, coalesce(sum(o), 0)::BIGINT AS covered, coalesce(sum(o * value), 0) / (w.stop - w.start) AS mean FROM (SELECT w.*, t.value, CASE WHEN t.start IS NOT NULL THEN least(w.stop, t.stop) - greatest(w.start, t.start) END AS o
+  FROM (SELECT id, chrom, (start + stop) // 2 - 100 + 200 AS stop, greatest((start + stop) // 2 - 100, 0) AS start FROM b) w
+  LEFT JOIN ({AVERAGED}) t ON w.chrom = t.chrom AND w.start < t.stop AND t.start < w.stop) w GROUP BY w.id, w.start, w.stop""")
+def bigwig_means(spark, d):
+    """Mean signal in 200 bases around the middle of each interval, from the bigWig leaves that these windows reach."""
+    windows = around_centre(iv_b(spark, d), 200)
+    signal = readers.read(spark, "bigwig", _track_files(spark, d), regions=windows)
+    means = iv.mean_signal(windows, signal).select("chrom", "start", "stop", F.col("covered").cast("long").alias("covered"), "mean")
+    return windows.join(means, ["chrom", "start", "stop"]).select("id", "covered", "mean")
+
+
 @query("SELECT concat('chr', chrom) AS chrom, pos, id, ref, alt FROM vcf")
 def vcf_files(spark, d):
     """Variants written as VCF lines and read back."""

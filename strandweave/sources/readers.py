@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import tile
 from ..operators.motifs import Pwm, from_probabilities
+from .bigwig import read_bigwig
 
 NARROW_PEAK = "chrom string, start long, stop long, name string, score int, strand string, signal double, p double, q double, summit long"
 
@@ -139,6 +140,7 @@ READERS: dict[str, Callable[..., DataFrame]] = {
     "bed": read_bed,
     "narrowpeak": read_narrow_peaks,
     "bedgraph": read_bedgraph,
+    "bigwig": read_bigwig,
     "vcf": read_vcf,
     "fasta": read_fasta,
     "table": read_table,

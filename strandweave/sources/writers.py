@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import merge, parse_metadata, track_from_windows
 from ..operators.motifs import Pwm
+from .bigwig import write_bigwig
+from .shared import stored
 
 
 def write_examples(df: DataFrame, path: str, by: tuple[str, ...] = ("example_type", "chrom")) -> None:
@@ -34,6 +36,13 @@ def write_tracks(windows: DataFrame, path: str, value: str, stride: int, task: s
     track_from_windows(windows, value, stride, (task,)).write.mode("overwrite").partitionBy(task).csv(path, sep="\t")
 
 
+def write_track_bigwigs(windows: DataFrame, path: str, value: str, stride: int, task: str, sizes: DataFrame) -> dict[str, list[str]]:
+    """Mean values as bigWig files, one folder ``task=name`` a task (tasks are a dimension); the names of the files of each."""
+    tracks = stored(track_from_windows(windows, value, stride, (task,)), "tracks")
+    tasks = [r[0] for r in tracks.select(task).distinct().orderBy(task).collect()]
+    return {t: write_bigwig(tracks.where(F.col(task) == t).withColumnRenamed(value, "value"), f"{path}/{task}={t}", sizes) for t in tasks}
+
+
 def split_by_chromosome(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("chrom").csv(path, sep="\t", compression="gzip")
 
