@@ -46,10 +46,29 @@ def blocks(seq: Column, size: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
+#: A prime below 2 ** 31: squares of smaller numbers fit into 64 bits.
+PRIME = 2147483647
+
+
 def block_shuffle(seq: Column, key: Column, seed: str, size: int = 2) -> Column:
-    """Blocks of two bases in an order hashed from key, seed and place: composition of blocks stays."""
-    keyed = F.transform(blocks(seq, size), lambda b, i: F.struct(F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed), i.cast("string"))).alias("order"), b.alias("block")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["block"]), "")
+    """Blocks of two bases in an order fixed by key, seed and place: composition of blocks stays.
+
+    Two numbers of 28 bits from one md5 a sequence, and squares modulo PRIME, give each place its number in the order.
+    """
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed)))
+    h, g = (F.conv(F.substring(digest, at, 7), 16, 10).cast("long") for at in (1, 8))
+
+    def keyed(s: Column) -> Column:
+        def number(i: Column) -> Column:
+            x = (s["h"] + i) % PRIME
+            y = (x * x + s["g"]) % PRIME
+            return (y * y + x) % PRIME
+
+        return F.transform(s["blocks"], lambda b, i: F.struct(number(i).alias("order"), i.alias("at"), b.alias("block")))
+
+    # An array of one binds its element: what it holds is found once, not once a block.
+    once = F.array(F.struct(h.alias("h"), g.alias("g"), blocks(seq, size).alias("blocks")))
+    return F.array_join(F.transform(F.array_sort(F.element_at(F.transform(once, keyed), 1)), lambda s: s["block"]), "")
 
 
 def kmers(seq: Column, k: int) -> Column:

@@ -17,7 +17,7 @@ from ..operators import stats as st
 from ..operators.ranges import with_ranks
 from ..sources.shared import stored
 from . import stacks
-from .proxies import CUBE, HITS, IV_A, IV_B, SEQ_SQL, TRACK, cube, hits, iv_a, iv_b, seqs, table, track
+from .proxies import CUBE, FRAGMENTS, HITS, IV_A, IV_B, SEQ_SQL, SHUFFLE_SQL, TRACK, cube, fragments, hits, iv_a, iv_b, seqs, table, track
 from .sequence_queries import PWMS, SCAN
 from .table_queries import BASKETS, baskets
 
@@ -437,32 +437,23 @@ def summary_statistics(spark, d):
 
 # Libraries ----------------------------------------------------------------------------------------------------------------------
 
-LIB = "SELECT doc_id, substr(replace(seq, 'N', ''), 1, 60) AS f FROM seqs WHERE length(replace(seq, 'N', '')) >= 60"
-
-
-@query(f"SELECT doc_id, k AS combo, concat(doc_id, '.combo-', lpad(k::VARCHAR, 2, '0')) AS combo_id, concat(substr(f, 1, 20), CASE WHEN k % 2 = 1 THEN 'T' ELSE substr(f, 21, 1) END, substr(f, 22, 19), CASE WHEN (k >> 1) % 2 = 1 THEN 'T' ELSE substr(f, 41, 1) END, substr(f, 42)) AS f FROM ({LIB}), range(4) r(k)")
+@query(f"SELECT doc_id, place, k AS combo, concat(fragment_id, '.combo-', lpad(k::VARCHAR, 2, '0')) AS combo_id, concat(substr(f, 1, 20), CASE WHEN k % 2 = 1 THEN 'T' ELSE substr(f, 21, 1) END, substr(f, 22, 19), CASE WHEN (k >> 1) % 2 = 1 THEN 'T' ELSE substr(f, 41, 1) END, substr(f, 42)) AS f FROM ({FRAGMENTS}), range(4) r(k)")
 def library_combinations(spark, d):
-    """Each fragment once a combination, with its identifier."""
-    rows = sq.combinations(_library(spark, d), [20, 40], "T", "f").withColumn("combo", F.col("combo").cast("long"))
-    return rows.select("doc_id", "combo", F.concat(F.col("doc_id").cast("string"), F.lit(".combo-"), F.lpad(F.col("combo").cast("string"), 2, "0")).alias("combo_id"), "f")
-
-
-def _library(spark, d):
-    bases = F.replace("seq", F.lit("N"), F.lit(""))
-    return seqs(spark, d).where(F.length(bases) >= 60).select("doc_id", F.substring(bases, 1, 60).alias("f"))
+    """Each fragment of the whole texts once a combination, with its identifier."""
+    rows = sq.combinations(fragments(spark, d), [20, 40], "T", "f").withColumn("combo", F.col("combo").cast("long"))
+    return rows.select("doc_id", "place", "combo", F.concat("fragment_id", F.lit(".combo-"), F.lpad(F.col("combo").cast("string"), 2, "0")).alias("combo_id"), "f")
 
 
-@query(f"""SELECT doc_id, kind, f FROM (SELECT doc_id, 'shuffle' AS kind, (SELECT string_agg(substr(f, i * 2 + 1, 2), '' ORDER BY md5(concat(doc_id, ':1:shuffle:', i))) FROM range(0, 30) t(i)) AS f FROM ({LIB}) UNION ALL SELECT doc_id, 'embedded', concat(substr(f, 1, 20), 'ACGTAA', substr(f, 27)) FROM ({LIB}) UNION ALL SELECT doc_id, 'variant', concat(substr(f, 1, 30), translate(substr(f, 31, 1), 'ACGT', 'CATG'), substr(f, 32)) FROM ({LIB}))""")
+@query(f"""SELECT fragment_id, kind, f FROM (SELECT fragment_id, 'shuffle' AS kind, {SHUFFLE_SQL.format(seq="f", key="concat(fragment_id, ':1:shuffle')")} AS f FROM ({FRAGMENTS}) UNION ALL SELECT fragment_id, 'embedded', concat(substr(f, 1, 20), 'ACGTAA', substr(f, 27)) FROM ({FRAGMENTS}) UNION ALL SELECT fragment_id, 'variant', concat(substr(f, 1, 30), translate(substr(f, 31, 1), 'ACGT', 'CATG'), substr(f, 32)) FROM ({FRAGMENTS}))""")
 def library_controls(spark, d):
-    """Shuffles, fragments with a motif written in, and single-base variants."""
-    return stacks.library_controls(_library(spark, d), "doc_id", "f", "ACGTAA", 20, 30)
+    """Of each fragment of the whole texts a shuffle, a copy with a motif written in, and a single-base variant."""
+    return stacks.library_controls(fragments(spark, d), "fragment_id", "f", "ACGTAA", 20, 30)
 
 
-@query(f"SELECT doc_id, (SELECT min(k) FROM range(40) t(k) WHERE NOT contains(concat(f, translate(substr(md5(concat(doc_id, ':fill:', k)), 1, 10), '0123456789abcdef', 'ACGTACGTACGTACGT')), 'TTAA') AND NOT contains(concat(f, translate(substr(md5(concat(doc_id, ':fill:', k)), 1, 10), '0123456789abcdef', 'ACGTACGTACGTACGT')), 'CTCGAG')) AS filler FROM (SELECT doc_id, substr(f, 1, 12) AS f FROM ({LIB}))")
+@query(f"SELECT fragment_id, (SELECT min(k) FROM range(40) t(k) WHERE NOT contains(concat(f, translate(substr(md5(concat(fragment_id, ':fill:', k)), 1, 10), '0123456789abcdef', 'ACGTACGTACGTACGT')), 'TTAA') AND NOT contains(concat(f, translate(substr(md5(concat(fragment_id, ':fill:', k)), 1, 10), '0123456789abcdef', 'ACGTACGTACGTACGT')), 'CTCGAG')) AS filler FROM ({FRAGMENTS})")
 def compatible_fillers(spark, d):
-    """The first hashed filler that makes no forbidden site; null if none of forty does."""
-    part = _library(spark, d).select("doc_id", F.substring("f", 1, 12).alias("f"))
-    return stacks.first_filler(part, "doc_id", "f", 10, ["TTAA", "CTCGAG"], 40).withColumn("filler", F.col("filler").cast("long"))
+    """For each fragment of the whole texts the first hashed filler that makes no forbidden site; null if none of forty does."""
+    return stacks.first_filler(fragments(spark, d), "fragment_id", "f", 10, ["TTAA", "CTCGAG"], 40).withColumn("filler", F.col("filler").cast("long"))
 
 
 @query("SELECT user_id, event_type, run, n FROM (SELECT user_id, event_type, 'a' AS run, count(*) AS n FROM events WHERE value < 30 GROUP BY ALL UNION ALL SELECT user_id, event_type, 'b', count(*) FROM events WHERE value >= 30 GROUP BY ALL) WHERE n > 3")

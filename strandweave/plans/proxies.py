@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sequences as fx
+
 SIZE = 1_000_100
 
 IV_A = "SELECT concat('chr', l_suppkey % 3) AS chrom, l_partkey*500 + l_linenumber*61 AS start, l_partkey*500 + l_linenumber*61 + cast(l_quantity AS bigint) AS stop, l_orderkey AS id FROM lineitem"
@@ -53,6 +55,25 @@ def seqs(spark: SparkSession, d: str) -> DataFrame:
     return _sql(spark, d, SEQ.format(flags=""), "documents").select("doc_id", F.col("whole").alias("seq"))
 
 
+#: The block shuffle of ``{seq}`` by ``{key}`` (with its seed), as functions.sequences.block_shuffle has it.
+_H, _G = ("('0x' || substr(md5({key}), %d, 7))::BIGINT" % at for at in (1, 8))
+_X = f"(({_H} + i) % {fx.PRIME})"
+_Y = f"(({_X} * {_X} + {_G}) % {fx.PRIME})"
+SHUFFLE_SQL = f"coalesce((SELECT string_agg(substr({{seq}}, i * 2 + 1, 2), '' ORDER BY ({_Y} * {_Y} + {_X}) % {fx.PRIME}, i) FROM range(0, CAST(floor((length({{seq}}) + 1) / 2) AS BIGINT)) t(i)), {{seq}})"
+#: Bases of a fragment.
+WIDTH = 60
+FRAGMENTS = f"""SELECT doc_id, place, concat(doc_id, '.', place) AS fragment_id, substr(s, (least(place * {WIDTH}, length(s) - {WIDTH}) + 1)::BIGINT, {WIDTH}) AS f
+  FROM (SELECT doc_id, s, unnest(range((length(s) + {WIDTH} - 1) // {WIDTH})) AS place FROM (SELECT doc_id, replace(seq, 'N', '') AS s FROM seqs) WHERE length(s) >= {WIDTH})"""
+
+
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, place, fragment_id, f): each whole text, without N, cut into fragments of WIDTH bases as rows; the last one ends where the text does."""
+    bases = seqs(spark, d).select("doc_id", F.replace("seq", F.lit("N"), F.lit("")).alias("s")).where(F.length("s") >= WIDTH)
+    cut = bases.select("doc_id", F.right("s", F.lit(WIDTH)).alias("last"), F.posexplode(fx.blocks(F.col("s"), WIDTH)).alias("place", "f"))
+    whole = F.when(F.length("f") < WIDTH, F.col("last")).otherwise(F.col("f"))
+    return cut.select("doc_id", F.col("place").cast("long").alias("place"), F.concat_ws(".", F.col("doc_id").cast("string"), F.col("place").cast("string")).alias("fragment_id"), whole.alias("f"))
+
+
 def cube(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "value")).withColumn("dim", (F.col("dim") + 1).cast("long"))
 

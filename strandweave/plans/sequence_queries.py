@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as fx
+from ..operators import barcodes
 from ..operators import motifs as mo
 from ..operators import sequences as sq
 from ..operators.ranges import with_ranks
-from .proxies import SEQ_SQL, seqs, table
+from .proxies import FRAGMENTS, SEQ_SQL, SHUFFLE_SQL, fragments, seqs, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -45,7 +46,7 @@ def kmer_table(spark, d):
     return sq.kmer_counts(seqs(spark, d), "doc_id", "seq", 4).groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
-@query("""SELECT doc_id, k AS aux_idx, CASE WHEN k = 0 THEN seq ELSE (SELECT string_agg(substr(seq, i * 2 + 1, 2), '' ORDER BY md5(concat(doc_id, ':', k, ':shuffle:', i)), substr(seq, i * 2 + 1, 2)) FROM range(0, CAST(floor((length(seq) - 1) / 2) AS BIGINT) + 1) t(i)) END AS seq FROM seqs, range(3) r(k)""")
+@query(f"""SELECT doc_id, k AS aux_idx, CASE WHEN k = 0 THEN seq ELSE {SHUFFLE_SQL.format(seq="seq", key="concat(doc_id, ':', k, ':shuffle')")} END AS seq FROM seqs, range(0, 3) r(k)""")
 def block_shuffles(spark, d):
     """The sequence and two shuffles of its blocks of two bases."""
     return sq.shuffles(seqs(spark, d), "doc_id", "seq", 2).select("doc_id", F.col("aux_idx").cast("long").alias("aux_idx"), "seq")
@@ -128,10 +129,10 @@ def fasta_lookup(spark, d):
     return sq.lookup(intervals, sq.chunked(s, "doc_id", "seq", 200), 200)
 
 
-@query("SELECT doc_id, f AS fragment FROM (SELECT doc_id, substr(replace(seq, 'N', ''), 101, 60) AS f FROM seqs) WHERE length(f) = 60 AND NOT contains(f, 'CTCGAG') AND NOT contains(f, 'GCTAGC') AND NOT contains(f, 'TTAA') AND (60 - length(translate(f, 'GC', ''))) / 60.0 BETWEEN 0.2 AND 0.8")
+@query(f"SELECT doc_id, place, f AS fragment FROM ({FRAGMENTS}) WHERE NOT contains(f, 'CTCGAG') AND NOT contains(f, 'GCTAGC') AND NOT contains(f, 'TTAA') AND (60 - length(translate(f, 'GC', ''))) / 60.0 BETWEEN 0.2 AND 0.8")
 def compatible_fragments(spark, d):
-    """Fragments without restriction sites or N, in a GC range."""
-    part = seqs(spark, d).select("doc_id", F.substring(F.replace("seq", F.lit("N"), F.lit("")), 101, 60).alias("fragment"))
+    """Fragments of whole texts, without restriction sites or N, in a GC range."""
+    part = fragments(spark, d).select("doc_id", "place", F.col("f").alias("fragment"))
     return part.where(fx.compatible(F.col("fragment"), ["CTCGAG", "GCTAGC", "TTAA"], 60, (0.2, 0.8)))
 
 
@@ -149,12 +150,42 @@ def barcoding(spark, d):
     return sq.barcoded(picked, ranked, "doc_id", 2).select("doc_id", "rank", "copy", "barcode")
 
 
-@query(f"SELECT a.i AS a, b.i AS b FROM ({CODES}) a JOIN ({CODES}) b ON a.i < b.i WHERE hamming(a.barcode, b.barcode) < 3")
+#: Candidate codes, four for each of two codes a document; their length grows with the number of documents.
+DISTANCE = 3
+CANDIDATES = """SELECT i, translate(substr(md5(concat(i, ':far:0')), 1, 3 * greatest(3, ceil(ln(n) / ln(4))::INTEGER - 2)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS barcode
+  FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT 4 * count(*) AS n FROM seqs))"""
+NEAR = f"SELECT a.i AS a, b.i AS b FROM ({CANDIDATES}) a JOIN ({CANDIDATES}) b ON a.i < b.i WHERE hamming(a.barcode, b.barcode) < 3"
+
+
+def _candidates(spark, d):
+    n = 4 * seqs(spark, d).count()
+    length = DISTANCE * barcodes.segment_size(n)
+    return spark.range(n).select(F.col("id"), fx.hashed_bases(F.col("id"), "far", length).alias("barcode")), length
+
+
+@query(NEAR)
 def close_barcodes(spark, d):
-    """Pairs of barcodes that are too alike (a fixed set of four hundred)."""
-    codes = spark.range(400).select("id", fx.hashed_bases(F.col("id"), "bc", 8).alias("barcode"))
-    a, b = codes.toDF("a", "x"), codes.toDF("b", "y")
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).where(fx.hamming(F.col("x"), F.col("y")) < 3).select("a", "b")
+    """Pairs of candidate codes for all documents that are too alike, met through the segments that they share."""
+    codes, length = _candidates(spark, d)
+    return barcodes.near_pairs(codes, "id", "barcode", length, DISTANCE).select(F.col("low").alias("a"), F.col("high").alias("b"))
+
+
+@query(f"""SELECT doc_id, copy, barcode FROM (SELECT doc_id, copy, row_number() OVER (ORDER BY doc_id, copy) - 1 AS rank FROM seqs, (VALUES (0), (1)) v(copy)) s JOIN
+  (WITH RECURSIVE highs AS MATERIALIZED (SELECT b, list(a) AS lows, row_number() OVER (ORDER BY b) AS k FROM ({NEAR}) GROUP BY b),
+     run(k, rejected) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT h.k, CASE WHEN len(list_filter(h.lows, lambda x: NOT list_contains(run.rejected, x))) > 0 THEN list_append(run.rejected, h.b) ELSE run.rejected END
+                          FROM run JOIN highs h ON h.k = run.k + 1),
+     gone AS MATERIALIZED (SELECT unnest(rejected) AS i FROM (SELECT rejected FROM run ORDER BY k DESC LIMIT 1))
+   SELECT barcode, row_number() OVER (ORDER BY i) - 1 AS rank FROM ({CANDIDATES}) WHERE i NOT IN (SELECT i FROM gone)) c USING (rank)""")
+def distant_barcodes(spark, d):
+    """Two codes for each document, any two of all codes at least three places apart: greedy in order of numbers, over an index of segments."""
+    kept = barcodes.distant_codes(*_candidates_of(spark, d), DISTANCE)
+    ranked = with_ranks(kept, [], "id", ordinal="rank").select("barcode", (F.col("rank") - 1).cast("long").alias("rank"))
+    return sq.barcoded(seqs(spark, d).select("doc_id"), ranked, "doc_id", 2).select("doc_id", F.col("copy").cast("long").alias("copy"), "barcode")
+
+
+def _candidates_of(spark, d):
+    codes, length = _candidates(spark, d)
+    return codes, "id", "barcode", length
 
 
 @query("""SELECT doc_id, f.m AS first, g.m AS second, gap, o AS orientation, concat(substr(seq, 1, 20), CASE WHEN o[1] = '+' THEN f.m ELSE translate(reverse(f.m), 'ACGT', 'TGCA') END, substr(seq, 27, gap), CASE WHEN o[2] = '+' THEN g.m ELSE translate(reverse(g.m), 'ACGT', 'TGCA') END, substr(seq, 33 + gap)) AS seq

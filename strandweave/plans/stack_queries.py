@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import stacks
-from .proxies import CUBE, HITS, IV_A, IV_B, SEQ_SQL, SERIES, SIZES, TRACK, hits, iv_a, iv_b, seqs, series, sizes, table, track
+from .proxies import CUBE, HITS, IV_A, IV_B, SEQ_SQL, SHUFFLE_SQL, SERIES, SIZES, TRACK, hits, iv_a, iv_b, seqs, series, sizes, table, track
 from .sequence_queries import CELLS, PWMS
 
 QUERIES, ORACLES = {}, {}
@@ -85,7 +85,7 @@ def _scan(rows: str, keys: str) -> str:
   JOIN (VALUES {CELLS}) c(pwm, place, base, w) ON s.base = c.base) WHERE pos >= 0 AND pos <= n - 4 GROUP BY {keys}, pwm, pos"""
 
 
-SHUFFLED = "SELECT doc_id, k, (SELECT string_agg(substr(seq, i * 2 + 1, 2), '' ORDER BY md5(concat(doc_id, ':', k, ':shuffle:', i)), i) FROM range(0, CAST(floor((length(seq) - 1) / 2) AS BIGINT) + 1) t(i)) AS seq FROM seqs, range(1, 4) r(k)"
+SHUFFLED = f"""SELECT doc_id, k, {SHUFFLE_SQL.format(seq="seq", key="concat(doc_id, ':', k, ':shuffle')")} AS seq FROM seqs, range(1, 4) r(k)"""
 
 
 @query(f"""SELECT h.doc_id, h.pwm AS pwm_idx, h.pos, h.score FROM ({_scan("SELECT doc_id, seq FROM seqs", "doc_id")}) h LEFT JOIN (SELECT x.doc_id, x.pwm, x.score AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pwm ORDER BY score DESC) AS r FROM ({_scan(SHUFFLED, "doc_id, k")}) WHERE score > 0) x
