@@ -182,7 +182,8 @@ def resampled(docs: DataFrame, target: DataFrame, max_n: int = MAX_N, buckets: i
 
 def importance_digests(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_features, weight, score, rank of each row, by the production parameters. Cases as in importance_scores and drawn."""
-    return drawn(importance_scores(docs, target).drop("row")).select("doc_id", "n_features", "weight", "score", "rank")
+    # Written once: the ranges of the draw are found by a pass of their own, which shouldn't read texts again.
+    return drawn(stored(importance_scores(docs, target).drop("row"), "scored")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 ORACLE_SQL = rf"""
