@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import families
 from ..operators import metrics as me
 from ..operators import stats as st
 from .proxies import CLF, CUBE, HITS, clf, cube, hits, table
@@ -79,6 +80,38 @@ def correlation_matrix(spark, d):
     return st.pair_correlations(cube(spark, d), "vec_id", "dim", "value").select("i", "j", F.round("r", 5).alias("r"))
 
 
+#: Ward's agglomeration of the 64 columns by correlation, nearest pair by nearest pair: the pairs left after each merge, and the merges.
+AGGLOMERATED = """RECURSIVE pairs AS MATERIALIZED (SELECT a.dim AS a, b.dim AS b, round(1 - corr(a.value::DOUBLE, b.value::DOUBLE), 9) AS d FROM cube a JOIN cube b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY ALL),
+ state(it, a, b, d, na, nb) AS (SELECT 1, a, b, d, 1::BIGINT, 1::BIGINT FROM pairs UNION ALL
+  SELECT any_value(it) + 1, least(x, y), greatest(x, y), CASE WHEN count(*) = 1 THEN any_value(d) ELSE (sum((nm + nk) * d) - any_value(nk * dij)) / (any_value(ni + nj) + any_value(nk)) END,
+    any_value(CASE WHEN least(x, y) = i THEN ni + nj WHEN x <= y THEN na ELSE nb END), any_value(CASE WHEN greatest(x, y) = i THEN ni + nj WHEN x <= y THEN nb ELSE na END)
+  FROM (SELECT *, CASE WHEN a = j THEN i ELSE a END AS x, CASE WHEN b = j THEN i ELSE b END AS y, CASE WHEN a IN (i, j) THEN na ELSE nb END AS nm, CASE WHEN a IN (i, j) THEN nb ELSE na END AS nk FROM
+    (SELECT *, first_value(a) OVER w AS i, first_value(b) OVER w AS j, first_value(d) OVER w AS dij, first_value(na) OVER w AS ni, first_value(nb) OVER w AS nj FROM state WINDOW w AS (ORDER BY d, a, b)))
+  WHERE NOT (a = i AND b = j) GROUP BY least(x, y), greatest(x, y)),
+ merges AS MATERIALIZED (SELECT it, a, b, d, na, nb FROM (SELECT *, row_number() OVER (PARTITION BY it ORDER BY d, a, b) AS r FROM state) WHERE r = 1)"""
+
+
+def _families(spark, d):
+    c = cube(spark, d)
+    pairs = st.pair_correlations(c, "vec_id", "dim", "value").select(F.col("i").alias("a"), F.col("j").alias("b"), F.round(1 - F.col("r"), 9).alias("d"))
+    return families.agglomerated(pairs, c.select("dim").distinct(), "dim")
+
+
+@query(f"SELECT a AS \"left\", b AS \"right\", round(d, 6) AS height, na AS n_left, nb AS n_right FROM (WITH {AGGLOMERATED} SELECT * FROM merges)")
+def motif_families(spark, d):
+    """Ward's tree of the motifs by correlation, all pairs that are nearest to each other merged in a round."""
+    return _families(spark, d)[0].select("left", "right", F.round("d", 6).alias("height"), "n_left", "n_right")
+
+
+@query(f"""SELECT dim, place FROM (WITH {AGGLOMERATED},
+  leaves(it, dim, cluster, place) AS (SELECT 1, dim, dim, 0::BIGINT FROM (SELECT DISTINCT dim FROM cube) UNION ALL
+    SELECT l.it + 1, dim, CASE WHEN cluster = m.b THEN m.a ELSE cluster END, place + CASE WHEN cluster = m.b THEN m.na ELSE 0 END FROM leaves l JOIN merges m USING (it))
+  SELECT dim, place FROM leaves WHERE it = (SELECT max(it) FROM leaves))""")
+def family_order(spark, d):
+    """Motifs in the order of the leaves of their tree."""
+    return _families(spark, d)[1].select(F.col("item").alias("dim"), "place")
+
+
 @query("""SELECT event_id, round(CASE WHEN hi IS NULL THEN ylo WHEN lo IS NULL THEN yhi WHEN hi = lo THEN ylo ELSE ylo + (value - lo) / (hi - lo) * (yhi - ylo) END, 5) AS mapped FROM (
   SELECT event_id, value, (SELECT max(x) FROM (VALUES (0.0), (20.0), (50.0), (90.0)) c(x) WHERE x <= value) AS lo, (SELECT min(x) FROM (VALUES (0.0), (20.0), (50.0), (90.0)) c(x) WHERE x >= value) AS hi,
     CASE WHEN value >= 90 THEN 30 WHEN value >= 50 THEN 7 WHEN value >= 20 THEN 5 WHEN value >= 0 THEN 1 END AS ylo, CASE WHEN value <= 0 THEN 1 WHEN value <= 20 THEN 5 WHEN value <= 50 THEN 7 WHEN value <= 90 THEN 30 END AS yhi FROM events)""")
