@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions import sequences as fx
+from ..operators import communities as co
 from ..operators import grammars as gm
 from ..operators import graphs as gr
 from ..operators import intervals as iv
@@ -491,6 +492,15 @@ def strong_correlations(spark, d):
     return st.strong_pairs(st.pair_correlations(cube(spark, d), "vec_id", "dim", "value"), 0.08, 1.5).select("i", "j", F.round("r", 5).alias("r"))
 
 
+def correlation_communities(spark, d):
+    """Communities of the graph of strongly correlated motifs, by edge betweenness and modularity (no SQL twin; brute force and a planted graph are fixtures)."""
+    strong = st.strong_pairs(st.pair_correlations(cube(spark, d), "vec_id", "dim", "value"), 0.08, 1.5)
+    return co.communities(strong, "i", "j").withColumn("modularity", F.round("modularity", 9))
+
+
+QUERIES["correlation_communities"] = correlation_communities
+
+
 TIERS = "SELECT event_type, event_id, CASE WHEN value >= 60 THEN 0 WHEN value >= 30 THEN 1 WHEN value >= 5 THEN 2 END AS tier FROM events WHERE value >= 5"
 
 
