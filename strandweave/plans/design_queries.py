@@ -397,7 +397,7 @@ def file_names(spark, d):
 
 @query("SELECT vec_id, dim, round(CASE WHEN abs(floor(dx)) < 1e-8 THEN g ELSE dy / floor(dx) END, 5) AS slope FROM (SELECT x.vec_id, x.dim, (y.value::DOUBLE - x.value::DOUBLE) * 20 AS dx, floor(y.value::DOUBLE * 1000) AS dy, floor(x.value::DOUBLE * 100) AS g FROM cube x JOIN cube y ON x.vec_id = y.vec_id AND y.dim = x.dim + 1)")
 def conditional_select(spark, d):
-    """Difference quotients, the gradient where the difference vanishes."""
+    """Difference quotients, the gradient where the difference vanishes."""
     e = cube(spark, d).select("vec_id", "dim", F.col("value").cast("double").alias("x"), F.floor(F.col("value").cast("double") * 100).alias("g"))
     after = cube(spark, d).select("vec_id", (F.col("dim") - 1).alias("dim"), F.col("value").cast("double").alias("y"), F.floor(F.col("value").cast("double") * 1000).alias("dy"))
     dx = F.floor((F.col("y") - F.col("x")) * 20)

@@ -42,7 +42,7 @@ def encode_decode(spark, d):
 
 @query("SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, substr(seq, i, 4) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM seqs)) GROUP BY kmer")
 def kmer_table(spark, d):
-    """K-mer counts."""
+    """K-mer counts."""
     return sq.kmer_counts(seqs(spark, d), "doc_id", "seq", 4).groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -26,7 +26,7 @@ def query(oracle: str | None = None):
 
 @query("SELECT chrom, start, stop, concat('peak_', id) AS name FROM b")
 def bed_files(spark, d):
-    """Intervals split by chromosome into compressed BED files and read back together."""
+    """Intervals split by chromosome into compressed BED files and read back together."""
     path = fresh_path(spark, "bed")
     rows = iv_b(spark, d).select("chrom", "start", "stop", F.concat(F.lit("peak_"), F.col("id").cast("string")).alias("name"))
     writers.write_tsv(rows.where("chrom = 'chr0'"), f"{path}/a", header=False)
@@ -103,7 +103,7 @@ def fasta_files(spark, d):
 
 @query("SELECT c_custkey AS id, c_name AS name, c_nationkey::BIGINT AS nation FROM customer WHERE c_nationkey < 12")
 def table_files(spark, d):
-    """A TSV with header under a descriptor, with inferred types."""
+    """A TSV with header, with inferred types."""
     path = fresh_path(spark, "table")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
     writers.write_tsv(c, path)
