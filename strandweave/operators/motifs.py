@@ -139,15 +139,19 @@ def _one_hot(seq: str) -> np.ndarray:
     return np.stack([codes == ord(b) for b in "ACGT"], axis=1).astype(np.float64)
 
 
-def _scores(seq: str, k: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """(offsets, motifs) of all full windows."""
-    x, widest = _one_hot(seq), k.shape[1]
-    if weights is not None:
-        x *= weights[: len(x), None]
-    if len(x) < widest:
-        return np.zeros((0, len(k)))
-    windows = np.lib.stride_tricks.sliding_window_view(x, widest, axis=0)  # offsets, 4, widest
-    return windows.transpose(0, 2, 1).reshape(len(windows), -1) @ k.reshape(len(k), -1).T
+#: Offsets that are scanned at once; a sequence of any length needs the memory of so many windows.
+SLICE = 65_536
+
+
+def _scores(seq: str, k: np.ndarray, weights: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """First offset and (offsets, motifs) of all full windows, slice by slice; slices overlap by the widest motif less one."""
+    widest = k.shape[1]
+    for a in range(0, len(seq) - widest + 1, SLICE):
+        x = _one_hot(seq[a : a + SLICE + widest - 1])
+        if weights is not None:
+            x *= weights[a : a + len(x), None]
+        windows = np.lib.stride_tricks.sliding_window_view(x, widest, axis=0)  # offsets, 4, widest
+        yield a, windows.transpose(0, 2, 1).reshape(len(windows), -1) @ k.reshape(len(k), -1).T
 
 
 def scan(
@@ -172,12 +176,16 @@ def scan(
                 motifs, places, values, counts = [], [], [], []
                 factors = part[weights] if weights else [None] * len(part)
                 for text, w in zip(part[seq], factors, strict=True):
-                    s = _scores(text or "", k, w)
-                    at, m = np.nonzero((s > above) | ((s < -above) if two_tailed else False))
-                    places.append(at)
-                    motifs.append(m)
-                    values.append(s[at, m])
-                    counts.append(len(at))
+                    n = 0
+                    for first, s in _scores(text or "", k, w):
+                        at, m = np.nonzero((s > above) | ((s < -above) if two_tailed else False))
+                        places.append(first + at)
+                        motifs.append(m)
+                        values.append(s[at, m])
+                        n += len(at)
+                    counts.append(n)
+                if not places:
+                    continue
                 out = part[keys].iloc[np.repeat(np.arange(len(part)), counts)].reset_index(drop=True)
                 yield out.assign(pwm_idx=np.concatenate(motifs), pos=np.concatenate(places), score=np.concatenate(values))
 

@@ -63,12 +63,20 @@ def rank_curve(xs: DataFrame, ys: DataFrame, keys: list[str], x: str, y: str, by
     return null_safe_join(ranked, other, [*over, "_r"]).groupBy(*keys, "x").agg(F.max("y").alias("y"), F.min("y").alias("left"))
 
 
+def _equally_many(rows: DataFrame, task: str) -> None:
+    """ValueError unless all tasks have equally many rows: ranks of one would meet no rank of another."""
+    sizes = rows.groupBy(task).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    if sizes.least != sizes.most:
+        raise ValueError(f"tasks have between {sizes.least} and {sizes.most} rows, not equally many")
+
+
 def normalised_to_reference(signals: DataFrame, reference: DataFrame, task: str, value: str, out: str) -> DataFrame:
     """Signals of each task mapped to the distribution that the reference rows of all tasks have in common, as log2, with what isn't above 1 set to 0.
 
     The common distribution is, rank by rank, the mean over tasks; tasks must have
-    equally many reference rows. Values between reference values are interpolated.
+    equally many reference rows (else ValueError). Values between reference values are interpolated.
     """
+    _equally_many(reference, task)
     ranked = with_ranks(reference.select(task, F.col(value).cast("double").alias("x")), [task], "x", ordinal="_r")
     means = ranked.groupBy("_r").agg(F.avg("x").alias("_t"))
     curve = ranked.join(means, "_r").groupBy(task, "x").agg(F.max("_t").alias("y"), F.min("_t").alias("left"))
@@ -86,8 +94,9 @@ def logits_to_labels(logits: DataFrame, sample_logits: DataFrame, sample_labels:
 def quantile_normalised(signals: DataFrame, item: str, task: str, value: str, out: str) -> DataFrame:
     """Tasks brought to one distribution: each value's rank within its task takes the mean, over tasks, of that rank's values.
 
-    Equal values take the mean of their ranks' targets. Tasks must have equally many rows.
+    Equal values take the mean of their ranks' targets. Tasks must have equally many rows (else ValueError).
     """
+    _equally_many(signals, task)
     ranked = with_ranks(signals, [task], value, [item], ordinal="_r")
     target = ranked.groupBy("_r").agg(F.avg(value).alias("_t"))
     means = ranked.join(target, "_r").groupBy(task, value).agg(F.avg("_t").alias(out))
