@@ -89,8 +89,8 @@ def slot_document_counts(docs: DataFrame) -> np.ndarray:
 
     out = np.zeros(SLOTS, np.int64)
     sums = docs.select(whole_text().alias("text")).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    for row in sums.collect():  # at most SLOTS rows, whatever the corpus
-        out[row.slot] = row.n
+    found = sums.toPandas()  # at most SLOTS rows, whatever the corpus
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -98,28 +98,27 @@ class SparseRows:
     """Rows of (slots, values), with the two products that the decomposition needs."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.rows = rows
-        self.slots = np.concatenate([s for s, _ in rows])
+        self.n = len(rows)
+        self.slots = np.concatenate([s for s, _ in rows]).astype(np.int32)
         self.values = np.concatenate([v for _, v in rows]).astype(np.float32)
-        self.of_row = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
-        self.by_slot = np.argsort(self.slots, kind="stable")
+        self.of_row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s, _ in rows])
+        self.by_slot = np.argsort(self.slots, kind="stable").astype(np.int32)
 
-    @staticmethod
-    def _sum(keys: np.ndarray, values: np.ndarray, other: np.ndarray, picks: np.ndarray, size: int) -> np.ndarray:
-        """out[keys] += values * other[picks], for sorted keys, in pieces."""
+    def _sum(self, order: np.ndarray | None, keys: np.ndarray, other: np.ndarray, picks: np.ndarray, size: int) -> np.ndarray:
+        """out[keys] += values * other[picks], for keys that are sorted in this order, in pieces."""
         out = np.zeros((size, other.shape[1]), np.float32)
         for a in range(0, len(keys), 100_000):
-            k = keys[a : a + 100_000]
+            part = slice(a, a + 100_000) if order is None else order[a : a + 100_000]
+            k = keys[part]
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            out[k[starts]] += np.add.reduceat(values[a : a + 100_000, None] * other[picks[a : a + 100_000]], starts, axis=0)
+            out[k[starts]] += np.add.reduceat(self.values[part, None] * other[picks[part]], starts, axis=0)
         return out
 
     def times(self, other: np.ndarray) -> np.ndarray:
-        return self._sum(self.of_row, self.values, other, self.slots, len(self.rows))
+        return self._sum(None, self.of_row, other, self.slots, self.n)
 
     def transposed_times(self, other: np.ndarray) -> np.ndarray:
-        o = self.by_slot
-        return self._sum(self.slots[o], self.values[o], other, self.of_row[o], SLOTS)
+        return self._sum(self.by_slot, self.slots, other, self.of_row, SLOTS)
 
 
 def semantic_axes(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.ndarray:
@@ -127,6 +126,7 @@ def semantic_axes(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.nd
     x = SparseRows(rows)
     start = np.random.default_rng(7).standard_normal((SLOTS, min(rank + 8, len(rows)))).astype(np.float32)
     q, _ = np.linalg.qr(x.times(start))
+    del start
     q, _ = np.linalg.qr(x.times(x.transposed_times(q)))
     _, _, axes = np.linalg.svd(x.transposed_times(q).T, full_matrices=False)
     return np.ascontiguousarray(axes[:rank].T, np.float32)
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityM
     picked = sample.mapInPandas(featurise, "label int, slots array<int>, counts array<float>").toPandas()  # bounded by SAMPLE_A_CLASS and SLOTS
     shares = usable_labels(labels, target, FOLDS, HELD_OUT).agg(F.avg(F.col("label").cast("double"))).first()[0]
     model = QualityModel(idf, np.zeros((SLOTS, 1), np.float32), np.zeros((0, 1)), np.zeros(0), 0.5 if shares is None else float(shares))
-    rows = [(np.asarray(s, np.int64), np.asarray(c, np.float32)) for s, c in zip(picked["slots"], picked["counts"], strict=True)]
+    rows = [(np.asarray(s, np.int32), np.asarray(c, np.float32)) for s, c in zip(picked["slots"], picked["counts"], strict=True)]
     keep = [i for i, (s, _) in enumerate(rows) if len(s)]
     if keep:
         model.axes = semantic_axes([model.weighted(*rows[i]) for i in keep], RANK)
