@@ -56,6 +56,22 @@ def _with_offsets(df: DataFrame, keys: list[str], value: str, size: Column) -> D
     return null_safe_join(rows, offsets, [*keys, "_range"])
 
 
+def at_ranks(df: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
+    """(keys, _r, value): the values at the wanted ranks (keys, _r: distinct, from 1) of each group; none where a group has fewer rows.
+
+    The ranges of a group are counted, and only those that hold a wanted rank are sorted.
+    """
+    rows = with_ranges(df.select(*keys, value), keys, value)
+    sizes = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = sizes.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_size"))
+    needed = null_safe_join(wanted, ends, keys).where((F.col("_r") > F.col("_before")) & (F.col("_r") <= F.col("_upto"))).select(*keys, "_range", "_r", "_before")
+    ranges = needed.select(*keys, "_range").distinct()
+    inside = null_safe_join(rows, ranges, [*keys, "_range"]).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(value)).cast("long"))
+    places = needed.withColumn("_place", F.col("_r") - F.col("_before")).select(*keys, "_range", "_place", "_r")
+    return null_safe_join(inside, places, [*keys, "_range", "_place"]).select(*keys, "_r", value)
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str | Column, shares: list[float], name: str = "percentiles") -> DataFrame:
     """(keys, ``name``: array): exact percentiles of each group's values, interpolated between neighbours; null values don't count.
 
@@ -64,12 +80,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str | Column, shares: lis
     x = F.col(value) if isinstance(value, str) else value
     grouped = keys or ["_all"]
     rows = df.withColumn("_all", F.lit(0)).select(*grouped, x.cast("double").alias("_x")).where("_x IS NOT NULL")
-    ranked = with_ranks(rows, grouped, "_x", ordinal="_r")
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)]))
     places = rows.groupBy(*grouped).agg(F.count(F.lit(1)).alias("_n")).withColumn("_w", wanted).withColumn("_at", F.col("_w.share") * (F.col("_n") - 1))
     places = places.withColumn("_up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_r", (F.floor("_at") + F.col("_up") + 1).cast("long"))
     weight = F.when(F.col("_up") == 1, F.col("_at") - F.floor("_at")).otherwise(1 - F.col("_at") + F.floor("_at"))
-    met = null_safe_join(ranked.withColumn("_r", F.col("_r").cast("long")), places.select(*grouped, "_r", F.col("_w.i").alias("_i"), weight.alias("_weight")), [*grouped, "_r"])
+    found = at_ranks(rows, grouped, "_x", places.select(*grouped, "_r").distinct())
+    met = null_safe_join(found, places.select(*grouped, "_r", F.col("_w.i").alias("_i"), weight.alias("_weight")), [*grouped, "_r"])
     each = met.groupBy(*grouped, "_i").agg(F.sum(F.col("_x") * F.col("_weight")).alias("_v"))
     out = each.groupBy(*grouped).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"))  # as many entries as shares
     return out.select(*keys, F.col("_a._v").alias(name))
@@ -77,6 +93,6 @@ def percentiles(df: DataFrame, keys: list[str], value: str | Column, shares: lis
 
 def kth_greatest(df: DataFrame, keys: list[str], value: str, k: DataFrame, name: str) -> DataFrame:
     """(keys, ``name``): the k-th greatest value of each group, k from ``k`` (keys, k); 0 where k exceeds the group's rows."""
-    ranked = with_ranks(df.select(*keys, (-F.col(value)).alias("_v")), keys, "_v", ordinal="_r")
-    found = null_safe_join(ranked.withColumn("_r", F.col("_r").cast("long")), k.select(*keys, F.col("k").cast("long").alias("_r")), [*keys, "_r"]).select(*keys, (-F.col("_v")).alias(name))
+    wanted = k.select(*keys, F.col("k").cast("long").alias("_r")).distinct()
+    found = at_ranks(df.select(*keys, (-F.col(value)).alias("_v")), keys, "_v", wanted).select(*keys, (-F.col("_v")).alias(name))
     return null_safe_join(k.select(*keys), found, keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
