@@ -13,6 +13,8 @@ from ..operators import intervals as iv
 from ..operators import metrics as me
 from ..operators import motifs as mo
 from ..operators import mutants as mu
+from ..operators import nulls as nu
+from ..operators import patterns as pt
 from ..operators import sequences as sq
 from ..operators import stats as st
 from ..operators.ranges import with_ranks
@@ -231,6 +233,47 @@ def null_p_value(spark, d):
     return out.select("item", F.col("m").alias("observed"), F.round("p", 6).alias("p"), F.round("median", 4).alias("null_median"))
 
 
+#: Counted as motifs, and read off the same texts as signals.
+MOTIFS = ["CG", "GTA", "TTG", "ACC"]
+SIGNALS = ["TA", "GGC", "N"]
+N_NULLS = 100
+
+
+def _count_sql(word: str) -> str:
+    return f"((length(seq) - length(replace(seq, '{word}', ''))) // {len(word)})"
+
+
+_SCORED = " UNION ALL ".join(f"SELECT doc_id, toxic, '{m}' AS item, {_count_sql(m)} AS score, gc FROM docs" for m in MOTIFS)
+_SIGNALS = " UNION ALL ".join([f"SELECT doc_id, '{s}' AS measure, {_count_sql(s)} AS value FROM docs" for s in SIGNALS] + ["SELECT doc_id, 'length', length(seq) FROM docs"])
+_BIN = "CASE WHEN {v} >= {e}[1] AND {v} <= {e}[5] THEN least(len(list_filter({e}, lambda x: x <= {v})) - 1, 3) END"
+_HASH = "('0x' || substr(md5(concat({})), 1, 13))::BIGINT"
+
+
+@query(f""", docs AS (SELECT doc_id, toxic, seq, (1000 * (length(seq) - length(replace(replace(seq, 'C', ''), 'G', '')))) // greatest(length(seq), 1) AS gc FROM labels JOIN seqs USING (doc_id)), sc AS ({_SCORED}), sig AS ({_SIGNALS}),
+  edges AS (SELECT item, quantile_cont(score, [0, 0.25, 0.5, 0.75, 1]) AS es, quantile_cont(gc, [0, 0.25, 0.5, 0.75, 1]) AS eg FROM sc WHERE toxic = 1 GROUP BY item),
+  cells AS (SELECT * FROM (SELECT sc.*, {_BIN.format(v='score', e='es')} AS sb, {_BIN.format(v='gc', e='eg')} AS gb FROM sc JOIN edges USING (item)) WHERE sb IS NOT NULL AND gb IS NOT NULL),
+  sized AS (SELECT item, sb, gb, count(*) FILTER (toxic = 1) AS wanted, count(*) FILTER (toxic = 0) AS size FROM cells GROUP BY ALL),
+  ranked AS (SELECT item, sb, gb, doc_id, row_number() OVER (PARTITION BY item, sb, gb ORDER BY {_HASH.format("doc_id, ':', item")}, doc_id) - 1 AS r FROM cells WHERE toxic = 0),
+  mult AS (SELECT unnest(range({N_NULLS})) AS k, unnest({nu.multipliers(N_NULLS)}::BIGINT[]) AS f),
+  drawn AS (SELECT item, doc_id, k FROM ranked JOIN sized USING (item, sb, gb), mult WHERE (f * r + {_HASH.format("item, ':', sb, ':', gb, ':', k")} % size) % size < wanted),
+  medians AS (SELECT item, measure, k, quantile_cont(value, 0.5) AS m FROM drawn JOIN sig USING (doc_id) GROUP BY ALL),
+  seen AS (SELECT item, measure, quantile_cont(value, 0.5) AS observed, count(*) AS n FROM sc JOIN sig USING (doc_id) WHERE toxic = 1 GROUP BY ALL)
+  SELECT item, measure, n, observed, count(m) AS n_nulls, round(avg(CASE WHEN m >= observed THEN 1.0 ELSE 0.0 END), 6) AS p, quantile_cont(m, 0.5) AS null_median FROM seen JOIN medians USING (item, measure) GROUP BY ALL""")
+def many_nulls(spark, d):
+    """For each motif 100 nulls matched on its score and GC in one pass; medians of four signals, empirical p, median of medians."""
+    count = lambda w: fx.count_of(F.col("seq"), w)
+    docs = table(spark, d, "labels").select("doc_id", "toxic").join(seqs(spark, d), "doc_id")
+    gc = F.floor(1000 * F.length(F.regexp_replace("seq", "[^CG]", "")) / F.greatest(F.length("seq"), F.lit(1)))
+    scores = [F.struct(F.lit(m).alias("item"), count(m).alias("score")) for m in MOTIFS]
+    signals = [*[F.struct(F.lit(s).alias("measure"), count(s).alias("value")) for s in SIGNALS], F.struct(F.lit("length").alias("measure"), F.length("seq").cast("long").alias("value"))]
+    wide = stored(docs.select("doc_id", "toxic", gc.alias("gc"), F.array(*scores).alias("scores"), F.array(*signals).alias("signals")), "scored")
+    scored = wide.select("doc_id", "toxic", "gc", F.inline("scores"))
+    targets, background = scored.where("toxic = 1"), scored.where("toxic = 0")
+    drawn = nu.matched_nulls(targets, background, "item", "doc_id", ["score", "gc"], 4, N_NULLS)
+    out = nu.compared(targets, drawn, wide.select("doc_id", F.inline("signals")), "item", "doc_id", "measure", "value")
+    return out.select("item", "measure", "n", "observed", "n_nulls", F.round("p", 6).alias("p"), "null_median")
+
+
 # Importance stack -----------------------------------------------------------------------------------------------------------
 
 IMP = "SELECT vec_id, dim - 1 AS pos, floor(value::DOUBLE * 1000)::BIGINT AS v FROM cube"
@@ -308,6 +351,49 @@ def graph_patterns(spark, d):
     return gr.patterns(e, "example", 3)
 
 
+def _joined(n: int) -> list[tuple[int, int]]:
+    """The pairs of n items in order, as bits."""
+    return [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+
+def _connecting(n: int) -> list[int]:
+    """The sets of pairs, as masks, that connect all n items."""
+    pairs, out = _joined(n), []
+    for mask in range(1, 1 << len(pairs)):
+        reached = {0}
+        for _ in range(n):
+            reached |= {x for b, p in enumerate(pairs) if mask >> b & 1 and reached & set(p) for x in p}
+        if len(reached) == n:
+            out.append(mask)
+    return out
+
+
+def _patterns_sql(n: int) -> tuple[str, str]:
+    """Closed patterns of n items: which pairs each n items have in an example, counted for each mask that these contain."""
+    v, pairs = [f"v{i}" for i in range(n)], _joined(n)
+    items = " ".join([f"ends x0 {' '.join(f'JOIN ends x{i} ON x{i}.example = x0.example AND x{i}.a > x{i - 1}.a' for i in range(1, n))}", "JOIN held ON held.example = x0.example"])
+    mask = " + ".join(f"CASE WHEN list_contains(es, concat(x{i}.a, '-', x{j}.a)) THEN {1 << b} ELSE 0 END" for b, (i, j) in enumerate(pairs))
+    named = ", ".join(f"CASE WHEN m & {1 << b} <> 0 THEN concat(v{i}, '-', v{j}) END" for b, (i, j) in enumerate(pairs))
+    counted = f"SELECT {', '.join(v)}, m, sum(n)::BIGINT AS support FROM (SELECT {', '.join(f'x{i}.a AS v{i}' for i in range(n))}, {mask} AS had, count(*) AS n FROM {items} GROUP BY ALL), (VALUES {', '.join(f'({m})' for m in _connecting(n))}) t(m) WHERE had & m = m GROUP BY ALL"
+    same = " AND ".join(f"y.{c} = c.{c}" for c in [*v, "support"])
+    return f"SELECT {n} AS n_nodes, bit_count(m)::INTEGER AS n_edges, concat_ws('|', {', '.join(v)}) AS nodes, concat_ws(',', {named}) AS edges, support FROM (SELECT * FROM c{n} c WHERE support > (SELECT least_support FROM lim) AND NOT EXISTS (SELECT 1 FROM c{n} y WHERE {same} AND y.m & c.m = c.m AND y.m <> c.m))", counted
+
+
+_GROWN = {n: _patterns_sql(n) for n in (2, 3, 4)}
+
+
+@query(f""", e AS (SELECT DISTINCT * FROM ({SOME_EDGES})), lim AS (SELECT 3 + count(DISTINCT example) // 2000 AS least_support FROM e), ends AS (SELECT DISTINCT example, a FROM (SELECT example, i AS a FROM e UNION ALL SELECT example, j FROM e)),
+  held AS (SELECT example, list(concat(i, '-', j)) AS es FROM e GROUP BY example), {', '.join(f'c{n} AS ({counted})' for n, (_, counted) in _GROWN.items())}
+  SELECT 1 AS n_nodes, 0 AS n_edges, a AS nodes, '' AS edges, count(*) AS support FROM ends GROUP BY a HAVING count(*) > (SELECT least_support FROM lim) UNION ALL {' UNION ALL '.join(closed for closed, _ in _GROWN.values())}""")
+def connected_patterns(spark, d):
+    """Closed connected patterns of up to four items, grown edge by edge, in more than 3 examples and 1 of 2,000."""
+    number = lambda c: F.substring(c, 7, 9).cast("long")
+    e = stored(gr.pairs(baskets(spark, d), "example", "item").where((F.col("example") + number("i") + number("j")) % 3 != 0), "edges")
+    least = 3 + e.agg(F.count_distinct("example")).first()[0] // 2000
+    pair = F.transform("edges", lambda p: F.concat_ws("-", p["i"], p["j"]))
+    return pt.connected_patterns(e, "example", least, 4).select("n_nodes", "n_edges", F.array_join("nodes", "|").alias("nodes"), F.array_join(pair, ",").alias("edges"), "support")
+
+
 # Annotations, tracks, variants ------------------------------------------------------------------------------------------------
 
 NOTED = "SELECT x.id % 100 AS score, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.chrom = x.chrom AND b.start < x.stop AND x.start < b.stop) THEN 1 ELSE 0 END AS label FROM (SELECT DISTINCT * FROM a) x"
