@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,27 +208,54 @@ def fdr_threshold(p_values: DataFrame, p: str, fdr: float, bins: int = 50) -> fl
     return hi
 
 
-def hypergeometric_tail(hits: int, population: int, successes: int, draws: int) -> float:
-    """P(X >= hits)."""
+#: Counts this far (in logarithms) below the likeliest one have probabilities that a double holds as 0.
+VANISHED = 760.0
 
-    def log_choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
 
-    whole = log_choose(population, draws)
-    terms = [log_choose(successes, k) + log_choose(population - successes, draws - k) - whole for k in range(max(hits, 0), min(successes, draws) + 1)]
-    return min(1.0, math.fsum(math.exp(t) for t in terms if t > -math.inf))
+def _log_likelihoods(population: int, successes: int, draws: int) -> tuple[int, np.ndarray]:
+    """The least count, and from it on the logarithm of each hypergeometric count's probability over that of the likeliest.
 
+    Counts fall off on both sides of the likeliest; those whose probability isn't 0 as a
+    double lie within a few dozen deviations, however large the population. They are
+    summed up from the likeliest by quotients of neighbours, without factorials.
+    """
+    least, most = max(0, draws + successes - population), min(successes, draws)
+    mode = min(max((draws + 1) * (successes + 1) // (population + 2), least), most)
 
-def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact p of a 2 x 2 table: all tables at most as likely."""
-    n, row, col = a + b + c + d, a + b, a + c
+    def side(length: int, quotient: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        parts, at, log = [], 0, 0.0
+        while at < length and log > -VANISHED:
+            logs = log + np.cumsum(np.log(quotient(np.arange(at, min(at + 4096, length), dtype=float))))
+            parts.append(logs)
+            at, log = at + len(logs), float(logs[-1])
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def up(i: np.ndarray) -> np.ndarray:
+        x = mode + i
+        return (successes - x) * (draws - x) / ((x + 1) * (population - successes - draws + x + 1))
+
+    def down(i: np.ndarray) -> np.ndarray:
+        x = mode - i
+        return x * (population - successes - draws + x) / ((successes - x + 1) * (draws - x + 1))
 
-    def log_p(x: int) -> float:
-        return sum(map(math.lgamma, (row + 1, n - row + 1, col + 1, n - col + 1))) - sum(map(math.lgamma, (n + 1, x + 1, row - x + 1, col - x + 1, n - row - col + x + 1)))
+    below, above = side(mode - least, down), side(most - mode, up)
+    return mode - len(below), np.concatenate([below[::-1], [0.0], above])
 
-    seen = log_p(a)
-    logs = [log_p(x) for x in range(max(0, row + col - n), min(row, col) + 1)]
-    return min(1.0, math.fsum(math.exp(v) for v in logs if v <= seen + 1e-7))
+
+def hypergeometric_tail(hits: int, population: int, successes: int, draws: int) -> float:
+    """P(X >= hits)."""
+    first, logs = _log_likelihoods(population, successes, draws)
+    shares = np.exp(logs)
+    return min(1.0, float(shares[max(hits - first, 0) :].sum() / shares.sum()))
+
+
+def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided exact p of a 2 x 2 table: all tables at most as likely."""
+    first, logs = _log_likelihoods(a + b + c + d, a + b, a + c)
+    if not first <= a < first + len(logs):
+        return 0.0
+    shares = np.exp(logs)
+    return min(1.0, float(shares[logs <= logs[a - first] + 1e-7].sum() / shares.sum()))
 
 
 def add_fisher(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
