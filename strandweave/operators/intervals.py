@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: Width of the bins that overlap joins use as an equality key: a few times a usual interval.
 BIN = 1024
 #: Width of the stretches that merging handles on their own.
@@ -160,38 +162,45 @@ def signal_around(points: DataFrame, track: DataFrame, before: int, after: int,
     return pairs.groupBy(F.col("a_name").alias("name"), place.alias("place")).agg(F.sum(f"b_{value}").alias("sum"), F.count(F.lit(1)).alias("n"))
 
 
-def random_intervals(sizes: DataFrame, n: int, width: int, seed: str, exclude: DataFrame | None = None, oversample: float = 2.0, most_rounds: int = 12) -> DataFrame:
+def random_intervals(sizes: DataFrame, n: int, width: int, seed: str, exclude: DataFrame | None = None, oversample: float = 2.0, most_rounds: int = 12, partial: bool = False) -> DataFrame:
     """``n`` intervals placed by hash along the joined chromosomes, none touching ``exclude``: draws that cross an end or hit it are rejected.
 
-    Where too few of ``n * oversample`` draws are left, twice as many are made, and so
-    on; the first draws stay the same. After ``most_rounds`` it is an error.
+    As many draws are made as the free places ask for, and twice as many where too few
+    of them are left; the first draws stay the same. Where no place is free it is an
+    error, or with ``partial`` there are no intervals.
     """
-    for _ in range(most_rounds):
-        out = _placed_at_random(sizes, int(n * oversample), width, seed, exclude).orderBy("id").limit(n)
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    gaps = (sizes.select("chrom", F.lit(0).cast("long").alias("start"), F.col("size").alias("stop")) if exclude is None else complement(exclude, sizes)).where(F.col("stop") - F.col("start") >= width)
+    gaps = stored(gaps, "gaps")
+    places = gaps.agg(F.sum(F.col("stop") - F.col("start") - width + 1)).first()[0] or 0
+    for k in range(most_rounds if places else 0):
+        draws = placed_at_random(sizes, int(n * oversample * max(total / places, 1.0) * 2**k), width, seed)
+        inside = overlap_join(draws, gaps).where("b_start <= a_start AND a_stop <= b_stop").select(*[F.col(f"a_{c}").alias(c) for c in draws.columns])
+        out = inside.orderBy("id").limit(n)
         if out.count() == n:
             return out
-        oversample *= 2
+    if partial and not places:
+        return placed_at_random(sizes, 0, width, seed)
     raise ValueError(f"{n} intervals of {width} bases don't fit")
 
 
-def _placed_at_random(sizes: DataFrame, n_draws: int, width: int, seed: str, exclude: DataFrame | None) -> DataFrame:
+def placed_at_random(sizes: DataFrame, n_draws: int, width: int, seed: str, exclude: DataFrame | None = None) -> DataFrame:
+    """(id, chrom, start, stop): what is left of so many draws without those that cross an end or touch ``exclude``."""
     ends = sizes.withColumn("end", F.sum("size").over(Window.orderBy("chrom"))).withColumn("begin", F.col("end") - F.col("size"))  # one row a chromosome
     total = sizes.agg(F.sum("size").alias("total"))
     draws = sizes.sparkSession.range(n_draws).crossJoin(F.broadcast(total))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(seed))), 1, 14), 16, 10).cast("long"), F.col("total"))
     placed = draws.withColumn("at", at).join(F.broadcast(ends), (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
     out = placed.select("id", "chrom", (F.col("at") - F.col("begin")).alias("start"), (F.col("at") - F.col("begin") + width).alias("stop"), "size").where("stop <= size").drop("size")
-    if exclude is not None:
-        out = without_overlap(out, exclude)
-    return out
+    return out if exclude is None else without_overlap(out, exclude)
 
 
 def combined_negatives(positives: DataFrame, sizes: DataFrame, superset: DataFrame, n: int, seed: str, width: int = 200) -> DataFrame:
-    """Merged union of flank, superset and random negatives without the positives."""
+    """Merged union of flank, superset and random negatives without the positives; where these leave no room there are no random ones."""
     parts = [
         flanks(positives.select("chrom", "start", "stop"), width, 2, 2),
         superset_negatives(positives, superset).select("chrom", "start", "stop"),
-        random_intervals(sizes, n, width, seed, exclude=positives).select("chrom", "start", "stop"),
+        random_intervals(sizes, n, width, seed, exclude=positives, partial=True).select("chrom", "start", "stop"),
     ]
     return without_overlap(merge(reduce(DataFrame.unionByName, parts)).select("chrom", "start", "stop"), positives)
 
