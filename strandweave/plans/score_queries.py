@@ -59,7 +59,9 @@ def top3_places(spark, d):
 def k_max_in_order(spark, d):
     """The four greatest elements in their old order (in thousandths)."""
     kept = ar.k_max_in_order(F.col("embedding"), 4)
-    return table(spark, d, E).select("vec_id", F.array_join(F.transform(kept, lambda x: F.floor(x * 1000).cast("string")), ",").alias("kept"))
+    # A float times a whole number would be a double, which SQL's product isn't.
+    thousandths = F.transform(kept, lambda x: F.floor(x * F.lit(1000).cast("float")).cast("string"))
+    return table(spark, d, E).select("vec_id", F.array_join(thousandths, ",").alias("kept"))
 
 
 PAIR = "SELECT a.vec_id, a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
