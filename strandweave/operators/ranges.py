@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: Into how many ranges of values a group is cut, so that one large group spreads over many tasks.
 RANGES = 32
 
@@ -19,10 +21,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def with_ranges(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: which of the group's value ranges (cut at approximate quantiles) a row lies in. Equal values share a range; null keys are a group, null values lie in the first range."""
+    """Add ``_range``: which of the group's value ranges (cut at approximate quantiles) a row lies in. Equal values share a range; null keys are a group, null values lie in the first range.
+
+    The cuts are stored: where they fall depends on the order in which tasks end, and
+    all branches of a plan must have the same.
+    """
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares).alias("_cuts"))
-    return null_safe_join(df, cuts, keys).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+    return null_safe_join(df, stored(cuts, "cuts"), keys).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
 
 
 def with_ranks(df: DataFrame, keys: list[str], value: str, tie: list[str] | None = None, average: str | None = None, ordinal: str | None = None) -> DataFrame:
