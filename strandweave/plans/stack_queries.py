@@ -105,5 +105,5 @@ BLANKED = f"SELECT doc_id, mutated, concat(substr(seq, 1, pos), 'NNNN', substr(s
 def mutation_effects(spark, d):
     """Effect of blanking each motif's best site."""
     s = seqs(spark, d)
-    found = stacks.mo.scan(s, "doc_id", "seq", PWMS, 4.0)
+    found = stacks.mo.scan_best(s, "doc_id", "seq", PWMS, 4.0)
     return stacks.mutation_effects(s, "doc_id", "seq", found, PWMS)
