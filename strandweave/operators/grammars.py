@@ -26,6 +26,11 @@ def simulation_effects(scores: DataFrame, design: list[str], sample: str, embedd
     return wide.groupBy(*design).agg(F.avg(F.col("_with") - F.col("_without")).alias("effect"), F.count(F.lit(1)).alias("n"))
 
 
+def paired_effects(rows: DataFrame, design: list[str], embedded: str, background: str) -> DataFrame:
+    """The same where each row holds both scores of a sample: nothing is shuffled but sums by design."""
+    return rows.groupBy(*design).agg(F.avg(F.col(embedded) - F.col(background)).alias("effect"), F.count(F.lit(1)).alias("n"))
+
+
 def directed_edges(deltas: DataFrame, example: str, driver: str, responder: str, value: str, min_examples: int) -> DataFrame:
     """(driver, responder, n_examples, delta): what mutating the driver does to the responder, over examples in which it does anything; no loops."""
     changed = deltas.where((F.col(value) != 0) & (F.col(driver) != F.col(responder)))

@@ -6,6 +6,8 @@ cover c - w//2 .. c + (w-1)//2. Positions up to ``EDGE`` are never mutated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,20 @@ def strongest_nearby(sites: DataFrame, importances: DataFrame, keys: list[str],
     return sites.join(moved.withColumnRenamed("_site", "pos"), [*keys, "pos"], "left").withColumn("pos", F.coalesce(-F.col("_b.minus"), "pos")).drop("_b")
 
 
+def strongest_in(sites: DataFrame, importance: Callable[[Column], Column], length: str, width: int = 10) -> DataFrame:
+    """The same where a row tells the importance at a position (from an array or by rule) and its sequence's length: positions are never rows."""
+    last = F.least(F.col("pos") + (width - 1) // 2, F.col(length) - 1)
+    places = F.sequence(F.greatest(F.col("pos") - width // 2, F.lit(0)), F.greatest(last, F.lit(0)))
+    window = F.transform(places, lambda p: F.struct(importance(p).alias("value"), (-p).alias("minus")))
+    best = F.array_max(F.filter(window, lambda x: (x["value"] > 0) & (-x["minus"] < F.col(length))))
+    return sites.withColumn("pos", F.coalesce(-best["minus"], F.col("pos")))
+
+
+def importance_in(importance: Callable[[Column], Column], position: Column, length: Column) -> Column:
+    """The importance at a position of the row's sequence, 0 where there is none."""
+    return F.coalesce(F.when((position >= 0) & (position < length), importance(position)), F.lit(0))
+
+
 def mutable(sites: DataFrame) -> DataFrame:
     """Sites that are there and not at the edge."""
     return sites.where(F.col("present") & (F.col("pos") > EDGE))
