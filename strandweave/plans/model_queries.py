@@ -51,9 +51,12 @@ def sequence_importances(spark, d):
     out = ly.with_importances(seqs(spark, d).withColumn("n", F.length("seq")), SCORER, "seq")
     # Times the number of windows they are sums of quarters of sixteenths, so equal ones are equal in any order of adding.
     i = F.transform("importances", lambda x: F.round(x * F.greatest(F.col("n") - 2, F.lit(1)), 6))
-    out = out.withColumn("sum", F.aggregate("importances", F.lit(0.0), lambda a, x: a + x)).withColumn("i", i)
-    top = F.array_max("i")
-    return out.select("doc_id", F.round("logit", 6).alias("logit"), F.round("sum", 6).alias("sum"), top.alias("top"), F.array_position("i", top).alias("place"), F.size(F.filter("i", lambda x: x > 0)).cast("long").alias("n_for"))
+    out = out.withColumn("i", i)
+    top, windows = F.array_max("i"), F.coalesce(F.greatest(F.col("n") - 2, F.lit(1)), F.lit(1))
+    # Sums of such numbers are exact, and so the quotient is the one that SQL rounds; likewise for the output.
+    total = F.aggregate("i", F.lit(0.0), lambda a, x: a + x) / windows
+    logit = F.round((F.col("logit") - OUT_SHIFT) * windows, 6) / windows + OUT_SHIFT
+    return out.select("doc_id", F.round(logit, 6).alias("logit"), F.round(total, 6).alias("sum"), top.alias("top"), F.array_position("i", top).alias("place"), F.size(F.filter("i", lambda x: x > 0)).cast("long").alias("n_for"))
 
 
 def multiplier_importances(spark, d):
