@@ -182,7 +182,8 @@ def with_importances(df: DataFrame, network: Network, seq: str, rule: str = "gra
     df = df.drop(logit, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A few sequences at a time: their importances are eight times as large as they are.
+        for batch in (whole.slice(a, 16) for whole in batches for a in range(0, len(whole), 16)):
             given = batch.column(references).to_pylist() if references else [None] * len(batch)
             values, found = [], []
             for text, others in zip(batch.column(seq).to_pylist(), given, strict=True):
