@@ -42,12 +42,13 @@ def chains(edge_examples: DataFrame, example: str, min_support: int) -> DataFram
     Edges below the support are dropped before they are joined (no pattern has more
     support than its edges).
     """
-    support = edge_examples.groupBy("i", "j").agg(F.count_distinct(example).alias("_n")).where(F.col("_n") >= min_support).select("i", "j")
-    edges = edge_examples.join(support, ["i", "j"])
+    distinct = edge_examples.select(example, "i", "j").distinct()
+    support = distinct.groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_support).select("i", "j")
+    edges = distinct.join(support, ["i", "j"])
     both = edges.select(example, F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(example, F.col("j").alias("a"), F.col("i").alias("b")))
     other = both.withColumnRenamed("a", "c")
     found = both.join(other, [example, "b"]).where("a < c")
-    return found.groupBy("a", "b", "c").agg(F.count_distinct(example).alias("support")).where(F.col("support") >= min_support)
+    return found.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)  # an example has each pattern once
 
 
 def patterns(edge_examples: DataFrame, example: str, min_support: int) -> DataFrame:
