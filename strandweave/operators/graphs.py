@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread, stored
 from .stats import add_fisher
 
 
@@ -21,8 +22,21 @@ def pairs(presence: DataFrame, example: str, item: str) -> DataFrame:
     An example of n items has n (n - 1) / 2 pairs, which is what is asked for; the
     items are a vocabulary of some hundreds, so that is bounded for any example.
     """
-    p = presence.select(example, item).distinct()
-    return p.withColumnRenamed(item, "i").join(p.withColumnRenamed(item, "j"), example).where("i < j")
+    items = spread(presence.select(example, item).where(F.col(example).isNotNull() & F.col(item).isNotNull()), example).groupBy(example).agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    first = items.select(example, "_items", F.posexplode("_items").alias("_at", "i"))
+    return first.select(example, "i", F.explode(F.slice("_items", F.col("_at") + 2, F.size("_items"))).alias("j"))
+
+
+def edge_sets(e: DataFrame, example: str, strong: DataFrame) -> DataFrame:
+    """(edges, n): the sets of edges (i, j), of those in ``strong``, that examples have, as sorted arrays, and how many examples have each. A set has as many edges as its example pairs of items at most."""
+    kept = e.join(strong.select("i", "j"), ["i", "j"]).where(F.col(example).isNotNull())
+    held = spread(kept.select(example, "i", "j"), example).groupBy(example).agg(F.array_sort(F.collect_set(F.struct("i", "j"))).alias("edges"))
+    return spread(held.select("edges"), "edges").groupBy("edges").agg(F.count(F.lit(1)).alias("n"))
+
+
+def neighbours(edges: Column, node: Column) -> Column:
+    """The other ends of the edges (an array of i, j) at a node."""
+    return F.transform(F.filter(edges, lambda x: (x["i"] == node) | (x["j"] == node)), lambda x: F.when(x["i"] == node, x["j"]).otherwise(x["i"]))
 
 
 def cooccurrence(presence: DataFrame, example: str, item: str, min_examples: int = 0, max_p: float | None = None) -> DataFrame:
@@ -58,31 +72,23 @@ def patterns(edge_examples: DataFrame, example: str, min_support: int) -> DataFr
     all its edges; patterns need more than ``min_support``. A chain whose ends are
     joined by an edge of the graph counts beside its triangle only if it has other examples.
     """
-    e = edge_examples.select(example, "i", "j").distinct()
-    edges = e.groupBy("i", "j").agg(F.count(F.lit(1)).alias("support"))
-    ends = e.select(example, F.col("i").alias("a")).unionByName(e.select(example, F.col("j").alias("a"))).distinct()
+    e = stored(edge_examples.select(example, "i", "j").distinct(), "edges")
+    edges = stored(e.groupBy("i", "j").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > min_support), "edge-support")
     none = F.lit(None).cast(dict(e.dtypes)["i"])
-    of_node = ends.groupBy("a").agg(F.count(F.lit(1)).alias("support")).select(F.lit("node").alias("kind"), "a", none.alias("b"), none.alias("c"), "support")
+    ends = spread(e.select(example, F.explode(F.array("i", "j")).alias("a")), example).distinct()
+    of_node = ends.groupBy("a").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > min_support).select(F.lit("node").alias("kind"), "a", none.alias("b"), none.alias("c"), "support")
     of_edge = edges.select(F.lit("edge").alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"), none.alias("c"), "support")
-    # No pattern has more support than its edges.
-    strong = e.join(edges.where(F.col("support") > min_support).select("i", "j"), ["i", "j"])
-    triangles = (
-        strong.select(example, F.col("i").alias("a"), F.col("j").alias("b"))
-        .join(strong.select(example, F.col("i").alias("b"), F.col("j").alias("c")), [example, "b"])
-        .join(strong.select(example, F.col("i").alias("a"), F.col("j").alias("c")), [example, "a", "c"])
-        .groupBy("a", "b", "c")
-        .agg(F.count(F.lit(1)).alias("support"))
-    )
-    both = strong.select(example, F.col("i").alias("a"), F.col("j").alias("b")).unionByName(strong.select(example, F.col("j").alias("a"), F.col("i").alias("b")))
-    of_chain = both.join(both.withColumnRenamed("a", "c"), [example, "b"]).where("a < c").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("support"))
-    closed = edges.select(F.col("i").alias("a"), F.col("j").alias("c"), F.lit(True).alias("_closed"))
-    low, high = F.least("a", "b"), F.greatest("b", "c")
-    middle = F.when(F.col("b") < F.col("a"), F.col("a")).when(F.col("b") > F.col("c"), F.col("c")).otherwise(F.col("b"))
-    full = triangles.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("c").alias("_z"), F.col("support").alias("_full"))
-    chained = of_chain.join(closed, ["a", "c"], "left").join(full, (low == F.col("_x")) & (middle == F.col("_y")) & (high == F.col("_z")), "left")
-    other = F.col("_closed").isNull() | (F.coalesce("_full", F.lit(0)) != F.col("support"))
-    kinds = [of_node, of_edge, chained.where(other).select(F.lit("chain").alias("kind"), "a", "b", "c", "support"), triangles.select(F.lit("triangle").alias("kind"), "a", "b", "c", "support")]
-    return reduce(DataFrame.unionByName, kinds).where(F.col("support") > min_support)
+    # No pattern has more support than its edges. What examples hold is read off their arrays of edges: a chain's ends are joined or not.
+    held = edge_sets(e, example, edges)
+    turned = F.explode(F.flatten(F.transform("edges", lambda x: F.array(F.struct(x["i"].alias("a"), x["j"].alias("b")), F.struct(x["j"].alias("a"), x["i"].alias("b"))))))
+    at = held.select("edges", "n", turned.alias("_x")).select("n", "_x.a", "_x.b", neighbours(F.col("edges"), F.col("_x.b")).alias("_c"), neighbours(F.col("edges"), F.col("_x.a")).alias("_near"))
+    found = at.select("n", "a", "b", F.explode(F.filter("_c", lambda c: c > F.col("a"))).alias("c"), "_near").select("n", "a", "b", "c", F.array_contains("_near", F.col("c")).alias("_joined"))
+    counts = found.groupBy("a", "b", "c").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("_joined"), F.col("n")).otherwise(0)).alias("_full")).where(F.col("support") > min_support)
+    counts = stored(counts, "chains")
+    of_chain = counts.where("_full <> support").select(F.lit("chain").alias("kind"), "a", "b", "c", "support")
+    triangles = counts.where((F.col("a") < F.col("b")) & (F.col("b") < F.col("c")) & (F.col("_full") > min_support))
+    of_triangle = triangles.select(F.lit("triangle").alias("kind"), "a", "b", "c", F.col("_full").alias("support"))
+    return reduce(DataFrame.unionByName, [of_node, of_edge, of_chain, of_triangle])
 
 
 def merge_graphs(graphs: list[DataFrame], keys: list[str], count: str, mean: str) -> DataFrame:

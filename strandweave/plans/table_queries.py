@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as gr
 from ..operators import variants as va
+from ..sources.shared import spread
 from .proxies import CUBE, HITS, SEQ_SQL, hits, seqs, table
 
 QUERIES, ORACLES = {}, {}
@@ -27,7 +28,8 @@ VCF = "SELECT doc_id AS chrom, 150 + doc_id % 300 AS pos, concat('rs', doc_id) A
 
 def baskets(spark, d):
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("example"), F.col("p_brand").alias("item")).distinct()
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("example"), F.col("p_brand").alias("item"))
+    return spread(rows, "example").distinct()
 
 
 def vcf(spark, d):

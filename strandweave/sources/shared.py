@@ -19,6 +19,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Rows of one key together, over all of the session's shuffle partitions.
+
+    A shuffle that Spark plans itself is merged into few large tasks while its data is
+    small, so that a task's sorts and hash tables grow with the table; these aren't.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written once to the shared folder and read back, where several branches of a plan need it."""
     path = fresh_path(df.sparkSession, name)
