@@ -1,21 +1,23 @@
-"""Connected patterns of a co-occurrence graph, grown edge by edge."""
+"""Connected patterns of a co-occurrence graph, read off what each example has on its connected sets of items."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
-from .ranges import with_ranks
+from ..sources.shared import spread, stored
+from .graphs import edge_sets, neighbours
 
-#: Over how many partitions the occurrences of one pattern spread when they are extended.
-SALT = 8
+#: The pairs of this many items fit into the bits of a long.
+MOST_NODES = 11
 
 
 def connected_patterns(edge_examples: DataFrame, example: str, min_support: int, most_nodes: int = 4) -> DataFrame:
-    """(n_nodes, n_edges, nodes, edges, support): the closed connected patterns of up to ``most_nodes`` items.
+    """(n_nodes, n_edges, nodes, edges, support): the closed connected patterns of up to ``most_nodes`` items (11 at most).
 
     ``edge_examples`` (example, i, j) with i < j; repeated rows count once, rows with a null don't. An example
     supports a pattern if it has all of the pattern's edges; patterns need more than ``min_support`` examples. A
@@ -25,61 +27,80 @@ def connected_patterns(edge_examples: DataFrame, example: str, min_support: int,
     all: it can't pass a step without gain.) Single items have no edges. ``nodes`` is
     sorted, ``edges`` an array of (i, j) sorted likewise. An empty table gives none.
 
-    Patterns grow by an edge a level, at most most_nodes * (most_nodes - 1) / 2 levels. Of the ways to
-    a pattern the one from the parent with the least support is taken, so an occurrence is
-    made once. Occurrences are (example, pattern number); they meet the edges of their own
-    example, then the pattern table, spread by example, so a frequent pattern isn't one task's.
+    Each example's edges are one array, and examples with the same edges one row. The connected
+    sets of its items are made from it, once each, and what edges it has on a set is a mask of
+    pairs; examples are counted for each set and mask. The closed patterns of a set are the intersections of its masks, their
+    support the counts of the masks that contain them.
     """
+    if most_nodes > MOST_NODES:
+        raise ValueError(f"patterns of more than {MOST_NODES} items")
     e = stored(edge_examples.select(F.col(example).alias("example"), "i", "j").na.drop().distinct(), "pattern-edges")
-    support = e.groupBy("i", "j").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > min_support)
-    table = stored(with_ranks(support, [], "support", ["i", "j"], ordinal="edge").withColumn("edge", F.col("edge").cast("long")), "pattern-table")
-    graph = stored(e.join(table.select("i", "j", "edge"), ["i", "j"]).select("example", "edge"), "pattern-examples")
-    ends = table.select(F.col("i").alias("node"), "edge", "i", "j").unionByName(table.select(F.col("j").alias("node"), "edge", "i", "j"))
-
-    found = [table.select(F.col("edge").alias("pattern"), F.array("edge").alias("edges"), F.array("i", "j").alias("nodes"), "support")]
-    held = graph.select("example", F.col("edge").alias("pattern"))
-    while len(found) < most_nodes * (most_nodes - 1) // 2:
-        step = _extensions(found[-1], ends, most_nodes)
-        more = held.join(graph, "example").withColumn("_salt", F.pmod(F.xxhash64("example"), F.lit(SALT)).cast("int"))
-        ways = step.select("parent", "edge", "pattern").withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-        held = stored(more.withColumnRenamed("pattern", "parent").join(ways, ["parent", "edge", "_salt"]).select("example", "pattern"), "pattern-held")
-        counts = held.groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > min_support)
-        level = stored(step.join(counts, "pattern").select("pattern", "edges", "nodes", "support"), "patterns")
-        if level.isEmpty():
-            break
-        found.append(level)
-    closed = [_closed(level, above) for level, above in zip(found, [*found[1:], None], strict=True)]
-    return reduce(DataFrame.unionByName, [_single_items(e, min_support), *[_named(c, table) for c in closed]])
-
-
-def _extensions(level: DataFrame, ends: DataFrame, most_nodes: int) -> DataFrame:
-    """(pattern, edges, nodes, parent, edge): each pattern with one edge more, and the parent from which its occurrences are made; numbered for good by being written."""
-    near = level.withColumn("node", F.explode("nodes")).join(ends, "node").where(~F.array_contains("edges", F.col("edge")))
-    grown = near.select(
-        F.array_sort(F.concat("edges", F.array("edge"))).alias("edges"),
-        F.array_sort(F.array_union("nodes", F.array("i", "j"))).alias("nodes"),
-        F.struct("support", F.col("pattern").alias("parent"), "edge").alias("way"),
-    ).where(F.size("nodes") <= most_nodes)
-    ways = grown.groupBy("edges", "nodes").agg(F.min("way").alias("way"))
-    return stored(ways.select(F.monotonically_increasing_id().alias("pattern"), "edges", "nodes", "way.parent", "way.edge"), "pattern-steps")
-
-
-def _closed(level: DataFrame, above: DataFrame | None) -> DataFrame:
-    """The patterns of a level that none of the next level, on the same items, equals in support."""
-    if above is None:
-        return level
-    less = above.withColumn("_less", F.explode("edges")).select(F.array_remove("edges", F.col("_less")).alias("edges"), "nodes", "support")
-    return level.join(less, ["edges", "nodes", "support"], "left_anti")
-
-
-def _named(level: DataFrame, table: DataFrame) -> DataFrame:
-    pairs = level.withColumn("edge", F.explode("edges")).select("pattern", "nodes", "support", "edge").join(table.select("edge", "i", "j"), "edge")
-    whole = pairs.groupBy("pattern", "nodes", "support").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("edges"))  # few edges: most_nodes bounds them
-    return whole.select(F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), "nodes", "edges", "support")
+    strong = stored(e.groupBy("i", "j").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > min_support), "pattern-table")
+    held = edge_sets(e, "example", strong).withColumn("all_nodes", F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["i"], x["j"])))))
+    step, sets = _roots(stored(held, "pattern-examples")), []
+    for n in range(2, most_nodes + 1):
+        step = _grown(step)
+        sets.append(step.select(F.array_sort("nodes").alias("nodes"), "edges", "n").select("nodes", _mask(n).alias("mask"), "n"))
+    counts = [stored(s.groupBy("nodes", "mask").agg(F.sum("n").alias("n")), "pattern-masks") for s in sets]
+    found = [_closed(c, n, min_support, dict(e.dtypes)["i"]) for n, c in enumerate(counts, 2)]
+    return reduce(DataFrame.unionByName, [_single_items(e, min_support), *found])
+
+
+def _roots(held: DataFrame) -> DataFrame:
+    """(edges, n, root, nodes, seen, next): each example's sets of one item; what was seen are its items and their neighbours, what comes next those neighbours after the root."""
+    root = held.select("edges", "n", F.explode("all_nodes").alias("root")).withColumn("_near", neighbours(F.col("edges"), F.col("root")))
+    return root.select("edges", "n", "root", F.array("root").alias("nodes"), F.concat(F.array("root"), "_near").alias("seen"), F.filter("_near", lambda x: x > F.col("root")).alias("next"))
+
+
+def _grown(step: DataFrame) -> DataFrame:
+    """The sets with one item more. A set is made once: from its least item, by neighbours that come after the one taken or that only the one taken has."""
+    taken = step.select("*", F.posexplode("next").alias("_at", "_node")).withColumn("_near", neighbours(F.col("edges"), F.col("_node")))
+    new = F.filter(F.array_except("_near", "seen"), lambda x: x > F.col("root"))
+    left = F.slice("next", F.col("_at") + 2, F.size("next"))
+    return taken.select("edges", "n", "root", F.concat("nodes", F.array("_node")).alias("nodes"), F.array_union("seen", "_near").alias("seen"), F.concat(left, new).alias("next"))
+
+
+def _mask(n: int) -> Column:
+    """Which pairs of the ``n`` sorted nodes are edges, as bits in the order of the pairs."""
+    has = lambda p, q: F.exists("edges", lambda x: (x["i"] == F.get("nodes", F.lit(p))) & (x["j"] == F.get("nodes", F.lit(q))))
+    bits = [F.when(has(p, q), F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b, (p, q) in enumerate(combinations(range(n), 2))]
+    return reduce(Column.__add__, bits)
+
+
+def closed_masks(counts: dict[int, int], n: int, min_support: int) -> list[tuple[int, int]]:
+    """(mask, support): the intersections of the masks that connect all ``n`` nodes, in more than ``min_support`` examples."""
+    pairs, closed = list(combinations(range(n), 2)), set()
+    for had in counts:
+        closed |= {had & c for c in closed} | {had}
+
+    def connects(mask: int) -> bool:
+        reached = {0}
+        for _ in range(n):
+            reached |= {x for b, p in enumerate(pairs) if mask >> b & 1 and reached & set(p) for x in p}
+        return len(reached) == n
+
+    support = {c: sum(k for had, k in counts.items() if had & c == c) for c in sorted(closed)}
+    return [(c, k) for c, k in support.items() if k > min_support and connects(c)]
+
+
+def _closed(counts: DataFrame, n: int, min_support: int, kind: str) -> DataFrame:
+    """The closed patterns of all sets of ``n`` items; the masks of a set are one row."""
+
+    def run(masks: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([[{"mask": m, "support": k} for m, k in closed_masks(dict(zip(ms.tolist(), ks.tolist(), strict=True)), n, min_support)] for ms, ks in zip(masks, sizes, strict=True)], dtype=object)
+
+    closed = F.pandas_udf(run, "array<struct<mask:long,support:long>>")
+    rows = spread(counts, "nodes").groupBy("nodes").agg(F.collect_list(F.struct("mask", "n")).alias("_m"))
+    # A set's support is at most its examples.
+    rows = rows.where(F.aggregate("_m", F.lit(0).cast("long"), lambda s, m: s + m["n"]) > min_support)
+    each = rows.select("nodes", F.explode(closed(F.col("_m.mask"), F.col("_m.n"))).alias("_p"))
+    ends = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("bit"), F.lit(p).alias("p"), F.lit(q).alias("q")) for b, (p, q) in enumerate(combinations(range(n), 2))])
+    edges = F.transform(F.filter(ends, lambda x: F.col("_p.mask").bitwiseAND(x["bit"]) != 0), lambda x: F.struct(F.get("nodes", x["p"]).alias("i"), F.get("nodes", x["q"]).alias("j")))
+    return each.select(F.size("nodes").alias("n_nodes"), edges.cast(f"array<struct<i:{kind},j:{kind}>>").alias("edges"), "nodes", F.col("_p.support").alias("support")).select("n_nodes", F.size("edges").alias("n_edges"), "nodes", "edges", "support")
 
 
 def _single_items(e: DataFrame, min_support: int) -> DataFrame:
     kind = dict(e.dtypes)["i"]
-    held = e.select("example", F.explode(F.array("i", "j")).alias("node")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("support"))
+    held = spread(e.select("example", F.explode(F.array("i", "j")).alias("node")), "example").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("support"))
     none = F.array().cast(f"array<struct<i:{kind},j:{kind}>>")
     return held.where(F.col("support") > min_support).select(F.lit(1).alias("n_nodes"), F.lit(0).alias("n_edges"), F.array("node").alias("nodes"), none.alias("edges"), "support")

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandweave.operators import graphs, patterns
 
@@ -71,3 +72,27 @@ def test_three_items_as_patterns(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], "x long, i string, j string")
     assert patterns.connected_patterns(empty, "x", 0).collect() == []
+
+
+def test_pairs_and_patterns_make_no_joined_occurrences(spark):
+    """What an example holds is read off its own array: the only joins meet the table of frequent edges."""
+    rows = [(x, i, j) for x in range(9) for i in range(5) for j in range(i + 1, 5) if (x + i + j) % 3]
+    frame = spark.createDataFrame([*rows, (None, 0, 1), (3, None, 2)], "x long, i long, j long")
+    for found in (graphs.patterns(frame, "x", 1), patterns.connected_patterns(frame, "x", 1, 4)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == plan.count("Join Inner, ((i#") and "LeftOuter" not in plan
+    items = frame.select("x", F.col("i").alias("item"))
+    paired = graphs.pairs(items, "x", "item")
+    assert "Join" not in paired._jdf.queryExecution().optimizedPlan().toString()
+    names = {}
+    for x, i, _ in rows:
+        names.setdefault(x, set()).add(i)
+    assert sorted(map(tuple, paired.collect())) == sorted((x, i, j) for x, s in names.items() for i in s for j in s if i < j)
+    assert patterns.closed_masks({0b111: 2, 0b011: 3, 0b110: 4}, 3, 1) == [(0b011, 5), (0b110, 6), (0b111, 2)]
+
+
+def test_each_example_has_a_connected_set_once(spark):
+    """A hub with twelve ends: as many sets of four as three of its ends can be drawn."""
+    frame = spark.createDataFrame([(x, 0, j) for x in range(2) for j in range(1, 13)], "x long, i long, j long")
+    found = patterns.connected_patterns(frame, "x", 1, 4).groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n"), F.max("support").alias("m")).collect()
+    assert sorted(map(tuple, found)) == [(1, 13, 2), (2, 12, 2), (3, 66, 2), (4, 220, 2)]
