@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import spread, stored
 
 #: Width of the bins that overlap joins use as an equality key: a few times a usual interval.
 BIN = 1024
@@ -103,7 +103,7 @@ def merge(a: DataFrame, gap: int = 0, stretch: int = STRETCH, by: tuple[str, ...
     and where the island that reaches into it began) is one row a stretch.
     """
     keys = list(by)
-    rows = a.where("stop > start").withColumn("_part", F.floor(F.col("start") / stretch))
+    rows = spread(a.where("stop > start").select(*keys, "start", "stop", F.floor(F.col("start") / stretch).alias("_part")), *keys, "_part")
     reach = rows.groupBy(*keys, "_part").agg(F.max("stop").alias("_reach"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     reach = reach.withColumn("_carry", F.max("_reach").over(earlier)).drop("_reach")
@@ -118,7 +118,7 @@ def merge(a: DataFrame, gap: int = 0, stretch: int = STRETCH, by: tuple[str, ...
     anchor = last.withColumn("_anchor", F.last(F.when(F.col("_last") > 0, F.struct("_part", "_last")), ignorenulls=True).over(earlier)).drop("_last")
     joined = parts.join(anchor, [*keys, "_part"])
     island = F.when(F.col("_local") > 0, F.struct(F.col("_part"), F.col("_local").alias("_last"))).otherwise(F.col("_anchor"))
-    return joined.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("_island")
+    return spread(joined.withColumn("_island", island), *keys, "_island").groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("_island")
 
 
 def complement(a: DataFrame, sizes: DataFrame, stretch: int = STRETCH) -> DataFrame:
