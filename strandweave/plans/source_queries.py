@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as iv
 from ..sources import readers, writers
 from ..sources.bigwig import around_centre
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, spread
 from .proxies import IV_B, SEQ_SQL, TRACK, iv_b, seqs, table, track
 from .table_queries import VCF, vcf
 
@@ -97,7 +97,7 @@ def fasta_files(spark, d):
     lines = F.array_join(F.regexp_extract_all("seq", F.lit("(.{1,60})"), F.lit(1)), "\n")
     s.select(F.concat(F.lit(">s"), F.col("doc_id").cast("string"), F.lit(" words\n"), lines).alias("value")).write.text(path)
     chunks = readers.read(spark, "fasta", path, size=500)
-    whole = chunks.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda c: c["seq"]), "").alias("seq"))
+    whole = spread(chunks, "chrom").groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda c: c["seq"]), "").alias("seq"))
     return whole.select("chrom", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
 
 

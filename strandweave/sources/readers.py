@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.intervals import tile
 from ..operators.motifs import Pwm, from_probabilities
 from .bigwig import read_bigwig
+from .shared import spread
 
 NARROW_PEAK = "chrom string, start long, stop long, name string, score int, strand string, signal double, p double, q double, summit long"
 
@@ -47,18 +48,24 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(chrom.alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"), F.get(f, 7).alias("info"))
 
 
+#: Into parts of how many lines (a power of two) a block of a FASTA file is cut.
+LINES = 1 << 15
+
+
 def read_fasta(spark: SparkSession, path: str, size: int = 10_000) -> DataFrame:
     """(chrom, chunk, seq): sequences cut to chunks of ``size`` bases, upper case.
 
-    Lines are read as rows in the order of their file blocks; what a block has to know
-    of those before it (the record that reaches into it and how far that has come) is
-    one row a block. No value is longer than a line or a chunk.
+    Lines are read as rows in the order of their file blocks, which are cut into parts of
+    LINES lines; what a part has to know of those before it (the record that reaches into it and
+    how far that has come) is one row a part. No value is longer than a line or a chunk.
     """
     line, head = F.trim("value"), F.regexp_extract(F.trim("value"), r"^>(\S*)", 1)
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"),
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_i"),
         F.when(line.startswith(">"), head).alias("_h"), F.when(line.startswith(">"), F.lit("")).otherwise(F.upper(line)).alias("_s"),
     )
+    # The low 33 bits number the lines of a task, which may read several files.
+    lines = spread(lines.withColumn("_b", F.struct("_start", F.shiftright(F.col("_i").bitwiseAND(2**33 - 1), LINES.bit_length() - 1).alias("_n"))).drop("_start"), "_f", "_b")
     inside = Window.partitionBy("_f", "_b").orderBy("_i")
     rows = lines.withColumn("_k", F.count("_h").over(inside)).withColumn("_name", F.last("_h", ignorenulls=True).over(inside))
     rows = rows.withColumn("_at", F.coalesce(F.sum(F.length("_s")).over(Window.partitionBy("_f", "_b", "_k").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -74,7 +81,7 @@ def read_fasta(spark: SparkSession, path: str, size: int = 10_000) -> DataFrame:
     begin = F.greatest(F.col("chunk") * size - F.col("_at"), F.lit(0))
     part = F.substring("_s", (begin + 1).cast("int"), ((F.col("chunk") + 1) * size - F.col("_at") - begin).cast("int"))
     cut = pieces.select("chrom", "chunk", F.struct((F.col("_at") + begin).alias("at"), part.alias("s")).alias("p"))
-    return cut.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list("p")).alias("_p")).select("chrom", F.col("chunk").cast("int").alias("chunk"), F.array_join(F.col("_p.s"), "").alias("seq"))
+    return spread(cut, "chrom", "chunk").groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list("p")).alias("_p")).select("chrom", F.col("chunk").cast("int").alias("chunk"), F.array_join(F.col("_p.s"), "").alias("seq"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
