@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread, stored
 from .ranges import null_safe_join, percentiles, with_ranges, with_ranks  # noqa: F401
 from .scores import hash_rank
 
@@ -37,15 +38,24 @@ def interpolated(values: DataFrame, curve: DataFrame, keys: list[str], x: str, c
 
     The neighbours come from one pass over both tables in either direction: the last
     curve point at or before x and the first one at or after it. Both frames grow by a
-    row at a time, so time grows with the rows. A curve that jumps has one row for its
+    row at a time, so time grows with the rows. A group is cut into ranges of x, and what a range has to
+    know of the others (the last point before it, the first one behind it) is a row a range,
+    so no group has to fit into one task. A curve that jumps has one row for its
     x, with the y to the right of it in ``curve_y`` and to the left in ``curve_y_left``.
     """
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"), F.col(curve_y_left or curve_y).cast("double").alias("left"))
     c = curve.select(*keys, F.col(curve_x).cast("double").alias("_x"), point.alias("_point"))
     rows = values.select("*", F.col(x).cast("double").alias("_x")).unionByName(c, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    rows = spread(with_ranges(stored(rows, "curve-rows"), keys, "_x"), *keys, "_range")
+    ends = rows.groupBy(*keys, "_range").agg(F.max("_point").alias("_most"), F.min("_point").alias("_least"))
+    along = Window.partitionBy(*keys).orderBy("_range")
+    ends = ends.withColumn("_below", F.last("_most", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("_above", F.first("_least", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))).select(*keys, "_range", "_below", "_above")
+    before = Window.partitionBy(*keys, "_range").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys, "_range").orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, 0)
     near = rows.withColumn("_lo", F.last("_point", ignorenulls=True).over(before)).withColumn("_hi", F.last("_point", ignorenulls=True).over(after)).where(F.col("_point").isNull())
+    near = null_safe_join(near, ends, [*keys, "_range"])
+    near = near.withColumn("_lo", F.coalesce("_lo", F.when(F.col("_x").isNotNull(), F.col("_below")))).withColumn("_hi", F.coalesce("_hi", "_above"))
     lo, hi = F.col("_lo"), F.col("_hi")
     share = F.coalesce(F.try_divide(F.col("_x") - lo["x"], hi["x"] - lo["x"]), F.lit(0.0))
     value = F.when(lo.isNull(), hi["left"]).when(hi.isNull(), lo["y"]).otherwise(lo["y"] + share * (hi["left"] - lo["y"]))
