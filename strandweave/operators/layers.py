@@ -17,13 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions.sequences import shuffled_codes
+
 BASES = np.full(256, -1)
 BASES[list(b"ACGT")] = range(4)
 
 
+def base_codes(sequence: str) -> np.ndarray:
+    """0 to 3 for A, C, G and T, -1 for what isn't one of them."""
+    return BASES[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+
+
 def one_hot(sequence: str) -> np.ndarray:
     """(length, 4); a base that isn't one of ACGT is a row of zeros."""
-    places = BASES[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+    places = base_codes(sequence)
     out = np.zeros((len(places), 4))
     known = np.flatnonzero(places >= 0)
     out[known, places[known]] = 1
@@ -53,6 +60,17 @@ class Conv:
         cut = np.lib.stride_tricks.sliding_window_view(x, width, axis=0)  # place, channel, offset
         return cut.transpose(0, 2, 1).reshape(len(cut), -1)
 
+    def shares(self, codes: np.ndarray) -> list[np.ndarray]:
+        """What each offset's base adds to the filters at each place (behind the end are no bases): weights looked up by codes, filter after filter in memory."""
+        tables = np.pad(self.weights, ((0, 0), (0, 0), (0, 1)))  # code -1 adds nothing
+        codes = np.pad(codes, (0, tables.shape[1] - 1), constant_values=-1)
+        n = len(codes) - tables.shape[1] + 1
+        out = np.empty((tables.shape[1], len(tables), n))
+        for k in range(tables.shape[1]):
+            for f, table in enumerate(tables[:, k]):
+                out[k, f] = table[codes[k : k + n]]
+        return [share.T for share in out]
+
     def forward(self, x: np.ndarray) -> np.ndarray:
         return self.windows(x) @ self.weights.reshape(len(self.weights), -1).T + self.bias
 
@@ -145,15 +163,21 @@ def gradient(network: Network, seen: list[np.ndarray], seed: np.ndarray) -> np.n
 SMALL = 1e-8
 
 
+def quotients(layer: Relu, x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """``g`` times the difference of what a layer makes, per difference of what it is given."""
+    dx = x - x0
+    small = np.abs(dx) < SMALL
+    np.copyto(dx, 1, where=small)
+    out = g * (y - y0) / dx
+    np.copyto(out, layer.backward(x, g), where=small)
+    return out
+
+
 def multipliers(network: Network, seen: list[np.ndarray], reference: list[np.ndarray], seed: np.ndarray) -> np.ndarray:
     """What the output's difference from that of a reference is per difference of the input: a rectifier has its quotient of differences, other layers are linear."""
     pairs = zip(network, seen[:-1], seen[1:], reference[:-1], reference[1:], strict=True)
     for layer, x, y, x0, y0 in reversed(list(pairs)):
-        if layer.linear:
-            seed = layer.backward(x, seed)
-        else:
-            dx, small = x - x0, np.abs(x - x0) < SMALL
-            seed = np.where(small, layer.backward(x, seed), seed * (y - y0) / np.where(small, 1, dx))
+        seed = layer.backward(x, seed) if layer.linear else quotients(layer, x, y, x0, y0, seed)
     return seed
 
 
@@ -172,6 +196,126 @@ def importances_of(network: Network, x: np.ndarray, task: int, rule: str, refere
     raise ValueError(f"no rule {rule}")
 
 
+class Line:
+    """Sequences laid one behind the other, so that a layer is one pass over all of them.
+
+    ``codes`` are those of their bases, an empty sequence has one place of no base. Each layer before the mean leaves
+    its values in its sequence's places; windows that reach into the next sequence have values too, which
+    the mean takes as zeros, and no gradient comes back to them.
+    """
+
+    def __init__(self, network: Network, codes: list[np.ndarray]):
+        self.sizes = np.array([max(len(c), 1) for c in codes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.lengths = np.array([len(c) for c in codes])
+        self.codes = self.laid(codes)
+        cut = next(i for i, layer in enumerate(network) if isinstance(layer, Mean))
+        self.before, self.after = network[:cut], network[cut + 1 :]
+        lost = sum(layer.weights.shape[1] - 1 for layer in self.before if isinstance(layer, Conv))
+        self.counts = np.maximum(self.lengths - lost, 0)
+        self.divisors = np.maximum(self.counts, 1)[:, None]
+        over = self.sizes - self.counts
+        self.beyond = np.repeat(self.starts + self.counts - np.cumsum(over) + over, over) + np.arange(over.sum())
+
+    def laid(self, codes: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([c if len(c) else BASES[:1] for c in codes])
+
+    def activations(self, x: np.ndarray, done: int = 0) -> list[np.ndarray]:
+        """The values that ``done`` layers have made (``x``, which may be changed) and those that each later layer makes of them."""
+        out = [x]
+        for layer in self.before[done:]:
+            y = layer.forward(out[-1])
+            out.append(y if len(y) == len(x) else np.pad(y, ((0, len(x) - len(y)), (0, 0))))
+        out[-1][self.beyond] = 0
+        out.append(np.stack([np.add.reduceat(column, self.starts) for column in out[-1].T], axis=1) / self.divisors)
+        for layer in self.after:
+            out.append(out[-1] @ layer.weights.T + layer.bias if isinstance(layer, Dense) else layer.forward(out[-1]))
+        return out
+
+    def back(self, seen: list[np.ndarray], seed: np.ndarray, reference: list[np.ndarray] | None = None) -> np.ndarray:
+        """The gradient of ``seed`` times the outputs by the first of the values ``seen``, or the multipliers against those of a reference."""
+        at = len(seen) - 1 - len(self.after)  # that of the means
+
+        def through(layers: list, at: int, g: np.ndarray) -> np.ndarray:
+            for k in range(len(layers) - 1, -1, -1):
+                layer, x = layers[k], seen[at + k]
+                if isinstance(layer, Conv):
+                    g = g[: max(len(x) - layer.weights.shape[1] + 1, 0)]
+                g = layer.backward(x, g) if reference is None or layer.linear else quotients(layer, x, seen[at + k + 1], reference[at + k], reference[at + k + 1], g)
+            return g
+
+        g = through(self.after, at, np.broadcast_to(seed, seen[-1].shape)) / self.divisors
+        g = np.repeat(g.T, self.sizes, axis=1).T
+        g[self.beyond] = 0
+        return through(self.before[len(self.before) - at + 1 :], 0, g)
+
+
+def importances_by_base(network: Network, codes: list[np.ndarray], task: int, rules: list[str], references: list[list[np.ndarray]], steps: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``importances_of`` whole sequences of base codes: the outputs and, for each rule, one array with the sum over the four bases at each place of the sequences, one behind the other.
+
+    The network is filters and rectifiers, the mean, and what goes on from it. What its first layer makes of a base is
+    looked up, once for all rules. ``references`` has those of each sequence, of its length (else ValueError).
+    """
+    if any(len(r) != len(c) for c, some in zip(codes, references, strict=True) for r in some):
+        raise ValueError("references are not as long as their sequences")
+    line = Line(network, codes)
+    first = line.before[0] if line.before and isinstance(line.before[0], Conv) else Conv(np.eye(4)[:, None, :], np.zeros(4))
+    done = int(bool(line.before) and first is line.before[0])
+
+    def dealt(g: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(line.codes))
+        for k, share in enumerate(shares):
+            out[k:] += (g * share).sum(axis=1)[: max(len(out) - k, 0)]
+        return out
+
+    shares = first.shares(line.codes)
+    plain = sum(shares[1:], shares[0])
+    seen = line.activations(plain + first.bias, done)
+    seed = np.eye(seen[-1].shape[1])[task]
+
+    def found(rule: str) -> np.ndarray:
+        if rule == "gradient":
+            return dealt(line.back(seen, seed), shares)
+        if rule == "path":
+            g = line.back(seen, seed)  # where the way ends
+            for k in range(1, steps):
+                g = g + line.back(line.activations(plain * (k / steps) + first.bias, done), seed)
+            return dealt(g / steps, shares)
+        if rule == "multipliers":
+            out = np.zeros(len(line.codes))
+            numbers = np.array([len(some) for some in references])
+            for k in range(max(numbers, default=0)):  # a sequence without a k-th reference is its own: no difference
+                theirs = first.shares(line.laid([some[k] if k < len(some) else c for c, some in zip(codes, references, strict=True)]))
+                reference = line.activations(sum(theirs[1:], theirs[0]) + first.bias, done)
+                out += dealt(line.back(seen, seed, reference), [x - r for x, r in zip(shares, theirs, strict=True)])
+            return out / np.repeat(np.maximum(numbers, 1), line.sizes)
+        raise ValueError(f"no rule {rule}")
+
+    held = np.repeat(line.lengths > 0, line.sizes)
+    return seen[-1][:, task], [found(rule)[held] for rule in rules]
+
+
+#: Bases of the sequences that go through a network at once; a longer sequence goes alone.
+TOGETHER = 1 << 15
+
+
+def keep_memory() -> None:
+    """Once a large array has been freed, glibc keeps what smaller ones free for the next ones. It would give it back after each of them, and new pages took half of the time."""
+    np.empty(31 << 20, np.uint8)
+
+
+def together(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbours of TOGETHER bases at most; an empty sequence counts as one."""
+    at, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and total + max(n, 1) > TOGETHER:
+            yield at, i - at
+            at, total = i, 0
+        total += max(n, 1)
+    if lengths:
+        yield at, len(lengths) - at
+
+
 def with_importances(df: DataFrame, network: Network, seq: str, rule: str = "gradient", task: int = 0, references: str | None = None, steps: int = 20, logit: str = "logit", out: str = "importances") -> DataFrame:
     """Add the network's output for ``task`` and, for each base of the whole sequence, the importance of what stands there (of all four bases for multipliers, whose references differ).
 
@@ -182,20 +326,54 @@ def with_importances(df: DataFrame, network: Network, seq: str, rule: str = "gra
     df = df.drop(logit, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         # A few sequences at a time: their importances are eight times as large as they are.
-        for batch in (whole.slice(a, 16) for whole in batches for a in range(0, len(whole), 16)):
-            given = batch.column(references).to_pylist() if references else [None] * len(batch)
-            values, found = [], []
-            for text, others in zip(batch.column(seq).to_pylist(), given, strict=True):
-                value, mine = importances_of(held.value, one_hot(text or ""), task, rule, [one_hot(r) for r in others or []], steps)
-                values.append(value)
-                found.append(mine.sum(axis=1))
-            new = [pa.array(values, pa.float64()), pa.array(found, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, logit, out])
+        for whole in batches:
+            texts = whole.column(seq).to_pylist()
+            for a, n in together([len(t or "") for t in texts]):
+                batch = whole.slice(a, n)
+                given = batch.column(references).to_pylist() if references else [None] * n
+                codes = [base_codes(t or "") for t in texts[a : a + n]]
+                values, (found,) = importances_by_base(held.value, codes, task, [rule], [[base_codes(r or "") for r in some or []] for some in given], steps)
+                offsets = np.cumsum([0, *map(len, codes)])
+                new = [pa.array(values, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, logit, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(logit, DoubleType()), StructField(out, ArrayType(DoubleType()))]))
 
 
+def importance_totals(df: DataFrame, network: Network, seq: str, rules: dict[str, str], task: int = 0, shuffles: str | None = None, steps: int = 20, logit: str = "logit") -> DataFrame:
+    """The other columns, the network's output for ``task`` and, for each of ``rules`` (column: rule), the sum of the importances of the whole sequence's bases.
+
+    A sequence travels once, for all rules; the importances stay in the task. ``shuffles``: a column with an array of keys (with
+    their seeds), the references of multipliers are the sequence's block shuffles by them. A null sequence counts as empty.
+    """
+    held = df.sparkSession.sparkContext.broadcast(network)
+    rest = [f for f in df.schema.fields if f.name not in (seq, shuffles, logit, *rules)]
+    columns = [f.name for f in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        for whole in batches:
+            texts = whole.column(seq).to_pylist()
+            keys = whole.column(shuffles).to_pylist() if shuffles else [None] * len(texts)
+            parts = []
+            for a, n in together([len(t or "") for t in texts]):
+                codes = [base_codes(t or "") for t in texts[a : a + n]]
+                references = [[] for _ in codes]
+                for k in range(max((len(some or []) for some in keys[a : a + n]), default=0)):
+                    those = [i for i, some in enumerate(keys[a : a + n]) if k < len(some or [])]
+                    for i, c in zip(those, shuffled_codes([codes[i] for i in those], [keys[a + i][k] for i in those]), strict=True):
+                        references[i].append(c)
+                values, found = importances_by_base(held.value, codes, task, list(rules.values()), references, steps)
+                ends = np.cumsum([len(c) for c in codes])
+                parts.append([values, *[np.array([f[e - len(c) : e].sum() for c, e in zip(codes, ends, strict=True)]) for f in found]])
+            new = [pa.array(np.concatenate(some), pa.float64()) for some in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[whole.column(c) for c in columns], *new], names=[*columns, logit, *rules])
+
+    return df.mapInArrow(run, StructType([*rest, *[StructField(c, DoubleType()) for c in (logit, *rules)]]))
+
+
 def task_weights(df: DataFrame, labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(task weights, class weights): positives over negatives, and negatives over positives, of each label column; null labels don't count."""
     sums = df.agg(*[F.sum(F.col(c).cast("double")).alias(f"p{i}") for i, c in enumerate(labels)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(labels)]).first()

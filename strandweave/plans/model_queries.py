@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import sequences as fx
 from ..operators import layers as ly
 from ..operators import models as mo
 from .proxies import CUBE, SEQ_SQL, cube, seqs, table
@@ -61,12 +60,13 @@ def sequence_importances(spark, d):
 
 def multiplier_importances(spark, d):
     """Multipliers against two shuffles of each whole text and mean gradients along the way from nothing; the first sum to the difference from the shuffles' outputs (tested against loops, no SQL twin)."""
-    s = seqs(spark, d)
-    shuffled = F.array(*[fx.block_shuffle(F.col("seq"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(k))), "shuffle") for k in (1, 2)])
-    by = ly.with_importances(s.withColumn("refs", shuffled), SCORER, "seq", "multipliers", references="refs", out="against")
-    both = ly.with_importances(by, SCORER, "seq", "path", steps=8, out="along")
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
-    return both.select("doc_id", F.round("logit", 6).alias("logit"), total("against").alias("against"), total("along").alias("along"))
+    keys = F.array(*[F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(k)), F.lit("shuffle")) for k in (1, 2)])
+    windows = F.coalesce(F.greatest(F.length("seq") - 2, F.lit(1)), F.lit(1))
+    s = seqs(spark, d).select("doc_id", "seq", windows.alias("windows"), keys.alias("keys"))
+    both = ly.importance_totals(s, SCORER, "seq", {"against": "multipliers", "along": "path"}, shuffles="keys", steps=8)
+    # Times the number of windows all are sums of 128ths, which have seven places, so equal ones are equal in any order of adding.
+    exact = lambda c, shift=0.0: F.round(F.round((F.col(c) - shift) * F.col("windows"), 7) / F.col("windows") + shift, 6).alias(c)
+    return both.select("doc_id", exact("logit", OUT_SHIFT), exact("against"), exact("along"))
 
 
 def trained_scorer(spark, d):

@@ -1,9 +1,14 @@
 """Gradients against finite differences, multipliers and paths against the output, training against a loop."""
 
+from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
+from strandweave.functions import sequences as fx
 from strandweave.operators import layers as ly
+from strandweave.plans import model_queries as mq
 
 
 def network(seed=0, tasks=2):
@@ -151,3 +156,80 @@ def test_training_stops_early(data):
 def test_squared_error():
     value, g = ly.Loss("squared").of(np.array([1.0, 2.0]), np.array([3.0, np.nan]))
     assert value == 4 and g.tolist() == [-4.0, 0.0]
+
+
+def test_sequences_in_a_line_have_the_importances_of_each():
+    r = np.random.default_rng(11)
+    networks = [network(8), mq.SCORER, [ly.Mean()], [ly.Relu(), ly.Conv(r.normal(size=(3, 2, 4)), r.normal(size=3)), ly.Mean()], [ly.Conv(r.normal(size=(3, 5, 4)), r.normal(size=3)), ly.Mean()]]
+    for lengths in ([40, 0, 7, 3, 1, 2, 0, 90], [0], [2, 2], [6]):
+        texts = [random_sequence(20 + i, n) for i, n in enumerate(lengths)]
+        references = [["".join(r.permutation(list(t))) for _ in range(i % 4)] for i, t in enumerate(texts)]
+        for net in networks:
+            rules = ["gradient", "path", "multipliers"]
+            values, found = ly.importances_by_base(net, [ly.base_codes(t) for t in texts], 0, rules, [[ly.base_codes(x) for x in some] for some in references], 4)
+            for rule, mine in zip(rules, found, strict=True):
+                want = [ly.importances_of(net, ly.one_hot(t), 0, rule, [ly.one_hot(x) for x in some], 4) for t, some in zip(texts, references, strict=True)]
+                assert values == pytest.approx([w[0] for w in want]) and mine == pytest.approx(np.concatenate([w[1].sum(axis=1) for w in want]), abs=1e-12)
+    with pytest.raises(ValueError, match="as long"):
+        ly.importances_by_base(mq.SCORER, [ly.base_codes("ACGT")], 0, ["multipliers"], [[ly.base_codes("ACG")]], 1)
+
+
+def test_longer_lines_are_cut(monkeypatch):
+    monkeypatch.setattr(ly, "TOGETHER", 10)
+    assert list(ly.together([4, 6, 0, 11, 3, 3, 3, 1, 1])) == [(0, 2), (2, 1), (3, 1), (4, 4), (8, 1)] and list(ly.together([])) == []
+
+
+def test_arrays_are_shuffled_as_texts(monkeypatch):
+    for places in (1 << 16, 4):
+        monkeypatch.setattr(fx, "PLACES", places)
+        for lengths in ([5], [0, 0], [1, 2, 3, 0, 4, 101, 300], []):
+            texts, keys = [random_sequence(i, n) for i, n in enumerate(lengths)], [f"{i}:shuffle" for i in range(len(lengths))]
+            for size in (1, 2, 3):
+                want = [fx.shuffled_blocks(t, k, size) for t, k in zip(texts, keys, strict=True)]
+                assert [c.tolist() for c in fx.shuffled_codes([ly.base_codes(t) for t in texts], keys, size)] == [ly.base_codes(t).tolist() for t in want]
+
+
+def half_up(x):
+    return float((Decimal(x.numerator) / Decimal(x.denominator)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def exact(text):
+    """The scorer's output and the sum of mean gradients times input, as fractions."""
+    weights, windows = [[{b: Fraction(float(w)) for b, w in zip("ACGT", row, strict=True)} for row in f] for f in mq.FILTERS], max(len(text) - 2, 1)
+    logit, along = Fraction(mq.OUT_SHIFT), Fraction(0)
+    for shift, out, rows in zip(map(Fraction, mq.SHIFTS), map(Fraction, mq.OUT), weights, strict=True):
+        for i in range(len(text) - 2):
+            value = sum(row.get(text[i + j], Fraction(0)) for j, row in enumerate(rows))
+            logit += out * max(value + shift, 0) / windows
+            along += out * value * sum(value * k / 8 + shift > 0 for k in range(1, 9)) / 8 / windows
+    return logit, along
+
+
+def test_multiplier_importances_travel_once_and_are_exact(spark, tmp_path):
+    """One pass through Python, no importances on the way back; null and empty texts; what lies between two roundings."""
+    texts = [None, "", "a", "ab", "abc", *["".join(np.random.default_rng(i).choice(list("abcdefg h"), n)) for i, n in enumerate([34] * 60 + [66] * 40 + [3000])]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = mq.multiplier_importances(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "lambda" not in plan
+    bases = str.maketrans("abcdefgh ", "ACGTACGTN")
+    rows = {r.doc_id: r for r in found.collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        whole = (text or "").translate(bases)
+        logit, along = exact(whole)
+        against = logit - sum(exact(fx.shuffled_blocks(whole, f"{i}:{k}:shuffle"))[0] for k in (1, 2)) / 2
+        assert (rows[i].logit, rows[i].against, rows[i].along) == (half_up(logit), half_up(against), half_up(along))
+
+
+def test_totals_of_rows(spark):
+    net = network(8)
+    rows = [(i, random_sequence(i, n), [f"{i}:{k}" for k in range(i)]) for i, n in enumerate([40, 90, 7, 3, 0])] + [(9, None, None)]
+    df = spark.createDataFrame(rows, "id int, seq string, keys array<string>").repartition(3)
+    totals = ly.importance_totals(df, net, "seq", {"a": "multipliers", "b": "path", "c": "gradient"}, 1, "keys", 4)
+    assert totals.columns == ["id", "logit", "a", "b", "c"]
+    for r in totals.collect():
+        _, seq, keys = next(x for x in rows if x[0] == r.id)
+        for rule, total in (("multipliers", r.a), ("path", r.b), ("gradient", r.c)):
+            value, found = ly.importances_of(net, ly.one_hot(seq or ""), 1, rule, [ly.one_hot(fx.shuffled_blocks(seq, k)) for k in keys or []], 4)
+            assert r.logit == pytest.approx(value) and total == pytest.approx(found.sum(), abs=1e-12)
