@@ -65,8 +65,7 @@ def multiplier_importances(spark, d):
     s = seqs(spark, d).select("doc_id", "seq", windows.alias("windows"), keys.alias("keys"))
     both = ly.importance_totals(s, SCORER, "seq", {"against": "multipliers", "along": "path"}, shuffles="keys", steps=8)
     # Times the number of windows all are sums of 128ths, which have seven places, so equal ones are equal in any order of adding.
-    exact = lambda c, shift=0.0: F.round(F.round((F.col(c) - shift) * F.col("windows"), 7) / F.col("windows") + shift, 6).alias(c)
-    return both.select("doc_id", exact("logit", OUT_SHIFT), exact("against"), exact("along"))
+    return both.select("doc_id", *[F.round(F.round(F.col(c) * F.col("windows"), 7) / F.col("windows"), 6).alias(c) for c in ("logit", "against", "along")])
 
 
 def trained_scorer(spark, d):

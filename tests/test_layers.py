@@ -207,7 +207,7 @@ def exact(text):
 
 def test_multiplier_importances_travel_once_and_are_exact(spark, tmp_path):
     """One pass through Python, no importances on the way back; null and empty texts; what lies between two roundings."""
-    texts = [None, "", "a", "ab", "abc", *["".join(np.random.default_rng(i).choice(list("abcdefg h"), n)) for i, n in enumerate([34] * 60 + [66] * 40 + [3000])]]
+    texts = [None, "", "a", "ab", "abc", *["".join(np.random.default_rng(i).choice(list("abcdefg h"), n)) for i, n in enumerate([34] * 60 + [66] * 40 + [82] * 60 + [3000])]]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = mq.multiplier_importances(spark, str(tmp_path))
     plan = found._jdf.queryExecution().executedPlan().toString()
